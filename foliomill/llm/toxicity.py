@@ -32,6 +32,8 @@ MARKS = ".,;:!?*%$&#|<>\"'()[]{}"
 THRESHOLDS = (2, 4, 6, 8, 10, 12, 15, 18, 22)
 LEVEL, TABLE_LOG = 13, 17
 ORDINARY_BYTES, TOXIC_BYTES = 96 << 10, 32 << 10
+#: Parts for calibration, and the share of toxic texts that must hold a window before the toxic dictionary learns it.
+FOLDS, FEW = 3, 0.02
 
 
 @dataclass
@@ -124,38 +126,52 @@ def _widened(words: list[str], size: int) -> bytes:
     return b"".join(bytes(np.repeat(np.frombuffer(f" {w} ".encode(), np.uint8), WIDEN)) for w in words)[:size]
 
 
-def fit(texts: list[str], labels: list[int], toxic_share: float | None = None) -> ToxicityModel:
-    """Train the dictionaries and calibrate the thresholds on labelled texts.
-
-    toxic_share: share of toxic texts to calibrate for; that of `labels` by default.
-    """
-    y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(b"", b"", np.zeros(1), float(y[0]) if len(y) else 0.0)
-    table = pa.array(texts, pa.string())
+def _dictionaries(table: pa.Array, y: np.ndarray) -> tuple[bytes, bytes]:
+    """Train the ordinary and the toxic dictionary on labelled texts."""
     words, owner = window_words(table)
     coded = words.dictionary_encode()
     vocabulary, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     seen = np.unique(owner * len(vocabulary) + codes)
     in_texts = [np.bincount(seen[(y == k)[seen // len(vocabulary)]] % len(vocabulary), minlength=len(vocabulary)) for k in (0, 1)]
-    few = max(2, int(0.002 * y.sum()))
+    few = max(2, int(FEW * y.sum()))
     ordinary = _trained({w: int(n) for w, n in zip(vocabulary, in_texts[0])}, ORDINARY_BYTES, 3, 60)
     own = {w: int(n) for w, n, m in zip(vocabulary, in_texts[1], in_texts[0]) if not m}
     toxic = _trained(own, TOXIC_BYTES, few, 1000)
-    # Windows that come out on the wrong side join the dictionary of their class, and the next fit sees them.
+    # Windows that come out on the wrong side join the dictionary of their class, and the next pass sees them.
     for _ in range(2):
         distance = ToxicityModel(ordinary, toxic, np.zeros(1)).word_distances(coded.dictionary)
         false = np.flatnonzero((distance >= THRESHOLDS[1]) & (in_texts[0] > 0))
         missed = np.flatnonzero((distance < THRESHOLDS[4]) & (in_texts[1] >= 2 * few) & (in_texts[0] == 0))
         false = false[np.argsort(-in_texts[0][false], kind="stable")]
-        missed = missed[np.argsort(in_texts[1][missed], kind="stable")]
+        missed = missed[np.argsort(-in_texts[1][missed], kind="stable")]
         ordinary = _widened([vocabulary[i] for i in false], ORDINARY_BYTES // 2) + ordinary
-        toxic = toxic + _widened([vocabulary[i] for i in missed[::-1]], TOXIC_BYTES // 2)
-    model = ToxicityModel(ordinary, toxic, np.zeros(1 + 2 * len(THRESHOLDS)))
+        toxic = toxic + _widened([vocabulary[i] for i in missed], TOXIC_BYTES // 2)
+    return ordinary, toxic
+
+
+def fit(texts: list[str], labels: list[int], toxic_share: float | None = None) -> ToxicityModel:
+    """Train the dictionaries and calibrate the thresholds on labelled texts.
+
+    Equal texts count once.  The thresholds are calibrated on distances that come from
+    dictionaries trained without the texts at hand (FOLDS parts in turn); the final dictionaries
+    see all texts.  toxic_share: share of toxic texts to calibrate for; that of `labels` by default.
+    """
+    once = {t: int(v) for t, v in zip(texts, labels)}
+    texts, y = list(once), np.array(list(once.values()), float)
+    if not len(y) or y.min() == y.max():
+        return ToxicityModel(b"", b"", np.zeros(1), float(y[0]) if len(y) else 0.0)
+    table, fold = pa.array(texts, pa.string()), np.zeros(len(y), np.int64)
+    for k in (0, 1):  # either class is dealt evenly
+        own = np.flatnonzero(y == k)
+        fold[own] = np.random.default_rng(5).permutation(len(own)) % FOLDS
+    features = np.zeros((len(y), 2 * len(THRESHOLDS)))
+    for f in range(FOLDS):
+        held = fold == f
+        if held.any() and y[~held].sum() not in (0, (~held).sum()):
+            features[held] = ToxicityModel(*_dictionaries(table.filter(pa.array(~held)), y[~held]), np.zeros(1)).features(table.filter(pa.array(held)))
     share = y.mean() if toxic_share is None else toxic_share
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    model.weights = _logistic(model.features(table), y, weight)
-    return model
+    return ToxicityModel(*_dictionaries(table, y), _logistic(features, y, weight))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.02, rounds: int = 60) -> np.ndarray:
