@@ -1,4 +1,451 @@
-"""All queries over the document operators, and their SQL twins."""
+"""All queries over the document operators, and their SQL twins.
+
+The driver's tables are projected into the relations of the operators: documents as texts and
+lines, part and nation as sheets, conversations as sections and pages, lineitem as positioned
+text.  Each projection is written once here and once in SQL.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliomill.functions import text as T
+from foliomill.operators import documents as D
+from foliomill.operators import layout as L
+from foliomill.operators import sheets as S
+from foliomill.operators import web as W
 
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+# ---- texts and chunks
+
+CHUNKS = """
+    WITH d AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+    k AS (SELECT doc_id, t, CASE WHEN length(t) <= 500 THEN 0 ELSE ceil((length(t) - 500) / 420.0)::BIGINT END AS k FROM d),
+    p AS (SELECT doc_id, t, unnest(range(0, k + 1)) AS i FROM k),
+    c AS (SELECT doc_id, i, length(t) <= 500 AS short, regexp_replace(substring(t, i * 420 + 1, 500), '^\\s+|\\s+$', '', 'g') AS text FROM p)
+"""
+
+
+@query(CHUNKS + """
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_id, text, length(text)::INTEGER AS char_count,
+           round(length(text) * 0.75)::BIGINT AS token_estimate FROM c WHERE short OR text <> ''""")
+def chunk_sliding(spark, sf):
+    return D.chunk_sliding(read(spark, sf, "documents"))
+
+
+def _turns(spark, sf):
+    c = read(spark, sf, "conversations")
+    pages = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text")
+    starts = c.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("start"))
+    outline = starts.select("doc_id", F.col("start").alias("node_ord"), F.concat(F.lit("turn "), F.col("start").cast("string")).alias("path"), "start")
+    return outline, pages
+
+
+SECTIONS = """
+    WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS start FROM conversations WHERE role = 'user'),
+    s AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), 1001) AS nxt FROM o),
+    e AS (SELECT doc_id, start, CASE WHEN nxt > start THEN nxt - 1 ELSE start END AS stop FROM s)
+"""
+
+
+@query(SECTIONS + """,
+    w AS (SELECT e.doc_id, start, stop, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY turn, text), '^\\s+|\\s+$', '', 'g') AS t
+          FROM e JOIN conversations c ON c.conv_id = e.doc_id AND c.turn BETWEEN start AND stop GROUP BY ALL),
+    k AS (SELECT *, unnest(range(0, CASE WHEN length(t) <= 500 THEN 1 ELSE ceil((length(t) - 500) / 420.0)::BIGINT + 1 END)) AS i FROM w WHERE t <> ''),
+    c AS (SELECT doc_id, start, stop, i, length(t) <= 500 AS short, regexp_replace(substring(t, i * 420 + 1, 500), '^\\s+|\\s+$', '', 'g') AS text FROM k)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start, i) - 1)::INTEGER AS chunk_id, 'turn ' || start AS path, start AS page_from, stop AS page_to,
+           text, length(text)::INTEGER AS char_count, round(length(text) * 0.75)::BIGINT AS token_estimate FROM c WHERE short OR text <> ''""")
+def chunk_by_section(spark, sf):
+    outline, pages = _turns(spark, sf)
+    return D.chunk_by_section(D.section_ends(outline, F.lit(1000)), pages)
+
+
+@query("""
+    WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS start FROM conversations WHERE role = 'user'),
+    o2 AS (SELECT doc_id, start, (start - start % 4) AS pg FROM o)
+    SELECT a.doc_id, a.start AS node_ord, a.pg AS page, (coalesce((SELECT min_by(b.pg, b.start) FROM o2 b WHERE b.doc_id = a.doc_id AND b.start > a.start AND b.pg > a.pg), 101) - 1)::INTEGER AS last_page
+    FROM o2 a""")
+def section_pages_next_greater(spark, sf):
+    outline, _ = _turns(spark, sf)
+    coarse = outline.withColumn("start", F.col("start") - F.col("start") % 4)
+    return D.section_ends(coarse, F.lit(100), "next_greater").select("doc_id", "node_ord", F.col("start").alias("page"), F.col("end").alias("last_page"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::INTEGER AS word_count FROM documents")
+def nonspace_char_count(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.nonspace_count(F.col("text")).alias("word_count"))
+
+
+# ---- sheets
+
+
+def _cells(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    columns = F.array(*[F.col(c).cast("string") for c in p.columns])
+    return p.select(F.lit("part").alias("sheet"), F.col("p_partkey").cast("int").alias("row"), F.posexplode(columns).alias("col", "value"))
+
+
+CELLS = """
+    WITH r AS (SELECT p_partkey::INTEGER AS row, [p_partkey::VARCHAR, p_name, p_brand, p_type] AS vals FROM part),
+    cells AS (SELECT 'part' AS sheet, row, unnest(range(0, 4))::INTEGER AS col, unnest(vals) AS value FROM r)
+"""
+
+
+@query(CELLS + """,
+    w AS (SELECT sheet, col, max(length(regexp_replace(value, '[^\\x00-\\x7F]', '', 'g')) * 1.1::DOUBLE + length(regexp_replace(value, '[\\x00-\\x7F]', '', 'g')) * 2.1::DOUBLE) AS w FROM cells GROUP BY ALL)
+    SELECT sheet, col, round(least(greatest(w + 3, 10.0), 60.0), 4)::DOUBLE AS width FROM w""")
+def visual_width_autofit(spark, sf):
+    return S.autofit_columns(_cells(spark, sf))
+
+
+@query("SELECT 'documents' AS sheet, doc_id::INTEGER AS row, 18.0::DOUBLE + 14.0::DOUBLE * (length(text) - length(replace(text, chr(10), ''))) AS height FROM documents")
+def row_height_autofit(spark, sf):
+    d = read(spark, sf, "documents")
+    return S.autofit_rows(d.select(F.lit("documents").alias("sheet"), F.col("doc_id").cast("int").alias("row"), F.col("text").alias("value")))
+
+
+def _sheet(spark, sf, name, key):
+    return S.numbered(read(spark, sf, name), name, key)
+
+
+@query("""SELECT 'nation' AS sheet, (SELECT count(*) FROM nation)::INTEGER AS n_rows, 3 AS n_cols, 'A1:C' || (SELECT count(*) FROM nation) AS range
+    UNION ALL SELECT 'region', (SELECT count(*) FROM region)::INTEGER, 2, 'A1:B' || (SELECT count(*) FROM region)""")
+def sheet_inspect(spark, sf):
+    return S.inspect(_sheet(spark, sf, "nation", "n_nationkey").unionAll(_sheet(spark, sf, "region", "r_regionkey")))
+
+
+def _part_rows(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    return p.select(F.lit("part").alias("sheet"), F.col("p_partkey").cast("int").alias("row"), F.array(*[F.col(c).cast("string") for c in p.columns]).alias("vals"))
+
+
+SEARCH = """
+    WITH r AS (SELECT p_partkey::INTEGER AS row, [p_partkey::VARCHAR, p_name, p_brand, p_type] AS vals FROM part),
+    h AS (SELECT row, vals, unnest(range(1, 5))::INTEGER AS col, unnest(vals) AS value FROM r)
+    SELECT 'part' AS sheet, row + 1 AS row, col, value AS matched_value, array_to_string(vals, '|') AS row_data FROM h WHERE contains(value, 'Brand#1')
+"""
+
+
+@query(SEARCH)
+def sheet_search(spark, sf):
+    return S.search(_part_rows(spark, sf), "Brand#1").withColumn("row_data", F.array_join("row_data", "|"))
+
+
+@query(SEARCH + " ORDER BY row, col LIMIT 25")
+def sheet_search_limit(spark, sf):
+    return S.search(_part_rows(spark, sf), "Brand#1", 25).withColumn("row_data", F.array_join("row_data", "|"))
+
+
+@query("""SELECT 'part' AS sheet, p_partkey::INTEGER AS row, p_name || '|' || p_brand || '|' || p_type AS vals FROM part
+    WHERE p_partkey BETWEEN 1 AND 49 ORDER BY p_partkey LIMIT 20""")
+def sheet_read_range(spark, sf):
+    return S.read_range(_part_rows(spark, sf), "D50:B2", 20).withColumn("vals", F.array_join("vals", "|"))
+
+
+@query('''SELECT n_nationkey AS row, n_nationkey || ',' || '"' || n_name || ', ""x""' || chr(34) || ',' || n_regionkey || chr(10) AS line FROM nation''')
+def csv_rows(spark, sf):
+    n = read(spark, sf, "nation")
+    vals = F.array(F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit(', "x"')), F.col("n_regionkey").cast("string"))
+    return n.select(F.col("n_nationkey").alias("row"), T.csv_line(vals).alias("line"))
+
+
+@query("SELECT n_nationkey AS row, '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) AS line FROM nation")
+def markdown_rows(spark, sf):
+    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("row"), T.markdown_line(F.array(F.col("n_nationkey").cast("string"), "n_name")).alias("line"))
+
+
+@query("""WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '=A' || event_id WHEN 1 THEN '00' || event_id WHEN 2 THEN event_id || '.5e3' WHEN 3 THEN 'true' WHEN 4 THEN ' 12' ELSE event_type END AS value FROM events)
+    SELECT event_id, CASE WHEN starts_with(value, '=') THEN 'formula' WHEN regexp_full_match(value, '[+-]?([0-9]+\\.?[0-9]*([eE][+-]?[0-9]+)?|\\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))') THEN 'number'
+           WHEN value IN ('true', 'false') THEN 'bool' ELSE 'string' END AS kind FROM v""")
+def infer_types(spark, sf):
+    e, i = read(spark, sf, "events"), F.col("event_id").cast("string")
+    k = F.col("event_id") % 6
+    value = F.when(k == 0, F.concat(F.lit("=A"), i)).when(k == 1, F.concat(F.lit("00"), i)).when(k == 2, F.concat(i, F.lit(".5e3"))).when(k == 3, "true").when(k == 4, " 12").otherwise(F.col("event_type"))
+    return e.select("event_id", T.infer_kind(value).alias("kind"))
+
+
+@query("""WITH n AS (SELECT DISTINCT l_partkey AS n FROM lineitem WHERE l_partkey BETWEEN 1 AND 18278)
+    SELECT n, CASE WHEN n <= 26 THEN chr((64 + n)::INTEGER) WHEN n <= 702 THEN chr((64 + (n - 1) // 26)::INTEGER) || chr((65 + (n - 1) % 26)::INTEGER)
+           ELSE chr((64 + (n - 27) // 676)::INTEGER) || chr((65 + (n - 27) // 26 % 26)::INTEGER) || chr((65 + (n - 1) % 26)::INTEGER) END AS letters, n AS back FROM n""")
+def col_letter_roundtrip(spark, sf):
+    n = read(spark, sf, "lineitem").where("l_partkey between 1 and 18278").select(F.col("l_partkey").alias("n")).distinct()
+    letters = T.column_letters(F.col("n"))
+    return n.select("n", letters.alias("letters"), T.column_number(letters).alias("back"))
+
+
+@query("SELECT DISTINCT l_suppkey AS n, CASE WHEN l_suppkey % 2 = 0 THEN 'FF' || upper(printf('%06x', l_suppkey)) ELSE upper(printf('%x', l_suppkey)) END AS argb FROM lineitem")
+def hex_argb(spark, sf):
+    n = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("n")).distinct()
+    raw = F.when(F.col("n") % 2 == 0, F.concat(F.lit("#"), F.lpad(F.lower(F.hex("n")), 6, "0"))).otherwise(F.concat(F.lit("#"), F.lower(F.hex("n"))))
+    return n.select("n", T.argb(raw).alias("argb"))
+
+
+@query("SELECT 'part' AS sheet, p_partkey::INTEGER + CASE WHEN p_partkey >= 10 THEN 3 ELSE 0 END AS row, 0 AS col, p_name AS value FROM part")
+def grid_insert_rows(spark, sf):
+    return S.insert_lines(_cells(spark, sf).where("col = 1").withColumn("col", F.lit(0)), "row", 10, 3)
+
+
+@query("SELECT 'part' AS sheet, p_partkey::INTEGER - CASE WHEN p_partkey >= 13 THEN 3 ELSE 0 END AS row, 0 AS col, p_name AS value FROM part WHERE p_partkey NOT BETWEEN 10 AND 12")
+def grid_delete_rows(spark, sf):
+    return S.delete_lines(_cells(spark, sf).where("col = 1").withColumn("col", F.lit(0)), "row", 10, 3)
+
+
+@query(CELLS + " SELECT sheet, row, col, CASE WHEN row = 5 AND col = 1 THEN 'changed' ELSE value END AS value FROM cells")
+def table_set_cell(spark, sf):
+    return D.set_cell(_cells(spark, sf), 5, 1, "changed")
+
+
+# ---- web
+
+LINKS = """
+    WITH a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS body,
+               unnest(range(0, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages),
+    n AS (SELECT page_id, pos, regexp_replace(replace(replace(body, '&quot;', '"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS title,
+                 lower(regexp_extract(base, '^([a-z]+://[^/?#]*)', 1)) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url FROM a WHERE href <> ''),
+    f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS k FROM n),
+    g AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos))::INTEGER AS index, title, url FROM f WHERE k = 1 AND length(title) >= 2)
+    SELECT page_id, index, title, url FROM g
+"""
+
+
+@query(LINKS)
+def page_links(spark, sf):
+    return W.links(read(spark, sf, "pages"))
+
+
+@query(LINKS + " WHERE index <= 3")
+def page_links_limit(spark, sf):
+    return W.links(read(spark, sf, "pages"), 3)
+
+
+@query("""SELECT page_id, regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS title FROM pages""")
+def page_title(spark, sf):
+    return W.titles(read(spark, sf, "pages"))
+
+
+@query()
+def page_article_text(spark, sf):
+    return W.article_text(read(spark, sf, "pages"))
+
+
+@query("""SELECT page_id, o AS output, CASE WHEN o LIKE '%.mp4' THEN 'yt-dlp' WHEN o LIKE '%.pdf' THEN 'aria2c' WHEN o LIKE '%.html' OR o LIKE '%.htm' THEN 'monolith' ELSE 'markdown' END AS engine
+    FROM pages, (SELECT unnest(['a.mp4', 'b.pdf', 'c.htm', 'd.md']) AS o)""")
+def route_url(spark, sf):
+    p = read(spark, sf, "pages").select("page_id", "url", F.explode(F.array(*map(F.lit, ("a.mp4", "b.pdf", "c.htm", "d.md")))).alias("output"))
+    return p.select("page_id", "output", W.route(F.col("url"), F.col("output")).alias("engine"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') END AS date FROM orders""")
+def find_date(spark, sf):
+    o = read(spark, sf, "orders")
+    day = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("on ["), day("yyyy-MM-dd"), F.lit("] said"))).when(k == 1, F.concat(F.lit("("), day("yyyy/MM/dd"), F.lit(")"))).otherwise(F.lit("2026-03"))
+    return o.select("o_orderkey", T.find_date(text).alias("date"))
+
+
+@query("""SELECT r_regionkey AS page_id, 0 AS table_idx, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS row_idx,
+    n_nationkey::VARCHAR AS key, n_name AS name, 'x' AS extra FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def html_tables(spark, sf):
+    n = read(spark, sf, "nation")
+    tr = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> "), F.col("n_name"), F.lit("</td><td>x</td></tr>"))
+    rows = n.select("n_regionkey", F.struct("n_nationkey", tr.alias("tr")).alias("r")).groupBy("n_regionkey").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    html = F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), F.array_join(F.transform("rs", lambda r: r["tr"]), ""), F.lit("</table>"))
+    t = W.tables(rows.select(F.col("n_regionkey").alias("page_id"), html.alias("html")))
+    return t.select("page_id", "table_idx", "row_idx", F.col("row")["key"].alias("key"), F.col("row")["name"].alias("name"), F.col("row")["col_3"].alias("extra"))
+
+
+# ---- layout: line items as positioned text
+
+
+def _elems(spark, sf):
+    li = read(spark, sf, "lineitem")
+    order = F.col("l_orderkey")
+    return li.select(
+        (order / 40).cast("long").alias("doc_id"), F.lit(1).alias("page"), (order % 40 * 8 + F.col("l_linenumber")).cast("int").alias("elem_ord"),
+        (F.col("l_linenumber") * 90.0 + order % 3).alias("x"), (780.0 - order % 40 * 18).alias("y"),
+        F.concat(F.col("l_shipmode") if "l_shipmode" in li.columns else F.col("l_returnflag"), F.col("l_partkey").cast("string")).alias("text"), F.lit(11.0).alias("font_size"),
+    ).dropDuplicates(["doc_id", "page", "elem_ord"])
+
+
+ELEMS = """
+    WITH e AS (SELECT DISTINCT ON (doc_id, elem_ord) doc_id, 1 AS page, elem_ord, x, y, text FROM (
+        SELECT (l_orderkey // 40)::BIGINT AS doc_id, (l_orderkey % 40 * 8 + l_linenumber)::INTEGER AS elem_ord, l_linenumber * 90.0::DOUBLE + l_orderkey % 3 AS x,
+               780.0::DOUBLE - l_orderkey % 40 * 18 AS y, l_returnflag || l_partkey AS text FROM lineitem))
+"""
+
+
+@query()
+def text_lines(spark, sf):
+    return L.text_lines(_elems(spark, sf))
+
+
+@query()
+def page_texts(spark, sf):
+    return L.page_text(L.text_lines(_elems(spark, sf)))
+
+
+@query()
+def noise_filter(spark, sf):
+    return L.noise_filter(_elems(spark, sf), F.lit(842.0)).select("doc_id", "page", "elem_ord", "x", "y", "text")
+
+
+def _blocks(spark, sf):
+    e = _elems(spark, sf)
+    return e.withColumn("x", F.col("x") - F.when(F.col("elem_ord") % 5 == 0, 85).otherwise(0)).withColumn("width", T.line_width(F.col("text"), 6.5, 12.0))
+
+
+@query()
+def overlap_anomalies(spark, sf):
+    return L.overlaps(_blocks(spark, sf))
+
+
+@query()
+def column_clusters(spark, sf):
+    return L.column_clusters(_blocks(spark, sf))
+
+
+@query()
+def structured_rows(spark, sf):
+    b = _blocks(spark, sf)
+    return L.structured_rows(b, L.column_clusters(b))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'A4' WHEN 1 THEN 'A4' WHEN 2 THEN 'Letter' ELSE 'Custom' END AS size_standard,
+    CASE WHEN p_size % 4 = 1 THEN 'landscape' ELSE 'portrait' END AS orientation FROM part""")
+def paper_classify(spark, sf):
+    k = F.col("p_size") % 4
+    w = F.when(k == 0, 595.28).when(k == 1, 841.89).when(k == 2, 612.0).otherwise(100.0)
+    h = F.when(k == 0, 841.89).when(k == 1, 595.28).when(k == 2, 792.0).otherwise(100.0)
+    return read(spark, sf, "part").select("p_partkey", T.paper(w, h).alias("size_standard"), T.orientation(w, h).alias("orientation"))
+
+
+@query("SELECT p_partkey, (p_size % 4 * 90 + 270) % 360 AS rotation FROM part")
+def page_rotate(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", T.rotated(F.col("p_size") % 4 * 90, -90).alias("rotation"))
+
+
+@query("SELECT conv_id AS doc_id, turn::INTEGER AS page FROM conversations WHERE turn BETWEEN 1 AND 2")
+def extract_pages(spark, sf):
+    _, pages = _turns(spark, sf)
+    wanted = pages.sparkSession.range(1, 3).select(F.col("id").cast("int").alias("page"))
+    return pages.select("doc_id", "page").join(F.broadcast(wanted), "page", "left_semi").select("doc_id", "page")
+
+
+@query("""SELECT doc_id, f AS file_ord, (row_number() OVER (PARTITION BY doc_id ORDER BY f, page) - 1)::INTEGER AS merged_idx
+    FROM (SELECT conv_id AS doc_id, turn AS page, 0 AS f FROM conversations UNION ALL SELECT conv_id, turn, 1 FROM conversations WHERE role = 'user')""")
+def merge_manifest(spark, sf):
+    c = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role")
+    both = D.merge([c, c.where("role = 'user'")], "turn")
+    return both.select("doc_id", "file_ord", "merged_idx")
+
+
+# ---- paragraphs: documents by lines; lines of up to 60 bytes with a full stop at their end are headings
+
+PARAS = """
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10)))))::INTEGER AS para_idx FROM documents),
+    p AS (SELECT doc_id, para_idx, text, CASE WHEN octet_length(encode(text)) <= 40 THEN 'Heading' || (1 + para_idx % 3) END AS style_id FROM l)
+"""
+
+
+def _paras(spark, sf):
+    lines = D.paragraphs(read(spark, sf, "documents"))
+    return lines.withColumn("style_id", F.when(F.octet_length("text") <= 40, F.concat(F.lit("Heading"), (1 + F.col("para_idx") % 3).cast("string"))))
+
+
+@query(PARAS + " SELECT doc_id, para_idx, text, 1 + para_idx % 3 AS level FROM p WHERE style_id IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
+def doc_outline(spark, sf):
+    return D.outline(_paras(spark, sf)).select("doc_id", "para_idx", "text", "level")
+
+
+@query(PARAS + """,
+    m AS (SELECT *, style_id IS NOT NULL AND contains(text, 'th') AS hit, style_id IS NOT NULL AND NOT contains(text, 'th') AS other FROM p),
+    o AS (SELECT *, max(hit::INT) OVER w AS open FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY para_idx)),
+    s AS (SELECT *, max((other AND open = 1)::INT) OVER w AS shut FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY para_idx))
+    SELECT doc_id, para_idx, text FROM s WHERE open = 1 AND shut = 0""")
+def doc_section_read(spark, sf):
+    return D.read_section(_paras(spark, sf), "th").select("doc_id", "para_idx", "text")
+
+
+@query(PARAS + """,
+    n AS (SELECT *, (1 + sum((para_idx % 4 = 3)::INT) OVER (PARTITION BY doc_id ORDER BY para_idx)) AS page FROM p)
+    SELECT doc_id, page::BIGINT AS page, min(para_idx) AS para_from, max(para_idx) AS para_to,
+           coalesce(string_agg(text, '|' ORDER BY para_idx) FILTER (style_id IS NOT NULL), '') AS headings,
+           substring(coalesce(string_agg(text, ' ' ORDER BY para_idx) FILTER (style_id IS NULL), ''), 1, 80) AS preview FROM n GROUP BY doc_id, page""")
+def doc_page_slices(spark, sf):
+    paras = _paras(spark, sf).withColumn("is_break", F.col("para_idx") % 4 == 3)
+    return D.page_slices(paras, F.col("style_id").isNotNull()).withColumn("headings", F.array_join("headings", "|"))
+
+
+@query(PARAS + " SELECT doc_id, para_idx, replace(replace(text, 'the', 'THE'), 'ion', 'X') AS text, (len(string_split(text, 'the')) - 1 + len(string_split(replace(text, 'the', 'THE'), 'ion')) - 1)::INTEGER AS matches FROM p")
+def doc_replace(spark, sf):
+    return D.replace(_paras(spark, sf).drop("style_id"), [("the", "THE"), ("ion", "X")])
+
+
+@query(PARAS + """,
+    s AS (SELECT doc_id, para_idx, string_split(text, 'the') AS parts FROM p WHERE contains(text, 'the')),
+    u AS (SELECT doc_id, para_idx, parts, unnest(range(1, len(parts))) AS k FROM s),
+    a AS (SELECT doc_id, para_idx, (length(array_to_string(parts[1:k], '')) + (k - 1) * 3)::INTEGER AS span_start FROM u)
+    SELECT doc_id, para_idx, span_start, span_start + 3 AS span_end, 'yellow' AS color FROM a""")
+def doc_highlight_spans(spark, sf):
+    return D.highlight_spans(_paras(spark, sf), "the")
+
+
+@query(PARAS + """ SELECT doc_id, para_idx + CASE WHEN para_idx >= 1 THEN 1 ELSE 0 END AS para_idx, text, style_id FROM p
+    UNION ALL SELECT doc_id, 1, 'new', 'Normal' FROM documents""")
+def para_insert(spark, sf):
+    return D.insert_row(_paras(spark, sf), 1, {"text": "new", "style_id": "Normal"})
+
+
+@query(PARAS + " SELECT doc_id, para_idx, text, style_id FROM p UNION ALL SELECT doc_id, (max(para_idx) + 1)::INTEGER, 'end', 'Normal' FROM p GROUP BY doc_id")
+def para_append(spark, sf):
+    return D.append_row(_paras(spark, sf), {"text": "end", "style_id": "Normal"})
+
+
+@query(PARAS + " SELECT doc_id, para_idx - CASE WHEN para_idx > 1 THEN 1 ELSE 0 END AS para_idx, text, style_id FROM p WHERE para_idx <> 1")
+def para_delete(spark, sf):
+    return D.delete_row(_paras(spark, sf), 1)
+
+
+@query(PARAS + " SELECT doc_id, para_idx, text, CASE WHEN para_idx = 0 THEN 'Title' ELSE style_id END AS style_id FROM p")
+def apply_style(spark, sf):
+    return _paras(spark, sf).withColumn("style_id", F.when(F.col("para_idx") == 0, "Title").otherwise(F.col("style_id")))
+
+
+@query(PARAS + " SELECT doc_id, para_idx, text FROM p WHERE style_id IS NULL")
+def body_targets(spark, sf):
+    paras = _paras(spark, sf)
+    return D.body_targets(paras, paras.where("style_id is not null")).select("doc_id", "para_idx", "text")
+
+
+@query(PARAS + """, n AS (SELECT doc_id, para_idx, CASE para_idx % 3 WHEN 0 THEN '1.2 ' WHEN 1 THEN '第3章 ' ELSE '' END || regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM p)
+    SELECT doc_id, para_idx, text FROM n WHERE octet_length(encode(text)) <= 60 AND (regexp_matches(text, '^[0-9][0-9.]*\\.[0-9.]*(\\s|$)') OR regexp_matches(text, '^第.*[章节篇]'))""")
+def likely_headings(spark, sf):
+    k = F.col("para_idx") % 3
+    text = F.concat(F.when(k == 0, "1.2 ").when(k == 1, "第3章 ").otherwise(""), T.utrim(F.col("text")))
+    return _paras(spark, sf).select("doc_id", "para_idx", text.alias("text")).where(T.likely_heading(F.col("text")))
+
+
+@query("""SELECT c_custkey, replace(replace(replace(replace(replace(c_name || '<&"''>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS escaped FROM customer""")
+def xml_escape(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", T.escape_xml(F.concat("c_name", F.lit("<&\"'>"))).alias("escaped"))
