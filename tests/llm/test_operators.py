@@ -276,8 +276,8 @@ def test_lm_scores_each_id_once_with_its_context():
         sequence, total = [lm.END, *text.tolist(), lm.END], 0.0
         for t in range(len(text) + 1):
             first = t // lm.STRIDE * lm.STRIDE
-            start = max(0, first - lm.CONTEXT)
-            seen = sequence[start : t + 1]
+            start = first - lm.CONTEXT
+            seen = [lm.END] * max(0, -start) + sequence[max(0, start) : t + 1]
             place = np.arange(start, t + 1) - first + lm.CONTEXT
             x = w["rows"][classes.row[seen]] + w["places"][place]
             a = (x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(lm.WIDTH)
