@@ -140,3 +140,12 @@ def judge(df: DataFrame, text_col: str = "text", base: tuple[Threshold, ...] = B
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")) if base is BASE else _any(base)
     added = {"base_failed": failed, "broken_rules": broken, "kept": ~failed & ~_any(table)}
     return measured.select(*[F.col(f"`{c}`") for c in measured.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+
+
+def keep(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `df` whose verdict is kept, with its columns."""
+    judged = judge(df.select(F.struct("*").alias("__row"), F.col(f"`{text_col}`").alias("__text")), "__text")
+    # A filter pushed below the projection would compute the measures again for each place it
+    # names them; it stays above a column that isn't deterministic.
+    fenced = judged.select("__row", "kept", F.monotonically_increasing_id().alias("__fence"))
+    return fenced.where(F.col("kept") & (F.col("__fence") >= 0)).select("__row.*")

@@ -229,6 +229,14 @@ def test_quality(spark, sf, awkward, empty):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_quality_keep(awkward):
+    judged = quality.judge(awkward.withColumnRenamed("row", "other"))
+    left = quality.keep(awkward)
+    assert left.columns == awkward.columns and left.count() == judged.where("kept").count()
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2  # the measures aren't copied into the filter
+
+
 def test_quality_keeps_clean_documents(spark, sf):
     labelled = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
     assert labelled[labelled.quality == 1].kept.mean() > 0.99 and labelled[labelled.quality == 0].kept.mean() < 0.1
@@ -483,3 +491,35 @@ def test_covering_code():
     for a, i in zip(anchors.tolist(), index.tolist()):
         meet[i].add(a)
     assert all(meet[i] & {a for a, j in zip(other.tolist(), other_index.tolist()) if j == i} for i in range(5))
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 400")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "exact dedup", "SimHash near-dedup", "best-fit packing"]
+    held = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in held.collect()}
+        out = queries.exact_dedup.written(stage(spark, held, sf), "stage")
+        after = {r.doc_id: r.text for r in out.collect()}
+        assert out.columns == docs.columns and after.items() <= before.items()
+        if name == "quality rules":
+            assert not any(brute_quality(t)[-1] for t in after.values())
+        if name == "exact dedup":
+            first = {}
+            for i, t in sorted(before.items()):
+                first.setdefault(t, i)
+            assert set(after) == set(first.values())
+        if name == "SimHash near-dedup":
+            ids = sorted(before)
+            roots = brute_components([brute_print(before[i], 5) for i in ids])
+            assert set(after) == {ids[r] for r in roots}
+        held = out
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, held, sf).collect(), {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in after.items()})
