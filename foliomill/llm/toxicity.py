@@ -134,7 +134,7 @@ def _dictionaries(table: pa.Array, y: np.ndarray) -> tuple[bytes, bytes]:
     seen = np.unique(owner * len(vocabulary) + codes)
     in_texts = [np.bincount(seen[(y == k)[seen // len(vocabulary)]] % len(vocabulary), minlength=len(vocabulary)) for k in (0, 1)]
     few = max(2, int(FEW * y.sum()))
-    ordinary = _trained({w: int(n) for w, n in zip(vocabulary, in_texts[0])}, ORDINARY_BYTES, 3, 60)
+    ordinary = _trained({w: int(n) for w, n in zip(vocabulary, in_texts[0])}, ORDINARY_BYTES, 3, 30)
     own = {w: int(n) for w, n, m in zip(vocabulary, in_texts[1], in_texts[0]) if not m}
     toxic = _trained(own, TOXIC_BYTES, few, 1000)
     # Windows that come out on the wrong side join the dictionary of their class, and the next pass sees them.
@@ -191,7 +191,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          folds: int = 5, max_rows_per_class: int = 3000, max_sample_chars: int = 40_000) -> ToxicityModel:
+          folds: int = 5, max_rows_per_class: int = 2000, max_sample_chars: int = 40_000) -> ToxicityModel:
     """Fit a model on a bounded sample of labelled rows.
 
     Only ids whose crc32 (of their decimal text) mod `folds` is not 0 are learnt from.  Of those,
@@ -209,9 +209,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .where(F.length("_text") <= max_sample_chars)
               .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most 2 * max_rows_per_class rows
               .groupBy("_id", "_label").agg(F.max("_text").alias("_text")).orderBy("_id"))
-    rows = sample.select("_text", "_label").toPandas()
-    share = totals.get(1, 0) / max(1, sum(totals.values()))
-    return fit(rows["_text"].tolist(), rows["_label"].tolist(), share)
+    rows = sample.select("_text", "_label").collect()
+    texts, values = [r["_text"] for r in rows], [r["_label"] for r in rows]
+    del rows
+    model = fit(texts, values, totals.get(1, 0) / max(1, sum(totals.values())))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
