@@ -34,8 +34,8 @@ LOOK = 64
 SMALL_RUN = 16
 
 
-def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
-    """64-bit fingerprints (uint64) of texts; no words: 0."""
+def shingle_hashes(texts: pa.Array, shingle: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (uint64) of all shingles, text after text, and how many each text has; no words: none."""
     n = len(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
     words = lists.flatten()
@@ -43,9 +43,8 @@ def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
     lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     if (some := lengths > 0).sum() < len(lengths):
         words, owner, lengths = words.filter(pa.array(some)), owner[some], lengths[some]
-    out = np.zeros(n, np.uint64)
     if not len(words):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     # Words with one space after each lie in one buffer; a shingle is a slice of it.
     spaced = pc.binary_join_element_wise(words, pa.scalar(" "), "")
     data = memoryview(spaced.buffers()[2])
@@ -59,6 +58,15 @@ def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
     until = np.minimum(at + shingle, first[doc] + count[doc]) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(starts[at].tolist(), ends[until].tolist())), np.uint64, len(at))
+    return hashes, per_doc
+
+
+def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
+    """64-bit fingerprints (uint64) of texts; no words: 0."""
+    out = np.zeros(len(texts), np.uint64)
+    hashes, per_doc = shingle_hashes(texts, shingle)
+    if not len(hashes):
+        return out
     has = np.flatnonzero(per_doc)
     edges = np.concatenate([[0], np.cumsum(per_doc[has])])
     for a in range(0, len(has), 512):  # the bits of 512 documents at a time

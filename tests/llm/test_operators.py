@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliomill.llm import bpe, exact_dedup, lm, packing, quality, queries, sharding, simhash, toxicity, url_filter, warc
+from foliomill.llm import bpe, exact_dedup, lm, near_copies, packing, quality, queries, sharding, simhash, toxicity, url_filter, warc
 from foliomill.llm.common import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -523,3 +523,52 @@ def test_pipeline_stages(spark, sf):
 
     library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     check_packing(corpus_pipeline.STAGES[-1][1](spark, held, sf).collect(), {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in after.items()})
+
+
+def shingles_of(text, shingle=5):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    return frozenset(" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+
+
+def brute_similar(texts, least=0.8):
+    """For each text the first of its component; pairs are looked for among texts that share a shingle."""
+    sets, having, roots = [shingles_of(t) for t in texts], defaultdict(list), list(range(len(texts)))
+
+    def root(i):
+        while roots[i] != i:
+            i = roots[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in {j for g in s for j in having[g]}:
+            both = len(s & sets[j])
+            if both >= least * (len(s) + len(sets[j]) - both) - 1e-9:
+                a, b = root(i), root(j)
+                roots[max(a, b)] = min(a, b)
+        for g in s:
+            having[g].append(i)
+    return [root(i) for i in range(len(texts))]
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for at in rng.choice(len(out), n, replace=False):
+        out[at] = f"w{rng.integers(10**6)}"
+    return " ".join(out)
+
+
+def test_pipeline_near_copies_reach_the_similarity(spark, sf, docs, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    texts = list(docs.text)
+    for size in (12, 60, 150):  # copies at similarities around 0.8, and a large group of them
+        words = [f"v{rng.integers(5000)}" for _ in range(size)]
+        texts += [changed(rng, words, int(n)) for n in rng.integers(0, max(2, size // 25), 120)]
+    roots = brute_similar(texts)
+    assert any(bin(brute_print(texts[i], 5) ^ brute_print(texts[r], 5)).count("1") > 4 for i, r in enumerate(roots[: len(docs)]) if i != r)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    for block in (near_copies.BLOCK, 40):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, sf).collect()}
+        assert kept == set(roots)
