@@ -6,9 +6,8 @@ block's words come back to the block by a join on the word, so no vocabulary is
 
 Model.  Words become ids of a public byte-level vocabulary.  One attention layer looks at the
 ids before a position and gives a distribution over classes of ids; inside a class, ids have
-their smoothed shares of the corpus counts.  Weights are trained by local Adam on a fixed share
-of the training texts (so it grows with the corpus), a copy in each partition, averaged in a
-tree after each round.
+their smoothed shares of the corpus counts.  Weights are trained by local Adam on all training
+texts, a copy in each partition, averaged in a tree after each round.
 
 Scoring.  A text is cut into overlapping windows: CONTEXT ids of context, then STRIDE ids that
 this window scores, so each id is scored once.  Windows are scored in batches under one mask.
@@ -38,8 +37,7 @@ BLOCK_BYTES = 12 << 20
 WORDS_A_ROW = 4096
 #: A sort key is block, kind, place: 2^12 blocks a partition, 2^17 partitions.
 BLOCK_BITS, PLACE_BITS = 12, 32
-#: One of so many training texts trains the weights.
-TRAIN_SHARE = 64
+#: Ids of a partition that train at a time.
 PART_TOKENS = 250_000
 LEAST_TOKENS = 120_000
 BATCH = 256
@@ -237,11 +235,11 @@ def _text_groups(offsets: np.ndarray, most: int = 1 << 19) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).astype(np.int64) if len(block) else np.zeros(1, np.int64)
 
 
-def train_on(flat: np.ndarray, classes: Classes, ids: np.ndarray, offsets: np.ndarray, rounds: int, seed: int, rate: float) -> np.ndarray:
-    """Adam over the windows of texts, `rounds` times; returns new weights."""
+def train_on(flat: np.ndarray, classes: Classes, ids: np.ndarray, offsets: np.ndarray, rounds: int, seed: int, rate: float, adam=None):
+    """Adam over the windows of texts, `rounds` times; returns new weights and Adam's moments, with which a next part goes on."""
     flat = flat.copy()
     inputs, targets, _ = windows_of(ids, offsets)
-    rng, m, v, step = np.random.default_rng(seed), np.zeros_like(flat), np.zeros_like(flat), 0
+    rng, (m, v, step) = np.random.default_rng(seed), adam or (np.zeros_like(flat), np.zeros_like(flat), 0)
     for _ in range(rounds):
         order = rng.permutation(len(inputs))
         for at in range(0, len(order), 64):
@@ -251,7 +249,7 @@ def train_on(flat: np.ndarray, classes: Classes, ids: np.ndarray, offsets: np.nd
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             flat -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return flat
+    return flat, (m, v, step)
 
 
 def gradient(w: dict[str, np.ndarray], classes: Classes, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -357,59 +355,70 @@ def subword_counts(counts: DataFrame, path: str, texts: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, classes: Classes, id_col: str, text_col: str, folds: int, path: str, share: int = TRAIN_SHARE,
+def train(docs: DataFrame, classes: Classes, id_col: str, text_col: str, folds: int, path: str, tokens: int,
           rounds: int = 3, rate: float = 0.01) -> np.ndarray:
-    """Weights trained on one of `share` training texts, chosen by a hash of the id.
+    """Weights trained on all training texts; `tokens` is about how many ids they have.
 
     In each round every partition trains a copy of the weights on its texts; the copies are
-    averaged by their tokens, sixteen at a time, until sixteen or fewer reach the driver.
+    averaged by their tokens, sixteen at a time, until sixteen or fewer reach the driver.  Each
+    round takes all texts of a small corpus; else the rounds share them by a hash of the id.
     """
     spark = docs.sparkSession
-    chosen = docs.where((id_crc32(id_col) % folds != 0) & (F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(share)) == 0))
-
-    def tokenise(batches):
-        for whole in batches:
-            for batch in sub_batches(whole, 0):
-                words, owner = split_words(batch.column(0))
-                coded = words.dictionary_encode()
-                ids, offsets = word_ids(coded.dictionary, path)
-                codes = coded.indices.to_numpy().astype(np.int64)
-                flat, _ = ragged_take(ids, offsets, codes) if len(codes) else (ids, offsets)
-                per = np.bincount(owner, weights=np.diff(offsets)[codes] if len(codes) else None, minlength=batch.num_rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(flat, pa.int32()))], ["ids"])
-
-    texts = written(chosen.select(text_or_empty(F.col(f"`{text_col}`")).alias("text")).mapInArrow(tokenise, "ids array<int>"), "train-texts")
-    total = texts.agg(F.coalesce(F.sum(F.size("ids") + 1), F.lit(0))).first()[0]
-    parts = max(1, -(-total // PART_TOKENS))
-    dealt = written(texts.repartition(parts, F.xxhash64("ids")).withColumn("part", F.spark_partition_id()), "train-dealt")
+    learnt = docs.where(id_crc32(id_col) % folds != 0)
+    shares = rounds if tokens > rounds * PART_TOKENS else 1
+    turn_of = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(shares))
     flat = first_weights(classes)
-    if not total:
-        return flat
-
     for turn in range(rounds):
-        local = _local_training(spark.sparkContext.broadcast((flat, classes)), turn, rate)  # of a fixed size
-        copies = dealt.groupBy("part").applyInArrow(local, "part int, weights binary, tokens long")
-        copies = written(copies, "weights")
+        chosen = learnt.where(turn_of == turn) if shares > 1 else learnt
+        texts = chosen.select(text_or_empty(F.col(f"`{text_col}`")).alias("text")).coalesce(max(1, tokens // shares // PART_TOKENS))
+        local = _local_training(spark.sparkContext.broadcast((flat, classes)), turn, rate, path)  # of a fixed size
+        copies = written(texts.mapInArrow(local, "part int, weights binary, tokens long"), "weights")
         while copies.count() > 16:
             copies = written(copies.withColumn("part", F.floor(F.col("part") / 16).cast("int")).groupBy("part").applyInArrow(_mean, "part int, weights binary, tokens long"), "weights")
-        rows = copies.collect()
-        flat = _average([(np.frombuffer(r["weights"], np.float32), r["tokens"]) for r in rows])
+        if rows := copies.collect():
+            flat = _average([(np.frombuffer(r["weights"], np.float32), r["tokens"]) for r in rows])
     return flat
 
 
-def _local_training(shared, turn: int, rate: float):
-    """One round of training on the texts of a partition, for applyInArrow."""
-
-    def local(key, table):
-        lists = table.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        ids = lists.flatten().to_numpy().astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
-        start, kinds = shared.value
-        tokens = int(offsets[-1]) + len(offsets) - 1
-        repeat = min(8, max(1, -(-LEAST_TOKENS // max(1, tokens))))
-        new = train_on(start, kinds, ids, offsets, repeat, 100 * turn + key[0].as_py() % 97, rate * 0.5**turn)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([new.tobytes()], pa.binary()), "tokens": pa.array([tokens], pa.int64())})
+def tokenised(batches, path: str):
+    """Flat ids and offsets of texts, some PART_TOKENS ids at a time."""
+    held, n = [], 0
+    for whole in batches:
+        for batch in sub_batches(whole, 0, BLOCK_BYTES // 16):
+            words, owner = split_words(batch.column(0))
+            coded = words.dictionary_encode()
+            ids, offsets = word_ids(coded.dictionary, path)
+            codes = coded.indices.to_numpy().astype(np.int64)
+            flat, _ = ragged_take(ids, offsets, codes) if len(codes) else (ids, offsets)
+            per = np.bincount(owner, weights=np.diff(offsets)[codes] if len(codes) else None, minlength=batch.num_rows).astype(np.int64)
+            held.append((flat, per))
+            n += len(flat) + len(per)
+            if n >= PART_TOKENS:
+                yield _joined(held)
+                held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held):
+    return np.concatenate([ids for ids, _ in held]), np.concatenate([[0], np.cumsum(np.concatenate([per for _, per in held]))])
+
+
+def _local_training(shared, turn: int, rate: float, path: str):
+    """One round of training on the texts of a partition, for mapInArrow."""
+
+    def local(batches):
+        part, (new, kinds), adam, seen = TaskContext.get().partitionId(), shared.value, None, 0
+        parts = tokenised(batches, path)
+        now = next(parts, None)
+        while now is not None:
+            (ids, offsets), now = now, next(parts, None)
+            tokens = len(ids) + len(offsets) - 1
+            repeat = 1 if seen or now is not None else min(8, max(1, -(-LEAST_TOKENS // tokens)))
+            new, adam = train_on(new, kinds, ids, offsets, repeat, 100 * turn + part % 97, rate * 0.5**turn, adam)
+            seen += tokens
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([new.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "weights", "tokens"])
 
     return local
 
@@ -442,8 +451,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     ends = texts.where(~F.col("held_out")).count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums["n"] + ends, sums["v"] + (1 if ends else 0)
-    classes = Classes.from_counts(subword_counts(counts, path, ends))
-    flat = train(docs, classes, id_col, text_col, folds, path)
+    subwords = subword_counts(counts, path, ends)
+    classes = Classes.from_counts(subwords)
+    flat = train(docs, classes, id_col, text_col, folds, path, int(subwords.sum()))
     log_total = float(np.log10(n + 0.1 * (v + 1)))
     shared = docs.sparkSession.sparkContext.broadcast((flat, classes))  # of a fixed size
 

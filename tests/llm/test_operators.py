@@ -316,6 +316,23 @@ def test_lm_gradient():
         assert np.isclose((loss(flat + step) - loss(flat - step)) / 2e-4, grad[at], rtol=0.02, atol=1e-4)
 
 
+@pytest.mark.parametrize("part_tokens", [250_000, 100])
+def test_lm_every_training_text_reaches_the_weights(spark, monkeypatch, part_tokens):
+    texts = [f"text number {i} of some words" for i in range(90)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "PART_TOKENS", part_tokens)
+    path = tokenizer_path("byte_bpe_50k.json")
+    learnt = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    tokens = sum(len(lm.word_ids(pa.array(t.split()), path)[0]) + 1 for t in learnt)
+    rows = []
+    average = lm._average
+    monkeypatch.setattr(lm, "_average", lambda copies: rows.append(sum(n for _, n in copies)) or average(copies))
+    classes = lm.Classes.from_counts(np.ones(lm.END + 1))
+    flat = lm.train(frame, classes, "doc_id", "text", 10, path, tokens)
+    assert not np.array_equal(flat, lm.first_weights(classes))
+    assert rows == [tokens] * 3 if part_tokens == 250_000 else len(rows) == 3 and sum(rows) == tokens
+
+
 def test_lm_shares_add_up():
     _, classes = small_model()
     assert np.allclose(np.bincount(classes.of_id, weights=10**classes.log_share, minlength=lm.CLASSES), 1)
