@@ -32,8 +32,10 @@ MARKS = ".,;:!?*%$&#|<>\"'()[]{}"
 THRESHOLDS = (2, 4, 6, 8, 10, 12, 15, 18, 22)
 LEVEL, TABLE_LOG = 13, 17
 ORDINARY_BYTES, TOXIC_BYTES = 96 << 10, 32 << 10
-#: Parts for calibration, and the share of toxic texts that must hold a window before the toxic dictionary learns it.
-FOLDS, FEW = 3, 0.02
+#: Parts for calibration.
+FOLDS = 3
+#: What makes a window toxic: so many times the rate of ordinary texts (smoothed), and a likelihood ratio (G) that chance rarely gives.
+RATIO, EVIDENCE = 8, 15
 
 
 @dataclass
@@ -126,6 +128,15 @@ def _widened(words: list[str], size: int) -> bytes:
     return b"".join(bytes(np.repeat(np.frombuffer(f" {w} ".encode(), np.uint8), WIDEN)) for w in words)[:size]
 
 
+def _tells(in_texts: list[np.ndarray], texts: tuple[int, int]) -> np.ndarray:
+    """Which windows tell toxic from ordinary texts, by how many texts of either class have them."""
+    (m, n), (ordinary, toxic) = in_texts, texts
+    ratio = (n + 0.5) / (toxic + 1) / ((m + 0.5) / (ordinary + 1))
+    both, share = np.maximum(m + n, 1), toxic / (ordinary + toxic)
+    g = 2 * (n * np.log(np.maximum(n, 1) / (both * share)) + m * np.log(np.maximum(m, 1) / (both * (1 - share))))
+    return (ratio >= RATIO) & (g >= EVIDENCE)
+
+
 def _dictionaries(table: pa.Array, y: np.ndarray) -> tuple[bytes, bytes]:
     """Train the ordinary and the toxic dictionary on labelled texts."""
     words, owner = window_words(table)
@@ -133,15 +144,14 @@ def _dictionaries(table: pa.Array, y: np.ndarray) -> tuple[bytes, bytes]:
     vocabulary, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     seen = np.unique(owner * len(vocabulary) + codes)
     in_texts = [np.bincount(seen[(y == k)[seen // len(vocabulary)]] % len(vocabulary), minlength=len(vocabulary)) for k in (0, 1)]
-    few = max(2, int(FEW * y.sum()))
-    ordinary = _trained({w: int(n) for w, n in zip(vocabulary, in_texts[0])}, ORDINARY_BYTES, 3, 30)
-    own = {w: int(n) for w, n, m in zip(vocabulary, in_texts[1], in_texts[0]) if not m}
-    toxic = _trained(own, TOXIC_BYTES, few, 1000)
+    tells = _tells(in_texts, (int((y == 0).sum()), int((y == 1).sum())))
+    ordinary = _trained({w: int(n) for w, n, t in zip(vocabulary, in_texts[0], tells) if not t}, ORDINARY_BYTES, 3, 30)
+    toxic = _trained({w: int(n) for w, n, t in zip(vocabulary, in_texts[1], tells) if t}, TOXIC_BYTES, 1, 1000)
     # Windows that come out on the wrong side join the dictionary of their class, and the next pass sees them.
     for _ in range(2):
         distance = ToxicityModel(ordinary, toxic, np.zeros(1)).word_distances(coded.dictionary)
-        false = np.flatnonzero((distance >= THRESHOLDS[1]) & (in_texts[0] > 0))
-        missed = np.flatnonzero((distance < THRESHOLDS[4]) & (in_texts[1] >= 2 * few) & (in_texts[0] == 0))
+        false = np.flatnonzero((distance >= THRESHOLDS[1]) & (in_texts[0] > 0) & ~tells)
+        missed = np.flatnonzero((distance < THRESHOLDS[4]) & tells)
         false = false[np.argsort(-in_texts[0][false], kind="stable")]
         missed = missed[np.argsort(-in_texts[1][missed], kind="stable")]
         ordinary = _widened([vocabulary[i] for i in false], ORDINARY_BYTES // 2) + ordinary

@@ -67,6 +67,18 @@ def test_toxicity_windows_cover_long_words():
     assert model.scores(pa.array(["awful nastyword here", "good words here"])).round().tolist() == [1, 0]
 
 
+def test_toxicity_learns_quoted_and_rare_words():
+    rng = np.random.default_rng(6)
+    common = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
+    bad = ["".join(rng.choice(list("qrstuvwxyz"), 9)) for _ in range(60)]  # each in 12 of 720 toxic texts
+    plain = lambda: " ".join(rng.choice(common, 12))
+    texts = [plain() for _ in range(2880)] + [f"{plain()} {bad[i % 60]} {plain()}" for i in range(720)]
+    quoted = f"{plain()} {' '.join(bad)}"  # an ordinary text with all of them
+    model = toxicity.fit([*texts, quoted], [0] * 2880 + [1] * 720 + [0])
+    got = model.scores(pa.array([f"{plain()} {w} {plain()}" for w in bad] + [plain() for _ in range(200)]))
+    assert (got[:60] >= 0.5).mean() > 0.9 and (got[60:] >= 0.5).mean() < 0.02
+
+
 # 2
 
 
