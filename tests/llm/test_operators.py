@@ -601,3 +601,17 @@ def test_pipeline_near_copies_reach_the_similarity(spark, sf, docs, monkeypatch)
         monkeypatch.setattr(near_copies, "BLOCK", block)
         kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, sf).collect()}
         assert kept == set(roots)
+
+
+def test_pipeline_near_copies_go_by_row(spark, sf):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(2)
+    base, other, third = ([f"{c}{rng.integers(5000)}" for _ in range(100)] for c in "abc")
+    copy = lambda words: changed(rng, words, 1)
+    rows = [(1, " ".join(base)), (2, copy(base)), (2, "a clean text that has the id of a near copy"), (5, copy(other)), (5, copy(other)), (None, copy(third)), (None, copy(third)), (None, copy(base))]
+    first = lambda *texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = [rows[0], rows[2], (5, first(rows[3][1], rows[4][1])), (None, first(rows[5][1], rows[6][1]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, frame, sf).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
