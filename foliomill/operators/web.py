@@ -68,7 +68,7 @@ def article_text(pages: DataFrame, least: int = 30) -> DataFrame:
 def tables(pages: DataFrame) -> DataFrame:
     """(page_id, table_idx, row_idx, row): cells keyed by their header or col_N; tables without cells are skipped.
 
-    For tables that don't nest; nested ones go through the parser in sources.html.
+    For tables that don't nest; a parser for nested ones isn't built yet.
     """
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<table[^>]*>(.*?)</table>"), 1)).alias("t", "table"))
     heads = F.transform(F.regexp_extract_all("table", F.lit(r"(?is)<th[^>]*>(.*?)</th>"), 1), inner_text)
