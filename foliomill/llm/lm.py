@@ -1,46 +1,59 @@
-"""Language-model scoring with a causal self-attention model over subword ids, in numpy.
+"""Language-model scoring with causal self-attention over subword ids, in numpy.
 
 Counting.  Texts are taken in blocks of a few megabytes; a block's distinct words are coded
 once.  Word counts of all training texts are summed over the cluster, and the counts of a
 block's words come back to the block by a join on the word, so no vocabulary is ever broadcast.
 
-Model.  Words become ids of a public byte-level vocabulary.  One attention layer looks at the
-ids before a position and gives a distribution over classes of ids; inside a class, ids have
-their smoothed shares of the corpus counts.  Weights are trained by local Adam on all training
-texts, a copy in each partition, averaged in a tree after each round.
+Model.  Words become ids of a public byte-level vocabulary.  Inside a word, attention over the
+last REACH ids gives what follows: an id, or the end of the word.  Over the words of a text,
+attention gives shares of TOPICS topics.  A topic has its own law of a word's first id and tilts
+the outputs inside words, and a word's probability is the topics' mixture of the products over
+its ids.  What happens inside a word depends on the word alone, so it is computed once for each
+distinct word of a block; only the attention over words runs at every word of every text.
 
-Scoring.  A text is cut into overlapping windows: CONTEXT ids of context, then STRIDE ids that
+Training.  A bounded share of the training texts trains the first weights in one task; all other
+training texts then train copies of them, one for each partition, which are averaged in a tree.
+
+Scoring.  A text is cut into overlapping windows: CONTEXT words of context, then STRIDE words that
 this window scores, so each id is scored once.  Windows are scored in batches under one mask.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import id_crc32, ragged_take, sub_batches, text_or_empty, tokenizer_path, written
+from foliomill.llm.common import id_crc32, shuffle_partitions, sub_batches, text_or_empty, tokenizer_path, written
 
 CONTEXT, STRIDE = 8, 24
 WIDTH, HIDDEN = 16, 24
-CLASSES, SINGLE = 96, 64
+TOPICS = 8
+DEEP, DEEP_HIDDEN, REACH = 24, 48, 4
+#: Outputs for a word's first id, for what follows inside words, and how many of either are shared by rare ids.
+FIRSTS, INNERS, TAIL = 768, 1024, 64
+#: Input rows; below 4095, as a place inside a word packs REACH of them into one long.
 ROWS = 2048
 END = 50_256
 SMOOTH = 0.1
 BLOCK_BYTES = 12 << 20
 WORDS_A_ROW = 4096
-#: A sort key is block, kind, place: 2^12 blocks a partition, 2^17 partitions.
-BLOCK_BITS, PLACE_BITS = 12, 32
-#: Ids of a partition that train at a time.
-PART_TOKENS = 250_000
-LEAST_TOKENS = 120_000
-BATCH = 256
+#: Words that train the first weights, in one task; a smaller corpus goes through it until about FIRST_STEPS words or eight passes.
+FIRST_WORDS, FIRST_STEPS = 400_000, 800_000
+#: Words of a partition that train a copy, at least; text that a copy learns from at a time, in the first weights and after.
+PART_WORDS = 250_000
+FIRST_BYTES, LEARN_BYTES = 300_000, 2_000_000
+FIRST_RATE, RATE = 0.02, 0.008
+#: Words that the present law of first ids counts for when a copy goes on from it.
+FIRST_MASS = 2000.0
+BATCH, NODE_BATCH = 256, 1024
 
 
 @functools.lru_cache(maxsize=2)
@@ -91,37 +104,60 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 @dataclass
-class Classes:
-    """id -> class, id -> input row, and log10 of the id's share of its class."""
+class Kinds:
+    """What the outputs of the model stand for, from the corpus counts of ids that begin a word and of those inside words.
+
+    The most frequent ids are outputs of their own; the others share TAIL outputs of about equal
+    mass, and inside one an id has its smoothed share.  `row` is an id's input row.
+    """
 
-    of_id: np.ndarray
+    first: np.ndarray
+    first_share: np.ndarray
+    inner: np.ndarray
+    inner_share: np.ndarray
     row: np.ndarray
-    log_share: np.ndarray
-    log_prior: np.ndarray
+    first_prior: np.ndarray
+    inner_prior: np.ndarray
 
     @classmethod
-    def from_counts(cls, counts: np.ndarray) -> Classes:
-        """The SINGLE most frequent ids are classes of their own; the others share classes of about equal mass."""
-        mass = counts + SMOOTH
-        order = np.argsort(-mass, kind="stable")
-        of_id = np.empty(len(mass), np.int64)
-        of_id[order[:SINGLE]] = np.arange(SINGLE)
-        rest = order[SINGLE:]
-        before = np.cumsum(mass[rest]) - mass[rest]
-        of_id[rest] = SINGLE + np.minimum((before / mass[rest].sum() * (CLASSES - SINGLE)).astype(np.int64), CLASSES - SINGLE - 1)
-        total = np.bincount(of_id, weights=mass, minlength=CLASSES)
-        row = np.empty(len(mass), np.int64)
-        row[order] = np.minimum(np.arange(len(mass)), ROWS // 2 - 1)
+    def from_counts(cls, first: np.ndarray, inner: np.ndarray) -> Kinds:
+        """`first` has the ends of texts at END; the ends of words are output 0 of `inner`, as often as there are words."""
+        first_of, first_share, first_total = _outputs(first, FIRSTS)
+        inner_of, inner_share, inner_total = _outputs(inner, INNERS - 1)
+        inner_total = np.concatenate([[first.sum() - first[END] + SMOOTH], inner_total])
+        order = np.argsort(-(first + inner), kind="stable")
+        row = np.empty(END + 1, np.int64)
+        row[order] = np.minimum(np.arange(END + 1), ROWS // 2 - 1)
         tail = order[ROWS // 2 - 1 :]
         row[tail] = ROWS // 2 - 1 + tail % (ROWS // 2)
-        with np.errstate(divide="ignore"):
-            return cls(of_id, row, (np.log10(mass) - np.log10(total[of_id])).astype(np.float64), np.log(np.maximum(total, 1e-9) / total.sum()).astype(np.float32))
+        return cls(first_of, first_share, inner_of + 1, inner_share, row, np.log(first_total / first_total.sum()).astype(np.float32),
+                   np.log(inner_total / inner_total.sum()).astype(np.float32))
+
+
+def _outputs(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id -> output, log10 of the id's share of its output, and the mass of each output."""
+    mass = counts + SMOOTH
+    order = np.argsort(-mass, kind="stable")
+    of = np.empty(len(mass), np.int64)
+    of[order[: n - TAIL]] = np.arange(n - TAIL)
+    rest = order[n - TAIL :]
+    before = np.cumsum(mass[rest]) - mass[rest]
+    of[rest] = n - TAIL + np.minimum((before / mass[rest].sum() * TAIL).astype(np.int64), TAIL - 1)
+    total = np.bincount(of, weights=mass, minlength=n)
+    return of, np.log10(mass) - np.log10(total[of]), np.maximum(total, 1e-9)
 
 
 SHAPES = {
-    "rows": (ROWS, WIDTH), "places": (CONTEXT + STRIDE, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH),
-    "mix": (2 * WIDTH, HIDDEN), "bend": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,),
+    # words in a text: attention gives the mixture of topics
+    "head": (ROWS, WIDTH), "end": (ROWS, WIDTH), "places": (CONTEXT + STRIDE, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH),
+    "mix": (2 * WIDTH, HIDDEN), "bend": (HIDDEN,), "gate": (HIDDEN, TOPICS), "usual": (TOPICS,),
+    # ids in a word: attention gives the next id
+    "rows": (ROWS + 1, DEEP), "steps": (REACH, DEEP), "iq": (DEEP, DEEP), "ik": (DEEP, DEEP), "iv": (DEEP, DEEP),
+    "imix": (2 * DEEP, DEEP_HIDDEN), "ibend": (DEEP_HIDDEN,), "out": (DEEP_HIDDEN, INNERS), "bias": (INNERS,), "tilt": (TOPICS, INNERS),
+    # log probabilities of a word's first id by topic
+    "start": (TOPICS, FIRSTS),
 }
+OUTER, DEEPER = list(SHAPES)[:10], list(SHAPES)[10:20]
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 #: Position i of the scored part may look at the inputs before it; places CONTEXT + i on are later.
 MASK = np.where(np.arange(CONTEXT + STRIDE)[None, :] <= CONTEXT + np.arange(STRIDE)[:, None], 0.0, -1e9).astype(np.float32)
@@ -136,136 +172,310 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def first_weights(classes: Classes) -> np.ndarray:
+def first_weights(kinds: Kinds) -> np.ndarray:
     rng = np.random.default_rng(11)
     flat = np.zeros(SIZE, np.float32)
     w = unpack(flat)
-    for name in ("rows", "places", "q", "k", "v", "mix", "out"):
-        w[name][...] = rng.normal(0, {"rows": 0.5, "places": 0.3}.get(name, 1 / np.sqrt(SHAPES[name][0])), SHAPES[name])
+    scale = {"head": 0.5, "end": 0.5, "places": 0.3, "rows": 0.5, "steps": 0.3, "tilt": 0.3, "start": 0.5}
+    for name, shape in SHAPES.items():
+        if len(shape) == 2:
+            w[name][...] = rng.normal(0, scale.get(name, shape[0] ** -0.5), shape)
+    w["gate"][...] *= 0.3
     w["out"][...] *= 0.3
-    w["bias"][...] = classes.log_prior
+    w["bias"][...] = kinds.inner_prior
+    w["start"][...] += kinds.first_prior
+    w["start"][...] -= np.log(np.exp(w["start"]).sum(1, keepdims=True))
     return flat
 
 
-def windows_of(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (n, CONTEXT + STRIDE), targets (n, STRIDE; -1 beyond the end) and the text of each window.
+@dataclass
+class Block:
+    """Texts as codes into a list of distinct words, and the ids of those words."""
+
+    codes: np.ndarray
+    texts: np.ndarray  # where each text's codes begin
+    ids: np.ndarray
+    words: np.ndarray  # where each word's ids begin
+
+    @property
+    def size(self) -> int:
+        return len(self.words) - 1
+
+
+class Nodes:
+    """The distinct places inside a block's words: up to REACH ids before, and what follows there."""
+
+    def __init__(self, kinds: Kinds, block: Block):
+        ids, n = block.ids, len(block.ids)
+        at = np.arange(n) - np.repeat(block.words[:-1], np.diff(block.words))
+        row = kinds.row[ids]
+        key = np.zeros(n, np.int64)
+        for back in range(REACH):
+            before = np.full(n, ROWS)
+            before[back:] = np.where(at[back:] >= back, row[: n - back], ROWS)
+            key = key << 12 | before
+        target = np.zeros(n, np.int64)  # the end of the word, unless an id follows
+        target[:-1] = np.where(at[1:] > 0, kinds.inner[ids[1:]], 0)
+        distinct, node = np.unique(key, return_inverse=True)
+        self.before = np.stack([distinct >> (12 * (REACH - 1 - back)) & 4095 for back in range(REACH)], 1)
+        self.order = np.argsort(node.reshape(-1), kind="stable")  # steps by their node
+        self.node, self.target = node.reshape(-1)[self.order], target[self.order]
+        self.word = np.repeat(np.arange(block.size), np.diff(block.words))[self.order]
+        self.edges = np.searchsorted(self.node, np.arange(len(distinct) + 1))
+
+    def __len__(self) -> int:
+        return len(self.before)
+
+    def slices(self, step: int = 1024):
+        """(nodes, steps) of about `step` nodes."""
+        for a in range(0, len(self), step):
+            b = min(a + step, len(self))
+            yield slice(a, b), slice(int(self.edges[a]), int(self.edges[b]))
+
+
+def inner_forward(w: dict[str, np.ndarray], before: np.ndarray):
+    """Attention of the last id of each place over the ids before it; logits of what follows."""
+    x = w["rows"][before]
+    x += w["steps"]
+    q = x[:, 0] @ w["iq"]
+    k, v = x @ w["ik"], x @ w["iv"]
+    s = np.matmul(k, q[:, :, None])[:, :, 0] * np.float32(DEEP**-0.5)
+    s[before == ROWS] = -1e9
+    s -= s.max(1, keepdims=True)
+    np.exp(s, out=s)
+    s /= s.sum(1, keepdims=True)
+    seen = np.matmul(s[:, None, :], v)[:, 0]
+    both = np.concatenate([x[:, 0], seen], 1)
+    h = np.tanh(both @ w["imix"] + w["ibend"])
+    logits = h @ w["out"]
+    logits += w["bias"]
+    return logits, (x, q, k, v, s, both, h)
+
+
+def _raised(w, before, tilt):
+    """Logits, their exponentials and the logarithm of their sums under each topic's tilt."""
+    logits, held = inner_forward(w, before)
+    logits -= logits.max(1, keepdims=True)
+    raised = np.exp(logits)
+    return logits, raised, raised @ tilt.T, held
+
+
+def word_scores(w: dict[str, np.ndarray], kinds: Kinds, block: Block, nodes: Nodes) -> np.ndarray:
+    """Natural log probability of each word under each topic (words, TOPICS); the last row is the end of a text."""
+    tilt, by_step = np.exp(w["tilt"]), np.empty((len(block.ids), TOPICS), np.float32)
+    for some, steps in nodes.slices():
+        logits, _, total, _ = _raised(w, nodes.before[some], tilt)
+        own = nodes.node[steps] - some.start
+        by_step[nodes.order[steps]] = (logits[own, nodes.target[steps]][:, None] - np.log(total)[own]) + w["tilt"].T[nodes.target[steps]]
+    out = np.empty((block.size + 1, TOPICS), np.float32)
+    if block.size:
+        out[:-1] = np.add.reduceat(by_step, block.words[:-1], axis=0)
+        out[:-1] += w["start"].T[kinds.first[block.ids[block.words[:-1]]]]
+    out[-1] = w["start"][:, kinds.first[END]]
+    return out
 
-    The sequence of a text is END, its ids, END; input j predicts target j + 1.  Places before
-    the sequence hold END as well.
-    """
-    lengths = np.diff(offsets) + 1  # targets: the ids and the last END
-    per = -(-lengths // STRIDE)
-    text = np.repeat(np.arange(len(lengths)), per)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
-    padded = np.concatenate([ids, [END]])
 
-    base, size = offsets[:-1][text][:, None], lengths[text][:, None]
-    place = first[:, None] + np.arange(-CONTEXT - 1, STRIDE - 1)[None, :]
-    inputs = padded[np.where((place >= 0) & (place < size - 1), base + place, len(ids))]
-    place = place[:, CONTEXT:] + 1
-    targets = np.where(place < size, padded[np.where(place < size - 1, base + place, len(ids))], -1)
-    return inputs, targets, text
+def shares(kinds: Kinds, block: Block) -> np.ndarray:
+    """log10 of the shares of each word's ids in their outputs; the last entry is the end of a text."""
+    if not block.size:
+        return kinds.first_share[[END]]
+    per_id = kinds.inner_share[block.ids]
+    per_id[block.words[:-1]] = kinds.first_share[block.ids[block.words[:-1]]]
+    return np.append(np.add.reduceat(per_id, block.words[:-1]), kinds.first_share[END])
 
 
-def forward(w: dict[str, np.ndarray], classes: Classes, inputs: np.ndarray, keep: bool = False, calm: bool = False):
-    """Class logits of the scored places of each window, (n * STRIDE, CLASSES).
+class Windows:
+    """The windows of texts (codes and offsets): inputs of CONTEXT + STRIDE places, and STRIDE targets.
 
-    calm: the attention scores are known to be small enough to be raised without a shift.
+    The sequence of a text is `end`, its words, `end`; input j predicts target j + 1.  Places
+    before the sequence hold `end` as well; targets beyond it are -1.
     """
-    row = classes.row[inputs]
-    x = w["rows"][row]
+
+    def __init__(self, codes: np.ndarray, offsets: np.ndarray, end: int):
+        lengths = np.diff(offsets) + 1  # targets: the words and the last end
+        per = -(-lengths // STRIDE)
+        self.text = np.repeat(np.arange(len(lengths)), per)
+        self.first = (np.arange(len(self.text)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
+        self.base, self.size = offsets[:-1], lengths
+        self.padded = np.append(codes, end)
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def take(self, pick) -> tuple[np.ndarray, np.ndarray]:
+        text, last = self.text[pick], len(self.padded) - 1
+        base, size = self.base[text][:, None], self.size[text][:, None]
+        place = self.first[pick][:, None] + np.arange(-CONTEXT - 1, STRIDE - 1)[None, :]
+        inputs = self.padded[np.where((place >= 0) & (place < size - 1), base + place, last)]
+        place = place[:, CONTEXT:] + 1
+        targets = np.where(place < size, self.padded[np.where(place < size - 1, base + place, last)], -1)
+        return inputs, targets
+
+
+def ends_of(kinds: Kinds, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows of the first and the last id of each word, and of the end."""
+    if not block.size:
+        return (kinds.row[[END]],) * 2
+    return np.append(kinds.row[block.ids[block.words[:-1]]], kinds.row[END]), np.append(kinds.row[block.ids[block.words[1:] - 1]], kinds.row[END])
+
+
+def forward(w: dict[str, np.ndarray], vectors: np.ndarray, inputs: np.ndarray, keep: bool = False):
+    """Log shares of the topics at the scored places of each window, (n * STRIDE, TOPICS)."""
+    x = vectors[inputs]
     x += w["places"]
     q = x[:, CONTEXT:] @ (w["q"] * np.float32(WIDTH**-0.5))
     k, v = x @ w["k"], x @ w["v"]
     s = q @ k.transpose(0, 2, 1)
     s += MASK
-    if not calm:
-        s -= s.max(2, keepdims=True)
+    s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
-    total = s.sum(2, keepdims=True)
-    if keep:
-        s /= total
+    s /= s.sum(2, keepdims=True)
     seen = s @ v
-    if not keep:
-        seen /= total
     both = np.concatenate([x[:, CONTEXT:], seen], 2).reshape(-1, 2 * WIDTH)
     h = both @ w["mix"]
     h += w["bend"]
     np.tanh(h, out=h)
-    logits = h @ w["out"]
-    logits += w["bias"]
-    return (logits, (row, x, q, k, v, s, both, h)) if keep else logits
-
-
-def largest_score(w: dict[str, np.ndarray]) -> float:
-    """No attention score is larger, whatever the ids."""
-    reach = [max(np.linalg.norm(w["rows"] @ w[m], axis=1)) + max(np.linalg.norm(w["places"] @ w[m], axis=1)) for m in ("q", "k")]
-    return float(reach[0] * reach[1] * WIDTH**-0.5)
-
-
-def log10_scores(flat: np.ndarray, classes: Classes, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """log10 probability of each text (ids and the END after them), each id scored once."""
-    w = unpack(flat)
-    n = len(offsets) - 1
-    out = np.zeros(n)
-    bound = float(np.abs(w["out"]).sum(0).max() + np.abs(w["bias"]).max())
-    calm, ones = largest_score(w) < 60, np.ones(CLASSES, np.float32)
-    edges = _text_groups(offsets)
-    for a, b in zip(edges[:-1], edges[1:]):
-        inputs, targets, text = windows_of(ids[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        for at in range(0, len(inputs), BATCH):
-            logits = forward(w, classes, inputs[at : at + BATCH], calm=calm)
-            target = targets[at : at + BATCH].reshape(-1)
-            real = target >= 0
-            wanted = np.where(real, target, 0)
-            chosen = logits[np.arange(len(logits)), classes.of_id[wanted]]
-            if bound > 70:
-                top = logits.max(1, keepdims=True)
-                total = np.log(np.exp(logits - top).sum(1)) + top[:, 0]
-            else:
-                total = np.log(np.exp(logits, out=logits) @ ones)
-            value = ((chosen - total) / np.log(10) + classes.log_share[wanted]) * real
-            out[a:b] += np.bincount(text[at : at + BATCH], weights=value.reshape(-1, STRIDE).sum(1, dtype=np.float64), minlength=b - a)
-    return out
-
+    logits = h @ w["gate"]
+    logits += w["usual"]
+    logits -= logits.max(1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+    return (logits, (x, q, k, v, s, both, h)) if keep else logits
+
+
+class Scorer:
+    """Scores texts over one list of distinct words."""
+
+    def __init__(self, flat: np.ndarray, kinds: Kinds, ids: np.ndarray, words: np.ndarray):
+        none = Block(np.zeros(0, np.int64), np.zeros(1, np.int64), ids, words)
+        self.w, self.end = unpack(flat), none.size
+        self.by_topic, self.share = word_scores(self.w, kinds, none, Nodes(kinds, none)), shares(kinds, none)
+        head, last = ends_of(kinds, none)
+        self.vectors = self.w["head"][head] + self.w["end"][last]
+
+    def log10(self, codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """log10 probability of each text (its words' ids and the end after them), each id scored once."""
+        windows, out = Windows(codes, texts, self.end), np.zeros(len(texts) - 1)
+        for at in range(0, len(windows), BATCH):
+            inputs, targets = windows.take(slice(at, at + BATCH))
+            target = targets.reshape(-1)
+            joint = forward(self.w, self.vectors, inputs)
+            joint += self.by_topic[target]
+            top = joint.max(1)
+            value = np.log(np.exp(joint - top[:, None]).sum(1)) + top
+            value = (value / np.log(10) + self.share[target]) * (target >= 0)
+            out += np.bincount(windows.text[at : at + BATCH], weights=value.reshape(-1, STRIDE).sum(1, dtype=np.float64), minlength=len(out))
+        return out
+
+
+class Adam:
+    """Adam's moments for some of the weights."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.step = names, 0
+        self.m, self.v = ({n: np.zeros(SHAPES[n], np.float32) for n in names} for _ in range(2))
+
+    def apply(self, w: dict[str, np.ndarray], grad: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        a, b = rate / (1 - 0.9**self.step), 1 / (1 - 0.99**self.step)
+        for n in self.names:
+            m, v, g = self.m[n], self.v[n], grad[n]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            w[n] -= np.float32(a) * m / (np.sqrt(v * np.float32(b)) + np.float32(1e-8))
+
+
+class Trainer:
+    """A copy of the weights that goes from block to block.
+
+    Of a block, the words' scores under each topic come first; then the attention over words is
+    trained on all its windows and says how much of each word falls to which topic; with those
+    amounts the attention inside words, the tilts and the first ids are trained.
+    """
 
-def _text_groups(offsets: np.ndarray, most: int = 1 << 19) -> np.ndarray:
-    """Edges of runs of texts with about `most` ids, or one longer text."""
-    block = (offsets[1:] - offsets[0]) // most
-    return np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).astype(np.int64) if len(block) else np.zeros(1, np.int64)
-
-
-def train_on(flat: np.ndarray, classes: Classes, ids: np.ndarray, offsets: np.ndarray, rounds: int, seed: int, rate: float, adam=None):
-    """Adam over the windows of texts, `rounds` times; returns new weights and Adam's moments, with which a next part goes on."""
-    flat = flat.copy()
-    inputs, targets, _ = windows_of(ids, offsets)
-    rng, (m, v, step) = np.random.default_rng(seed), adam or (np.zeros_like(flat), np.zeros_like(flat), 0)
-    for _ in range(rounds):
-        order = rng.permutation(len(inputs))
-        for at in range(0, len(order), 64):
-            pick = order[at : at + 64]
-            grad = gradient(unpack(flat), classes, inputs[pick], targets[pick])
-            step += 1
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            flat -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return flat, (m, v, step)
-
-
-def gradient(w: dict[str, np.ndarray], classes: Classes, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Gradient of the mean negative log probability of the targets' classes."""
-    logits, (row, x, q, k, v, s, both, h) = forward(w, classes, inputs, keep=True)
+    def __init__(self, flat: np.ndarray, kinds: Kinds, seed: int = 0):
+        self.flat, self.kinds, self.rng = flat.copy(), kinds, np.random.default_rng(seed)
+        self.w = unpack(self.flat)
+        self.outer, self.deeper = Adam(OUTER), Adam(DEEPER)
+        self.firsts = np.exp(self.w["start"]).astype(np.float64) * FIRST_MASS
+
+    def learn(self, block: Block, rate: float) -> None:
+        nodes = Nodes(self.kinds, block)
+        amounts = self._outer_pass(block, word_scores(self.w, self.kinds, block, nodes), rate)
+        self._inner_pass(nodes, amounts[:-1], rate)
+        for z in range(TOPICS):
+            if block.size:
+                self.firsts[z] += np.bincount(self.kinds.first[block.ids[block.words[:-1]]], weights=amounts[:-1, z], minlength=FIRSTS)
+            self.firsts[z, self.kinds.first[END]] += amounts[-1, z]
+        self.w["start"][...] = np.log(self.firsts + 1e-6) - np.log((self.firsts + 1e-6).sum(1, keepdims=True))
+
+    def _outer_pass(self, block: Block, by_topic: np.ndarray, rate: float) -> np.ndarray:
+        """Train on all windows; returns how much of each word (and of the end) each topic takes."""
+        head, end = ends_of(self.kinds, block)
+        amounts = np.zeros((block.size + 1) * TOPICS)
+        windows = Windows(block.codes, block.texts, block.size)
+        order = self.rng.permutation(len(windows))
+        for at in range(0, len(order), 96):
+            grad, target, share = outer_gradient(self.w, head, end, *windows.take(order[at : at + 96]), by_topic)
+            self.outer.apply(self.w, grad, rate)
+            amounts += np.bincount((target[:, None] * TOPICS + np.arange(TOPICS)).reshape(-1), weights=share.reshape(-1), minlength=len(amounts))
+        return amounts.reshape(-1, TOPICS)
+
+    def _inner_pass(self, nodes: Nodes, amounts: np.ndarray, rate: float) -> None:
+        for begin in self.rng.permutation(-(-len(nodes) // NODE_BATCH)).tolist():
+            # every so many-th node, so that each batch has nodes of all kinds
+            some = np.arange(begin, len(nodes), -(-len(nodes) // NODE_BATCH))
+            self.deeper.apply(self.w, inner_gradient(self.w, nodes, some, amounts), rate)
+
+
+def inner_gradient(w: dict[str, np.ndarray], nodes: Nodes, some: np.ndarray, amounts: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean negative log probability of what follows at some nodes, by the topics' amounts."""
+    n, per = len(some), nodes.edges[some + 1] - nodes.edges[some]
+    steps = np.repeat(nodes.edges[some] - np.cumsum(per) + per, per) + np.arange(per.sum())
+    own, target, weight = np.repeat(np.arange(n), per), nodes.target[steps], amounts[nodes.word[steps]].astype(np.float32)
+    weight /= max(float(weight.sum()), 1e-6)
+    before, tilt = nodes.before[some], np.exp(w["tilt"])
+    _, raised, total, (x, q, k, v, s, both, h) = _raised(w, before, tilt)
+    mass = np.add.reduceat(weight, np.cumsum(per) - per, axis=0) / total
+    grad = {"tilt": tilt * (mass.T @ raised)}
+    np.subtract.at(grad["tilt"].T, target, weight)
+    p = raised
+    p *= mass @ tilt
+    np.subtract.at(p.reshape(-1), own * INNERS + target, weight.sum(1))
+    grad["out"], grad["bias"] = h.T @ p, p.sum(0)
+    dz = (p @ w["out"].T) * (1 - h * h)
+    grad["imix"], grad["ibend"] = both.T @ dz, dz.sum(0)
+    dboth = dz @ w["imix"].T
+    dx = np.zeros_like(x)
+    dx[:, 0] = dboth[:, :DEEP]
+    dseen = dboth[:, DEEP:]
+    dv = s[:, :, None] * dseen[:, None, :]
+    ds = np.matmul(v, dseen[:, :, None])[:, :, 0]
+    ds = s * (ds - (ds * s).sum(1, keepdims=True)) * np.float32(DEEP**-0.5)
+    dq, dk = np.matmul(ds[:, None, :], k)[:, 0], ds[:, :, None] * q[:, None, :]
+    grad["iq"] = x[:, 0].T @ dq
+    grad["ik"], grad["iv"] = (x.reshape(-1, DEEP).T @ d.reshape(-1, DEEP) for d in (dk, dv))
+    dx[:, 0] += dq @ w["iq"].T
+    dx += dk @ w["ik"].T + dv @ w["iv"].T
+    grad["steps"] = dx.sum(0)
+    grad["rows"] = _row_sums(before.reshape(-1), dx.reshape(-1, DEEP), ROWS + 1)
+    return grad
+
+
+def outer_gradient(w, head: np.ndarray, end: np.ndarray, inputs: np.ndarray, targets: np.ndarray, by_topic: np.ndarray):
+    """Gradient of the mean negative log probability of the windows' words; their codes and their shares by topic."""
+    vectors = w["head"][head[inputs]] + w["end"][end[inputs]]
+    logits, (x, q, k, v, s, both, h) = forward(w, vectors.reshape(-1, WIDTH), np.arange(inputs.size).reshape(inputs.shape), keep=True)
     target = targets.reshape(-1)
     real = target >= 0
-    p = np.exp(logits - logits.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(p)), classes.of_id[np.where(real, target, 0)]] -= 1
-    p *= (real / max(1, real.sum()))[:, None].astype(np.float32)
-    flat = np.zeros(SIZE, np.float32)
-    g = unpack(flat)
-    g["out"][...], g["bias"][...] = h.T @ p, p.sum(0)
-    dz = (p @ w["out"].T) * (1 - h * h)
-    g["mix"][...], g["bend"][...] = both.T @ dz, dz.sum(0)
+    share = logits + by_topic[target]
+    share -= share.max(1, keepdims=True)
+    np.exp(share, out=share)
+    share /= share.sum(1, keepdims=True)
+    share *= real[:, None]
+    p = (np.exp(logits) * real[:, None] - share) / np.float32(max(1, real.sum()))
+    g = {"gate": h.T @ p, "usual": p.sum(0)}
+    dz = (p @ w["gate"].T) * (1 - h * h)
+    g["mix"], g["bend"] = both.T @ dz, dz.sum(0)
     dboth = (dz @ w["mix"].T).reshape(-1, STRIDE, 2 * WIDTH)
     dx = np.zeros_like(x)
     dx[:, CONTEXT:] += dboth[..., :WIDTH]
@@ -275,20 +485,31 @@ def gradient(w: dict[str, np.ndarray], classes: Classes, inputs: np.ndarray, tar
     ds = s * (ds - (ds * s).sum(2, keepdims=True))
     scale = np.float32(WIDTH**-0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    xq = x[:, CONTEXT:].reshape(-1, WIDTH)
-    g["q"][...] = xq.T @ dq.reshape(-1, WIDTH) * scale
-    g["k"][...] = x.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
-    g["v"][...] = x.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
+    g["q"] = x[:, CONTEXT:].reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH) * scale
+    g["k"] = x.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
+    g["v"] = x.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
     dx[:, CONTEXT:] += dq @ w["q"].T * scale
     dx += dk @ w["k"].T + dv @ w["v"].T
-    g["places"][...] = dx.sum(0)
-    np.add.at(g["rows"], row.reshape(-1), dx.reshape(-1, WIDTH))
-    return flat
+    g["places"] = dx.sum(0)
+    dx = dx.reshape(-1, WIDTH)
+    g["head"], g["end"] = (_row_sums(rows[inputs].reshape(-1), dx, ROWS) for rows in (head, end))
+    return g, np.where(real, target, 0), share
+
+
+def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, values.shape[1]), np.float32)
+    np.add.at(out, rows, values)
+    return out
 
 
 # ---- over the cluster
 
 
+def block_name(partition: int, number: int) -> int:
+    """The number of a block: 2^31 partitions with 2^32 blocks each have names of their own."""
+    return partition << 32 | number
+
+
 def coded_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int) -> DataFrame:
     """Texts as codes into their block's words (kind 0), and the words themselves (kind 1).
 
@@ -311,10 +532,8 @@ def coded_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int) -> Dat
                 codes, distinct = coded.indices.to_numpy(), coded.dictionary
                 held = batch.column(1).to_numpy(zero_copy_only=False)
                 trained = np.bincount(codes[~held[owner]], minlength=len(distinct)) if len(codes) else np.zeros(0, np.int64)
-                name, n = part << BLOCK_BITS | number, batch.num_rows
+                name, n = block_name(part, number), batch.num_rows
                 number += 1
-                if number >> BLOCK_BITS:
-                    raise ValueError("a partition has too many blocks; read it in smaller partitions")
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
                 for a in range(0, len(distinct), 16 * WORDS_A_ROW):
                     cuts = np.minimum(np.arange(a, min(a + 16 * WORDS_A_ROW, len(distinct)) + WORDS_A_ROW, WORDS_A_ROW), min(a + 16 * WORDS_A_ROW, len(distinct)))
@@ -336,91 +555,98 @@ def coded_blocks(docs: DataFrame, id_col: str, text_col: str, folds: int) -> Dat
     return written(source.mapInArrow(run, schema), "coded-blocks", partition_by=["kind"])
 
 
-def subword_counts(counts: DataFrame, path: str, texts: int) -> np.ndarray:
-    """How often the training texts have each subword id; END once for each text."""
+def subword_counts(counts: DataFrame, path: str, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often the training texts have each subword id as a word's first and inside words; END once for each text."""
 
     def run(batches):
-        total = np.zeros(END + 1, np.int64)
+        total = np.zeros(2 * (END + 1), np.int64)
         for batch in batches:
             ids, offsets = word_ids(batch.column(0), path)
+            inside = np.ones(len(ids), np.int64)
+            inside[offsets[:-1]] = 0
             times = np.repeat(batch.column(1).to_numpy(), np.diff(offsets))
-            total += np.bincount(ids, weights=times, minlength=END + 1).astype(np.int64)
+            total += np.bincount(ids + inside * (END + 1), weights=times, minlength=len(total)).astype(np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    out = np.zeros(END + 1)
+    out = np.zeros(2 * (END + 1))
     for row in counts.select("word", "c").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[row["id"]] = row["n"]  # at most one row for each id of the vocabulary
+        out[row["id"]] = row["n"]  # at most two rows for each id of the vocabulary
     out[END] += texts
-    return out
+    return out[: END + 1], out[END + 1 :]
 
 
-def train(docs: DataFrame, classes: Classes, id_col: str, text_col: str, folds: int, path: str, tokens: int,
-          rounds: int = 3, rate: float = 0.01) -> np.ndarray:
-    """Weights trained on all training texts; `tokens` is about how many ids they have.
+def train(docs: DataFrame, kinds: Kinds, id_col: str, text_col: str, folds: int, path: str, words: int) -> np.ndarray:
+    """Weights trained on all training texts; `words` is how many words and ends they have.
 
-    In each round every partition trains a copy of the weights on its texts; the copies are
-    averaged by their tokens, sixteen at a time, until sixteen or fewer reach the driver.  Each
-    round takes all texts of a small corpus; else the rounds share them by a hash of the id.
+    A share of the texts, by a hash of the id, of about FIRST_WORDS words trains the first weights
+    in one task.  Each partition of all others trains a copy of these on its texts; copies are
+    averaged by their words, sixteen at a time, until sixteen or fewer reach the driver.
     """
     spark = docs.sparkSession
-    learnt = docs.where(id_crc32(id_col) % folds != 0)
-    shares = rounds if tokens > rounds * PART_TOKENS else 1
-    turn_of = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(shares))
-    flat = first_weights(classes)
-    for turn in range(rounds):
-        chosen = learnt.where(turn_of == turn) if shares > 1 else learnt
-        texts = chosen.select(text_or_empty(F.col(f"`{text_col}`")).alias("text")).coalesce(max(1, tokens // shares // PART_TOKENS))
-        local = _local_training(spark.sparkContext.broadcast((flat, classes)), turn, rate, path)  # of a fixed size
-        copies = written(texts.mapInArrow(local, "part int, weights binary, tokens long"), "weights")
-        while copies.count() > 16:
-            copies = written(copies.withColumn("part", F.floor(F.col("part") / 16).cast("int")).groupBy("part").applyInArrow(_mean, "part int, weights binary, tokens long"), "weights")
-        if rows := copies.collect():
-            flat = _average([(np.frombuffer(r["weights"], np.float32), r["tokens"]) for r in rows])
+    learnt = docs.where(id_crc32(id_col) % folds != 0).select(
+        text_or_empty(F.col(f"`{text_col}`")).alias("text"), F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string")), F.lit(1 << 40)).alias("_hash"))
+    flat, cut = first_weights(kinds), int(min(1.0, FIRST_WORDS / max(1, words)) * (1 << 40))
+    if cut == 1 << 40:
+        first, others = learnt, None
+    else:
+        first, others = learnt.where(F.col("_hash") < cut), learnt.where(F.col("_hash") >= cut)
+    passes = max(1, min(8, -(-FIRST_STEPS // max(1, min(words, FIRST_WORDS)))))
+    flat = _mean_weights(first.select("text").repartition(1), flat, kinds, path, FIRST_BYTES, FIRST_RATE, passes)
+    if others is not None:
+        parts = others.select("text").coalesce(max(1, (words - FIRST_WORDS) // PART_WORDS))
+        flat = _mean_weights(parts, flat, kinds, path, LEARN_BYTES, RATE, 1)
     return flat
 
 
-def tokenised(batches, path: str):
-    """Flat ids and offsets of texts, some PART_TOKENS ids at a time."""
-    held, n = [], 0
-    for whole in batches:
-        for batch in sub_batches(whole, 0, BLOCK_BYTES // 16):
-            words, owner = split_words(batch.column(0))
-            coded = words.dictionary_encode()
-            ids, offsets = word_ids(coded.dictionary, path)
-            codes = coded.indices.to_numpy().astype(np.int64)
-            flat, _ = ragged_take(ids, offsets, codes) if len(codes) else (ids, offsets)
-            per = np.bincount(owner, weights=np.diff(offsets)[codes] if len(codes) else None, minlength=batch.num_rows).astype(np.int64)
-            held.append((flat, per))
-            n += len(flat) + len(per)
-            if n >= PART_TOKENS:
-                yield _joined(held)
-                held, n = [], 0
-    if held:
-        yield _joined(held)
+def _mean_weights(texts: DataFrame, flat: np.ndarray, kinds: Kinds, path: str, size: int, rate: float, passes: int) -> np.ndarray:
+    """The mean of the copies of `flat` that the partitions of `texts` train, by their words."""
+    shared = texts.sparkSession.sparkContext.broadcast((flat, kinds))  # of a fixed size
 
+    def local(batches):
+        part, (start, outputs) = TaskContext.get().partitionId(), shared.value
+        trainer, seen, held = Trainer(start, outputs, part % 97), 0, []
+        for block in text_blocks(batches, path, size):
+            trainer.learn(block, rate)
+            seen += len(block.codes) + len(block.texts) - 1
+            if passes > 1:  # the first weights alone, of a bounded number of words
+                held.append(block)
+        for turn in range(1, passes):
+            for block in held:
+                trainer.learn(block, rate * 0.5**turn if turn < 4 else rate / 8)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "weights", "words"])
 
-def _joined(held):
-    return np.concatenate([ids for ids, _ in held]), np.concatenate([[0], np.cumsum(np.concatenate([per for _, per in held]))])
+    copies = written(texts.mapInArrow(local, COPY), "weights")
+    while copies.count() > 16:
+        copies = written(copies.withColumn("part", F.floor(F.col("part") / 16).cast("int")).groupBy("part").applyInArrow(_mean, COPY), "weights")
+    rows = copies.collect()
+    return _average([(np.frombuffer(r["weights"], np.float32), r["words"]) for r in rows]) if rows else flat
 
 
-def _local_training(shared, turn: int, rate: float, path: str):
-    """One round of training on the texts of a partition, for mapInArrow."""
+COPY = "part int, weights binary, words long"
 
-    def local(batches):
-        part, (new, kinds), adam, seen = TaskContext.get().partitionId(), shared.value, None, 0
-        parts = tokenised(batches, path)
-        now = next(parts, None)
-        while now is not None:
-            (ids, offsets), now = now, next(parts, None)
-            tokens = len(ids) + len(offsets) - 1
-            repeat = 1 if seen or now is not None else min(8, max(1, -(-LEAST_TOKENS // tokens)))
-            new, adam = train_on(new, kinds, ids, offsets, repeat, 100 * turn + part % 97, rate * 0.5**turn, adam)
-            seen += tokens
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([new.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "weights", "tokens"])
 
-    return local
+def text_blocks(batches, path: str, size: int) -> Iterator[Block]:
+    """Texts as blocks of about `size` bytes, or one longer text."""
+    held, n = [], 0
+    for whole in batches:
+        for batch in sub_batches(whole, 0, size):
+            held.append(batch.column(0))
+            n += batch.column(0).nbytes
+            if n >= size:
+                yield as_block(pa.concat_arrays(held), path)
+                held, n = [], 0
+    if held:
+        yield as_block(pa.concat_arrays(held), path)
+
+
+def as_block(texts: pa.Array, path: str) -> Block:
+    words, owner = split_words(texts)
+    coded = words.dictionary_encode()
+    ids, offsets = word_ids(coded.dictionary, path)
+    per = np.bincount(owner, minlength=len(texts))
+    return Block(coded.indices.to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(per)]).astype(np.int64), ids, offsets.astype(np.int64))
 
 
 def _average(copies: list[tuple[np.ndarray, int]]) -> np.ndarray:
@@ -429,8 +655,8 @@ def _average(copies: list[tuple[np.ndarray, int]]) -> np.ndarray:
 
 
 def _mean(key, table):
-    copies = [(np.frombuffer(w, np.float32), n) for w, n in zip(table.column("weights").to_pylist(), table.column("tokens").to_pylist())]
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([_average(copies).tobytes()], pa.binary()), "tokens": pa.array([sum(n for _, n in copies)], pa.int64())})
+    copies = [(np.frombuffer(w, np.float32), n) for w, n in zip(table.column("weights").to_pylist(), table.column("words").to_pylist())]
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([_average(copies).tobytes()], pa.binary()), "words": pa.array([sum(n for _, n in copies)], pa.int64())})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, path: str | None = None) -> DataFrame:
@@ -451,73 +677,62 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     ends = texts.where(~F.col("held_out")).count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums["n"] + ends, sums["v"] + (1 if ends else 0)
-    subwords = subword_counts(counts, path, ends)
-    classes = Classes.from_counts(subwords)
-    flat = train(docs, classes, id_col, text_col, folds, path, int(subwords.sum()))
+    kinds = Kinds.from_counts(*subword_counts(counts, path, ends))
+    flat = train(docs, kinds, id_col, text_col, folds, path, n)
     log_total = float(np.log10(n + 0.1 * (v + 1)))
-    shared = docs.sparkSession.sparkContext.broadcast((flat, classes))  # of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((flat, kinds))  # of a fixed size
 
     # Each word of a block gets its count, and the counts go back to the block's words and texts.
-    # One long sorts them: the block, then counts (0), words (1) and texts (2), then the place.
-    def key(kind: int, place: Column) -> Column:
-        return F.shiftleft("block", PLACE_BITS + 2) + F.lit(kind << PLACE_BITS) + place
-
+    # Inside a block a long sorts them: counts (0), words (1) and texts (2), then the place.
     nothing = {"c": "long", "words": "array<string>", "id_json": "string", "held_out": "boolean", "codes": "array<int>"}
 
-    def rows(df: DataFrame, k: Column, have: list[str]) -> DataFrame:
+    def rows(df: DataFrame, kind: int, place: str, have: list[str]) -> DataFrame:
         # Empty lists and not nulls: Arrow's list writer goes over a batch again for each null.
         empty = {c: F.array().cast(t) if t.startswith("array") else F.lit(None).cast(t) for c, t in nothing.items()}
-        return df.select(k.alias("key"), *[F.col(c) if c in have else v.alias(c) for c, v in empty.items()])
+        key = F.lit(kind << 32) + F.expr(place).cast("long")
+        return df.select("block", key.alias("key"), *[F.col(c) if c in have else v.alias(c) for c, v in empty.items()])
 
-    found = words.select(key(0, F.col("at")).alias("key"), "word").join(
-        counts.withColumnRenamed("word", "_word").hint("shuffle_hash"), F.col("word") == F.col("_word"), "left")
-    found = rows(found.withColumn("c", F.coalesce("c", F.lit(0))), F.col("key"), ["c"])
-    own = rows(coded.where("kind = 1"), key(1, F.col("start")), ["words"])
+    found = words.select("block", "at", "word").join(counts.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
+    found = rows(found.withColumn("c", F.coalesce("c", F.lit(0))), 0, "at", ["c"])
+    own = rows(coded.where("kind = 1"), 1, "start", ["words"])
     blocks = texts.select("block").distinct().count()
-    dealt = (found.unionAll(own).unionAll(rows(texts, key(2, F.lit(0)), ["id_json", "held_out", "codes"]))
-             .repartition(max(1, 3 * blocks), F.shiftright("key", PLACE_BITS + 2)).sortWithinPartitions("key"))
+    parts = max(1, min(3 * blocks, 4 * shuffle_partitions(docs.sparkSession)))  # a partition takes its blocks one after the other
+    dealt = (found.unionAll(own).unionAll(rows(texts, 2, "0", ["id_json", "held_out", "codes"]))
+             .repartition(parts, "block").sortWithinPartitions("block", "key"))
     out_names = ["id_json", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches):
-        weights, kinds = shared.value
+        weights, outputs = shared.value
         block, held_words, held_counts, ready = None, [], [], None
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            group = keys >> PLACE_BITS  # block and kind
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else [0]
+            names, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 32
+            edges = np.concatenate([[0], np.flatnonzero((np.diff(names) != 0) | (np.diff(keys) != 0)) + 1, [len(keys)]]) if len(keys) else [0]
             for a, b in zip(edges[:-1], edges[1:]):
-                part, kind = batch.slice(int(a), int(b - a)), int(group[a]) & 3
-                if int(group[a]) >> 2 != block:
-                    block, held_words, held_counts, ready = int(group[a]) >> 2, [], [], None
+                part, kind = batch.slice(int(a), int(b - a)), int(keys[a])
+                if int(names[a]) != block:
+                    block, held_words, held_counts, ready = int(names[a]), [], [], None
                 if kind == 0:
-                    held_counts.append(part.column(1).to_numpy())
+                    held_counts.append(part.column(2).to_numpy())
                 elif kind == 1:
-                    held_words.append(part.column(2).flatten())
+                    held_words.append(part.column(3).flatten())
                 else:
                     if ready is None:
                         c = np.concatenate(held_counts) if held_counts else np.zeros(0, np.int64)
                         ids, offsets = word_ids(pa.concat_arrays(held_words) if held_words else pa.array([], pa.string()), path)
-                        ready = (c, np.log10(c + 0.1), ids, offsets, np.diff(offsets))
                         held_words, held_counts = [], []
-                    yield from _scored(part, ready, weights, kinds)
+                        ready = (c, np.log10(c + 0.1), Scorer(weights, outputs, ids, offsets.astype(np.int64)))
+                    yield _scored(part, *ready)
 
-    def _scored(part, ready, weights, kinds):
-        c, logs, ids, offsets, sizes = ready
-        lists = part.column(5)
+    def _scored(part, c, logs, scorer):
+        lists = part.column(6)
         per = pc.list_value_length(lists).to_numpy().astype(np.int64)
         codes = lists.flatten().to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(len(per)), per)
-        known_words = np.bincount(owner, weights=c[codes] > 0, minlength=len(per)).astype(np.int64) if len(codes) else np.zeros(len(per), np.int64)
-        base = np.bincount(owner, weights=logs[codes], minlength=len(per)) if len(codes) else np.zeros(len(per))
-        base += np.log10(ends + 0.1) - (per + 1) * log_total
-        if len(codes):
-            flat_ids, _ = ragged_take(ids, offsets, codes)
-            tokens = np.bincount(owner, weights=sizes[codes], minlength=len(per)).astype(np.int64)
-        else:
-            flat_ids, tokens = np.zeros(0, np.int64), np.zeros(len(per), np.int64)
-        scores = log10_scores(weights, kinds, flat_ids, np.concatenate([[0], np.cumsum(tokens)]))
-        yield pa.RecordBatch.from_arrays(
-            [part.column(3), part.column(4), pa.array(per + 1), pa.array(known_words + (1 if ends else 0)), pa.array(base), pa.array(scores)], out_names)
+        known_words = np.bincount(owner, weights=c[codes] > 0, minlength=len(per)).astype(np.int64)
+        base = np.bincount(owner, weights=logs[codes], minlength=len(per)) + np.log10(ends + 0.1) - (per + 1) * log_total
+        scores = scorer.log10(codes, np.concatenate([[0], np.cumsum(per)]))
+        return pa.RecordBatch.from_arrays(
+            [part.column(4), part.column(5), pa.array(per + 1), pa.array(known_words + (1 if ends else 0)), pa.array(base), pa.array(scores)], out_names)
 
     scored = dealt.mapInArrow(run, "id_json string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     restored = F.from_json("id_json", F.lit(f"struct<id:{id_type.simpleString()}>"))["id"].alias(id_col)

@@ -269,6 +269,7 @@ def test_lm_counts_and_probabilities(spark, sf, docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), n)
         assert np.isclose(r.base_score, sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rtol=1e-9)
     assert (got.score < 0).all() and np.corrcoef(got.score, got.base_score)[0, 1] > 0.95
+    assert got.score[got.held_out].sum() > got.base_score[got.held_out].sum()
 
 
 def test_lm_awkward(awkward, empty):
@@ -280,74 +281,141 @@ def test_lm_awkward(awkward, empty):
 
 def small_model(seed=3):
     rng = np.random.default_rng(seed)
-    classes = lm.Classes.from_counts(rng.integers(0, 50, lm.END + 1).astype(float))
-    flat = lm.first_weights(classes) + rng.normal(0, 0.1, lm.SIZE).astype(np.float32)
-    return flat, classes
+    kinds = lm.Kinds.from_counts(*rng.integers(0, 50, (2, lm.END + 1)).astype(float))
+    flat = lm.first_weights(kinds) + rng.normal(0, 0.1, lm.SIZE).astype(np.float32)
+    lm.unpack(flat)["start"][...] -= np.log(np.exp(lm.unpack(flat)["start"]).sum(1, keepdims=True))
+    return flat, kinds
+
+
+def random_block(rng, words=40, lengths=(0, 1, 23, 24, 25, 130)):
+    ids = [rng.integers(0, lm.END, rng.integers(1, 8)) for _ in range(words)]
+    codes = rng.integers(0, words, sum(lengths))
+    return lm.Block(codes, np.concatenate([[0], np.cumsum(lengths)]), np.concatenate(ids), np.concatenate([[0], np.cumsum([len(i) for i in ids])]))
+
+
+def attended(x, q, k, v):
+    a = (x[-1] @ q) @ (x @ k).T / np.sqrt(len(q))
+    a = np.exp(a - a.max())
+    return np.concatenate([x[-1], a / a.sum() @ (x @ v)])
 
 
 def test_lm_scores_each_id_once_with_its_context():
-    flat, classes = small_model()
-    rng = np.random.default_rng(5)
-    texts = [rng.integers(0, lm.END, n) for n in (0, 1, 23, 24, 25, 130)]
-    ids, offsets = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    got = lm.log10_scores(flat, classes, ids, offsets)
-    w = lm.unpack(flat)
-    for text, score in zip(texts, got):  # one window at a time, one target at a time, no padding
-        sequence, total = [lm.END, *text.tolist(), lm.END], 0.0
+    flat, kinds = small_model()
+    block, w = random_block(np.random.default_rng(5)), lm.unpack(flat)
+    got = lm.Scorer(flat, kinds, block.ids, block.words).log10(block.codes, block.texts)
+    words = [block.ids[a:b] for a, b in zip(block.words[:-1], block.words[1:])]
+    ends = [(i[0], i[-1]) for i in words] + [(lm.END, lm.END)]
+
+    def by_topic(code):  # one word, one id at a time
+        if code == len(words):
+            return w["start"][:, kinds.first[lm.END]].astype(float), kinds.first_share[lm.END]
+        ids = words[code]
+        total, share = w["start"][:, kinds.first[ids[0]]].astype(float), kinds.first_share[ids[0]]
+        for j in range(len(ids)):
+            before = ids[max(0, j + 1 - lm.REACH) : j + 1]
+            x = w["rows"][kinds.row[before]] + w["steps"][np.arange(len(before))[::-1]]
+            z = np.tanh(attended(x, w["iq"], w["ik"], w["iv"]) @ w["imix"] + w["ibend"]) @ w["out"] + w["bias"] + w["tilt"]
+            target = kinds.inner[ids[j + 1]] if j + 1 < len(ids) else 0
+            share += kinds.inner_share[ids[j + 1]] if j + 1 < len(ids) else 0
+            total += z[:, target] - np.log(np.exp(z).sum(1))
+        return total, share
+
+    for text, score in zip(np.split(block.codes, block.texts[1:-1]), got):  # one window, one target at a time, no padding
+        sequence, total = [len(words), *text.tolist(), len(words)], 0.0
         for t in range(len(text) + 1):
             first = t // lm.STRIDE * lm.STRIDE
             start = first - lm.CONTEXT
-            seen = [lm.END] * max(0, -start) + sequence[max(0, start) : t + 1]
-            place = np.arange(start, t + 1) - first + lm.CONTEXT
-            x = w["rows"][classes.row[seen]] + w["places"][place]
-            a = (x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(lm.WIDTH)
-            a = np.exp(a - a.max())
-            h = np.tanh(np.concatenate([x[-1], a / a.sum() @ (x @ w["v"])]) @ w["mix"] + w["bend"])
-            z = (h @ w["out"] + w["bias"]).astype(float)
-            target = sequence[t + 1]
-            total += (z[classes.of_id[target]] - np.log(np.exp(z).sum())) / np.log(10) + classes.log_share[target]
+            seen = [len(words)] * max(0, -start) + sequence[max(0, start) : t + 1]
+            rows = kinds.row[[ends[c] for c in seen]]
+            x = w["head"][rows[:, 0]] + w["end"][rows[:, 1]] + w["places"][np.arange(start, t + 1) - first + lm.CONTEXT]
+            z = np.tanh(attended(x, w["q"], w["k"], w["v"]) @ w["mix"] + w["bend"]) @ w["gate"] + w["usual"]
+            own, share = by_topic(sequence[t + 1])
+            total += np.log10((np.exp(z) / np.exp(z).sum() * np.exp(own)).sum()) + share
         assert np.isclose(score, total, rtol=1e-3)
 
 
-def test_lm_gradient():
-    flat, classes = small_model()
+def check_gradient(names, loss, w, grad):
+    for name in names:
+        at = np.unravel_index(np.argsort(-np.abs(grad[name]), axis=None)[:12:4], grad[name].shape)
+        for place in zip(*at):
+            sides = []
+            for d in (1e-4, -1e-4):
+                moved = {n: v.astype(np.float64) for n, v in w.items()}
+                moved[name][place] += d
+                sides.append(loss(moved))
+            assert np.isclose((sides[0] - sides[1]) / 2e-4, grad[name][place], rtol=0.02, atol=1e-4), name
+
+
+def test_lm_gradient_inside_words():
+    flat, kinds = small_model()
     rng = np.random.default_rng(6)
-    inputs, targets, _ = lm.windows_of(rng.integers(0, lm.END, 60), np.array([0, 10, 60]))
+    block, w = random_block(rng), lm.unpack(flat)
+    nodes, amounts = lm.Nodes(kinds, block), rng.random((block.size, lm.TOPICS))
+    some = np.arange(1, len(nodes), 3)
+
+    def loss(w):
+        total = weight = 0.0
+        for i, node in enumerate(some):
+            z = lm.inner_forward(w, nodes.before[[node]])[0][0] + w["tilt"]
+            z = z - np.log(np.exp(z).sum(1, keepdims=True))
+            for step in range(nodes.edges[node], nodes.edges[node + 1]):
+                total -= (amounts[nodes.word[step]] * z[:, nodes.target[step]]).sum()
+                weight += amounts[nodes.word[step]].sum()
+        return total / weight
 
-    def loss(f):
-        z = lm.forward(lm.unpack(f.astype(np.float64)), classes, inputs).astype(np.float64)
-        t = targets.reshape(-1)
-        real = t >= 0
-        z -= z.max(1, keepdims=True)
-        return -(z[np.arange(len(z)), classes.of_id[np.where(real, t, 0)]] - np.log(np.exp(z).sum(1)))[real].mean()
+    check_gradient(lm.DEEPER, loss, w, lm.inner_gradient(w, nodes, some, amounts))
 
-    grad = lm.gradient(lm.unpack(flat), classes, inputs, targets)
-    for at in np.argsort(-np.abs(grad))[:200:10]:
-        step = np.zeros(len(flat))
-        step[at] = 1e-4
-        assert np.isclose((loss(flat + step) - loss(flat - step)) / 2e-4, grad[at], rtol=0.02, atol=1e-4)
 
+def test_lm_gradient_over_words():
+    flat, kinds = small_model()
+    rng = np.random.default_rng(7)
+    block, w = random_block(rng, lengths=(10, 50)), lm.unpack(flat)
+    by_topic = rng.normal(0, 2, (block.size + 1, lm.TOPICS)).astype(np.float32)
+    (head, end), (inputs, targets) = lm.ends_of(kinds, block), lm.Windows(block.codes, block.texts, block.size).take(slice(None))
 
-@pytest.mark.parametrize("part_tokens", [250_000, 100])
-def test_lm_every_training_text_reaches_the_weights(spark, monkeypatch, part_tokens):
+    def loss(w):
+        joint = lm.forward(w, w["head"][head] + w["end"][end], inputs) + by_topic[targets.reshape(-1)]
+        return -np.log(np.exp(joint).sum(1))[targets.reshape(-1) >= 0].mean()
+
+    check_gradient(lm.OUTER, loss, w, lm.outer_gradient(w, head, end, inputs, targets, by_topic)[0])
+
+
+@pytest.mark.parametrize("first_words, part_words", [(400_000, 250_000), (100, 100)])
+def test_lm_every_training_text_reaches_the_weights(spark, monkeypatch, first_words, part_words):
     texts = [f"text number {i} of some words" for i in range(90)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(lm, "PART_TOKENS", part_tokens)
-    path = tokenizer_path("byte_bpe_50k.json")
-    learnt = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
-    tokens = sum(len(lm.word_ids(pa.array(t.split()), path)[0]) + 1 for t in learnt)
-    rows = []
-    average = lm._average
+    monkeypatch.setattr(lm, "FIRST_WORDS", first_words)
+    monkeypatch.setattr(lm, "PART_WORDS", part_words)
+    words = sum(len(t.split()) + 1 for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10)
+    rows, average = [], lm._average
     monkeypatch.setattr(lm, "_average", lambda copies: rows.append(sum(n for _, n in copies)) or average(copies))
-    classes = lm.Classes.from_counts(np.ones(lm.END + 1))
-    flat = lm.train(frame, classes, "doc_id", "text", 10, path, tokens)
-    assert not np.array_equal(flat, lm.first_weights(classes))
-    assert rows == [tokens] * 3 if part_tokens == 250_000 else len(rows) == 3 and sum(rows) == tokens
+    kinds = lm.Kinds.from_counts(*np.ones((2, lm.END + 1)))
+    flat = lm.train(frame, kinds, "doc_id", "text", 10, tokenizer_path("byte_bpe_50k.json"), words)
+    assert not np.array_equal(flat, lm.first_weights(kinds))
+    assert sum(rows) == words and len(rows) == (1 if first_words > words else 2)
+
+
+def test_lm_learns_from_a_few_rows(spark):
+    frame = spark.createDataFrame([(i, "over and over the same few words " * 9) for i in range(20)], "doc_id long, text string")
+    got = lm.score(frame).toPandas()
+    kinds = lm.Kinds.from_counts(*np.ones((2, lm.END + 1)))
+    block = lm.as_block(pa.array(["over and over the same few words " * 9]), tokenizer_path("byte_bpe_50k.json"))
+    untrained = lm.Scorer(lm.first_weights(kinds), kinds, block.ids, block.words).log10(block.codes, block.texts)
+    assert (got.score > untrained[0] / 3).all()
+
+
+def test_lm_block_names_and_a_long_text(spark):
+    assert len({lm.block_name(p, n) for p in (0, 1, 2**18, 2**18 + 1, 2**30) for n in (0, 1, 2**20)}) == 15 and lm.block_name(2**30, 2**31) < 2**63
+    frame = spark.createDataFrame([(1, "Some long text. " * 400_000), (2, "other words"), (2, "other words"), (None, None)], "doc_id long, text string")
+    got = lm.score(frame.withColumn("score", F.lit("clash")).withColumn("n_tokens", F.lit(1))).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 3, 3, 1_200_001] and all(np.isfinite(r.score) for r in got)
 
 
-def test_lm_shares_add_up():
-    _, classes = small_model()
-    assert np.allclose(np.bincount(classes.of_id, weights=10**classes.log_share, minlength=lm.CLASSES), 1)
+def test_lm_outputs_add_up():
+    flat, kinds = small_model()
+    assert np.allclose(np.bincount(kinds.first, weights=10**kinds.first_share, minlength=lm.FIRSTS), 1)
+    assert np.allclose(np.bincount(kinds.inner, weights=10**kinds.inner_share, minlength=lm.INNERS)[1:], 1)
+    assert np.allclose(np.exp(lm.unpack(flat)["start"]).sum(1), 1, rtol=1e-3)
 
 
 # 8
