@@ -127,10 +127,10 @@ def sub_batches(batch: pa.RecordBatch, text_index: int, target_bytes: int = 4 <<
     for a, b in zip(edges[:-1], edges[1:]):
         if b > a:
             yield batch.slice(int(a), int(b - a))
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return what a reused worker has freed to the system; its peak would stay otherwise."""
     pa.default_memory_pool().release_unused()
     try:

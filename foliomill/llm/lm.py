@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import id_crc32, shuffle_partitions, sub_batches, text_or_empty, tokenizer_path, written
+from foliomill.llm.common import give_back, id_crc32, shuffle_partitions, sub_batches, text_or_empty, tokenizer_path, written
 
 CONTEXT, STRIDE = 8, 24
 WIDTH, HIDDEN = 16, 24
 TOPICS = 8
-DEEP, DEEP_HIDDEN, REACH = 24, 48, 4
+DEEP, DEEP_HIDDEN, REACH = 16, 40, 3
 #: Outputs for a word's first id, for what follows inside words, and how many of either are shared by rare ids.
-FIRSTS, INNERS, TAIL = 768, 1024, 64
+FIRSTS, INNERS, TAIL = 768, 768, 64
 #: Input rows; below 4095, as a place inside a word packs REACH of them into one long.
 ROWS = 2048
 END = 50_256
@@ -49,7 +49,7 @@ WORDS_A_ROW = 4096
 FIRST_WORDS, FIRST_STEPS = 400_000, 800_000
 #: Words of a partition that train a copy, at least; text that a copy learns from at a time, in the first weights and after.
 PART_WORDS = 250_000
-FIRST_BYTES, LEARN_BYTES = 300_000, 2_000_000
+FIRST_BYTES, LEARN_BYTES = 300_000, 8_000_000
 FIRST_RATE, RATE = 0.02, 0.008
 #: Words that the present law of first ids counts for when a copy goes on from it.
 FIRST_MASS = 2000.0
@@ -159,6 +159,9 @@ SHAPES = {
 }
 OUTER, DEEPER = list(SHAPES)[:10], list(SHAPES)[10:20]
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+ONES = np.ones(TOPICS, np.float32)
+#: No exponent is larger, so that sums of exponentials stay finite.
+MOST = np.float32(60)
 #: Position i of the scored part may look at the inputs before it; places CONTEXT + i on are later.
 MASK = np.where(np.arange(CONTEXT + STRIDE)[None, :] <= CONTEXT + np.arange(STRIDE)[:, None], 0.0, -1e9).astype(np.float32)
 
@@ -320,26 +323,32 @@ def ends_of(kinds: Kinds, block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward(w: dict[str, np.ndarray], vectors: np.ndarray, inputs: np.ndarray, keep: bool = False):
-    """Log shares of the topics at the scored places of each window, (n * STRIDE, TOPICS)."""
+    """Shares of the topics, up to a factor, at the scored places of each window, (n * STRIDE, TOPICS)."""
     x = vectors[inputs]
     x += w["places"]
     q = x[:, CONTEXT:] @ (w["q"] * np.float32(WIDTH**-0.5))
     k, v = x @ w["k"], x @ w["v"]
     s = q @ k.transpose(0, 2, 1)
+    np.minimum(s, MOST, out=s)
     s += MASK
-    s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
+    s /= (s @ np.ones(s.shape[2], s.dtype))[:, :, None]
     seen = s @ v
     both = np.concatenate([x[:, CONTEXT:], seen], 2).reshape(-1, 2 * WIDTH)
     h = both @ w["mix"]
     h += w["bend"]
     np.tanh(h, out=h)
-    logits = h @ w["gate"]
-    logits += w["usual"]
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return (logits, (x, q, k, v, s, both, h)) if keep else logits
+    raised = h @ w["gate"]
+    raised += w["usual"]
+    np.minimum(raised, MOST, out=raised)
+    np.exp(raised, out=raised)
+    return (raised, (x, q, k, v, s, both, h)) if keep else raised
+
+
+def odds_of(by_topic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's probabilities by topic against the greatest of them, and the logarithm of that."""
+    top = by_topic.max(1)
+    return np.exp(by_topic - top[:, None]), top
 
 
 class Scorer:
@@ -348,7 +357,8 @@ class Scorer:
     def __init__(self, flat: np.ndarray, kinds: Kinds, ids: np.ndarray, words: np.ndarray):
         none = Block(np.zeros(0, np.int64), np.zeros(1, np.int64), ids, words)
         self.w, self.end = unpack(flat), none.size
-        self.by_topic, self.share = word_scores(self.w, kinds, none, Nodes(kinds, none)), shares(kinds, none)
+        self.odds, top = odds_of(word_scores(self.w, kinds, none, Nodes(kinds, none)))
+        self.known = top / np.log(10) + shares(kinds, none)
         head, last = ends_of(kinds, none)
         self.vectors = self.w["head"][head] + self.w["end"][last]
 
@@ -358,11 +368,11 @@ class Scorer:
         for at in range(0, len(windows), BATCH):
             inputs, targets = windows.take(slice(at, at + BATCH))
             target = targets.reshape(-1)
-            joint = forward(self.w, self.vectors, inputs)
-            joint += self.by_topic[target]
-            top = joint.max(1)
-            value = np.log(np.exp(joint - top[:, None]).sum(1)) + top
-            value = (value / np.log(10) + self.share[target]) * (target >= 0)
+            raised = forward(self.w, self.vectors, inputs)
+            total = raised @ ONES
+            raised *= self.odds[target]
+            value = np.log10(np.maximum(raised @ ONES, 1e-37) / total)
+            value = (value + self.known[target]) * (target >= 0)
             out += np.bincount(windows.text[at : at + BATCH], weights=value.reshape(-1, STRIDE).sum(1, dtype=np.float64), minlength=len(out))
         return out
 
@@ -387,9 +397,9 @@ class Adam:
 class Trainer:
     """A copy of the weights that goes from block to block.
 
-    Of a block, the words' scores under each topic come first; then the attention over words is
-    trained on all its windows and says how much of each word falls to which topic; with those
-    amounts the attention inside words, the tilts and the first ids are trained.
+    Of a block, what tells the topics of its words apart comes first; then the attention over
+    words is trained on all its windows and says how much of each word falls to which topic; with
+    those amounts the attention inside words, the tilts and the first ids are trained.
     """
 
     def __init__(self, flat: np.ndarray, kinds: Kinds, seed: int = 0):
@@ -400,7 +410,7 @@ class Trainer:
 
     def learn(self, block: Block, rate: float) -> None:
         nodes = Nodes(self.kinds, block)
-        amounts = self._outer_pass(block, word_scores(self.w, self.kinds, block, nodes), rate)
+        amounts = self._outer_pass(block, self._topic_scores(block, nodes), rate)
         self._inner_pass(nodes, amounts[:-1], rate)
         for z in range(TOPICS):
             if block.size:
@@ -408,17 +418,31 @@ class Trainer:
             self.firsts[z, self.kinds.first[END]] += amounts[-1, z]
         self.w["start"][...] = np.log(self.firsts + 1e-6) - np.log((self.firsts + 1e-6).sum(1, keepdims=True))
 
+    def _topic_scores(self, block: Block, nodes: Nodes) -> np.ndarray:
+        """What tells the topics of each word (and of the end) apart: its first id, and the tilts of what follows."""
+        out = np.zeros((block.size + 1, TOPICS), np.float32)
+        if block.size:
+            tilt = self.w["tilt"] - np.log(np.exp(self.w["tilt"] + self.kinds.inner_prior).sum(1, keepdims=True))
+            by_step = np.empty((len(block.ids), TOPICS), np.float32)
+            by_step[nodes.order] = tilt.T[nodes.target]
+            out[:-1] = np.add.reduceat(by_step, block.words[:-1], axis=0)
+            out[:-1] += self.w["start"].T[self.kinds.first[block.ids[block.words[:-1]]]]
+        out[-1] = self.w["start"][:, self.kinds.first[END]]
+        return out
+
     def _outer_pass(self, block: Block, by_topic: np.ndarray, rate: float) -> np.ndarray:
         """Train on all windows; returns how much of each word (and of the end) each topic takes."""
         head, end = ends_of(self.kinds, block)
-        amounts = np.zeros((block.size + 1) * TOPICS)
+        odds, _ = odds_of(by_topic)
+        held = []
         windows = Windows(block.codes, block.texts, block.size)
         order = self.rng.permutation(len(windows))
         for at in range(0, len(order), 96):
-            grad, target, share = outer_gradient(self.w, head, end, *windows.take(order[at : at + 96]), by_topic)
+            grad, target, share = outer_gradient(self.w, head, end, *windows.take(order[at : at + 96]), odds)
             self.outer.apply(self.w, grad, rate)
-            amounts += np.bincount((target[:, None] * TOPICS + np.arange(TOPICS)).reshape(-1), weights=share.reshape(-1), minlength=len(amounts))
-        return amounts.reshape(-1, TOPICS)
+            held.append((target, share))
+        target, share = (np.concatenate(part) for part in zip(*held))
+        return np.stack([np.bincount(target, weights=share[:, z], minlength=block.size + 1) for z in range(TOPICS)], 1)
 
     def _inner_pass(self, nodes: Nodes, amounts: np.ndarray, rate: float) -> None:
         for begin in self.rng.permutation(-(-len(nodes) // NODE_BATCH)).tolist():
@@ -461,18 +485,18 @@ def inner_gradient(w: dict[str, np.ndarray], nodes: Nodes, some: np.ndarray, amo
     return grad
 
 
-def outer_gradient(w, head: np.ndarray, end: np.ndarray, inputs: np.ndarray, targets: np.ndarray, by_topic: np.ndarray):
+def outer_gradient(w, head: np.ndarray, end: np.ndarray, inputs: np.ndarray, targets: np.ndarray, odds: np.ndarray):
     """Gradient of the mean negative log probability of the windows' words; their codes and their shares by topic."""
     vectors = w["head"][head[inputs]] + w["end"][end[inputs]]
-    logits, (x, q, k, v, s, both, h) = forward(w, vectors.reshape(-1, WIDTH), np.arange(inputs.size).reshape(inputs.shape), keep=True)
+    raised, (x, q, k, v, s, both, h) = forward(w, vectors.reshape(-1, WIDTH), np.arange(inputs.size).reshape(inputs.shape), keep=True)
     target = targets.reshape(-1)
-    real = target >= 0
-    share = logits + by_topic[target]
-    share -= share.max(1, keepdims=True)
-    np.exp(share, out=share)
-    share /= share.sum(1, keepdims=True)
-    share *= real[:, None]
-    p = (np.exp(logits) * real[:, None] - share) / np.float32(max(1, real.sum()))
+    real = (target >= 0).astype(np.float32)
+    share = raised * odds[target]
+    share *= (real / np.maximum(share @ ONES, 1e-37))[:, None]
+    p = raised
+    p *= (real / (p @ ONES))[:, None]
+    p -= share
+    p /= np.float32(max(1, real.sum()))
     g = {"gate": h.T @ p, "usual": p.sum(0)}
     dz = (p @ w["gate"].T) * (1 - h * h)
     g["mix"], g["bend"] = both.T @ dz, dz.sum(0)
@@ -493,12 +517,14 @@ def outer_gradient(w, head: np.ndarray, end: np.ndarray, inputs: np.ndarray, tar
     g["places"] = dx.sum(0)
     dx = dx.reshape(-1, WIDTH)
     g["head"], g["end"] = (_row_sums(rows[inputs].reshape(-1), dx, ROWS) for rows in (head, end))
-    return g, np.where(real, target, 0), share
+    return g, np.where(target >= 0, target, 0), share
 
 
 def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, values.shape[1]), np.float32)
-    np.add.at(out, rows, values)
+    out, order = np.zeros((n, values.shape[1]), np.float32), np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
     return out
 
 
@@ -614,6 +640,8 @@ def _mean_weights(texts: DataFrame, flat: np.ndarray, kinds: Kinds, path: str, s
         for turn in range(1, passes):
             for block in held:
                 trainer.learn(block, rate * 0.5**turn if turn < 4 else rate / 8)
+        del held
+        give_back()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "weights", "words"])
 
@@ -684,7 +712,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     # Each word of a block gets its count, and the counts go back to the block's words and texts.
     # Inside a block a long sorts them: counts (0), words (1) and texts (2), then the place.
-    nothing = {"c": "long", "words": "array<string>", "id_json": "string", "held_out": "boolean", "codes": "array<int>"}
+    nothing = {"at": "array<int>", "c": "array<long>", "words": "array<string>", "id_json": "string", "held_out": "boolean", "codes": "array<int>"}
 
     def rows(df: DataFrame, kind: int, place: str, have: list[str]) -> DataFrame:
         # Empty lists and not nulls: Arrow's list writer goes over a batch again for each null.
@@ -692,8 +720,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         key = F.lit(kind << 32) + F.expr(place).cast("long")
         return df.select("block", key.alias("key"), *[F.col(c) if c in have else v.alias(c) for c, v in empty.items()])
 
+    def by_block(batches):  # one row for the words of a block that lie in a batch
+        for batch in batches:
+            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+            names, at, c = (batch.column(i).to_numpy()[order] for i in range(3))
+            first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
+            edges = pa.array(np.append(first, len(names)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.ListArray.from_arrays(edges, pa.array(at, pa.int32())), pa.ListArray.from_arrays(edges, pa.array(c))], ["block", "at", "c"])
+
     found = words.select("block", "at", "word").join(counts.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
-    found = rows(found.withColumn("c", F.coalesce("c", F.lit(0))), 0, "at", ["c"])
+    found = found.select("block", F.col("at").cast("int").alias("at"), F.coalesce("c", F.lit(0)).cast("long").alias("c")).mapInArrow(by_block, "block long, at array<int>, c array<long>")
+    found = rows(found, 0, "0", ["at", "c"])
     own = rows(coded.where("kind = 1"), 1, "start", ["words"])
     blocks = texts.select("block").distinct().count()
     parts = max(1, min(3 * blocks, 4 * shuffle_partitions(docs.sparkSession)))  # a partition takes its blocks one after the other
@@ -712,19 +749,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 if int(names[a]) != block:
                     block, held_words, held_counts, ready = int(names[a]), [], [], None
                 if kind == 0:
-                    held_counts.append(part.column(2).to_numpy())
+                    held_counts.append((part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy()))
                 elif kind == 1:
-                    held_words.append(part.column(3).flatten())
+                    held_words.append(part.column(4).flatten())
                 else:
                     if ready is None:
-                        c = np.concatenate(held_counts) if held_counts else np.zeros(0, np.int64)
                         ids, offsets = word_ids(pa.concat_arrays(held_words) if held_words else pa.array([], pa.string()), path)
+                        c = np.zeros(len(offsets) - 1, np.int64)
+                        for at, n in held_counts:
+                            c[at] = n
                         held_words, held_counts = [], []
                         ready = (c, np.log10(c + 0.1), Scorer(weights, outputs, ids, offsets.astype(np.int64)))
                     yield _scored(part, *ready)
+        ready = None
+        give_back()
 
     def _scored(part, c, logs, scorer):
-        lists = part.column(6)
+        lists = part.column(7)
         per = pc.list_value_length(lists).to_numpy().astype(np.int64)
         codes = lists.flatten().to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(len(per)), per)
@@ -732,7 +773,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         base = np.bincount(owner, weights=logs[codes], minlength=len(per)) + np.log10(ends + 0.1) - (per + 1) * log_total
         scores = scorer.log10(codes, np.concatenate([[0], np.cumsum(per)]))
         return pa.RecordBatch.from_arrays(
-            [part.column(4), part.column(5), pa.array(per + 1), pa.array(known_words + (1 if ends else 0)), pa.array(base), pa.array(scores)], out_names)
+            [part.column(5), part.column(6), pa.array(per + 1), pa.array(known_words + (1 if ends else 0)), pa.array(base), pa.array(scores)], out_names)
 
     scored = dealt.mapInArrow(run, "id_json string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     restored = F.from_json("id_json", F.lit(f"struct<id:{id_type.simpleString()}>"))["id"].alias(id_col)

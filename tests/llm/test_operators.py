@@ -373,11 +373,13 @@ def test_lm_gradient_over_words():
     by_topic = rng.normal(0, 2, (block.size + 1, lm.TOPICS)).astype(np.float32)
     (head, end), (inputs, targets) = lm.ends_of(kinds, block), lm.Windows(block.codes, block.texts, block.size).take(slice(None))
 
+    odds, _ = lm.odds_of(by_topic)
+
     def loss(w):
-        joint = lm.forward(w, w["head"][head] + w["end"][end], inputs) + by_topic[targets.reshape(-1)]
-        return -np.log(np.exp(joint).sum(1))[targets.reshape(-1) >= 0].mean()
+        raised = lm.forward(w, w["head"][head] + w["end"][end], inputs)
+        return -np.log((raised * odds[targets.reshape(-1)]).sum(1) / raised.sum(1))[targets.reshape(-1) >= 0].mean()
 
-    check_gradient(lm.OUTER, loss, w, lm.outer_gradient(w, head, end, inputs, targets, by_topic)[0])
+    check_gradient(lm.OUTER, loss, w, lm.outer_gradient(w, head, end, inputs, targets, odds)[0])
 
 
 @pytest.mark.parametrize("first_words, part_words", [(400_000, 250_000), (100, 100)])
