@@ -49,7 +49,7 @@ WORDS_A_ROW = 4096
 FIRST_WORDS, FIRST_STEPS = 400_000, 800_000
 #: Words of a partition that train a copy, at least; text that a copy learns from at a time, in the first weights and after.
 PART_WORDS = 250_000
-FIRST_BYTES, LEARN_BYTES = 300_000, 8_000_000
+FIRST_BYTES, LEARN_BYTES = 300_000, 4_000_000
 FIRST_RATE, RATE = 0.02, 0.008
 #: Words that the present law of first ids counts for when a copy goes on from it.
 FIRST_MASS = 2000.0
