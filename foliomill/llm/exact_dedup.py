@@ -4,14 +4,15 @@ Rows are range-partitioned by sampled splitters over (first bytes of the text, S
 whole text, identifier) and sorted externally inside each partition, so equal texts lie side
 by side.  One pass compares each text in full with its neighbour and closes runs.  Because the
 identifier is part of the splitter key, a run of any length may go over several partitions;
-the first and the last run of each partition (two rows a partition) are then put together.
+the first and the last run of each partition (two rows a partition) are then put together by
+their SHA-256.  A text is held once a row, and with its neighbour, however long it is.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.common import shuffle_partitions, text_or_empty, with_fields, written
@@ -20,8 +21,8 @@ from foliomill.llm.common import shuffle_partitions, text_or_empty, with_fields,
 SPLITTER_CHARS = 48
 
 
-def _runs(n_cols: int, names: list[str]):
-    """For sorted batches with the columns [..., digest, text, id]: each row with its run."""
+def _runs(n_cols: int, names: list[str], keep_text: bool):
+    """For sorted batches with the columns [..., digest, text]: each row with its run, with the text if it is kept."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -46,7 +47,7 @@ def _runs(n_cols: int, names: list[str]):
                 last = (last[0], pa.py_buffer(last[1].to_pybytes()))  # lets go of the batch
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: n_cols + 1], pa.array([part] * k, pa.int32()), pa.array(runs, pa.int64()), pa.array(places, pa.int64())], names)
+                [*batch.columns[: n_cols + 1 + keep_text], pa.array([part] * k, pa.int32()), pa.array(runs, pa.int64()), pa.array(places, pa.int64())], names)
 
     return run
 
@@ -57,14 +58,16 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str, keep: str, carry: li
         raise ValueError("keep is 'smallest' or 'largest'")
     order = F.col("_id").asc_nulls_last() if keep == "smallest" else F.col("_id").desc_nulls_last()
     text = text_or_empty(F.col(f"`{text_col}`"))
-    source = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text")
-    ).withColumn("_digest", F.unhex(F.sha2(F.col("_text").cast("binary"), 256))).withColumn("_head", F.substring("_text", 1, SPLITTER_CHARS))
+    # A carried text goes through the shuffle once, beside the struct, with a mark where it was null.
+    keep_text = text_col in carry
+    others = [F.col(f"`{c}`") for c in carry if c != text_col] + [F.col(f"`{text_col}`").isNull().alias("_no_text")] * keep_text
+    source = df.select(F.struct(*others).alias("row"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
+    source = source.withColumn("_digest", F.unhex(F.sha2(F.col("_text").cast("binary"), 256))).withColumn("_head", F.substring("_text", 1, SPLITTER_CHARS))
     parts = shuffle_partitions(df.sparkSession)
     ordered = source.repartitionByRange(parts, "_head", "_digest", order).sortWithinPartitions("_head", "_digest", "_text", order)
     marked = ordered.select("row", "_id", "_digest", "_text")
-    schema = with_fields(marked.drop("_text").schema, "_part int, _run long, _at long")
-    rows = written(marked.mapInArrow(_runs(2, schema.names), schema), "content-sort")
+    schema = with_fields((marked if keep_text else marked.drop("_text")).schema, "_part int, _run long, _at long")
+    rows = written(marked.mapInArrow(_runs(2, schema.names, keep_text), schema), "content-sort")
     runs = rows.groupBy("_part", "_run").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("_at") == 0, F.struct("_id"))).alias("_first"), F.first("_digest").alias("_run_digest"))
     last = rows.groupBy("_part").agg(F.max("_run").alias("_last"))
@@ -77,20 +80,28 @@ def _sorted_runs(df: DataFrame, id_col: str, text_col: str, keep: str, carry: li
     return rows, runs, spans
 
 
+def _row(df: DataFrame, text_col: str, carry: list[str]) -> list[Column]:
+    """The carried columns out of the struct and the text beside it."""
+    text = F.when(~F.col("row._no_text"), F.col("_text")).cast(df.schema[text_col].dataType).alias(text_col) if text_col in carry else None
+    return [text if c == text_col else F.col(f"row.`{c}`") for c in carry]
+
+
 def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", carry: list[str] | None = None) -> DataFrame:
     """Group rows with identical texts by sorting, and say which row of each group stays.
 
     keep: "smallest" or "largest" identifier stays; nulls come last in either order, and of
     rows that tie in text and identifier one stays.  A null text counts as the empty text.
+    An empty table gives an empty result.  Columns of `df` may have any names.
     Returns the columns in `carry` (all of `df` by default) as one struct `row`, and keep_id,
     group_size (long), kept (boolean), text_sha256 (lower-case hex).  One row for each input row.
     """
-    rows, runs, spans = _sorted_runs(df, id_col, text_col, keep, df.columns if carry is None else carry)
+    carry = df.columns if carry is None else carry
+    rows, runs, spans = _sorted_runs(df, id_col, text_col, keep, carry)
     found = runs.join(F.broadcast(spans), (F.col("_part") == F.col("_p")) & (F.col("_run") == F.col("_r")), "left").select(
         F.col("_part").alias("_at_part"), F.col("_run").alias("_at_run"), F.coalesce("_all", "_n").cast("long").alias("group_size"),
         F.coalesce(F.col("_home_first"), F.col("_first"))["_id"].alias("keep_id"), F.coalesce("_home", "_part").alias("_home"))
     return rows.join(found, (F.col("_part") == F.col("_at_part")) & (F.col("_run") == F.col("_at_run"))).select(
-        "row", "keep_id", "group_size", ((F.col("_at") == 0) & (F.col("_part") == F.col("_home"))).alias("kept"),
+        F.struct(*_row(df, text_col, carry)).alias("row"), "keep_id", "group_size", ((F.col("_at") == 0) & (F.col("_part") == F.col("_home"))).alias("kept"),
         F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
@@ -103,4 +114,4 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     rows, _, spans = _sorted_runs(df, id_col, text_col, keep, df.columns)
     later = spans.where(F.col("_p") != F.col("_home"))
     first = rows.where(F.col("_at") == 0).join(F.broadcast(later), (F.col("_part") == F.col("_p")) & (F.col("_run") == F.col("_r")), "left_anti")
-    return first.select("row.*")
+    return first.select(*_row(df, text_col, df.columns))
