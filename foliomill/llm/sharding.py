@@ -130,6 +130,25 @@ class SlotMap:
             heapq.heappush(heap, (n + size.get(slot, 0), shard))
         return self._edited(shard_of, self.shards + 1, "one more shard")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Append this version to the stored map: a row a slot, and a row of what the edit did."""
+        self.table(spark).coalesce(1).write.mode("append").parquet(f"{path}/slots")
+        about = [(self.version, self.shards, len(self.shard_of), self.moved, self.history[-1])]
+        spark.createDataFrame(about, "version int, shards int, slots int, moved int, history string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> SlotMap | None:
+        """The last stored version, or None where nothing is stored; a version counts once its row in `versions` is there."""
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+        if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return None
+        versions = sorted(spark.read.parquet(f"{path}/versions").distinct().collect(), key=lambda r: r["version"])  # a row an edit
+        last = versions[-1]
+        rows = spark.read.parquet(f"{path}/slots").where(F.col("map_version") == last["version"]).distinct().collect()  # a row a slot
+        shard_of = tuple(r["map_shard"] for r in sorted(rows, key=lambda r: r["map_slot"]))
+        return cls(last["shards"], shard_of, last["version"], last["moved"], tuple(r["history"] for r in versions))
+
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(self.version, slot, shard) for slot, shard in enumerate(self.shard_of)]
         return spark.createDataFrame(rows, "map_version int, map_slot int, map_shard int")
@@ -154,23 +173,33 @@ def slot_bytes(records: DataFrame) -> dict[int, int]:
     return {r["virtual_slot"]: r["n"] for r in records.groupBy("virtual_slot").agg(F.sum("size").alias("n")).collect()}
 
 
-def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Put every record into a shard, sizes near equal, and number the records of each shard.
 
-    The map starts with the slots dealt in turn (version 1) and is edited by the bytes of the
-    slots (version 2); both versions are written beside each other, and the last one is used.
+    The last map stored at map_path is loaded and edited by the bytes of the slots, so records
+    stay in their shards but for the slots that the edit moves; where more shards are asked for,
+    the map grows first.  Without a stored map the slots are dealt in turn (version 1).  Each
+    edit is stored as a new version beside the others, and the last one is used.  Without
+    map_path the map lives in the scratch folder, for this call alone.
     Returns id, size, text_crc32, law (`bytes`), shard, slot (place in the shard, gapless from
     0), grown_shard (null for this law), virtual_slot and map_version.  An empty table gives an
     empty result.  Records with one id or one slot stay together in one shard.
     """
     spark = df.sparkSession
     records = written(virtual_slot(df, id_col, text_col, slots), "slots")
-    first = SlotMap.first(shards, slots)
-    last = first.rebalanced(slot_bytes(records))
-    path = new_folder(spark, "slot-map")
-    for version in (first, last):
-        version.table(spark).coalesce(1).write.mode("append").parquet(path)
-    current = spark.read.parquet(path).where(F.col("map_version") == last.version)
+    path = map_path or new_folder(spark, "slot-map")
+    sizes, last = slot_bytes(records), SlotMap.load(spark, path) if map_path else None
+    if last is None:
+        last = SlotMap.first(shards, slots)
+        last.save(spark, path)
+    elif len(last.shard_of) != slots or last.shards > shards:
+        raise ValueError(f"the stored map has {len(last.shard_of)} slots and {last.shards} shards")
+    while last.shards < shards:
+        last = last.grown(sizes)
+        last.save(spark, path)
+    last = last.rebalanced(sizes)
+    last.save(spark, path)
+    current = spark.read.parquet(f"{path}/slots").where(F.col("map_version") == last.version).distinct()
     placed = records.join(F.broadcast(current), F.col("virtual_slot") == F.col("map_slot")).withColumnRenamed("map_shard", "shard")
     numbered = gapless_positions(placed, "shard", [f"`{id_col}`", "text_crc32"], "slot", "_piece")
     return numbered.select(
