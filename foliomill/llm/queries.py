@@ -15,6 +15,7 @@ HOST_PATH_RULES = [
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text.  Null and empty texts have no windows and get the score of a text without a hit; ids may be null (held out by the crc32 of the empty text) or repeat."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, keep=["doc_id"])
@@ -22,6 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url.  A null url or one without `://` has an empty host and path and fits no rule; equal urls get equal verdicts; the longest rule wins, and no two that fit a url are of one length."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     fixed = [url_filter.host_path_rule(*r) for r in HOST_PATH_RULES]
     judged = url_filter.judge(pages, fixed + url_filter.DEFAULT_WORD_RULES)
@@ -31,41 +33,49 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of identical texts; the largest doc_id stays, null ids last.  Null counts as empty; of rows that tie in text and id one is kept; whole texts are compared, of any length."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sorted_ = exact_dedup.content_sort(docs, keep="largest", carry=["doc_id"])
     return sorted_.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of near equal bytes.  Null text: size 8; records that share an id share a virtual slot; ties in the order inside a shard go by the text's crc32; an empty table gives no rows."""
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records written and read back.  Null html is an empty payload; a null page_id stays null; of equal payloads the smallest page_id is the response, and a payload may have any length."""
     index = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")  # noqa: E731  none: a null page_id
     return warc.read_records(index).select(
         page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), page(F.col("refers_to"))).alias("refers_to"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every whole text.  Null and empty texts have no words and fail the base rules; rows are judged one by one, so repeated rows get equal verdicts."""
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rules")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base score and model score of every whole text.  Null texts are empty: one token, the end.  Repeated rows count each; texts of any length go through windows."""
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and their decoding, as digests.  Null texts are empty: no ids; a special token's string in a text becomes its id, as the library does."""
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all texts in sequences of at most 2048 tokens.  Null texts are empty: one piece, the end id; repeated ids and equal texts are packed row by row; long texts are cut."""
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text.  Null, empty and blank texts have fingerprint zero and link like any other; repeated rows share a component; a null id is smallest only where there is no other."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

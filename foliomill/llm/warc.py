@@ -116,12 +116,13 @@ def parse_headers(raw: bytes) -> dict[str, str]:
 
 
 def _put(files: pafs.FileSystem, path: str, temporary: str) -> None:
-    """Give a finished file its name; a second attempt at the same file replaces it."""
+    """Give a finished file its name; where an earlier attempt left one, that goes aside first and is deleted last."""
     try:
         files.move(temporary, path)
     except OSError:
-        files.delete_file(path)
+        files.move(path, f"{temporary}.old")
         files.move(temporary, path)
+        files.delete_file(f"{temporary}.old")
 
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
