@@ -42,7 +42,6 @@ _RE2_SPACE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{202
 _PAIR_BITS = 20
 _CACHE_ENTRIES = 400_000
 _CACHE_CHARS = 48
-_SCAN_CHARS = 64
 _WORD_AND_MARKS = rf"^(?P<word>\pL+|\pN+|)(?P<marks>[^{_RE2_SPACE}\pL\pN]*)$"
 
 
@@ -94,12 +93,6 @@ class BpeCodec:
                 if (j := by_bytes.get(t[:n])) is not None:
                     self.shorter[i] = j
                     break
-        self.deepest: dict[str, int] = {}  # of every path from the automaton's root: the longest token on it
-        for t in by_bytes:
-            path, best = t.decode("latin-1"), -1
-            for n in range(1, len(path) + 1):
-                best = by_bytes.get(t[:n], best)
-                self.deepest[path[:n]] = best
         self.compatible: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self._pre = regex.compile(PRE_TOKEN)
@@ -143,19 +136,12 @@ class BpeCodec:
         return longest
 
     def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token, given as its bytes in Latin-1.
-
-        Short pieces follow the automaton's forward edges from the positions that the walk
-        visits; in long ones a scan with its failure links finds all positions' tokens at once.
-        """
-        n = len(piece)
-        longest = self._longest(piece) if n > _SCAN_CHARS else None
-        walk, deepest = self.automaton.longest_prefix, self.deepest
+        """Ids of one pre-token, given as its bytes in Latin-1."""
+        n, longest = len(piece), self._longest(piece)
         lengths, shorter, pairs = self.lengths, self.shorter, self.compatible
         out: list[int] = []
         dead: set[int] = set()
-        at, before = 0, -1
-        token = deepest[piece[: walk(piece)]] if longest is None else longest[0]
+        at, before, token = 0, -1, longest[0]
         while True:
             end = at + lengths[token]
             fits = end not in dead
@@ -168,11 +154,7 @@ class BpeCodec:
                 if end == n:
                     return out
                 at, before = end, token
-                if longest is None:
-                    rest = piece[at:]
-                    token = deepest[rest[: walk(rest)]]
-                else:
-                    token = longest[at]
+                token = longest[at]
                 continue
             token = shorter[token]
             if token < 0:
