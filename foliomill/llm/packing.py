@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import bisect
 import functools
-import time
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +42,15 @@ class Fill:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Bins that any packing needs: the sum's, and for each k the large lengths that can't share."""
-    total = sum(n * c for n, c in counts.items())
-    best = -(-total // capacity)
-    large = sum(c for n, c in counts.items() if 2 * n > capacity)
-    best = max(best, large)
-    for k in sorted({min(n, capacity - n) for n in counts if n < capacity} - {0})[:512]:
-        over = sum(c for n, c in counts.items() if n > capacity - k)
-        between = {n: c for n, c in counts.items() if k <= n <= capacity - k}
-        alone = sum(c for n, c in between.items() if 2 * n > capacity)
-        room = sum((capacity - n) * c for n, c in between.items() if 2 * n > capacity)
-        rest = sum(n * c for n, c in between.items() if 2 * n <= capacity)
+    sizes = np.array(sorted(counts), np.int64)
+    number = np.array([counts[n] for n in sizes.tolist()], np.int64)
+    upto, mass = np.concatenate([[0], np.cumsum(number)]), np.concatenate([[0], np.cumsum(sizes * number)])
+    half, total = int(np.searchsorted(sizes, capacity // 2, side="right")), int(mass[-1])
+    best = max(-(-total // capacity), int(upto[-1] - upto[half]))
+    for k in sorted({min(n, capacity - n) for n in counts if n < capacity} - {0}):
+        low, high = int(np.searchsorted(sizes, k)), int(np.searchsorted(sizes, capacity - k, side="right"))
+        over, alone = int(upto[-1] - upto[high]), int(upto[high] - upto[half])
+        room, rest = alone * capacity - int(mass[high] - mass[half]), int(mass[half] - mass[low])
         best = max(best, over + alone + max(0, -(-(rest - room) // capacity)))
     return best
 
@@ -92,87 +92,104 @@ def _take(left: dict[int, int], keys: list[int], used: Counter, times: int) -> N
             keys.pop(bisect.bisect_left(keys, n))
 
 
-def fillings(keys: list[int], left: dict[int, int], opener: int, capacity: int, most: int, waste: int) -> list[tuple[int, ...]]:
-    """Undominated fillings around `opener`, least waste first, at most `most`.
+def fillings(keys: list[int], left: dict[int, int], opener: int, capacity: int, waste: int, work: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of every undominated filling around `opener` that wastes `waste` at most, larger lengths first.
 
-    A filling is dominated if a length in it could be replaced by a larger one that is left and
-    still fits; fillings that waste more than `waste` are pruned.
+    A filling is dominated if a length that is left fits beside it, or fits in the place of a
+    smaller one, or of several that fill its room.  Each step is taken off work[0]; at 0 it ends.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = [60 * most]
-
-    def extend(room: int, below: int, fill: tuple[int, ...], used: Counter) -> None:
-        if len(found) >= 4 * most or budget[0] <= 0:
-            return
-        budget[0] -= 1
-        at = bisect.bisect_right(keys, min(room, below))
-        tried = 0
-        while at and tried < 6 and len(found) < 4 * most:
-            n = keys[at - 1]
-            at -= 1
-            if left[n] - used[n] <= 0:
+    used, fill, room = Counter({opener: 1}), [], capacity - opener
+    at, fits = [bisect.bisect_right(keys, room)], [False]
+
+    def undominated() -> bool:
+        for over in (0, *set(fill)):
+            i = bisect.bisect_right(keys, over)
+            while i < len(keys) and keys[i] <= over + room:
+                if left[keys[i]] > used[keys[i]]:
+                    return False
+                i += 1
+        return True
+
+    while at:
+        if at[-1]:
+            at[-1] -= 1
+            n = keys[at[-1]]
+            if left[n] <= used[n]:
                 continue
-            tried += 1
+            work[0] -= 1
+            if work[0] <= 0:
+                return
+            fits[-1] = True
+            if n == room:
+                at[-1] = 0  # it fills the room, so it dominates all smaller ones
+            fill.append(n)
             used[n] += 1
-            extend(room - n, n, (*fill, n), used)
+            room -= n
+            at.append(bisect.bisect_right(keys, min(room, n)))
+            fits.append(False)
+            continue
+        if not fits[-1] and room <= waste and undominated():
+            yield room, (opener, *fill)
+        at.pop()
+        fits.pop()
+        if fill:
+            n = fill.pop()
             used[n] -= 1
-            if room - n == 0:
-                return  # a filling without waste dominates the smaller ones
-        if not tried and room <= waste:
-            found.append((room, fill))
-
-    extend(capacity - opener, opener, (), Counter({opener: 1}))
-    unique = sorted(set(found), key=lambda f: (f[0], len(f[1]), tuple(-n for n in f[1])))
-    kept: list[tuple[int, tuple[int, ...]]] = []
-    for waste_, fill in unique:
-        if not any(len(k) == len(fill) and all(a >= b for a, b in zip(k, fill)) for _, k in kept):
-            kept.append((waste_, fill))
-        if len(kept) >= most:
-            break
-    return [(opener, *f) for _, f in kept]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, branches: int = 4, nodes: int = 20_000, seconds: float = 20.0) -> list[Fill]:
+            room += n
+
+
+#: Steps of the search that a new node costs, as it copies the histogram; fillings that a node sorts by their waste at a time.
+NODE_WORK, SORTED = 50, 16
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, work: int = 1_000_000) -> list[Fill]:
     """A plan with as few bins as the search finds; the best-fit plan is the first incumbent.
 
-    branches: fillings tried at each node.  nodes, seconds: after either the incumbent is taken.
+    The search goes depth first over the undominated fillings around the largest length left and
+    prunes by the waste that a better plan may have.  Every branch is walked unless `work` steps
+    are used up, in any run alike; the incumbent is taken then, and all lengths are in it.
     """
     counts = {int(n): int(c) for n, c in counts.items() if c > 0}
     if not counts:
         return []
     if max(counts) > capacity or min(counts) < 1:
         raise ValueError("lengths lie between 1 and the capacity")
-    bins = lambda plan: sum(f.times for f in plan)
     best = best_fit_decreasing(counts, capacity)
-    target, total = lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
-    ends, visited = time.monotonic() + seconds, 0
-    # A depth-first walk with its own stack: (counts left, fillings so far, bins, waste so far).
-    stack = [(counts, None, 0, 0)]
-    while stack and bins(best) > target and visited < nodes and time.monotonic() < ends:
-        left, chain, used_bins, wasted = stack.pop()
-        visited += 1
-        allowed = (bins(best) - 1) * capacity - total - wasted
-        if allowed < 0:
-            continue
+    bins = sum(f.times for f in best)
+    target, total, budget = lower_bound(counts, capacity), sum(n * c for n, c in counts.items()), [work]
+
+    def options(left: dict[int, int], wasted: int) -> Iterator[tuple[int, tuple[int, ...]]]:
         keys = sorted(n for n, c in left.items() if c)
-        if not keys:
-            if used_bins < bins(best):
-                best = _unwound(chain)
+        found = fillings(keys, left, keys[-1], capacity, (bins - 1) * capacity - total - wasted, budget)
+        while some := sorted(islice(found, SORTED)):
+            yield from some
+
+    # A depth-first walk with its own stack: (counts left, fillings so far, bins, waste so far, fillings to try).
+    stack = [(counts, None, 0, 0, options(counts, 0))]
+    while stack and bins > target and budget[0] > 0:
+        left, chain, used_bins, wasted, tries = stack[-1]
+        waste, fill = next(tries, (0, None))
+        if fill is None:
+            stack.pop()
             continue
-        rest = sum(n * c for n, c in left.items())
-        if used_bins + -(-rest // capacity) >= bins(best):
+        allowed = (bins - 1) * capacity - total - wasted
+        if waste > allowed:
             continue
-        options = fillings(keys, left, keys[-1], capacity, branches, allowed)
-        for fill in reversed(options):
-            use = Counter(fill)
-            times = min(left[n] // c for n, c in use.items())
-            waste = capacity - sum(fill)
-            if waste:
-                times = min(times, max(1, allowed // waste))
+        use = Counter(fill)
+        times = min(left[n] // c for n, c in use.items())
+        if waste:
+            times = min(times, max(1, allowed // waste))
+        for k in sorted({1, times}):  # once, and on top, so tried before it, as often as it can be
             after = dict(left)
             for n, c in use.items():
-                after[n] -= c * times
-            stack.append((after, (Fill(fill, times), chain), used_bins + times, wasted + waste * times))
+                after[n] -= c * k
+            budget[0] -= NODE_WORK
+            node = (after, (Fill(fill, k), chain), used_bins + k, wasted + waste * k)
+            if not any(after.values()):
+                if node[2] < bins:
+                    best, bins = _unwound(node[1]), node[2]
+            elif node[2] + -(-sum(n * c for n, c in after.items()) // capacity) < bins:
+                stack.append((*node, options(after, node[3])))
     return best
 
 
