@@ -203,33 +203,18 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
     per_half = max_bits // 2  # of two halves, one differs in no more than half the bits
     radius = 1 + -(-per_half // 2)
 
-    def replicate(batches, prints_only=False, blocks=None):
-        blocks = blocks or {}
-        large = np.array(sorted(blocks), np.uint64)
+    def replicate(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 8192):
                 prints = whole.column(0).slice(at, 8192).to_numpy().view(np.uint64)
                 anchors, index = anchors_of(prints, radius)
-                block = np.full(len(anchors), -1, np.int64)
-                if len(large):
-                    extra_anchors, extra_index, extra_block = [], [], []
-                    hot = np.isin(anchors, large)
-                    for anchor in np.unique(anchors[hot]):
-                        g = blocks[int(anchor)]
-                        own = index[anchors == anchor]
-                        mine = (prints[own] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % g
-                        for other in range(g):
-                            extra_anchors.append(np.full(len(own), anchor, np.uint64))
-                            extra_index.append(own)
-                            extra_block.append(np.minimum(mine, other) * g + np.maximum(mine, other))
-                    anchors = np.concatenate([anchors[~hot], *extra_anchors])
-                    index, block = np.concatenate([index[~hot], *extra_index]), np.concatenate([block[~hot], *extra_block])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors.view(np.int64)), pa.array(block, pa.int64()), pa.array(prints[index].view(np.int64))], ["anchor", "block", "fp"])
-
-    looked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0).mapInArrow(replicate, "anchor long, block long, fp long")
-    counts = looked.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * LOOK > BLOCK).collect()
-    blocks = {int(r["anchor"]): -(-r["n"] * LOOK // BLOCK) for r in counts}
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(prints[index].view(np.int64))], ["anchor", "fp"])
+
+    # Anchors with many fingerprints, and into how many blocks theirs are dealt; a table, as there may be many.
+    looked = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0).mapInArrow(replicate, "anchor long, fp long")
+    seen = F.col("n") * LOOK
+    hot = written(looked.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(seen > BLOCK).select(
+        F.col("anchor").alias("_hot"), F.ceil(seen / BLOCK).cast("long").alias("_g")), "hot-anchors")
 
     def compare(batches):
         held_keys, held = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
@@ -252,7 +237,14 @@ def links(distinct: DataFrame, max_bits: int = 4) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    replicas = distinct.mapInArrow(lambda batches: replicate(batches, blocks=blocks), "anchor long, block long, fp long")
+    replicas = distinct.mapInArrow(replicate, "anchor long, fp long")
+    if hot.limit(1).count():  # each block of a hot anchor meets each other, and itself
+        g = F.coalesce("_g", F.lit(1))
+        dealt = replicas.join(hot, F.col("anchor") == F.col("_hot"), "left").select(
+            "anchor", "fp", g.alias("_g"), F.pmod(F.xxhash64("fp"), g).alias("_mine"), F.explode(F.sequence(F.lit(0).cast("long"), g - 1)).alias("_other"))
+        replicas = dealt.select("anchor", (F.least("_mine", "_other") * F.col("_g") + F.greatest("_mine", "_other")).alias("block"), "fp")
+    else:
+        replicas = replicas.select("anchor", F.lit(0).cast("long").alias("block"), "fp")
     dealt = replicas.repartition(shuffle_partitions(spark), "anchor", "block").sortWithinPartitions("anchor", "block")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
