@@ -26,12 +26,14 @@ _cleanups: set[str] = set()
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, local runs) a temporary folder is made.
+    Only a local master may go without it (tests, local runs); a temporary folder is made there.
     """
     global _own_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = "file://" + tempfile.mkdtemp(prefix="foliomill-")
     return _own_root

@@ -169,6 +169,30 @@ def test_sharding(spark, sf, docs, awkward, empty):
     assert len(odd) == awkward.count() and sharding.shard(empty).count() == 0
 
 
+def test_stored_slot_map_is_edited(spark, sf, tmp_path):
+    docs, path = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), f"file://{tmp_path}/map"
+    some = {r.doc_id: r for r in sharding.shard(docs.where("doc_id < 600"), shards=8, slots=512, map_path=path).collect()}
+    more = {r.doc_id: r for r in sharding.shard(docs, shards=8, slots=512, map_path=path).collect()}
+    stored = sharding.SlotMap.load(spark, path)
+    assert {r.map_version for r in some.values()} == {2} and {r.map_version for r in more.values()} == {3} and stored.version == 3 and len(stored.history) == 3
+    assert all(stored.shard_of[r.virtual_slot] == r.shard for r in more.values())
+    edited = {r.virtual_slot for r in more.values() if r.doc_id in some and some[r.doc_id].shard != r.shard}
+    assert len(edited) <= stored.moved < 512 / 2  # the edit moves what it must, all else stays
+    grown = {r.doc_id: r for r in sharding.shard(docs, shards=9, slots=512, map_path=path).collect()}
+    assert {r.map_version for r in grown.values()} == {5} and {r.shard for r in grown.values()} == set(range(9))
+    with pytest.raises(ValueError):
+        sharding.shard(docs, shards=9, slots=256, map_path=path)
+
+
+def test_sharding_by_brute_force(spark, sf, docs):
+    got = queries.op4_sharding(spark, sf)
+    rows = got.select("*", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(sharding.SLOTS)).alias("wanted")).toPandas()
+    assert (rows.virtual_slot == rows.wanted).all()
+    sizes = rows.groupby("virtual_slot")["size"].sum()
+    edited = sharding.SlotMap.first(24).rebalanced({int(k): int(v) for k, v in sizes.items()})
+    assert all(edited.shard_of[r.virtual_slot] == r.shard for r in rows.itertuples())
+
+
 def test_slot_map_edits():
     rng = np.random.default_rng(1)
     size = {s: int(n) for s, n in enumerate(rng.lognormal(8, 1, 4096))}
@@ -202,6 +226,13 @@ def test_warc(spark):
     assert warc.read_records(warc.archive(pages.where("false"))).count() == 0
 
 
+def test_warc_query_with_a_null_id(spark, tmp_path):
+    rows = [(3, "u", "p" * 150), (None, "u", "p" * 150), (None, "u", None), (1, None, "p" * 150)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.payload_bytes): (r.record_type, r.refers_to) for r in queries.op5_warc(spark, str(tmp_path)).collect()}
+    assert got == {(1, 150): ("response", None), (3, 150): ("revisit", 1), (None, 150): ("revisit", 1), (None, 0): ("response", None)}
+
+
 def test_monolithic_stream_becomes_members():
     import gzip
     import io
@@ -615,8 +646,7 @@ def test_pipeline_stages(spark, sf):
             assert set(after) == set(first.values())
         if name == "SimHash near-dedup":
             ids = sorted(before)
-            roots = brute_components([brute_print(before[i], 5) for i in ids])
-            assert set(after) == {ids[r] for r in roots}
+            assert set(after) == {ids[r] for r in brute_similar([before[i] for i in ids])}
         held = out
     from tokenizers import Tokenizer
 
@@ -685,3 +715,40 @@ def test_pipeline_near_copies_go_by_row(spark, sf):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, frame, sf).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+# clashing names, long texts and stages without rows
+
+
+def test_clashing_names_and_long_texts(spark):
+    words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor ".split()
+    text = " ".join(words[i * i % 12] + str(i % 977) for i in range(150_000))
+    rows = [(1, text, "x"), (2, text, "x"), (3, None, "x"), (None, "", "x")]
+    names = ["score", "ids", "fp", "component_id", "fingerprint", "sequence_id", "piece", "kept", "row", "keep_id", "shard", "slot", "size", "_text", "_id"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score string").select("doc_id", "text", *[F.lit("x").alias(n) for n in names])
+    model = toxicity.train(frame, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))
+    assert toxicity.score(frame, model).count() == 4
+    assert bpe.digests(frame).count() == 4
+    pieces = packing.pack(frame).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 1) == sum(r.length for r in pieces if r.doc_id == 2) > 150_000
+    assert {r.component_id for r in simhash.near_duplicates(frame).collect() if r.doc_id in (1, 2)} == {1}
+    assert sorted(r.group_size for r in exact_dedup.content_sort(frame).collect()) == [2, 2, 2, 2]
+    kept = exact_dedup.deduplicate(frame)
+    assert kept.columns == frame.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, text), (3, None)]
+    assert sharding.shard(frame.select("doc_id", "text"), shards=2).count() == 4
+
+
+def test_pipeline_stages_on_nulls_repeats_and_nothing(spark, sf):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = " ".join(f"the word{i} and that word{i}x" for i in range(30))
+    rows = [(1, good, "en", "s", 9), (1, good, "en", "s", 9), (None, good + " or not", "en", "s", 9), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        full = bool(table.count())
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, sf)
+            if name != "best-fit packing":
+                assert out.columns == table.columns
+                table = spark.createDataFrame(out.collect(), schema)
+        assert [r.doc_id for r in out.collect()] == ([1] if full else [])
