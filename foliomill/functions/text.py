@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,20 +72,100 @@ def likely_heading(c: Column) -> Column:
     return (F.octet_length(t) <= 60) & (t.rlike("^第.*[章节篇]") | (t.rlike(r"^[0-9]") & F.contains(t, F.lit(".")) & t.rlike(r"(?U)^[0-9.]+(\s|$)")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sliding_chunks(text: Column, size: int = 500, overlap: int = 80) -> Column:
     """Array of overlapping pieces; a text no longer than `size` is one piece, even if empty."""
     size = size or 500
     overlap = size // 5 if overlap >= size else overlap
     step = max(1, size - overlap)
-    k = F.when(F.length(text) <= size, F.lit(0)).otherwise(F.ceil((F.length(text) - size) / step).cast("int"))
-    pieces = F.transform(F.sequence(F.lit(0), k), lambda i: utrim(F.substring(text, i * step + 1, F.lit(size))))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.filter(pieces, lambda p: p != ""))
+
+    def cut(t: Column) -> Column:
+        k = F.when(F.length(t) <= size, F.lit(0)).otherwise(F.ceil((F.length(t) - size) / step).cast("int"))
+        pieces = F.transform(F.sequence(F.lit(0), k), lambda i: utrim(F.substring(t, i * step + 1, F.lit(size))))
+        return F.when(F.length(t) <= size, F.array(t)).otherwise(F.filter(pieces, lambda p: p != ""))
+
+    return let(text, cut)
 
 
 def token_estimate(n_chars: Column) -> Column:
     return F.round(n_chars * F.lit(0.75)).cast("bigint")
 
 
+def block_width(c: Column, font_size: Column) -> Column:
+    """Width of a text in a font: 0.55 of its size for ASCII, the whole size for others."""
+    n_wide = F.length(F.regexp_replace(c, r"[\x00-\x7F]", ""))
+    return (F.length(c) - n_wide) * (font_size * F.lit(0.55)) + n_wide * font_size
+
+
+def rounded(c: Column, digits: int = 1) -> Column:
+    """Half away from zero, by scaling as the tools do it."""
+    return F.round(c * F.lit(float(10**digits))) / F.lit(float(10**digits))
+
+
+def emu_mm(c: Column) -> Column:
+    """English metric units as millimetres; null unless positive."""
+    mm = rounded(c / F.lit(36000.0))
+    return F.when(mm > 0, mm)
+
+
+def paper_twips(w: Column, h: Column) -> Column:
+    hi, lo = F.greatest(w, h), F.least(w, h)
+    near = lambda a, b: (F.abs(hi - a) < 100) & (F.abs(lo - b) < 100)
+    return F.when(near(16838, 11906), "A4").when(near(23811, 16838), "A3").when(near(15840, 12240), "Letter").otherwise("Custom")
+
+
+def is_heading_style(style: Column, titles: bool = False) -> Column:
+    """Whether a style's name is a heading's; with `titles`, a title's too."""
+    low = F.lower(F.coalesce(style, F.lit("")))
+    out = F.contains(low, F.lit("heading")) | F.contains(low, F.lit("标题"))
+    return out | F.contains(low, F.lit("title")) if titles else out
+
+
+def image_type(content: Column, content_type: Column | None = None) -> Column:
+    """jpg, png, webp, gif or bmp by the first bytes, else by the content type, else jpg."""
+    head, kind = F.hex(F.substring(content, 1, 12)), F.lower(F.coalesce(content_type if content_type is not None else F.lit(None).cast("string"), F.lit("")))
+    out = (F.when(F.startswith(head, F.lit("FFD8FF")), "jpg").when(F.startswith(head, F.lit("89504E470D0A1A0A")), "png")
+           .when(head.rlike("^52494646.{8}57454250"), "webp").when(head.rlike("^474946383[79]61"), "gif").when(F.startswith(head, F.lit("424D")), "bmp"))
+    for name, as_ in (("jpeg", "jpg"), ("jpg", "jpg"), ("png", "png"), ("webp", "webp"), ("gif", "gif")):
+        out = out.when(F.contains(kind, F.lit(name)), as_)
+    return out.otherwise("jpg")
+
+
+def clean_path(c: Column) -> Column:
+    """Blanks at the ends, then double quotes, then single quotes go; an escaped double quote is unescaped."""
+    bare = F.regexp_replace(F.regexp_replace(utrim(c), '^"+|"+$', ""), "^'+|'+$", "")
+    return F.replace(bare, F.lit('\\"'), F.lit('"'))
+
+
+def key_values(c: Column) -> Column:
+    """`a=b,c=d` as a map: pairs without `=` are left out, both sides are trimmed, the last of equal keys stays."""
+    pairs = F.filter(F.transform(F.split(c, ","), lambda p: F.struct(utrim(F.regexp_extract(p, r"(?s)^([^=]*)=", 1)).alias("k"), utrim(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
+                                                                      F.contains(p, F.lit("=")).alias("ok"))), lambda e: e["ok"])
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda later: later["k"] == e["k"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+
+
+def breadcrumb(parent: Column, title: Column) -> Column:
+    return F.when(F.coalesce(parent, F.lit("")) == "", title).otherwise(F.concat(parent, F.lit(" / "), title))
+
+
+def lines_as_markdown(text: Column) -> Column:
+    """Lines trimmed, likely headings as `###` between empty lines."""
+    lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
+    return F.array_join(F.transform(lines, lambda line: F.when(likely_heading(line), F.concat(F.lit("\n### "), utrim(line), F.lit("\n"))).otherwise(utrim(line))), "\n")
+
+
+def matches_title(title: Column, query: str) -> Column:
+    """Either holds the other, without marks and case, or as they stand without case; an empty side fits nothing."""
+    q, t = F.lit(query), F.coalesce(title, F.lit(""))
+    both = lambda a, b: (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
+    return both(normalise_for_match(t), normalise_for_match(q)) | both(F.lower(t), F.lower(utrim(q)))
+
+
 def paper(w: Column, h: Column) -> Column:
     hi, lo = F.greatest(w, h), F.least(w, h)
     near = lambda a, b: (F.abs(hi - a) < 10) & (F.abs(lo - b) < 10)
@@ -118,11 +200,25 @@ def markdown_line(values: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(values, " | "), F.lit(" |\n"))
 
 
+def markdown_table(rows: Column) -> Column:
+    """An array of rows as a Markdown table; the first row is its header.  Bars in cells stay as they are."""
+    rule = F.concat(F.lit("|"), F.array_join(F.transform(F.get(rows, F.lit(0)), lambda c: F.lit(" --- |")), ""), F.lit("\n"))
+    lines = F.transform(rows, lambda r, i: F.concat(markdown_line(r), F.when(i == 0, rule).otherwise("")))
+    return F.array_join(lines, "")
+
+
+def csv_text(rows: Column) -> Column:
+    return F.array_join(F.transform(rows, csv_line), "")
+
+
 def find_date(c: Column) -> Column:
-    """The first four digits with a separator after them, eleven characters at most; no calendar check."""
-    raw = F.regexp_extract(c, r"(?s)[0-9]{4}[-/.年].{3,6}", 0)
-    out = F.regexp_replace(utrim(raw), r"^[\[\]()]+|[\[\]()]+$", "")
-    return F.when((raw != "") & (F.octet_length(out) >= 8), out)
+    """The first four digits with a separator after them that give eight bytes at least; no calendar check.
+
+    Eleven characters are taken at most, blanks at the ends go, then brackets.
+    """
+    found = F.regexp_extract_all(c, F.lit(r"(?s)(?=([0-9]{4}[-/.年].{3,6}))"), 1)
+    clean = F.transform(found, lambda d: F.regexp_replace(utrim(d), r"^[\[\]()]+|[\[\]()]+$", ""))
+    return F.get(F.filter(clean, lambda d: F.octet_length(d) >= 8), F.lit(0))
 
 
 def escape_xml(c: Column) -> Column:

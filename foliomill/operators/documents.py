@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
+from foliomill.functions.ranges import paragraph_span
 
 
 def chunk_sliding(docs: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
     """(doc_id, text) -> one row for each overlapping piece of a text."""
-    pieces = docs.select("doc_id", F.posexplode(T.sliding_chunks(T.utrim(F.col("text")), size, overlap)).alias("chunk_id", "text"))
+    trimmed = T.let(T.utrim(F.col("text")), lambda t: T.sliding_chunks(t, size, overlap))
+    pieces = docs.select("doc_id", F.posexplode(trimmed).alias("chunk_id", "text"))
     return pieces.withColumn("char_count", F.length("text")).withColumn("token_estimate", T.token_estimate(F.length("text")))
 
 
@@ -50,14 +52,31 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def outline(paras: DataFrame) -> DataFrame:
-    """Headings (level 1 to 6 by style) of (doc_id, para_idx, style_id, text)."""
-    return paras.withColumn("level", T.heading_level(F.col("style_id"))).where(F.col("level").isNotNull() & ~T.blank(F.col("text")))
+    """Headings (level 1 to 6 by style) of (doc_id, para_idx, style_id, text), their texts trimmed."""
+    found = paras.withColumn("level", T.heading_level(F.col("style_id"))).where(F.col("level").isNotNull() & ~T.blank(F.col("text")))
+    return found.withColumn("text", T.utrim(F.col("text")))
+
+
+def heading_pages(outline: DataFrame, total: Column, query: str) -> DataFrame:
+    """(doc_id, node_ord, title, page_from, page_to) of the first node (doc_id, node_ord, title, start) whose title fits `query`.
+
+    A node without a page starts at the first; its pages go up to the next node on a greater page.
+    """
+    ends = section_ends(outline, total, "next_greater")
+    w = Window.partitionBy("doc_id").orderBy("node_ord")
+    hits = ends.where(T.matches_title(F.col("title"), query)).withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    start = F.coalesce("start", F.lit(1))
+    return hits.select("doc_id", "node_ord", "title", start.alias("page_from"), F.greatest(F.least("end", total), start).alias("page_to"))
+
+
+def read_paragraphs(paras: DataFrame, first: int, last: int) -> DataFrame:
+    """Paragraphs of an inclusive range of ordinals; see ranges.paragraph_span for its text form."""
+    return paras.where(F.col("para_idx").between(first, last))
 
 
 def read_section(paras: DataFrame, query: str) -> DataFrame:
     """The first heading that holds `query`, up to the next heading that doesn't."""
-    heading = F.lower("style_id").contains("heading") | F.col("style_id").contains("标题")
-    heading = F.coalesce(heading, F.lit(False))
+    heading = T.is_heading_style(F.col("style_id"))
     w = Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, 0)
     hit = heading & F.col("text").contains(query)
     marked = paras.withColumn("_open", F.max(F.when(hit, 1).otherwise(0)).over(w))
@@ -65,14 +84,23 @@ def read_section(paras: DataFrame, query: str) -> DataFrame:
     return closed.where("_open = 1 and _shut = 0").drop("_open", "_shut")
 
 
-def page_slices(paras: DataFrame, heading: Column, preview: int = 80) -> DataFrame:
-    """(doc_id, para_idx, text, is_break) -> slices; the paragraph of a break opens the next slice."""
+def page_slices(paras: DataFrame, preview: int = 80, enough: int = 120) -> DataFrame:
+    """(doc_id, para_idx, text, style_id, is_break) -> slices; the paragraph of a break opens the next slice.
+
+    Blank paragraphs give neither a heading nor a preview.  The preview joins body paragraphs as
+    long as it has fewer than `enough` bytes, and is cut to its first characters.
+    """
     w = Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = paras.withColumn("page", 1 + F.sum(F.col("is_break").cast("int")).over(w)).withColumn("_h", heading)
-    in_order = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("para_idx", "text")))), lambda r: r["text"])
-    return numbered.groupBy("doc_id", "page").agg(
+    numbered = paras.withColumn("page", 1 + F.sum(F.col("is_break").cast("int")).over(w)).withColumn("_t", T.utrim(F.col("text")))
+    some = F.col("_t") != ""
+    marked = numbered.withColumn("_h", some & T.heading_level(F.col("style_id")).isNotNull()).withColumn("_b", some & ~F.col("_h"))
+    before = Window.partitionBy("doc_id", "page").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.sum(F.when(F.col("_b"), F.octet_length("_t") + 1)).over(before) - 1  # the texts so far and the blanks between them
+    kept = marked.withColumn("_b", F.col("_b") & (F.coalesce(held, F.lit(0)) < enough))
+    in_order = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("para_idx", "_t")))), lambda r: r["_t"])
+    return kept.groupBy("doc_id", "page").agg(
         F.min("para_idx").alias("para_from"), F.max("para_idx").alias("para_to"), in_order(F.col("_h")).alias("headings"),
-        F.substring(F.array_join(in_order(~F.col("_h")), " "), 1, preview).alias("preview"))
+        F.substring(F.array_join(in_order(F.col("_b")), " "), 1, preview).alias("preview"))
 
 
 def replace(paras: DataFrame, pairs: list[tuple[str, str]], by: str = "text") -> DataFrame:
@@ -103,15 +131,62 @@ def _quoted(literal: str) -> str:
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def insert_row(rows: DataFrame, at: int, values: dict, group: str = "doc_id", ord_col: str = "para_idx") -> DataFrame:
-    """Insert before ordinal `at` of each group; the ordinals after it move up."""
+def insert_row(rows: DataFrame, at: int, values: dict, group: str = "doc_id", ord_col: str = "para_idx", strict: bool = False) -> DataFrame:
+    """Insert before ordinal `at` of each group; the ordinals after it move up.
+
+    A group with fewer than `at` rows stays as it is, or is an error if `strict`.
+    """
     moved = rows.withColumn(ord_col, F.col(ord_col) + F.when(F.col(ord_col) >= at, 1).otherwise(0))
-    groups = rows.groupBy(group).agg(F.max(ord_col).alias("_max")).where(F.col("_max") + 1 >= at)
+    groups = rows.groupBy(group).agg(F.max(ord_col).alias("_max"))
+    fits = F.col("_max") + 1 >= at
+    if strict:
+        fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit(f"no place {at} in "), F.col(group).cast("string"))).cast("boolean"))
     kinds = dict(rows.dtypes)
-    new = groups.select(*[F.col(group) if c == group else F.lit(at).cast(kinds[c]).alias(c) if c == ord_col else F.lit(values.get(c)).cast(kinds[c]).alias(c) for c in rows.columns])
+    new = groups.where(fits).select(*[F.col(group) if c == group else F.lit(at).cast(kinds[c]).alias(c) if c == ord_col else F.lit(values.get(c)).cast(kinds[c]).alias(c) for c in rows.columns])
     return moved.unionByName(new)
 
 
+def insert_table_row(cells: DataFrame, at: int, values: list[str], group: str = "doc_id") -> DataFrame:
+    """Insert a row of trimmed cells before row `at` of each table (group, row, col, value); at the end where `at` is its number of rows."""
+    moved = cells.withColumn("row", F.col("row") + F.when(F.col("row") >= at, 1).otherwise(0))
+    tables = cells.groupBy(group).agg(F.max("row").alias("_max")).where(F.col("_max") + 1 >= at)
+    kinds = dict(cells.dtypes)
+    new = tables.select(group, F.posexplode(F.array(*[F.lit(v.strip()) for v in values]).cast("array<string>")).alias("_col", "_value"))
+    own = {group: F.col(group), "row": F.lit(at), "col": F.col("_col"), "value": F.col("_value")}
+    return moved.unionByName(new.select(*[own.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in cells.columns]))
+
+
+def delete_table_row(cells: DataFrame, at: int) -> DataFrame:
+    return delete_row(cells, at, 1, "row")
+
+
+def table_overview(cells: DataFrame, group: str = "doc_id") -> DataFrame:
+    """(group, table_idx, rows, cols, preview) of (group, table_idx, row, col, text): sizes, and the texts of the first row."""
+    first = F.when(F.col("row") == 0, F.struct("col", "text"))
+    found = cells.groupBy(group, "table_idx").agg((F.max("row") + 1).alias("rows"), F.array_sort(F.collect_list(first)).alias("_first"))
+    return found.select(group, "table_idx", "rows", F.size("_first").alias("cols"), F.transform("_first", lambda r: r["text"]).alias("preview"))
+
+
+def table_text(cells: DataFrame, form: str, group: str = "doc_id") -> DataFrame:
+    """(group, table_idx, text): each table as Markdown, CSV or JSON rows."""
+    rows = cells.groupBy(group, "table_idx", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda r: r["text"]).alias("_cells"))
+    whole = rows.groupBy(group, "table_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "_cells"))), lambda r: r["_cells"]).alias("_rows"))
+    text = {"markdown": T.markdown_table, "csv": T.csv_text}.get(form, F.to_json)(F.col("_rows"))
+    return whole.select(group, "table_idx", text.alias("text"))
+
+
+def highlighted(runs: DataFrame) -> DataFrame:
+    """Runs with a highlight, whatever its value, and text that isn't blank."""
+    return runs.where(F.col("highlight").isNotNull() & ~T.blank(F.col("text")))
+
+
+def image_targets(images: DataFrame, rels: DataFrame, group: str = "path") -> DataFrame:
+    """Images (group, img_idx, rel_id, ...) with `filename`: the target of their relation, else image_N.bin."""
+    targets = rels.select(F.col(group).alias("_group"), F.col("rel_id").alias("_rel"), F.col("target").alias("_target"))
+    joined = images.join(targets, (F.col(group) == F.col("_group")) & (F.col("rel_id") == F.col("_rel")), "left")
+    return joined.withColumn("filename", F.coalesce("_target", F.concat(F.lit("image_"), F.col("img_idx").cast("string"), F.lit(".bin")))).drop("_group", "_rel", "_target")
+
+
 def append_row(rows: DataFrame, values: dict, group: str = "doc_id", ord_col: str = "para_idx") -> DataFrame:
     kinds = dict(rows.dtypes)
     new = rows.groupBy(group).agg((F.max(ord_col) + 1).alias("_next")).select(
@@ -129,7 +204,7 @@ def set_cell(cells: DataFrame, row: int, col: int, value: str) -> DataFrame:
 
 
 def merge(frames: list[DataFrame], ord_col: str = "para_idx") -> DataFrame:
-    """Bodies one after the other (frame by frame, then document and ordinal), numbered anew."""
+    """Rows of several frames one after the other inside each doc_id, numbered anew."""
     out = None
     for i, f in enumerate(frames):
         f = f.withColumn("file_ord", F.lit(i))
@@ -138,6 +213,40 @@ def merge(frames: list[DataFrame], ord_col: str = "para_idx") -> DataFrame:
     return out.withColumn("merged_id", F.col("doc_id")).withColumn("merged_idx", F.row_number().over(order) - 1)
 
 
+def merge_documents(paras: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Bodies of documents joined to others: manifest (base_id, file_ord, doc_id) says what follows each base, in which order.
+
+    The base's own body comes first; a line that names the base itself is skipped, other repeats
+    stay.  Returns the columns of `paras` with doc_id as the base's and para_idx numbered anew.
+    """
+    bases = manifest.select("base_id").distinct().select("base_id", F.lit(None).cast("long").alias("file_ord"), F.col("base_id").alias("doc_id"))
+    parts = bases.unionByName(manifest.where("doc_id <> base_id").select("base_id", F.col("file_ord").cast("long").alias("file_ord"), "doc_id"))
+    joined = paras.join(parts, "doc_id")
+    order = Window.partitionBy("base_id").orderBy(F.col("file_ord").asc_nulls_first(), "para_idx")
+    numbered = joined.withColumn("_at", (F.row_number().over(order) - 1).cast(paras.schema["para_idx"].dataType))
+    own = {"doc_id": F.col("base_id"), "para_idx": F.col("_at")}
+    return numbered.select(*[own.get(c, F.col(c)).alias(c) for c in paras.columns])
+
+
+def format_targets(paras: DataFrame, spec: str, body: bool = False) -> DataFrame:
+    """Paragraphs that `all`, `a:b` or one ordinal names; with `body`, without headings and titles (a set difference)."""
+    if spec != "all":
+        first, last = paragraph_span(spec, 1 << 31)
+        paras = paras.where(F.col("para_idx").between(first, last))
+    return body_targets(paras, paras.where(T.is_heading_style(F.col("style_id"), titles=True))) if body else paras
+
+
+def apply_style(paras: DataFrame, at: int, style: str) -> DataFrame:
+    """The paragraph at `at` gets the style; an ordinal that a document lacks changes nothing."""
+    return paras.withColumn("style_id", F.when(F.col("para_idx") == at, F.lit(style)).otherwise(F.col("style_id")))
+
+
+def extract_pages(pages: DataFrame, wanted: range) -> DataFrame:
+    """The wanted pages of each document (doc_id, page, ...), by a semi join."""
+    numbers = pages.sparkSession.range(wanted.start, wanted.stop).select(F.col("id").cast("int").alias("page"))
+    return pages.join(F.broadcast(numbers), "page", "left_semi")
+
+
 def body_targets(paras: DataFrame, headings: DataFrame) -> DataFrame:
     """Paragraphs that aren't headings (set difference on doc_id and para_idx)."""
     return paras.join(headings.select("doc_id", "para_idx"), ["doc_id", "para_idx"], "left_anti")

@@ -1,9 +1,18 @@
-"""Layout inference over positioned text: (doc_id, page, elem_ord, x, y, text, font_size)."""
+"""Layout inference over positioned text: (doc_id, page, elem_ord, x, y, text, font_size).
+
+elem_ord is unique in a page and breaks all ties.  What needs the order of a page (lines about
+their first element, columns about a running mean) is one pass over sorted rows that holds the
+last line or column only, so a page may have any number of elements.  Pages without elements
+give no rows.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliomill.functions import text as T
 
@@ -16,85 +25,156 @@ def noise_filter(elems: DataFrame, page_height: Column) -> DataFrame:
     lo, hi, n = F.min("y").over(w), F.max("y").over(w), F.count(F.lit(1)).over(w)
     marked = elems.withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_n", n)
     span = F.col("_hi") - F.col("_lo")
-    outer = (F.col("y") > F.col("_hi") - 0.05 * span) | (F.col("y") < F.col("_lo") + 0.05 * span)
+    outer = (F.col("y") >= F.col("_hi") - span * 0.05) | (F.col("y") <= F.col("_lo") + span * 0.05)
     t = T.utrim(F.col("text"))
     noise = outer & (t.rlike(r"^[0-9\-/ ]*$") | (F.length(t) < 10))
     return marked.where(~((page_height > 100) & (F.col("_n") > 15) & (span > 100) & noise)).drop("_lo", "_hi", "_n")
 
 
-def _line_fold(tolerance: float) -> Column:
-    """Number lines over elements sorted by y downwards: a line's first element anchors it."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("d"), F.col("elem_ord"), F.col("x"), F.col("text"))))
-    start = F.struct(F.lit(0).alias("line"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<int>").alias("lines"))
+def _in_order(rows: DataFrame, order: list[Column | str], step, ddl: str, value: int) -> DataFrame:
+    """One pass over each page's rows in an order: `step(state, value of a row)` gives the state and what is kept.
+
+    Rows come out with the fields of `ddl` after their own columns.  The state starts anew with each page.
+    """
+    schema = ST.StructType([*rows.schema.fields, *ST.StructType.fromDDL(ddl).fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        page, state = None, None
+        for batch in batches:
+            out = []
+            for key, v in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(value).to_pylist()):
+                if key != page:
+                    page, state = key, None
+                state, kept = step(state, v)
+                out.append(kept)
+            extra = zip(*out) if out else [[] for _ in range(len(arrow) - batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, f.type) for c, f in zip(extra, list(arrow)[batch.num_columns :])]], names=arrow.names)
+
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(run, schema)
+
+
+def _lines(elems: DataFrame, tolerance: float) -> DataFrame:
+    """Elements with the number of their line: downwards, a line's first element is its anchor."""
+
+    def step(state, y):
+        line, anchor = state or (0, None)
+        if anchor is None or abs(y - anchor) > tolerance:
+            line, anchor = line + 1, y
+        return (line, anchor), (line,)
+
+    rows = elems.select(*PAGE, "elem_ord", "x", "y", "text")
+    return _in_order(rows, [F.desc("y"), "elem_ord"], step, "line int", 4)
+
+
+def _spaced(lines: DataFrame, gap: float, right: Column) -> DataFrame:
+    """Elements with their piece of the line's text, a blank before it if it is more than `gap` off and both sides are ASCII letters or digits."""
+    w = Window.partitionBy(*PAGE, "line").orderBy("x", F.desc("y"), "elem_ord")
+    before = F.lag("text").over(w)
+    blank = (F.col("x") - right > gap) & before.rlike("[A-Za-z0-9]$") & F.col("text").rlike("^[A-Za-z0-9]")
+    return lines.withColumn("piece", F.concat(F.when(blank, " ").otherwise(""), F.col("text")))
 
-    def step(acc: Column, r: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(r["d"] - acc["anchor"]) > tolerance)
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(line.alias("line"), F.when(new, r["d"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["lines"], F.array(line)).alias("lines"))
 
-    return F.arrays_zip(rows.alias("r"), F.aggregate(rows, start, step, lambda acc: acc["lines"]).alias("line"))
+def _joined() -> Column:
+    """The pieces of a line by x, and what goes with its leftmost element."""
+    return F.array_sort(F.collect_list(F.struct("x", (-F.col("y")).alias("d"), "elem_ord", "piece")))
 
 
 def text_lines(elems: DataFrame, tolerance: float = 6.0) -> DataFrame:
-    """(doc_id, page, line, y, text): elements near a line's first element, joined by x.
+    """(doc_id, page, line, y, text): elements near a line's first element, joined by x; y is the leftmost one's.
 
-    A blank goes between neighbours that are more than 2.5 apart and both end in ASCII letters or digits.
+    A blank goes between neighbours that are more than 2.5 apart and both end in ASCII letters or
+    digits.  Lines without text are dropped; `line` numbers all lines.
     """
-    folded = elems.groupBy(*PAGE).agg(_line_fold(tolerance).alias("z")).select(*PAGE, F.explode("z").alias("z")).select(
-        *PAGE, F.col("z.line").alias("line"), (-F.col("z.r.d")).alias("y"), F.col("z.r.elem_ord").alias("elem_ord"), F.col("z.r.x").alias("x"), F.col("z.r.text").alias("text"))
     w = Window.partitionBy(*PAGE, "line").orderBy("x", F.desc("y"), "elem_ord")
-    before, end = F.lag("text").over(w), F.lag(F.col("x") + T.line_width(F.col("text"), 6.5, 12.0)).over(w)
-    gap = (F.col("x") - end > 2.5) & before.rlike("[A-Za-z0-9]$") & F.col("text").rlike("^[A-Za-z0-9]")
-    spaced = folded.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), F.col("text")))
-    ordered = F.array_sort(F.collect_list(F.struct("x", (-F.col("y")).alias("d"), "elem_ord", "piece")))
-    return spaced.groupBy(*PAGE, "line").agg(F.max("y").alias("y"), F.array_join(F.transform(ordered, lambda r: r["piece"]), "").alias("text"))
+    spaced = _spaced(_lines(elems, tolerance), 2.5, F.lag(F.col("x") + T.line_width(F.col("text"), 6.5, 12.0)).over(w))
+    whole = spaced.groupBy(*PAGE, "line").agg(_joined().alias("r"))
+    text = T.utrim(F.array_join(F.transform("r", lambda r: r["piece"]), ""))
+    return whole.select(*PAGE, "line", (-F.get("r", F.lit(0))["d"]).alias("y"), text.alias("text")).where(F.col("text") != "")
+
+
+def bbox_lines(elems: DataFrame, tolerance: float = 6.0) -> DataFrame:
+    """(doc_id, page, line, text, x, y, width, height): lines with their boxes, of elements that aren't blank.
+
+    A blank goes where an element is more than 3 off the rightmost end so far.
+    """
+    w = Window.partitionBy(*PAGE, "line").orderBy("x", F.desc("y"), "elem_ord").rowsBetween(Window.unboundedPreceding, -1)
+    lines = _lines(elems.where(~T.blank(F.col("text"))), tolerance).withColumn("_right", F.col("x") + T.line_width(F.col("text"), 6.5, 12.0))
+    spaced = _spaced(lines, 3.0, F.max("_right").over(w))
+    whole = spaced.groupBy(*PAGE, "line").agg(_joined().alias("r"), F.max("_right").alias("right"))
+    left = F.get("r", F.lit(0))
+    text = T.utrim(F.array_join(F.transform("r", lambda r: r["piece"]), ""))
+    return whole.select(*PAGE, "line", text.alias("text"), T.rounded(left["x"]).alias("x"), T.rounded(-left["d"]).alias("y"),
+                        T.rounded(F.col("right") - left["x"]).alias("width"), F.lit(12.0).alias("height"))
 
 
 def page_text(lines: DataFrame, gap: float = 18.0) -> DataFrame:
     """Lines of a page joined; a gap of more than `gap` makes a paragraph."""
     w = Window.partitionBy(*PAGE).orderBy("line")
-    joined = lines.withColumn("piece", F.concat(F.when(F.lag("y").over(w).isNull(), "").when(F.lag("y").over(w) - F.col("y") > gap, "\n\n").otherwise("\n"), F.col("text")))
+    joined = lines.withColumn("piece", F.concat(F.when(F.lag("y").over(w).isNull(), "").when(F.abs(F.lag("y").over(w) - F.col("y")) > gap, "\n\n").otherwise("\n"), F.col("text")))
     return joined.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda r: r["piece"]), "").alias("text"))
 
 
-def overlaps(blocks: DataFrame, most_dy: float = 2.0, ratio: float = 0.6) -> DataFrame:
-    """Pairs of blocks (with `width`) of a page whose texts differ and that cover each other.
+def blocks(elems: DataFrame) -> DataFrame:
+    """Elements with text as blocks: trimmed, with `width` and `height` by their font, all rounded to 0.1."""
+    text = T.utrim(F.col("text"))
+    return elems.where(~T.blank(F.col("text"))).select(
+        *PAGE, "elem_ord", T.rounded(F.col("x")).alias("x"), T.rounded(F.col("y")).alias("y"), T.rounded(T.block_width(text, F.col("font_size"))).alias("width"),
+        T.rounded(F.col("font_size")).alias("height"), text.alias("text"))
+
+
+def overlaps(boxes: DataFrame, most_dy: float = 2.0, ratio: float = 0.6) -> DataFrame:
+    """Pairs of blocks of a page whose texts differ and that cover each other, with the box that both cover.
 
     The page and a band of y are equality keys, so no page is compared with all of itself.
     """
     band = F.floor(F.col("y") / most_dy)
-    a = blocks.withColumn("band", band)
-    b = blocks.select(*[F.col(c).alias(f"b_{c}") for c in blocks.columns], F.explode(F.array(band - 1, band, band + 1)).alias("b_band"))
+    a = boxes.withColumn("band", band)
+    b = boxes.select(*[F.col(c).alias(f"b_{c}") for c in boxes.columns], F.explode(F.array(band - 1, band, band + 1)).alias("b_band"))
     near = a.join(b, (F.col("doc_id") == F.col("b_doc_id")) & (F.col("page") == F.col("b_page")) & (F.col("band") == F.col("b_band")))
-    shared = F.least(F.col("x") + F.col("width"), F.col("b_x") + F.col("b_width")) - F.greatest(F.col("x"), F.col("b_x"))
+    start = F.greatest("x", "b_x")
+    shared = F.least(F.col("x") + F.col("width"), F.col("b_x") + F.col("b_width")) - start
     least = F.least("width", "b_width")
-    fits = near.where((F.col("elem_ord") < F.col("b_elem_ord")) & (F.abs(F.col("y") - F.col("b_y")) < most_dy) & (shared > 0) & (least > 0) & (F.col("text") != F.col("b_text")))
-    return fits.select(*PAGE, F.col("elem_ord").alias("a_ord"), F.col("b_elem_ord").alias("b_ord"), F.round(shared / least, 4).alias("ratio")).where(F.col("ratio") > ratio)
-
-
-def column_clusters(blocks: DataFrame, tolerance: float = 18.0) -> DataFrame:
-    """Columns of a page: runs of sorted x near their running mean, two members at least."""
-    xs = F.array_sort(F.collect_list("x"))
-    empty = F.array().cast("array<struct<s:double,n:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (F.abs(x - F.try_divide(F.get(acc, F.size(acc) - 1)["s"], F.get(acc, F.size(acc) - 1)["n"])) < tolerance)
-        del last
-        grown = F.struct((F.get(acc, F.size(acc) - 1)["s"] + x).alias("s"), (F.get(acc, F.size(acc) - 1)["n"] + 1).alias("n"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(F.struct(x.alias("s"), F.lit(1).alias("n")))))
-
-    kept = blocks.groupBy(*PAGE).agg(F.filter(F.aggregate(xs, empty, step), lambda c: c["n"] >= 2).alias("c"))
-    cols = kept.select(*PAGE, F.posexplode("c").alias("col_index", "c")).select(*PAGE, "col_index", F.round(F.col("c.s") / F.col("c.n"), 4).alias("x_start"))
+    fits = near.where((F.col("elem_ord") < F.col("b_elem_ord")) & (F.abs(F.col("y") - F.col("b_y")) < most_dy) & (shared > 0) & (least > 0)
+                      & (shared / least > ratio) & (F.col("text") != F.col("b_text")))
+    return fits.select(*PAGE, F.col("elem_ord").alias("a_ord"), F.col("b_elem_ord").alias("b_ord"), F.col("text").alias("text_a"), F.col("b_text").alias("text_b"),
+                       F.round(shared / least, 4).alias("ratio"), start.alias("x"), "y", shared.alias("width"), F.greatest("height", "b_height").alias("height"))
+
+
+def column_clusters(boxes: DataFrame, tolerance: float = 18.0) -> DataFrame:
+    """(doc_id, page, col_index, x_start, x_end): runs of sorted x near their running mean, two members at least."""
+
+    def step(state, x):
+        number, mean, n = state or (0, 0.0, 0)
+        if n and abs(x - mean) < tolerance:
+            mean, n = (mean * n + x) / (n + 1), n + 1
+        else:
+            number, mean, n = number + 1, x, 1
+        return (number, mean, n), (number, mean, n)
+
+    runs = _in_order(boxes.select(*PAGE, "x"), ["x"], step, "run int, mean double, n int", 2)
+    last = runs.groupBy(*PAGE, "run").agg(F.max(F.struct("n", "mean")).alias("m")).where(F.col("m.n") >= 2)
+    w = Window.partitionBy(*PAGE).orderBy("run")
+    columns = last.select(*PAGE, (F.row_number().over(w) - 1).alias("col_index"), T.rounded(F.col("m.mean")).alias("x_start"))
     following = F.lead("x_start").over(Window.partitionBy(*PAGE).orderBy("col_index"))
-    return cols.withColumn("x_end", F.coalesce(following - 5, F.col("x_start") + 200))
+    return columns.withColumn("x_end", F.coalesce(following - 5, F.col("x_start") + 200))
+
 
+def structured_rows(boxes: DataFrame, columns: DataFrame) -> DataFrame:
+    """(doc_id, page, band, y, indent_level, cells): blocks by bands of 4 in y, each in the first column whose range has its x.
 
-def structured_rows(blocks: DataFrame, columns: DataFrame) -> DataFrame:
-    """Blocks by bands of 4 in y, each put into the first column whose range has its x."""
-    b = blocks.withColumn("band", F.round(F.col("y") / 4).cast("long"))
-    c = columns.select(*[F.col(x).alias(f"c_{x}") for x in columns.columns])
-    placed = b.join(c, (F.col("doc_id") == F.col("c_doc_id")) & (F.col("page") == F.col("c_page")) & (F.col("x") >= F.col("c_x_start") - 10) & (F.col("x") < F.col("c_x_end")))
-    first = placed.groupBy(*PAGE, "band", "x", "elem_ord", "text").agg(F.min("c_col_index").alias("col_index"))
-    return first.groupBy(*PAGE, "band", "col_index").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "elem_ord", "text"))), lambda r: r["text"]), " ").alias("cell")).where(~T.blank(F.col("cell")))
+    A row has a cell for each column of its page, empty ones too; rows without text in any cell
+    and pages without columns give nothing.  Rows go downwards as `band` falls.
+    """
+    per_page = columns.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("col_index", "x_start", "x_end"))).alias("_columns"))
+    b = boxes.join(per_page, list(PAGE)).withColumn("band", F.round(F.col("y") / 4).cast("long"))
+    hit = F.filter("_columns", lambda c: (F.col("x") >= c["x_start"] - 10) & (F.col("x") < c["x_end"]))
+    placed = b.withColumn("_col", F.get(hit, F.lit(0))["col_index"])
+    rows = placed.groupBy(*PAGE, "band").agg(
+        F.array_sort(F.collect_list(F.struct("x", "elem_ord", "y", "text", "_col"))).alias("_blocks"), F.first("_columns").alias("_columns"))
+    first = F.get("_columns", F.lit(0))["x_start"]
+    offset = F.get(F.filter("_blocks", lambda r: r["x"] < first + 100), F.lit(0))["x"] - first
+    cells = F.transform("_columns", lambda c: F.array_join(F.transform(F.filter("_blocks", lambda r: r["_col"] == c["col_index"]), lambda r: r["text"]), " "))
+    out = rows.select(*PAGE, "band", T.rounded(F.get("_blocks", F.lit(0))["y"]).alias("y"),
+                      F.when(offset > 8, F.round(offset / 12).cast("int")).otherwise(0).alias("indent_level"), cells.alias("cells"))
+    return out.where(F.exists("cells", lambda c: ~T.blank(c)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -10,35 +12,44 @@ from pyspark.sql import functions as F
 from foliomill.functions import text as T
 
 
+def letters_number(letters: str) -> int:
+    """A -> 1, Z -> 26, AA -> 27."""
+    return functools.reduce(lambda n, c: n * 26 + ord(c) - 64, letters.upper(), 0)
+
+
 def parse_range(text: str) -> tuple[int, int, int, int]:
     """`A1:D10` -> zero-based first row, first column, last row, last column."""
-    m = re.fullmatch(r"([A-Za-z]+)(\d+)(?::([A-Za-z]+)(\d+))?", text)
-    if not m:
+    corners = re.findall(r"([A-Za-z]+)(\d+)", text)
+    if not re.fullmatch(r"[A-Za-z]+\d+(:[A-Za-z]+\d+)?", text):
         raise ValueError(f"not a range: {text!r}")
+    cols, rows = ([max(0, f(c[i]) - 1) for c in corners] for i, f in ((0, letters_number), (1, int)))
+    return min(rows), min(cols), max(rows), max(cols)
 
-    def col(letters: str) -> int:
-        n = 0
-        for c in letters.upper():
-            n = n * 26 + ord(c) - 64
-        return n - 1
-
-    r1, c1 = max(0, int(m[2]) - 1), col(m[1])
-    r2, c2 = (max(0, int(m[4]) - 1), col(m[3])) if m[3] else (r1, c1)
-    return min(r1, r2), min(c1, c2), max(r1, r2), max(c1, c2)
 
-
-def inspect(rows: DataFrame) -> DataFrame:
-    """Sheet sizes and the range they span."""
+def inspect(rows: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """Sheet sizes and the range they span; with a list of sheets (sheet), those without rows are 0 by 0."""
     sizes = rows.groupBy("sheet").agg((F.max("row") + 1).alias("n_rows"), F.max(F.size("vals")).alias("n_cols"))
+    if sheets is not None:
+        none = F.lit(0).cast("int")
+        sizes = sheets.select("sheet").join(sizes, "sheet", "left").select("sheet", F.coalesce("n_rows", none).alias("n_rows"), F.coalesce("n_cols", none).alias("n_cols"))
     end = F.when((F.col("n_rows") == 0) | (F.col("n_cols") == 0), "A1").otherwise(F.concat(T.column_letters(F.col("n_cols")), F.col("n_rows").cast("string")))
     return sizes.withColumn("range", F.concat(F.lit("A1:"), end))
 
 
-def search(rows: DataFrame, keyword: str, limit: int = 0) -> DataFrame:
-    """One row for each cell that holds `keyword` (case matters), with its whole row; 1-based places."""
-    hits = rows.select("sheet", "row", F.posexplode("vals").alias("col", "matched_value"), F.col("vals").alias("row_data")).where(F.col("matched_value").contains(keyword))
-    hits = hits.select("sheet", (F.col("row") + 1).alias("row"), (F.col("col") + 1).alias("col"), "matched_value", "row_data")
-    return hits.orderBy("sheet", "row", "col").limit(limit) if limit else hits
+def search(rows: DataFrame, keyword: str, limit: int = 0, sheet: str | None = None) -> DataFrame:
+    """One row for each cell that holds `keyword` (case matters), with its whole row; 1-based places.
+
+    The limit goes by sheet, row and column; sheets by `sheet_ord` where there is one, else by
+    name.  An empty keyword is in every cell; a sheet that is named and missing is an error.
+    """
+    if sheet is not None:
+        rows = rows.where(F.col("sheet") == sheet)
+        if not rows.limit(1).count():
+            raise ValueError(f"no sheet {sheet!r}")
+    order = ["sheet_ord"] if "sheet_ord" in rows.columns else ["sheet"]
+    hits = rows.select("sheet", *order[: order[0] == "sheet_ord"], "row", F.posexplode("vals").alias("col", "matched_value"), F.col("vals").alias("row_data")).where(F.col("matched_value").contains(keyword))
+    hits = hits.withColumn("row", F.col("row") + 1).withColumn("col", F.col("col") + 1)
+    return (hits.orderBy(*order, "row", "col").limit(limit) if limit else hits).select("sheet", "row", "col", "matched_value", "row_data")
 
 
 def read_range(rows: DataFrame, cell_range: str, head: int | None = None) -> DataFrame:
@@ -48,6 +59,59 @@ def read_range(rows: DataFrame, cell_range: str, head: int | None = None) -> Dat
     return out.orderBy("sheet", "row").limit(head) if head else out
 
 
+def upsert_cell(cells: DataFrame, place: str, value: str, sheet: str) -> DataFrame:
+    """Cells (sheet, row, col, value) with `kind`, the one at a place like `B2` written or added; its kind is inferred."""
+    row, col, _, _ = parse_range(place)
+    there = (F.col("sheet") == sheet) & (F.col("row") == row) & (F.col("col") == col)
+    kept = cells if "kind" in cells.columns else cells.withColumn("kind", F.lit(None).cast("string"))
+    new = kept.sparkSession.createDataFrame([(sheet, row, col, value)], "sheet string, row int, col int, value string")
+    new = new.withColumn("kind", T.infer_kind(F.col("value")))
+    return kept.where(~there).select("sheet", "row", "col", "value", "kind").unionByName(new)
+
+
+def append_values(cells: DataFrame, values: list[str], sheet: str) -> DataFrame:
+    """Cells (sheet, row, col, value) with `kind` and a row of values after the sheet's last, or as its first; kinds are inferred."""
+    kept = cells if "kind" in cells.columns else cells.withColumn("kind", F.lit(None).cast("string"))
+    last = kept.where(F.col("sheet") == sheet).agg(F.coalesce(F.max("row") + 1, F.lit(0)).cast("int").alias("row"))
+    new = last.select(F.lit(sheet).alias("sheet"), "row", F.posexplode(F.array(*map(F.lit, values)).cast("array<string>")).alias("col", "value"))
+    return kept.select("sheet", "row", "col", "value", "kind").unionByName(new.withColumn("kind", T.infer_kind(F.col("value"))))
+
+
+def manage_sheet(sheets: DataFrame, action: str, sheet: str, new_name: str | None = None) -> DataFrame:
+    """The list of sheets (sheet_ord, sheet) after `add`, `remove` or `rename`.
+
+    Adding one that is there changes nothing; the last sheet can't be removed; renaming needs a
+    new name.
+    """
+    if action == "add":
+        end = sheets.agg((F.coalesce(F.max("sheet_ord"), F.lit(-1)) + 1).cast("int").alias("sheet_ord"), F.max(F.when(F.col("sheet") == sheet, 1)).alias("_there"))
+        return sheets.select("sheet_ord", "sheet").unionByName(end.where("_there is null").select("sheet_ord", F.lit(sheet).alias("sheet")))
+    if action == "rename":
+        if not new_name:
+            raise ValueError("renaming needs a new name")
+        return sheets.withColumn("sheet", F.when(F.col("sheet") == sheet, F.lit(new_name)).otherwise(F.col("sheet")))
+    if action != "remove":
+        raise ValueError(f"not an action: {action!r}")
+    if sheets.count() <= 1:
+        raise ValueError("the last sheet stays")
+    order = Window.orderBy("sheet_ord")
+    return sheets.where(F.col("sheet") != sheet).withColumn("sheet_ord", F.row_number().over(order) - 1)  # a row a sheet
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """Write the rows of one sheet to a file, with a byte order mark and no header, in the order of `row`.
+
+    The lines are made on the executors and reach the file one partition at a time.
+    """
+    if not path.lower().endswith(".csv"):
+        raise ValueError("only .csv files are written")
+    lines = rows.orderBy("row").select(T.csv_line(F.transform("vals", lambda v: F.coalesce(v, F.lit("")))).alias("line"))
+    with open(f"{path}.tmp", "w", encoding="utf-8-sig", newline="") as out:
+        for r in lines.toLocalIterator():
+            out.write(r["line"])
+    os.replace(f"{path}.tmp", path)
+
+
 def autofit_columns(cells: DataFrame, least: float = 10, most: float = 60) -> DataFrame:
     """Width of each column: its widest line plus 3, between least and most."""
     lines = cells.select("sheet", "col", F.explode(F.split("value", "\n")).alias("line"))
@@ -68,12 +132,3 @@ def insert_lines(cells: DataFrame, axis: str, at: int, count: int = 1) -> DataFr
 def delete_lines(cells: DataFrame, axis: str, at: int, count: int = 1) -> DataFrame:
     kept = cells.where(~F.col(axis).between(at, at + count - 1))
     return kept.withColumn(axis, F.col(axis) - F.when(F.col(axis) >= at + count, count).otherwise(0))
-
-
-def numbered(df: DataFrame, sheet: str, key: str) -> DataFrame:
-    """Any table as sheet rows: columns as text, rows numbered from 0 in the order of `key`.
-
-    For tables of a spreadsheet's size: numbering needs one order over the sheet.
-    """
-    place = F.row_number().over(Window.partitionBy(F.lit(sheet)).orderBy(key)) - 1
-    return df.select(F.lit(sheet).alias("sheet"), place.alias("row"), F.array(*[F.col(c).cast("string") for c in df.columns]).alias("vals"))

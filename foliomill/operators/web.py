@@ -1,91 +1,300 @@
-"""Operators over pages (page_id, url, html): links, titles, tables, routing."""
+"""Operators over pages (page_id, url, html): articles, links, tables, cards, Markdown, routing.
+
+Pages are parsed once each in Arrow batches; what follows from the parsed rows is native.  Null
+html is an empty page, a null or broken url has no address to join with, and rows of one
+page_id are taken as pages of their own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliomill.functions import text as T
+from foliomill.sources import html as H
+
+# Content containers by priority, noise, and where author and date stand.
+CONTENT = [
+    "#js_content", "article", "main article", "#article-content", ".article-content", ".post-content", ".entry-content", "#content", ".content",
+    "#main-content", ".main-content", ".detail-content", ".text", "main",
+]
+NOISE = [
+    "script", "style", "noscript", "iframe", "svg", "header", "footer", "nav", "aside", ".ad", ".advertisement", ".share-box", ".qrcode", "#js_toobar3",
+    ".reward_area", ".rich_media_area_extra",
+]
+AUTHOR = ["meta[name='author']", "meta[property='article:author']", ".rich_media_meta_text"]
+DATE = ["meta[property='article:published_time']", "meta[name='pubdate']", "meta[name='publishdate']", "#publish_time", ".publish-time", ".time"]
+TITLE = ["#activity-name", "h1", "title"]
+NO_TITLE = "未命名网页"
+NOT_LINKS = ("#", "javascript:", "mailto:", "tel:")
+# Fixed values of the router.
+MEDIA_PARTS, MEDIA_ENDS = ("bilibili.com", "youtube.com", "youtu.be"), (".mp4", ".mkv", ".flv")
+BINARY_ENDS = ("xlsx", "xls", "doc", "docx", "pdf", "zip", "rar", "7z", "tar", "gz", "png", "jpg", "jpeg", "gif", "webp", "csv", "exe", "bin")
+
+_selectors: dict[str, H.Selector] = {}
+
+
+def _css(css: str) -> H.Selector:
+    if css not in _selectors:
+        _selectors[css] = H.Selector(css)
+    return _selectors[css]
 
-ANCHOR = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
-#: Fixed values of the router.
-MEDIA_HOSTS = ("youtube.com", "youtu.be", "bilibili.com", "vimeo.com", "twitter.com", "x.com")
-MEDIA_ENDS = ("mp4", "mkv", "webm", "mp3", "m4a")
-BINARY_ENDS = ("zip", "rar", "7z", "tar", "gz", "exe", "msi", "dmg", "iso", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "png", "jpg", "jpeg", "gif", "webp")
 
+def _parsed(pages: DataFrame, rows: Callable[[H.Node, str], Iterator[tuple]], ddl: str) -> DataFrame:
+    """page_id and the columns of `ddl` for each tuple that `rows` gives for a page's tree and url."""
+    id_type = pages.schema["page_id"].dataType
+    schema = ST.StructType([ST.StructField("page_id", id_type), *ST.StructType.fromDDL(ddl).fields])
+    arrow = to_arrow_schema(schema)
 
-def inner_text(html: Column) -> Column:
-    return T.utrim(T.unescape_html(F.regexp_replace(html, r"(?s)<[^>]*>", "")))
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
+    def run(batches):
+        for b in batches:
+            held, size = [], 0
+            for key, url, page in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for row in rows(H.parse(page or ""), url or ""):
+                    held.append((key, *row))
+                    size += sum(len(x) for x in row if isinstance(x, str))
+                    if len(held) >= 4096 or size > 8 << 20:
+                        yield batch(held)
+                        held, size = [], 0
+            if held:
+                yield batch(held)
 
-def absolute(base: Column, href: Column) -> Column:
-    """Join an address with its page's; paths are percent-encoded, the page's query and fragment go."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_extract(base, r"^([^?#]*)", 1), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*(?:/(?:.*/)?)?)", 1)
-    slash = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-            .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), encoded(href)))
-            .when(F.startswith(href, F.lit("/")), F.concat(F.lower(root), encoded(href)))
-            .otherwise(F.concat(slash, encoded(href))))
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    return pages.select("page_id", url.alias("url"), "html").mapInArrow(run, schema)
 
 
-def encoded(path: Column) -> Column:
-    """Percent-encode what isn't ASCII, and blanks."""
-    chars = F.split(path, "")
-    hexed = lambda c: F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")
-    return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.when(c.rlike(r"^[!-~]$"), c).otherwise(hexed(c))), "")
+def _links(tree: H.Node, url: str) -> Iterator[tuple]:
+    for pos, a in enumerate(tree.select(_css("a"))):
+        href = a.attrs.get("href", "").strip()
+        if href and not href.startswith(NOT_LINKS) and (full := H.join(url, href)) is not None:
+            yield pos, a.text().strip(), full, a.parent.text(), a.text()
 
 
 def links(pages: DataFrame, limit: int | None = None) -> DataFrame:
-    """(page_id, index, title, url): anchors in order, one for each address, then titles of two characters at least.
+    """(page_id, index, title, url, date): anchors in order, one for each address, then titles of two characters at least.
 
-    The first anchor of an address counts even if its title is too short.
+    The first anchor of an address counts even if its title is too short.  The date is looked for
+    in the text of the anchor's parent, then in its own.
     """
-    hrefs, texts = F.regexp_extract_all("html", F.lit(ANCHOR), 1), F.regexp_extract_all("html", F.lit(ANCHOR), 2)
-    rows = pages.select("page_id", "url", F.posexplode(F.arrays_zip(hrefs.alias("href"), texts.alias("body"))).alias("pos", "a")).select(
-        "page_id", F.col("url").alias("base"), "pos", T.utrim(F.col("a.href")).alias("href"), inner_text(F.col("a.body")).alias("title"))
-    real = rows.where((F.col("href") != "") & ~F.startswith("href", F.lit("#")) & ~F.lower("href").rlike("^(javascript|mailto|tel):"))
-    named = real.withColumn("url", absolute(F.col("base"), F.col("href")))
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))).where("_n = 1").where(F.length("title") >= 2)
-    numbered = first.withColumn("index", F.row_number().over(Window.partitionBy("page_id").orderBy("pos")))
-    numbered = numbered.where(F.col("index") <= limit) if limit else numbered
-    return numbered.select("page_id", "index", "title", "url")
 
+    def rows(tree: H.Node, url: str) -> Iterator[tuple]:
+        seen, index = set(), 0
+        for _, title, full, around, own in _links(tree, url):
+            if full in seen:
+                continue
+            seen.add(full)
+            if len(title) >= 2:
+                index += 1
+                yield index, title, full, around, own
+                if index == limit:
+                    return
+
+    found = _parsed(pages, rows, "index int, title string, url string, around string, own string")
+    return found.select("page_id", "index", "title", "url", F.coalesce(T.find_date(F.col("around")), T.find_date(F.col("own"))).alias("date"))
+
+
+def _title(tree: H.Node) -> str:
+    for css in TITLE:
+        node = tree.first(_css(css))
+        if node is not None and node.text().strip():
+            return node.text().strip()
+    return NO_TITLE
+
+
+def _meta(tree: H.Node, selectors: list[str]) -> str | None:
+    """The first element of each selector in turn: a meta's content, else the text."""
+    for css in selectors:
+        node = tree.first(_css(css))
+        value = "" if node is None else node.attrs.get("content", "") if css.startswith("meta") else node.text()
+        if value.strip():
+            return value.strip()
+    return None
 
-def titles(pages: DataFrame, default: str = "untitled") -> DataFrame:
-    """(page_id, title): the first `h1` with text, else `title`, else the default."""
-    of = lambda tag: F.nullif(inner_text(F.regexp_extract("html", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)), F.lit(""))
-    return pages.select("page_id", F.coalesce(of("h1"), of("title"), F.lit(default)).alias("title"))
+
+def titles(pages: DataFrame) -> DataFrame:
+    """(page_id, title): the first of three places with text, else a default."""
+    return _parsed(pages, lambda tree, url: iter([(_title(tree),)]), "title string")
+
+
+def metas(pages: DataFrame) -> DataFrame:
+    """(page_id, author, publish_date), null where a page names none."""
+    return _parsed(pages, lambda tree, url: iter([(_meta(tree, AUTHOR), _meta(tree, DATE))]), "author string, publish_date string")
+
+
+def _article(tree: H.Node, url: str, least: int) -> H.Node:
+    """The content container without noise, with absolute addresses; it changes the tree."""
+    chosen = None
+    for css in CONTENT:
+        node = tree.first(_css(css))
+        if node is not None and len(node.text().strip()) > least:
+            chosen = node
+            break
+    chosen = chosen or tree.first(_css("body"))
+    for css in NOISE:
+        chosen.drop(_css(css))
+        if _css(css).fits(chosen):
+            chosen.children = []
+    for n in chosen.walk():
+        if "data-src" in n.attrs:
+            n.attrs["src"] = n.attrs.pop("data-src")
+        name = {"img": "src", "a": "href"}.get(n.tag)
+        value = n.attrs.get(name, "").strip() if name else ""
+        keep = ("http://", "https://", "#", "javascript:", *(("data:",) if name == "src" else ("mailto:", "tel:")))
+        if value and value != "/" and not value.startswith(keep):
+            n.attrs[name] = H.join(url, value) or value
+    return chosen
 
 
 def article_text(pages: DataFrame, least: int = 30) -> DataFrame:
-    """(page_id, text): the article without noise if it has more than `least` characters, else the body's."""
-    clean = F.regexp_replace("html", r"(?is)<(script|style|nav|footer|header|aside|iframe|noscript)\b.*?</\1>|<!--.*?-->|<div class=\"ad\">.*?</div>", "")
-    of = lambda tag: inner_text(F.regexp_extract(clean, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1))
-    return pages.select("page_id", F.when(F.length(of("article")) > least, of("article")).otherwise(of("body")).alias("text"))
+    """(page_id, text): the text of the first content container with more than `least` characters, else the body's, without noise."""
+    return _parsed(pages, lambda tree, url: iter([(_article(tree, url, least).text().strip(),)]), "text string")
+
+
+def articles(pages: DataFrame, least: int = 30) -> DataFrame:
+    """(page_id, title, author, publish_date, clean_html)."""
+    rows = lambda tree, url: iter([(_title(tree), _meta(tree, AUTHOR), _meta(tree, DATE), _article(tree, url, least).html())])
+    return _parsed(pages, rows, "title string, author string, publish_date string, clean_html string")
+
+
+BLOCKS = frozenset("address article aside blockquote body div dl dd dt fieldset figure figcaption footer form header main nav ol p section ul".split())
+
 
+def _inline(node: H.Node | str) -> str:
+    if isinstance(node, str):
+        return re.sub(r"\s+", " ", node)
+    inner = "".join(_inline(c) for c in node.children)
+    bare = inner.strip()
+    if node.tag == "br":
+        return "  \n"
+    if node.tag == "img":
+        return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})"
+    if not bare:
+        return inner
+    if node.tag in ("b", "strong"):
+        return f"**{bare}**"
+    if node.tag in ("i", "em"):
+        return f"*{bare}*"
+    if node.tag == "code":
+        return f"`{bare}`"
+    if node.tag == "a" and node.attrs.get("href"):
+        return f"[{bare}]({node.attrs['href']})"
+    return inner
 
-def tables(pages: DataFrame) -> DataFrame:
-    """(page_id, table_idx, row_idx, row): cells keyed by their header or col_N; tables without cells are skipped.
 
-    For tables that don't nest; a parser for nested ones isn't built yet.
+def _blocks(node: H.Node, depth: int = 0) -> Iterator[str]:
+    """Markdown blocks below a node: headings, lists, quotes, code, tables and paragraphs."""
+    run: list[str] = []
+
+    def paragraph() -> Iterator[str]:
+        text = "\n".join(line.strip(" ") + ("  " if line.endswith("  ") and line.strip() else "") for line in "".join(run).split("\n")).strip()
+        run.clear()
+        if text:
+            yield text
+
+    for c in node.children:
+        if isinstance(c, str) or not (c.tag in BLOCKS or c.tag in ("pre", "table", "hr", "li") or re.fullmatch("h[1-6]", c.tag) or any(k.tag in BLOCKS or k.tag == "table" for k in c.walk())):
+            run.append(_inline(c))
+            continue
+        yield from paragraph()
+        if re.fullmatch("h[1-6]", c.tag):
+            if head := re.sub(r"\s+", " ", _inline(H.Node("span", {}, c.children))).strip():
+                yield "#" * int(c.tag[1]) + " " + head
+        elif c.tag == "hr":
+            yield "---"
+        elif c.tag == "pre":
+            yield "```\n" + c.text().strip("\n") + "\n```"
+        elif c.tag == "table":
+            rows = [[re.sub(r"\s+", " ", "".join(_inline(x) for x in cell.children)).strip() for cell in tr.children if isinstance(cell, H.Node) and cell.tag in ("td", "th")] for tr in c.select(_css("tr"))]
+            rows = [r for r in rows if r]
+            if rows:
+                yield "\n".join(["| " + " | ".join(rows[0]) + " |", "| " + " | ".join(["---"] * len(rows[0])) + " |", *("| " + " | ".join(r) + " |" for r in rows[1:])])
+        elif c.tag in ("ul", "ol"):
+            items = [k for k in c.children if isinstance(k, H.Node)]
+            marks = [f"{i + 1}. " if c.tag == "ol" else "- " for i in range(len(items))]
+            lines = [m + "\n".join(_blocks(item, depth + 1)).replace("\n", "\n" + " " * len(m)) for m, item in zip(marks, items)]
+            if lines:
+                yield "\n".join(lines)
+        elif c.tag == "blockquote":
+            yield "\n".join("> " + line for line in "\n\n".join(_blocks(c, depth + 1)).split("\n"))
+        else:
+            yield from _blocks(c, depth + 1)
+    yield from paragraph()
+
+
+def _markdown(tree: H.Node, url: str, least: int) -> str:
+    title, author, date = _title(tree), _meta(tree, AUTHOR), _meta(tree, DATE)
+    head = f"# {title}\n\n" + (f"**作者**：{author}  \n" if author else "") + (f"**发布时间**：{date}  \n" if date else "") + ("\n---\n\n" if author or date else "")
+    return head + "\n\n".join(_blocks(_article(tree, url, least)))
+
+
+def markdown(pages: DataFrame, least: int = 30) -> DataFrame:
+    """(page_id, title, content): the article as Markdown under its title, author and date.
+
+    Headings, paragraphs, lists, quotes, code, tables, links, images, bold and italic text are
+    kept; all other markup gives its text.
+    """
+    return _parsed(pages, lambda tree, url: iter([(_title(tree), _markdown(tree, url, least))]), "title string, content string")
+
+
+def tables(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """(page_id, table_idx, row_idx, row): cells keyed by their header or col_N.
+
+    All header cells of a table name its columns in order; of equal names the last cell stays.
+    Tables without cells are skipped; a nested table is in its parent's rows and a table of its own.
     """
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<table[^>]*>(.*?)</table>"), 1)).alias("t", "table"))
-    heads = F.transform(F.regexp_extract_all("table", F.lit(r"(?is)<th[^>]*>(.*?)</th>"), 1), inner_text)
-    rows = found.select("page_id", "t", heads.alias("heads"), F.posexplode(F.regexp_extract_all("table", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("r", "tr"))
-    cells = rows.select("page_id", "t", "r", "heads", F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), inner_text).alias("cells")).where(F.size("cells") > 0)
-    keys = F.transform(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.coalesce(F.get("heads", i), F.concat(F.lit("col_"), (i + 1).cast("string"))))
-    entries = F.map_from_entries(F.transform(F.filter(F.arrays_zip(keys.alias("k"), F.col("cells").alias("v")), lambda e: e["k"].isNotNull()), lambda e: F.struct(e["k"], e["v"])))
-    by_table, by_row = Window.partitionBy("page_id").orderBy("t"), Window.partitionBy("page_id", "t").orderBy("r")
-    return cells.select("page_id", (F.dense_rank().over(by_table) - 1).alias("table_idx"), (F.row_number().over(by_row) - 1).alias("row_idx"), entries.alias("row"))
-
-
-def route(url: Column, output: Column) -> Column:
-    """Which engine a download goes to: media, then binary, then html, else Markdown."""
-    low, host = F.lower(output), F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]*)", 1))
-    bare, end = F.lower(F.regexp_extract(url, r"^([^?#]*)", 1)), F.regexp_extract(low, r"\.([a-z0-9]+)$", 1)
-    media = F.lit(False)
-    for h in MEDIA_HOSTS:
-        media = media | (host == h) | F.endswith(host, F.lit("." + h))
-    return (F.when(media | end.isin(*MEDIA_ENDS), "yt-dlp").when(end.isin(*BINARY_ENDS) | F.regexp_extract(bare, r"\.([a-z0-9]+)$", 1).isin(*BINARY_ENDS), "aria2c")
-            .when(end.isin("html", "htm"), "monolith").otherwise("markdown"))
+
+    def rows(tree: H.Node, url: str) -> Iterator[tuple]:
+        done = 0
+        for table in tree.select(_css("table")):
+            heads = [n.text().strip() for n in table.select(_css("th"))]
+            lines = [cells for tr in table.select(_css("tr")) if (cells := [n.text().strip() for n in tr.select(_css("td"))])]
+            for at, cells in enumerate(lines):
+                row = {heads[i] if i < len(heads) else f"col_{i + 1}": cell for i, cell in enumerate(cells)}
+                yield done, at, list(row.items())
+            done += bool(lines)
+            if done == limit:
+                return
+
+    return _parsed(pages, rows, "table_idx int, row_idx int, row map<string,string>")
+
+
+def cards(pages: DataFrame, selector: str, limit: int | None = None) -> DataFrame:
+    """(page_id, index, title, link, image_url, raw_text) of each element that the selector fits.
+
+    The title is the first text of a card, which may be blank; a card without text is Item_N.
+    """
+    H.Selector(selector)  # a broken one is an error before anything runs
+
+    def rows(tree: H.Node, url: str) -> Iterator[tuple]:
+        for i, card in enumerate(tree.select(_css(selector))):
+            if i == limit:
+                return
+            a, img, texts = card.first(_css("a")), card.first(_css("img")), list(card.texts())
+            href = None if a is None else a.attrs.get("href")
+            src = None if img is None else img.attrs.get("src", img.attrs.get("data-src"))
+            link, image = (None if x is None else H.join(url, x.strip()) for x in (href, src))
+            yield i + 1, texts[0].strip() if texts else f"Item_{i + 1}", link, image, " ".join(texts).strip()
+
+    return _parsed(pages, rows, "index int, title string, link string, image_url string, raw_text string")
+
+
+def route(url: Column, output: Column, form: Column | None = None) -> Column:
+    """Which engine a download goes to: media by form or url, then binary and html by form or the output's extension, else Markdown."""
+    low, form = F.lower(url), F.coalesce(form if form is not None else F.lit(None).cast("string"), F.lit(""))
+    end = F.lower(F.regexp_extract(F.regexp_extract(output, r"([^/]*)/*$", 1), r"(?s)^.+\.([^.]*)$", 1))
+    media = F.lower(form).isin("video", "audio")
+    for part in MEDIA_PARTS:
+        media = media | F.contains(low, F.lit(part))
+    for part in MEDIA_ENDS:
+        media = media | F.endswith(low, F.lit(part))
+    return (F.when(media, "yt-dlp").when(form.isin("bin", "raw") | end.isin(*BINARY_ENDS), "aria2c")
+            .when((form == "html") | end.isin("html", "htm"), "monolith").otherwise("markdown"))

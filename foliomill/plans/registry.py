@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
+from foliomill.functions.ranges import edited_pages, paragraph_span
 from foliomill.operators import documents as D
 from foliomill.operators import layout as L
 from foliomill.operators import sheets as S
@@ -125,13 +126,16 @@ def row_height_autofit(spark, sf):
 
 
 def _sheet(spark, sf, name, key):
-    return S.numbered(read(spark, sf, name), name, key)
+    t = read(spark, sf, name)
+    return t.select(F.lit(name).alias("sheet"), F.col(key).cast("int").alias("row"), F.array(*[F.col(c).cast("string") for c in t.columns]).alias("vals"))
 
 
-@query("""SELECT 'nation' AS sheet, (SELECT count(*) FROM nation)::INTEGER AS n_rows, 3 AS n_cols, 'A1:C' || (SELECT count(*) FROM nation) AS range
-    UNION ALL SELECT 'region', (SELECT count(*) FROM region)::INTEGER, 2, 'A1:B' || (SELECT count(*) FROM region)""")
+@query("""SELECT 'nation' AS sheet, (SELECT max(n_nationkey) + 1 FROM nation)::INTEGER AS n_rows, 3 AS n_cols, 'A1:C' || (SELECT max(n_nationkey) + 1 FROM nation) AS range
+    UNION ALL SELECT 'region', (SELECT max(r_regionkey) + 1 FROM region)::INTEGER, 2, 'A1:B' || (SELECT max(r_regionkey) + 1 FROM region)
+    UNION ALL SELECT 'none', 0, 0, 'A1:A1'""")
 def sheet_inspect(spark, sf):
-    return S.inspect(_sheet(spark, sf, "nation", "n_nationkey").unionAll(_sheet(spark, sf, "region", "r_regionkey")))
+    sheets = spark.createDataFrame([("nation",), ("region",), ("none",)], "sheet string")
+    return S.inspect(_sheet(spark, sf, "nation", "n_nationkey").unionAll(_sheet(spark, sf, "region", "r_regionkey")), sheets)
 
 
 def _part_rows(spark, sf):
@@ -169,9 +173,12 @@ def csv_rows(spark, sf):
     return n.select(F.col("n_nationkey").alias("row"), T.csv_line(vals).alias("line"))
 
 
-@query("SELECT n_nationkey AS row, '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) AS line FROM nation")
+@query("""SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10), '' ORDER BY n_nationkey) AS text
+    FROM nation GROUP BY n_regionkey""")
 def markdown_rows(spark, sf):
-    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("row"), T.markdown_line(F.array(F.col("n_nationkey").cast("string"), "n_name")).alias("line"))
+    rows = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    body = F.transform("r", lambda r: F.array(r["n_nationkey"].cast("string"), r["n_name"]))
+    return rows.select("n_regionkey", T.markdown_table(F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), body)).alias("text"))
 
 
 @query("""WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '=A' || event_id WHEN 1 THEN '00' || event_id WHEN 2 THEN event_id || '.5e3' WHEN 3 THEN 'true' WHEN 4 THEN ' 12' ELSE event_type END AS value FROM events)
@@ -184,9 +191,10 @@ def infer_types(spark, sf):
     return e.select("event_id", T.infer_kind(value).alias("kind"))
 
 
-@query("""WITH n AS (SELECT DISTINCT l_partkey AS n FROM lineitem WHERE l_partkey BETWEEN 1 AND 18278)
-    SELECT n, CASE WHEN n <= 26 THEN chr((64 + n)::INTEGER) WHEN n <= 702 THEN chr((64 + (n - 1) // 26)::INTEGER) || chr((65 + (n - 1) % 26)::INTEGER)
-           ELSE chr((64 + (n - 27) // 676)::INTEGER) || chr((65 + (n - 27) // 26 % 26)::INTEGER) || chr((65 + (n - 1) % 26)::INTEGER) END AS letters, n AS back FROM n""")
+@query("""WITH n AS (SELECT DISTINCT l_partkey AS n FROM lineitem WHERE l_partkey >= 1), a AS (SELECT n, (n - 1) // 26 AS n1 FROM n), b AS (SELECT *, (n1 - 1) // 26 AS n2 FROM a),
+    c AS (SELECT *, (n2 - 1) // 26 AS n3 FROM b), d AS (SELECT *, (n3 - 1) // 26 AS n4 FROM c), e AS (SELECT *, (n4 - 1) // 26 AS n5 FROM d), f AS (SELECT *, (n5 - 1) // 26 AS n6 FROM e),
+    g AS (SELECT *, (n6 - 1) // 26 AS n7 FROM f)
+    SELECT n, list_reduce([CASE WHEN k > 0 THEN chr((65 + (k - 1) % 26)::INTEGER) ELSE '' END FOR k IN [n7, n6, n5, n4, n3, n2, n1, n]], lambda x, y: x || y) AS letters, n AS back FROM g""")
 def col_letter_roundtrip(spark, sf):
     n = read(spark, sf, "lineitem").where("l_partkey >= 1").select(F.col("l_partkey").alias("n")).distinct()
     letters = T.column_letters(F.col("n"))
@@ -200,14 +208,36 @@ def hex_argb(spark, sf):
     return n.select("n", T.argb(raw).alias("argb"))
 
 
-@query("SELECT 'part' AS sheet, p_partkey::INTEGER + CASE WHEN p_partkey >= 10 THEN 3 ELSE 0 END AS row, 0 AS col, p_name AS value FROM part")
+@query(CELLS + " SELECT sheet, (row + CASE WHEN row >= 10 THEN 3 ELSE 0 END)::INTEGER AS row, col, value FROM cells")
 def grid_insert_rows(spark, sf):
-    return S.insert_lines(_cells(spark, sf).where("col = 1").withColumn("col", F.lit(0)), "row", 10, 3)
+    return S.insert_lines(_cells(spark, sf), "row", 10, 3)
 
 
-@query("SELECT 'part' AS sheet, p_partkey::INTEGER - CASE WHEN p_partkey >= 13 THEN 3 ELSE 0 END AS row, 0 AS col, p_name AS value FROM part WHERE p_partkey NOT BETWEEN 10 AND 12")
+@query(CELLS + " SELECT sheet, (row - CASE WHEN row >= 13 THEN 3 ELSE 0 END)::INTEGER AS row, col, value FROM cells WHERE row NOT BETWEEN 10 AND 12")
 def grid_delete_rows(spark, sf):
-    return S.delete_lines(_cells(spark, sf).where("col = 1").withColumn("col", F.lit(0)), "row", 10, 3)
+    return S.delete_lines(_cells(spark, sf), "row", 10, 3)
+
+
+@query(CELLS + " SELECT sheet, row, (col + CASE WHEN col >= 1 THEN 2 ELSE 0 END)::INTEGER AS col, value FROM cells")
+def grid_insert_columns(spark, sf):
+    return S.insert_lines(_cells(spark, sf), "col", 1, 2)
+
+
+@query(CELLS + " SELECT sheet, row, (col - CASE WHEN col >= 2 THEN 1 ELSE 0 END)::INTEGER AS col, value FROM cells WHERE col <> 1")
+def grid_delete_columns(spark, sf):
+    return S.delete_lines(_cells(spark, sf), "col", 1)
+
+
+@query(CELLS + """ SELECT sheet, row, col, value, NULL::VARCHAR AS kind FROM cells WHERE NOT (row = 5 AND col = 1)
+    UNION ALL SELECT 'part', 5, 1, '007', 'number'""")
+def cell_upsert(spark, sf):
+    return S.upsert_cell(_cells(spark, sf), "B6", "007", "part")
+
+
+@query(CELLS + """ SELECT sheet, row, col, value, NULL::VARCHAR AS kind FROM cells
+    UNION ALL SELECT 'part', (SELECT max(p_partkey) + 1 FROM part)::INTEGER, unnest([0, 1, 2]), unnest(['=A1', 'true', 'word']), unnest(['formula', 'bool', 'string'])""")
+def sheet_append(spark, sf):
+    return S.append_values(_cells(spark, sf), ["=A1", "true", "word"], "part")
 
 
 @query(CELLS + " SELECT sheet, row, col, CASE WHEN row = 5 AND col = 1 THEN 'changed' ELSE value END AS value FROM cells")
@@ -215,16 +245,54 @@ def table_set_cell(spark, sf):
     return D.set_cell(_cells(spark, sf), 5, 1, "changed")
 
 
+NATIONS = """
+    WITH t AS (SELECT n_regionkey AS doc_id, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS row, n_nationkey::VARCHAR AS a, n_name AS b FROM nation),
+    cells AS (SELECT doc_id, row, unnest([0, 1])::INTEGER AS col, unnest([a, b]) AS value FROM t)
+"""
+
+
+def _nations(spark, sf):
+    """Nations as a table for each region."""
+    place = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    rows = read(spark, sf, "nation").select(F.col("n_regionkey").alias("doc_id"), place.alias("row"), F.array(F.col("n_nationkey").cast("string"), "n_name").alias("v"))
+    return rows.select("doc_id", "row", F.posexplode("v").alias("col", "value"))
+
+
+@query(NATIONS + """ SELECT doc_id, (row + CASE WHEN row >= 2 THEN 1 ELSE 0 END)::INTEGER AS row, col, value FROM cells
+    UNION ALL SELECT doc_id, 2, unnest([0, 1]), unnest(['x', 'y z']) FROM (SELECT DISTINCT doc_id FROM cells)""")
+def table_insert_row(spark, sf):
+    return D.insert_table_row(_nations(spark, sf), 2, [" x", "y z "])
+
+
+@query(NATIONS + " SELECT doc_id, (row - CASE WHEN row > 1 THEN 1 ELSE 0 END)::INTEGER AS row, col, value FROM cells WHERE row <> 1")
+def table_delete_row(spark, sf):
+    return D.delete_table_row(_nations(spark, sf), 1)
+
+
+@query(NATIONS + """ SELECT doc_id, 0 AS table_idx, (max(row) + 1)::INTEGER AS rows, 2 AS cols, string_agg(value, '|' ORDER BY col) FILTER (row = 0) AS preview FROM cells GROUP BY doc_id""")
+def table_overview(spark, sf):
+    cells = _nations(spark, sf).select("doc_id", F.lit(0).alias("table_idx"), "row", "col", F.col("value").alias("text"))
+    return D.table_overview(cells).withColumn("preview", F.array_join("preview", "|"))
+
+
+@query(NATIONS + """, r AS (SELECT doc_id, row, string_agg(value, ',' ORDER BY col) || chr(10) AS line FROM cells GROUP BY ALL)
+    SELECT doc_id, 0 AS table_idx, string_agg(line, '' ORDER BY row) AS text FROM r GROUP BY doc_id""")
+def table_csv(spark, sf):
+    return D.table_text(_nations(spark, sf).select("doc_id", F.lit(0).alias("table_idx"), "row", "col", F.col("value").alias("text")), "csv")
+
+
 # ---- web
 
-LINKS = """
+TEXT = "regexp_replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')"
+PATH = "replace(replace(replace(replace(replace(url_encode(replace({}, '&amp;', '&')), '%2F', '/'), '%2C', ','), '%26', '&'), '%3D', '='), '%3A', ':')"
+
+LINKS = f"""
     WITH a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS body,
                unnest(range(0, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages),
-    n AS (SELECT page_id, pos, regexp_replace(replace(replace(body, '&quot;', '"'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS title,
-                 lower(regexp_extract(base, '^([a-z]+://[^/?#]*)', 1)) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url FROM a WHERE href <> ''),
+    n AS (SELECT page_id, pos, {TEXT.format("body")} AS title, lower(regexp_extract(base, '^([a-z]+://[^/?#]*)', 1)) || {PATH.format("href")} AS url FROM a WHERE href <> ''),
     f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS k FROM n),
-    g AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos))::INTEGER AS index, title, url FROM f WHERE k = 1 AND length(title) >= 2)
-    SELECT page_id, index, title, url FROM g
+    g AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos))::INTEGER AS index, title, url, NULL::VARCHAR AS date FROM f WHERE k = 1 AND length(title) >= 2)
+    SELECT page_id, index, title, url, date FROM g
 """
 
 
@@ -238,21 +306,59 @@ def page_links_limit(spark, sf):
     return W.links(read(spark, sf, "pages"), 3)
 
 
-@query("""SELECT page_id, regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g') AS title FROM pages""")
+@query(f"SELECT page_id, {TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS title FROM pages")
 def page_title(spark, sf):
     return W.titles(read(spark, sf, "pages"))
 
 
-@query()
+def _with_meta(spark, sf):
+    """Pages with an author and a date in their heads; of every third one without the author, of every fifth with a blank date."""
+    p, i = read(spark, sf, "pages"), F.col("page_id")
+    author = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("<meta name='author' content=' Writer "), i.cast("string"), F.lit(" &amp; son'>")))
+    date = F.concat(F.lit('<meta property="article:published_time" content="'), F.when(i % 5 == 0, " ").otherwise("2026-03-09"), F.lit('"><meta name="pubdate" content="later">'))
+    return p.withColumn("html", F.replace("html", F.lit("</head>"), F.concat(author, date, F.lit("</head>"))))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 'Writer ' || page_id || ' & son' END AS author, CASE WHEN page_id % 5 = 0 THEN 'later' ELSE '2026-03-09' END AS publish_date FROM pages""")
+def page_meta(spark, sf):
+    return W.metas(_with_meta(spark, sf))
+
+
+ARTICLE = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
+
+
+@query(f"SELECT page_id, {TEXT.format(f"regexp_replace({ARTICLE}, '<[^>]*>', '', 'g')")} AS text FROM pages")
 def page_article_text(spark, sf):
     return W.article_text(read(spark, sf, "pages"))
 
 
-@query("""SELECT page_id, o AS output, CASE WHEN o LIKE '%.mp4' THEN 'yt-dlp' WHEN o LIKE '%.pdf' THEN 'aria2c' WHEN o LIKE '%.html' OR o LIKE '%.htm' THEN 'monolith' ELSE 'markdown' END AS engine
-    FROM pages, (SELECT unnest(['a.mp4', 'b.pdf', 'c.htm', 'd.md']) AS o)""")
+@query(f"""WITH b AS (SELECT page_id, {TEXT.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS title FROM pages)
+    SELECT page_id, title, '# ' || title || chr(10) || chr(10) || '# ' || title AS head FROM b""")
+def page_markdown(spark, sf):
+    md = W.markdown(read(spark, sf, "pages"))
+    return md.select("page_id", "title", F.regexp_extract("content", r"^([^\n]*\n\n[^\n]*)", 1).alias("head"))
+
+
+@query(f"""WITH a AS (SELECT page_id, url AS base, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav FROM pages),
+    l AS (SELECT page_id, base, unnest(regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a></li>', 1)) AS href, unnest(regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a></li>', 2)) AS body,
+                 unnest(range(1, 1 + len(regexp_extract_all(nav, '<li>')))) AS index FROM a)
+    SELECT page_id, index::INTEGER AS index, {TEXT.format("body")} AS title, lower(regexp_extract(base, '^([a-z]+://[^/?#]*)', 1)) || {PATH.format("href")} AS link, NULL::VARCHAR AS image_url,
+           {TEXT.format("body")} AS raw_text FROM l""")
+def page_cards(spark, sf):
+    return W.cards(read(spark, sf, "pages"), "nav li")
+
+
+@query("""WITH o AS (SELECT unnest(['a.mp4', 'dir/b.PDF', 'c.htm', 'd.md', '.pdf', 'e.tar.gz']) AS output, unnest(['', '', '', 'html', 'raw', 'VIDEO']) AS form),
+    p AS (SELECT page_id, url FROM pages UNION ALL SELECT -1 - page_id, 'https://www.YouTube.com/watch?v=' || page_id FROM pages UNION ALL SELECT -1000000 - page_id, url || '.Flv' FROM pages)
+    SELECT page_id, output, CASE WHEN lower(form) IN ('video', 'audio') OR regexp_matches(lower(url), 'bilibili[.]com|youtube[.]com|youtu[.]be|[.](mp4|mkv|flv)$') THEN 'yt-dlp'
+        WHEN form IN ('bin', 'raw') OR output IN ('dir/b.PDF', 'e.tar.gz') THEN 'aria2c' WHEN form = 'html' OR output = 'c.htm' THEN 'monolith' ELSE 'markdown' END AS engine FROM p, o""")
 def route_url(spark, sf):
-    p = read(spark, sf, "pages").select("page_id", "url", F.explode(F.array(*map(F.lit, ("a.mp4", "b.pdf", "c.htm", "d.md")))).alias("output"))
-    return p.select("page_id", "output", W.route(F.col("url"), F.col("output")).alias("engine"))
+    p, i = read(spark, sf, "pages").select("page_id", "url"), F.col("page_id")
+    p = p.unionAll(p.select((-1 - i).alias("page_id"), F.concat(F.lit("https://www.YouTube.com/watch?v="), i.cast("string")))).unionAll(
+        p.select((-1000000 - i).alias("page_id"), F.concat("url", F.lit(".Flv"))))
+    outputs = [("a.mp4", ""), ("dir/b.PDF", ""), ("c.htm", ""), ("d.md", "html"), (".pdf", "raw"), ("e.tar.gz", "VIDEO")]
+    p = p.select("page_id", "url", F.explode(F.array(*[F.struct(F.lit(o).alias("output"), F.lit(f).alias("form")) for o, f in outputs])).alias("o"))
+    return p.select("page_id", "o.output", W.route(F.col("url"), F.col("o.output"), F.col("o.form")).alias("engine"))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') END AS date FROM orders""")
@@ -264,71 +370,102 @@ def find_date(spark, sf):
     return o.select("o_orderkey", T.find_date(text).alias("date"))
 
 
-@query("""SELECT r_regionkey AS page_id, 0 AS table_idx, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS row_idx,
-    n_nationkey::VARCHAR AS key, n_name AS name, 'x' AS extra FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("""SELECT r_regionkey AS page_id, 1 AS table_idx, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS row_idx,
+    n_nationkey::VARCHAR AS key, n_name AS name, 'x' AS extra FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT r_regionkey, 0, 0, NULL, NULL, NULL FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)""")
 def html_tables(spark, sf):
     n = read(spark, sf, "nation")
     tr = F.concat(F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> "), F.col("n_name"), F.lit("</td><td>x</td></tr>"))
     rows = n.select("n_regionkey", F.struct("n_nationkey", tr.alias("tr")).alias("r")).groupBy("n_regionkey").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    html = F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), F.array_join(F.transform("rs", lambda r: r["tr"]), ""), F.lit("</table>"))
+    html = F.concat(F.lit("<p>x<table><tr><td></table><table><tr><th>key<th>name</tr>"), F.array_join(F.transform("rs", lambda r: r["tr"]), ""), F.lit("</table>"))
     t = W.tables(rows.select(F.col("n_regionkey").alias("page_id"), html.alias("html")))
     return t.select("page_id", "table_idx", "row_idx", F.col("row")["key"].alias("key"), F.col("row")["name"].alias("name"), F.col("row")["col_3"].alias("extra"))
 
 
-# ---- layout: line items as positioned text
+# ---- layout: line items as positioned text, 40 orders a page
+
+KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 
 
 def _elems(spark, sf):
-    li = read(spark, sf, "lineitem")
-    order = F.col("l_orderkey")
+    li, order = read(spark, sf, "lineitem"), F.col("l_orderkey")
+    li = li.withColumn("doc_id", F.floor(order / 40).cast("long"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*KEYS.split(", ")))
     return li.select(
-        (order / 40).cast("long").alias("doc_id"), F.lit(1).alias("page"), (order % 40 * 8 + F.col("l_linenumber")).cast("int").alias("elem_ord"),
-        (F.col("l_linenumber") * 90.0 + order % 3).alias("x"), (780.0 - order % 40 * 18).alias("y"),
-        F.concat(F.col("l_shipmode") if "l_shipmode" in li.columns else F.col("l_returnflag"), F.col("l_partkey").cast("string")).alias("text"), F.lit(11.0).alias("font_size"),
-    ).dropDuplicates(["doc_id", "page", "elem_ord"])
+        "doc_id", F.lit(1).alias("page"), place.alias("elem_ord"), (F.col("l_linenumber") * 90.0 + order % 3).alias("x"),
+        (780.0 - order % 40 * 18 + F.col("l_partkey") % 3).alias("y"), F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"), F.lit(11.0).alias("font_size"))
 
 
-ELEMS = """
-    WITH e AS (SELECT DISTINCT ON (doc_id, elem_ord) doc_id, 1 AS page, elem_ord, x, y, text FROM (
-        SELECT (l_orderkey // 40)::BIGINT AS doc_id, (l_orderkey % 40 * 8 + l_linenumber)::INTEGER AS elem_ord, l_linenumber * 90.0::DOUBLE + l_orderkey % 3 AS x,
-               780.0::DOUBLE - l_orderkey % 40 * 18 AS y, l_returnflag || l_partkey AS text FROM lineitem))
+ELEMS = f"""
+    WITH e AS (SELECT l_orderkey // 40 AS doc_id, 1 AS page, (row_number() OVER (PARTITION BY l_orderkey // 40 ORDER BY {KEYS}))::INTEGER AS elem_ord, l_linenumber * 90.0::DOUBLE + l_orderkey % 3 AS x,
+                      780.0::DOUBLE - l_orderkey % 40 * 18 + l_partkey % 3 AS y, l_returnflag || l_partkey AS text, l_orderkey % 40 AS band FROM lineitem),
+    n AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id ORDER BY band))::INTEGER AS line,
+                 x - lag(x + 6.5::DOUBLE * length(text)) OVER (PARTITION BY doc_id, band ORDER BY x, y DESC, elem_ord) AS gap,
+                 x - max(x + 6.5::DOUBLE * length(text)) OVER (PARTITION BY doc_id, band ORDER BY x, y DESC, elem_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS free FROM e),
+    t AS (SELECT doc_id, page, line, first(y ORDER BY x, y DESC, elem_ord) AS y, string_agg(CASE WHEN gap > 2.5 THEN ' ' ELSE '' END || text, '' ORDER BY x, y DESC, elem_ord) AS text FROM n GROUP BY ALL)
 """
 
 
-@query()
+@query(ELEMS + " SELECT doc_id, page, line, y, text FROM t")
 def text_lines(spark, sf):
     return L.text_lines(_elems(spark, sf))
 
 
-@query()
+@query(ELEMS + """ SELECT doc_id, page, line, string_agg(CASE WHEN free > 3 THEN ' ' ELSE '' END || text, '' ORDER BY x, y DESC, elem_ord) AS text, min(x) AS x,
+    first(y ORDER BY x, y DESC, elem_ord) AS y, round((max(x + 6.5::DOUBLE * length(text)) - min(x)) * 10) / 10 AS width, 12.0::DOUBLE AS height FROM n GROUP BY ALL""")
+def bbox_lines(spark, sf):
+    return L.bbox_lines(_elems(spark, sf))
+
+
+@query(ELEMS + """, g AS (SELECT *, lag(y) OVER (PARTITION BY doc_id ORDER BY line) - y AS down FROM t)
+    SELECT doc_id, page, string_agg(CASE WHEN down IS NULL THEN '' WHEN abs(down) > 18 THEN chr(10) || chr(10) ELSE chr(10) END || text, '' ORDER BY line) AS text FROM g GROUP BY ALL""")
 def page_texts(spark, sf):
     return L.page_text(L.text_lines(_elems(spark, sf)))
 
 
-@query()
+@query(ELEMS + """, m AS (SELECT *, min(y) OVER w AS lo, max(y) OVER w AS hi, count(*) OVER w AS k FROM e WINDOW w AS (PARTITION BY doc_id))
+    SELECT doc_id, page, elem_ord, x, y, text FROM m WHERE NOT (k > 15 AND hi - lo > 100 AND length(text) < 10 AND (y >= hi - (hi - lo) * 0.05 OR y <= lo + (hi - lo) * 0.05))""")
 def noise_filter(spark, sf):
     return L.noise_filter(_elems(spark, sf), F.lit(842.0)).select("doc_id", "page", "elem_ord", "x", "y", "text")
 
 
 def _blocks(spark, sf):
+    """Elements as blocks; every fifth one stands 85 to the left, over its neighbour."""
     e = _elems(spark, sf)
-    return e.withColumn("x", F.col("x") - F.when(F.col("elem_ord") % 5 == 0, 85).otherwise(0)).withColumn("width", T.line_width(F.col("text"), 6.5, 12.0))
+    return L.blocks(e.withColumn("x", F.col("x") - F.when(F.col("elem_ord") % 5 == 0, 85).otherwise(0)))
+
+
+BLOCKS = ELEMS + """,
+    b AS (SELECT doc_id, page, elem_ord, x - CASE WHEN elem_ord % 5 = 0 THEN 85 ELSE 0 END AS x, y, round(length(text) * (11.0::DOUBLE * 0.55::DOUBLE) * 10) / 10 AS width, text FROM e),
+    r AS (SELECT doc_id, floor((x + 40) / 90) AS run, round(list_reduce(list(x ORDER BY x), lambda m, v, i: (m * (i - 1) + v) / i) * 10) / 10 AS x_start FROM b GROUP BY ALL HAVING count(*) >= 2),
+    c AS (SELECT doc_id, 1 AS page, (row_number() OVER w - 1)::INTEGER AS col_index, x_start, coalesce(lead(x_start) OVER w - 5, x_start + 200) AS x_end FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY run))
+"""
 
 
-@query()
+@query(BLOCKS + """, p AS (SELECT l.doc_id, l.page, l.elem_ord AS a_ord, m.elem_ord AS b_ord, l.text AS text_a, m.text AS text_b, greatest(l.x, m.x) AS x, l.y,
+           least(l.x + l.width, m.x + m.width) - greatest(l.x, m.x) AS width, least(l.width, m.width) AS narrow
+           FROM b l JOIN b m ON l.doc_id = m.doc_id AND l.elem_ord < m.elem_ord AND abs(l.y - m.y) < 2 AND l.text <> m.text)
+    SELECT doc_id, page, a_ord, b_ord, text_a, text_b, round(width / narrow, 4) AS ratio, x, y, round(width, 6) AS width, 11.0::DOUBLE AS height FROM p WHERE width > 0 AND narrow > 0 AND width / narrow > 0.6""")
 def overlap_anomalies(spark, sf):
-    return L.overlaps(_blocks(spark, sf))
+    return L.overlaps(_blocks(spark, sf)).withColumn("width", F.round("width", 6))
 
 
-@query()
+@query(BLOCKS + " SELECT doc_id, page, col_index, x_start, x_end FROM c")
 def column_clusters(spark, sf):
     return L.column_clusters(_blocks(spark, sf))
 
 
-@query()
+@query(BLOCKS + """,
+    f AS (SELECT doc_id, min(x_start) AS first_start FROM c GROUP BY doc_id),
+    q AS (SELECT b.*, round(y / 4)::BIGINT AS grp, (SELECT min(col_index) FROM c WHERE c.doc_id = b.doc_id AND b.x >= c.x_start - 10 AND b.x < c.x_end) AS col_index, first_start FROM b JOIN f USING (doc_id)),
+    s AS (SELECT doc_id, grp, round(first(y ORDER BY x, elem_ord) * 10) / 10 AS y, (first(x ORDER BY x, elem_ord) FILTER (x < first_start + 100)) - any_value(first_start) AS shift FROM q GROUP BY ALL),
+    k AS (SELECT doc_id, grp, col_index, string_agg(text, ' ' ORDER BY x, elem_ord) AS cell FROM q WHERE col_index IS NOT NULL GROUP BY ALL),
+    z AS (SELECT s.doc_id, s.grp, any_value(s.y) AS y, any_value(shift) AS shift, string_agg(coalesce(k.cell, ''), '|' ORDER BY c.col_index) AS cells, count(k.cell) AS filled
+          FROM s JOIN c ON c.doc_id = s.doc_id LEFT JOIN k ON k.doc_id = s.doc_id AND k.grp = s.grp AND k.col_index = c.col_index GROUP BY s.doc_id, s.grp)
+    SELECT doc_id, 1 AS page, grp AS band, y, CASE WHEN shift > 8 THEN round(shift / 12)::INTEGER ELSE 0 END AS indent_level, cells FROM z WHERE filled > 0""")
 def structured_rows(spark, sf):
     b = _blocks(spark, sf)
-    return L.structured_rows(b, L.column_clusters(b))
+    return L.structured_rows(b, L.column_clusters(b)).withColumn("cells", F.array_join("cells", "|"))
 
 
 @query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'A4' WHEN 1 THEN 'A4' WHEN 2 THEN 'Letter' ELSE 'Custom' END AS size_standard,
@@ -348,8 +485,7 @@ def page_rotate(spark, sf):
 @query("SELECT conv_id AS doc_id, turn::INTEGER AS page FROM conversations WHERE turn BETWEEN 1 AND 2")
 def extract_pages(spark, sf):
     _, pages = _turns(spark, sf)
-    wanted = pages.sparkSession.range(1, 3).select(F.col("id").cast("int").alias("page"))
-    return pages.select("doc_id", "page").join(F.broadcast(wanted), "page", "left_semi").select("doc_id", "page")
+    return D.extract_pages(pages.select("doc_id", "page"), edited_pages(1000, "1:2")).select("doc_id", "page")
 
 
 @query("""SELECT doc_id, f AS file_ord, (row_number() OVER (PARTITION BY doc_id ORDER BY f, page) - 1)::INTEGER AS merged_idx
@@ -373,7 +509,7 @@ def _paras(spark, sf):
     return lines.withColumn("style_id", F.when(F.octet_length("text") <= 40, F.concat(F.lit("Heading"), (1 + F.col("para_idx") % 3).cast("string"))))
 
 
-@query(PARAS + " SELECT doc_id, para_idx, text, 1 + para_idx % 3 AS level FROM p WHERE style_id IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
+@query(PARAS + " SELECT doc_id, para_idx, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, 1 + para_idx % 3 AS level FROM p WHERE style_id IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
 def doc_outline(spark, sf):
     return D.outline(_paras(spark, sf)).select("doc_id", "para_idx", "text", "level")
 
@@ -388,13 +524,38 @@ def doc_section_read(spark, sf):
 
 
 @query(PARAS + """,
-    n AS (SELECT *, (1 + sum((para_idx % 4 = 3)::INT) OVER (PARTITION BY doc_id ORDER BY para_idx)) AS page FROM p)
+    n AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, (1 + sum((para_idx % 4 = 3)::INT) OVER (PARTITION BY doc_id ORDER BY para_idx)) AS page FROM p),
+    k AS (SELECT *, style_id IS NULL AND t <> '' AS body, sum(CASE WHEN style_id IS NULL AND t <> '' THEN octet_length(encode(t)) + 1 END)
+                 OVER (PARTITION BY doc_id, page ORDER BY para_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS held FROM n)
     SELECT doc_id, page::BIGINT AS page, min(para_idx) AS para_from, max(para_idx) AS para_to,
-           coalesce(string_agg(text, '|' ORDER BY para_idx) FILTER (style_id IS NOT NULL), '') AS headings,
-           substring(coalesce(string_agg(text, ' ' ORDER BY para_idx) FILTER (style_id IS NULL), ''), 1, 80) AS preview FROM n GROUP BY doc_id, page""")
+           coalesce(string_agg(t, '|' ORDER BY para_idx) FILTER (style_id IS NOT NULL AND t <> ''), '') AS headings,
+           substring(coalesce(string_agg(t, ' ' ORDER BY para_idx) FILTER (body AND coalesce(held, 0) < 120), ''), 1, 80) AS preview FROM k GROUP BY doc_id, page""")
 def doc_page_slices(spark, sf):
     paras = _paras(spark, sf).withColumn("is_break", F.col("para_idx") % 4 == 3)
-    return D.page_slices(paras, F.col("style_id").isNotNull()).withColumn("headings", F.array_join("headings", "|"))
+    return D.page_slices(paras).withColumn("headings", F.array_join("headings", "|"))
+
+
+@query(PARAS + " SELECT doc_id, para_idx, text FROM p WHERE para_idx BETWEEN 1 AND 2")
+def doc_range_read(spark, sf):
+    return D.read_paragraphs(_paras(spark, sf), *paragraph_span("1:2", 1000)).select("doc_id", "para_idx", "text")
+
+
+@query("""WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS node_ord, (turn - turn % 4)::INTEGER AS start, 'turn ' || turn AS title FROM conversations WHERE role = 'user'),
+    h AS (SELECT * FROM o WHERE contains(title, '2') OR title = 'turn' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY node_ord) = 1)
+    SELECT doc_id, node_ord, title, start AS page_from, greatest(least(coalesce((SELECT min_by(o.start, o.node_ord) FROM o WHERE o.doc_id = h.doc_id AND o.node_ord > h.node_ord AND o.start > h.start), 101) - 1, 100), start)::INTEGER AS page_to
+    FROM h""")
+def heading_pages(spark, sf):
+    outline, _ = _turns(spark, sf)
+    coarse = outline.withColumn("start", F.col("start") - F.col("start") % 4).withColumnRenamed("path", "title")
+    return D.heading_pages(coarse, F.lit(100), "2")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS line, unnest(range(0, len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))))) AS i FROM documents),
+    k AS (SELECT doc_id, i, regexp_replace(CASE i % 4 WHEN 0 THEN '1.2 ' ELSE '' END || line, '^\\s+|\\s+$', '', 'g') AS t FROM l)
+    SELECT doc_id, string_agg(CASE WHEN octet_length(encode(t)) <= 60 AND regexp_matches(t, '^[0-9][0-9.]*\\.[0-9.]*(\\s|$)') THEN chr(10) || '### ' || t || chr(10) ELSE t END, chr(10) ORDER BY i) AS text FROM k GROUP BY doc_id""")
+def text_to_md(spark, sf):
+    lines = F.transform(F.split(F.regexp_replace("text", "\n$", ""), "\n"), lambda line, i: F.concat(F.when(i % 4 == 0, "1.2 ").otherwise(""), line))
+    return read(spark, sf, "documents").select("doc_id", T.lines_as_markdown(F.array_join(lines, "\n")).alias("text"))
 
 
 @query(PARAS + " SELECT doc_id, para_idx, replace(replace(text, 'the', 'THE'), 'ion', 'X') AS text, (len(string_split(text, 'the')) - 1 + len(string_split(replace(text, 'the', 'THE'), 'ion')) - 1)::INTEGER AS matches FROM p")
@@ -429,7 +590,34 @@ def para_delete(spark, sf):
 
 @query(PARAS + " SELECT doc_id, para_idx, text, CASE WHEN para_idx = 0 THEN 'Title' ELSE style_id END AS style_id FROM p")
 def apply_style(spark, sf):
-    return _paras(spark, sf).withColumn("style_id", F.when(F.col("para_idx") == 0, "Title").otherwise(F.col("style_id")))
+    return D.apply_style(_paras(spark, sf), 0, "Title")
+
+
+@query(PARAS + """, m AS (SELECT doc_id - doc_id % 3 AS base_id, doc_id, doc_id % 3 AS file_ord FROM documents)
+    SELECT base_id AS doc_id, (row_number() OVER (PARTITION BY base_id ORDER BY file_ord, para_idx) - 1)::INTEGER AS para_idx, text, style_id FROM p JOIN m USING (doc_id)
+    WHERE base_id IN (SELECT doc_id FROM documents)""")
+def doc_merge(spark, sf):
+    d, i = read(spark, sf, "documents").select("doc_id"), F.col("doc_id")
+    manifest = d.select((i - i % 3).alias("base_id"), (i % 3).alias("file_ord"), "doc_id")
+    return D.merge_documents(_paras(spark, sf), manifest)
+
+
+@query(PARAS + " SELECT doc_id, para_idx, text FROM p WHERE para_idx BETWEEN 1 AND 4 AND style_id IS NULL")
+def format_targets(spark, sf):
+    return D.format_targets(_paras(spark, sf), "1:4", body=True).select("doc_id", "para_idx", "text")
+
+
+@query("""SELECT p_partkey, round(p_retailprice * 10) / 10 AS tenth, CASE WHEN p_partkey * 36000.0::DOUBLE / 36000 > 0 THEN p_partkey::DOUBLE END AS mm,
+    CASE p_size % 3 WHEN 0 THEN 'A4' WHEN 1 THEN 'Letter' ELSE 'Custom' END AS paper, length(p_name) * (10.0::DOUBLE * 0.55::DOUBLE) AS width, 'a' || p_partkey || ' / ' || p_name AS crumb,
+    regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS norm, '2' AS last FROM part""")
+def scalar_rules(spark, sf):
+    p, k = read(spark, sf, "part"), F.col("p_size") % 3
+    w = F.when(k == 0, 11900).when(k == 1, 15800).otherwise(9000)
+    h = F.when(k == 0, 16830).when(k == 1, 12240).otherwise(9000)
+    return p.select(
+        "p_partkey", T.rounded(F.col("p_retailprice")).alias("tenth"), T.emu_mm(F.col("p_partkey") * 36000.0).alias("mm"), T.paper_twips(w, h).alias("paper"),
+        T.block_width(F.col("p_name"), F.lit(10.0)).alias("width"), T.breadcrumb(F.concat(F.lit("a"), F.col("p_partkey").cast("string")), F.col("p_name")).alias("crumb"),
+        T.normalise_for_match(F.col("p_name")).alias("norm"), T.key_values(F.lit("a=1, b=x,a = 2"))["a"].alias("last"))
 
 
 @query(PARAS + " SELECT doc_id, para_idx, text FROM p WHERE style_id IS NULL")

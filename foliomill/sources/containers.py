@@ -2,7 +2,7 @@
 
 A parser is a plain function from a file's bytes to tuples.  `scan` runs one over the files below
 a path, a file at a time, with no state beside the file, so a lost executor costs its files only.
-A file that a parser can't read gives one row with `error` set and the other columns null.  Files of no bytes give no row: Spark's
+A file that a parser can't read gives one row with `error` and `error_type` set and the other columns null.  Files of no bytes give no row: Spark's
 file listing passes over them.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
@@ -19,26 +20,45 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 ROWS_A_BATCH = 4096
-BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, EOFError)
+BROKEN = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, IndexError, TypeError, EOFError, RecursionError, NotImplementedError)
 
 
-def scan(spark: SparkSession, path: str, parse: Callable[[bytes], Iterable[tuple]], ddl: str, glob: str | None = None) -> DataFrame:
-    """`path`, the columns of `ddl` and `error` for each tuple that `parse` gives for a file."""
+def error_type(error: Exception) -> str:
+    """What kind of fault a file has: encrypted, missing_part, corrupted_document, xml_parse or unsupported."""
+    if isinstance(error, ElementTree.ParseError):
+        return "xml_parse"
+    if "encrypted" in str(error).lower():
+        return "encrypted"
+    if isinstance(error, NotImplementedError):
+        return "unsupported"
+    return "missing_part" if isinstance(error, KeyError) else "corrupted_document"
+
+
+def scan(spark: SparkSession, path: str, parse: Callable[[bytes], Iterable[tuple]], ddl: str, glob: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+    """`path`, the columns of `ddl`, `error` and `error_type` for each tuple that `parse` gives for a file.
+
+    mode: PERMISSIVE gives an error row for a broken file, DROPMALFORMED nothing, FAILFAST ends the job.
+    """
+    if mode not in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+        raise ValueError(f"not a mode: {mode!r}")
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path).select("path", "content")
     fields = T.StructType.fromDDL(ddl).fields
-    schema = T.StructType([T.StructField("path", T.StringType()), *fields, T.StructField("error", T.StringType())])
+    schema = T.StructType([T.StructField("path", T.StringType()), *fields, T.StructField("error", T.StringType()), T.StructField("error_type", T.StringType())])
     arrow = to_arrow_schema(schema)
 
     def rows(name: str, content: bytes) -> Iterator[tuple]:
         try:
             found = list(parse(content))  # whole or not at all: a file that breaks midway gives its error only
         except BROKEN as e:
-            yield (name, *[None] * len(fields), f"{type(e).__name__}: {e}")
+            if mode == "FAILFAST":
+                raise ValueError(f"{name}: {e}") from e
+            if mode == "PERMISSIVE":
+                yield (name, *[None] * len(fields), f"{type(e).__name__}: {e}", error_type(e))
         else:
-            yield from ((name, *r, None) for r in found)
+            yield from ((name, *r, None, None) for r in found)
 
     def run(batches):
         for batch in batches:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import math
+import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 from xml.etree.ElementTree import Element
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from foliomill.sources.containers import has_part, part, scan
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-MAIN, STYLES = "word/document.xml", "word/styles.xml"
+MAIN, STYLES, RELATIONS = "word/document.xml", "word/styles.xml", "word/_rels/document.xml.rels"
+#: Papers in twentieths of a point.
+PAPERS = (("A4", 16838, 11906), ("A3", 23811, 16838), ("Letter", 15840, 12240))
 
 PARAGRAPHS = "para_idx int, style_id string, text string"
 RUNS = "para_idx int, run_ord int, text string, highlight string, page_break boolean"
@@ -32,28 +39,90 @@ def _text(node: Element) -> str:
 
 
 def _body(content: bytes) -> Element:
-    body = part(content, MAIN).find(W + "body")
+    """The body without self-closed paragraphs, which have no ordinal."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(re.sub(rb"<w:p(\s[^<>]*)?/>", b"", z.read(MAIN))).find(W + "body")
     if body is None:
         raise ValueError("no body")
     return body
 
 
 def paragraphs(content: bytes) -> Iterator[tuple]:
-    """Paragraphs of the body in order, those in tables left out; split runs are joined."""
-    for i, p in enumerate(_body(content).findall(W + "p")):
+    """Paragraphs of the body in order, those in tables among them; split runs are joined."""
+    for i, p in enumerate(_body(content).iter(W + "p")):
         style = p.find(f"{W}pPr/{W}pStyle")
         yield i, None if style is None else style.get(W + "val"), _text(p)
 
 
 def runs(content: bytes) -> Iterator[tuple]:
     """Runs of the body's paragraphs with their highlight colour and whether a page break is in them."""
-    for i, p in enumerate(_body(content).findall(W + "p")):
+    for i, p in enumerate(_body(content).iter(W + "p")):
         for k, r in enumerate(p.iter(W + "r")):
             mark = r.find(f"{W}rPr/{W}highlight")
             broken = any(b.get(W + "type") == "page" for b in r.iter(W + "br"))
             yield i, k, _text(r), None if mark is None else mark.get(W + "val"), broken
 
 
+def _local(node: Element) -> str:
+    return node.tag.rpartition("}")[2]
+
+
+def images(content: bytes) -> Iterator[tuple]:
+    """(img_idx, rel_id, width_mm, height_mm) of drawings with a size; a picture belongs to the last drawing that has none yet."""
+    found: list[list] = []
+    for n in _body(content).iter():
+        if _local(n) == "extent":
+            w, h = (_mm(n.get(k, "")) for k in ("cx", "cy"))
+            if w > 0 and h > 0:
+                found.append(["", w, h])
+        elif _local(n) == "blip":
+            rel = next((v for k, v in n.attrib.items() if k.rpartition("}")[2] == "embed"), None)
+            if rel is not None and found and not found[-1][0]:
+                found[-1][0] = rel
+    for i, row in enumerate(found):
+        yield i, *row
+
+
+def _mm(emu: str) -> float:
+    """English metric units as millimetres to a tenth, half up; 0 for what is no number."""
+    try:
+        return math.floor(float(emu) / 36000.0 * 10.0 + 0.5) / 10.0
+    except ValueError:
+        return 0.0
+
+
+def relations(content: bytes) -> Iterator[tuple]:
+    """(rel_id, target) of the document's relations."""
+    if has_part(content, RELATIONS):
+        for n in part(content, RELATIONS).iter():
+            if _local(n) == "Relationship" and n.get("Id") and n.get("Target"):
+                yield n.get("Id"), n.get("Target")
+
+
+def media(content: bytes) -> Iterator[tuple]:
+    """(name, content) of every file below word/media/."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in z.namelist():
+            if name.startswith("word/media/") and not name.endswith("/"):
+                yield name.rpartition("/")[2], z.read(name)
+
+
+def summary(content: bytes) -> Iterator[tuple]:
+    """Counts of a document, and the paper of its sections: the last size, and landscape once a section is wider than high or says so."""
+    body = _body(content)
+    marked = sum(1 for r in runs(content) if r[3] is not None and r[2].strip())
+    orientation, size = "portrait", "A4"
+    for n in body.iter(W + "pgSz"):
+        orientation = n.get(W + "orient", orientation)
+        w, h = (int(v) if (v := n.get(W + k, "")).isdigit() else 0 for k in ("w", "h"))
+        if orientation == "portrait" and w > h > 0:
+            orientation = "landscape"
+        near = lambda a, b: abs(max(w, h) - a) < 100 and abs(min(w, h) - b) < 100
+        size = next((name for name, a, b in PAPERS if near(a, b)), "Custom")
+    yield (sum(1 for _ in body.iter(W + "p")), sum(1 for _ in body.iter(W + "tbl")), sum(1 for _ in images(content)), marked,
+           max(1, sum(1 for _ in body.iter(W + "sectPr"))), orientation, size)
+
+
 def table_cells(content: bytes) -> Iterator[tuple]:
     """Trimmed cells of the body's tables; a cell's paragraphs are joined by line ends."""
     for t, table in enumerate(_body(content).findall(W + "tbl")):
@@ -87,3 +156,20 @@ def read_table_cells(spark: SparkSession, path: str) -> DataFrame:
 
 def read_styles(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path, styles, STYLE_ROWS, "*.docx")
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    return scan(spark, path, images, "img_idx int, rel_id string, width_mm double, height_mm double", "*.docx")
+
+
+def read_relations(spark: SparkSession, path: str) -> DataFrame:
+    return scan(spark, path, relations, "rel_id string, target string", "*.docx")
+
+
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    return scan(spark, path, media, "name string, content binary", "*.docx")
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    ddl = "total_paragraphs int, total_tables int, total_images int, total_highlights int, total_sections int, page_orientation string, page_size string"
+    return scan(spark, path, summary, ddl, "*.docx")

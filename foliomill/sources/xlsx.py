@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliomill.operators.sheets import letters_number
 from foliomill.sources.containers import scan
 
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -20,13 +21,6 @@ CELLS = "sheet_ord int, sheet string, row int, col int, kind string, value strin
 POSITION = re.compile(r"([A-Z]+)([0-9]+)")
 
 
-def _column(letters: str) -> int:
-    n = 0
-    for c in letters:
-        n = n * 26 + ord(c) - 64
-    return n - 1
-
-
 def _strings(z: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in z.namelist():
         return []
@@ -70,10 +64,53 @@ def cells(content: bytes) -> Iterator[tuple]:
                 row, col = int(line.get("r", row + 2)) - 1, -1
                 for cell in line.findall(S + "c"):
                     at = POSITION.fullmatch(cell.get("r", ""))
-                    col = _column(at[1]) if at else col + 1
+                    col = letters_number(at[1]) - 1 if at else col + 1
                     if (found := _value(cell, shared)) is not None:
                         yield ord_, sheet.get("name"), row, col, *found
 
 
+def sheets(content: bytes) -> Iterator[tuple]:
+    """(sheet_ord, sheet) of all sheets, those without cells too."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for i, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(S + "sheet")):
+            yield i, sheet.get("name")
+
+
+def cell_styles(content: bytes) -> Iterator[tuple]:
+    """The font, colours, alignment and border of every cell that names a format; a missing size is 11, missing alignments are general and bottom."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if "xl/styles.xml" not in z.namelist():
+            return
+        book = ElementTree.fromstring(z.read("xl/styles.xml"))
+        part = lambda name: book.findall(f"{S}{name}/*")
+        fonts, fills, borders, formats = part("fonts"), part("fills"), part("borders"), book.findall(f"{S}cellXfs/{S}xf")
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall(P + "Relationship")}
+        for ord_, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(S + "sheet")):
+            name = posixpath.normpath(posixpath.join("xl", targets[sheet.get(R + "id")])).lstrip("/")
+            for cell in ElementTree.fromstring(z.read(name)).iter(S + "c"):
+                at, style = POSITION.fullmatch(cell.get("r", "")), int(cell.get("s", "0"))
+                if not at or "s" not in cell.attrib or style >= len(formats):
+                    continue
+                xf = formats[style]
+                pick = lambda kind, all_: next(iter(all_[int(xf.get(kind, "0")) :]), None)
+                font, fill, border, align = pick("fontId", fonts), pick("fillId", fills), pick("borderId", borders), xf.find(S + "alignment")
+                of = lambda node, tag, key="val": None if node is None or node.find(tag) is None else node.find(tag).get(key)
+                bold = font is not None and font.find(S + "b") is not None and font.find(S + "b").get("val", "1") in ("1", "true")
+                yield (ord_, sheet.get("name"), int(at[2]) - 1, letters_number(at[1]) - 1, bold, float(of(font, S + "sz") or 11.0), of(font, S + "name"), of(font, S + "color", "rgb"),
+                       of(fill, f"{S}patternFill/{S}fgColor", "rgb"), "general" if align is None else align.get("horizontal", "general"),
+                       "bottom" if align is None else align.get("vertical", "bottom"), border is not None and any(side.get("style") for side in border))
+
+
+STYLES = "sheet_ord int, sheet string, row int, col int, bold boolean, size double, font string, color string, fill string, horizontal string, vertical string, border boolean"
+
+
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    return scan(spark, path, sheets, "sheet_ord int, sheet string", "*.xlsx")
+
+
+def read_cell_styles(spark: SparkSession, path: str) -> DataFrame:
+    return scan(spark, path, cell_styles, STYLES, "*.xlsx")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return scan(spark, path, cells, CELLS, "*.xlsx")
