@@ -63,8 +63,12 @@ def shingle_hashes(texts: pa.Array, shingle: int = 4) -> tuple[np.ndarray, np.nd
 
 def fingerprints_of(texts: pa.Array, shingle: int = 4) -> np.ndarray:
     """64-bit fingerprints (uint64) of texts; no words: 0."""
-    out = np.zeros(len(texts), np.uint64)
-    hashes, per_doc = shingle_hashes(texts, shingle)
+    return majorities(*shingle_hashes(texts, shingle))
+
+
+def majorities(hashes: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    """The bits that over half of each run of hashes have; an empty run: 0."""
+    out = np.zeros(len(per_doc), np.uint64)
     if not len(hashes):
         return out
     has = np.flatnonzero(per_doc)

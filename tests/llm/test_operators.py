@@ -703,6 +703,34 @@ def test_pipeline_near_copies_reach_the_similarity(spark, sf, docs, monkeypatch)
         assert kept == set(roots)
 
 
+def test_meeting_fingerprints_of_long_runs(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    prints = np.concatenate([base, base ^ np.uint64(0b1011), rng.integers(0, 2**63, 300).astype(np.uint64)])
+    keys, sizes = rng.integers(0, 3, len(prints)), rng.integers(80, 130, len(prints))
+    held = np.stack([keys, sizes, prints.view(np.int64), np.arange(len(prints))])
+    held = held[:, np.lexsort(held[::-1])]
+
+    def classes(a, b):
+        root = list(range(len(prints)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            root[max(find(x), find(y))] = min(find(x), find(y))
+        return [find(i) for i in range(len(prints))]
+
+    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if keys[i] == keys[j] and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])
+             and int(prints[i] ^ prints[j]).bit_count() <= near_copies.NEAR]
+    want = classes(*np.array(pairs).T)
+    for small in (16, 400):
+        monkeypatch.setattr(near_copies, "SMALL_RUN", small)
+        assert classes(*near_copies.run_links(held, 0.8)) == want
+
+
 def test_pipeline_near_copies_go_by_row(spark, sf):
     import corpus_pipeline
 
