@@ -402,8 +402,8 @@ class Trainer:
     those amounts the attention inside words, the tilts and the first ids are trained.
     """
 
-    def __init__(self, flat: np.ndarray, kinds: Kinds, seed: int = 0):
-        self.flat, self.kinds, self.rng = flat.copy(), kinds, np.random.default_rng(seed)
+    def __init__(self, flat: np.ndarray, kinds: Kinds, seed: int = 0, batch: int = 96):
+        self.flat, self.kinds, self.rng, self.batch = flat.copy(), kinds, np.random.default_rng(seed), batch
         self.w = unpack(self.flat)
         self.outer, self.deeper = Adam(OUTER), Adam(DEEPER)
         self.firsts = np.exp(self.w["start"]).astype(np.float64) * FIRST_MASS
@@ -437,8 +437,8 @@ class Trainer:
         held = []
         windows = Windows(block.codes, block.texts, block.size)
         order = self.rng.permutation(len(windows))
-        for at in range(0, len(order), 96):
-            grad, target, share = outer_gradient(self.w, head, end, *windows.take(order[at : at + 96]), odds)
+        for at in range(0, len(order), self.batch):
+            grad, target, share = outer_gradient(self.w, head, end, *windows.take(order[at : at + self.batch]), odds)
             self.outer.apply(self.w, grad, rate)
             held.append((target, share))
         target, share = (np.concatenate(part) for part in zip(*held))
@@ -618,20 +618,20 @@ def train(docs: DataFrame, kinds: Kinds, id_col: str, text_col: str, folds: int,
     else:
         first, others = learnt.where(F.col("_hash") < cut), learnt.where(F.col("_hash") >= cut)
     passes = max(1, min(8, -(-FIRST_STEPS // max(1, min(words, FIRST_WORDS)))))
-    flat = _mean_weights(first.select("text").repartition(1), flat, kinds, path, FIRST_BYTES, FIRST_RATE, passes)
+    flat = _mean_weights(first.select("text").repartition(1), flat, kinds, path, FIRST_BYTES, FIRST_RATE, passes, 96)
     if others is not None:
         parts = others.select("text").coalesce(max(1, (words - FIRST_WORDS) // PART_WORDS))
-        flat = _mean_weights(parts, flat, kinds, path, LEARN_BYTES, RATE, 1)
+        flat = _mean_weights(parts, flat, kinds, path, LEARN_BYTES, RATE, 1, 320)
     return flat
 
 
-def _mean_weights(texts: DataFrame, flat: np.ndarray, kinds: Kinds, path: str, size: int, rate: float, passes: int) -> np.ndarray:
+def _mean_weights(texts: DataFrame, flat: np.ndarray, kinds: Kinds, path: str, size: int, rate: float, passes: int, windows: int) -> np.ndarray:
     """The mean of the copies of `flat` that the partitions of `texts` train, by their words."""
     shared = texts.sparkSession.sparkContext.broadcast((flat, kinds))  # of a fixed size
 
     def local(batches):
         part, (start, outputs) = TaskContext.get().partitionId(), shared.value
-        trainer, seen, held = Trainer(start, outputs, part % 97), 0, []
+        trainer, seen, held = Trainer(start, outputs, part % 97, windows), 0, []
         for block in text_blocks(batches, path, size):
             trainer.learn(block, rate)
             seen += len(block.codes) + len(block.texts) - 1
