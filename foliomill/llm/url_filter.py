@@ -120,14 +120,15 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", counts: dic
     Of the rules that fit, the one of the highest rank (the longest) decides, `block` before
     `allow` and then by name in a tie; no fitting rule: `default`, and a null rule.  A null URL or one without
     `://` has an empty host and path, so only rules that fit the empty text could decide.
-    Columns of `pages` with the names of the outputs are replaced.  Rows are never dropped,
-    joined or shuffled.
+    Columns of `pages` with the names of the outputs are replaced, others may have any name.
+    Urls of any length are judged whole; rows are never dropped, joined or shuffled, repeated ones
+    get equal verdicts, and an empty table gives an empty result.
     """
     counts = rarest_tokens(pages, rules, url_col) if counts is None else counts
     n = max(1, 2 * len(rules))
     host, path = url_parts(F.col(f"`{url_col}`"))
     outputs = ("host", "path", "rule", "rule_rank", "verdict")
-    base = pages.select("*", host.alias("__host"), path.alias("__path"))
+    base = pages.select(F.struct("*").alias("__row"), host.alias("__host"), path.alias("__path"))  # so that no name clashes
     index = rule_index(rules, counts)
 
     def fetched(token: Column) -> Column:
@@ -139,7 +140,7 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", counts: dic
     ordered = F.transform(fitting, lambda r: F.struct(
         (-r["rank"]).alias("order"), (r["action"] != "block").alias("allows"), r["name"].alias("name"), r["action"].alias("action")))
     best = base.select("*", F.array_min(ordered).alias("__best"))
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in outputs]
+    kept = [F.col(f"__row.`{c}`").alias(c) for c in pages.columns if c not in outputs]
     return best.select(
         *kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.name").alias("rule"),
         (-F.col("__best.order")).alias("rule_rank"), F.coalesce(F.col("__best.action"), F.lit(default)).alias("verdict"),
