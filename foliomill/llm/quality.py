@@ -101,7 +101,7 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.filter(F.split(text, space + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
     stop = [*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)]
-    base = df.select("*", text.alias("__t"), words.alias("__w"), lines.alias("__l"))
+    base = df.select(F.struct("*").alias("__row"), text.alias("__t"), words.alias("__w"), lines.alias("__l"))  # so that no name clashes
     counted = base.select(
         "*", F.size("__w").cast("long").alias("__n_words"), F.length(F.array_join("__w", "")).cast("long").alias("__word_chars"),
         F.regexp_count("__t", F.lit(symbol)).cast("long").alias("__n_symbols"),
@@ -119,7 +119,7 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
         "stop_word_ratio": per_word("__stop"), "letter_word_ratio": per_word("__letter"), "shout_ratio": per_word("__shout"),
         "dup_line_ratio": F.coalesce(F.col("__n_dup_lines") / F.nullif(F.col("__n_lines"), F.lit(0)), F.lit(0.0)),
     }
-    return counted.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    return counted.select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def _any(rules: tuple[Threshold, ...]) -> Column:
@@ -133,7 +133,8 @@ def judge(df: DataFrame, text_col: str = "text", base: tuple[Threshold, ...] = B
     """Add the measures, base_failed, broken_rules (names of the measures out of range) and kept.
 
     Empty and null texts have no words and fail the base rules.  Each row stands for itself, so
-    repeated rows get equal verdicts.
+    repeated rows get equal verdicts and an empty table gives an empty result.  Texts of any length
+    are measured whole.  Columns with the names of the outputs are replaced.
     """
     measured = measures(df, text_col)
     broken = F.array_compact(F.array(*[F.when(r.broken(), F.lit(r.measure)) for r in table]))
