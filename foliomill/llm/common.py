@@ -76,7 +76,15 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written tables that no frame still to be used reads."""
+    for frame in frames:
+        remove_folder(frame.sparkSession, frame.scratch_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import shuffle_partitions, sub_batches, text_or_empty, with_fields, written
+from foliomill.llm.common import discard, shuffle_partitions, sub_batches, text_or_empty, with_fields, written
 
 SEED = 42
 CODE_BITS = 31
@@ -260,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
     changes.  Only the number of changes reaches the driver.
     """
     both = written(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
+    labels = last = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
     while True:
         near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("_n")).agg(F.min("root").alias("_m"))
         seen = labels.join(near, F.col("node") == F.col("_n"), "left").select("node", "root", F.least("root", "_m").alias("low"))
@@ -269,8 +269,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = written(seen.join(hooks, F.col("node") == F.col("_h"), "left").select("node", F.col("root").alias("_old"), F.least("low", "_to").alias("_up")), "hooked")
         parents = hooked.select(F.col("node").alias("_p"), F.col("_up").alias("root"))
         jumped = written(hooked.join(parents, F.col("_up") == F.col("_p")).select("node", "root", (F.col("root") != F.col("_old")).alias("_new")), "jumped")
-        labels = jumped.select("node", "root")
+        discard(last, seen, hooked)
+        labels, last = jumped.select("node", "root"), jumped
         if not jumped.where("_new").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -279,7 +281,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts without words (null, empty, blank) have the fingerprint 0 and link like any other.
     Rows with equal fingerprints are in one component, repeated rows and ids included; null ids
-    don't count as smallest unless a component has no other.
+    don't count as smallest unless a component has no other.  Texts of any length count whole; an
+    empty table gives an empty result.
     """
     prints = written(fingerprints(df, id_col, text_col, shingle), "fingerprints").withColumnRenamed(id_col, "_id")
     # Copies meet here, after partial aggregation: one row for each distinct fingerprint.
