@@ -328,6 +328,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     Gives id_col, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256.  Null
     texts count as empty; ids may be null or repeated, each row is answered for itself.
+    Texts of any length are encoded whole, repeated rows each for itself; an empty table gives an
+    empty result.
     """
     path = path or tokenizer_path(DEFAULT_VOCABULARY)
 

@@ -230,8 +230,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
     """Add the toxicity score of each whole text.
 
-    Null and empty texts have no windows and get the score of a text without any hit.  All other
-    columns of `docs` (or those in `keep`) stay; repeated rows are scored each for itself.
+    Null and empty texts have no windows and get the score of a text without any hit; texts of any
+    length are scored whole.  All other columns of `docs` (or those in `keep`) stay, one named
+    `out_col` is replaced; repeated rows are scored each for itself.  An empty table gives an empty
+    result.  Without labelled rows the score is 0, with one class alone that class's.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != out_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size

@@ -222,7 +222,12 @@ def _read(member: bytes):
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write pages as monolithic archives, normalise them, and return the index of the result."""
+    """Write pages as monolithic archives, normalise them, and return the index of the result.
+
+    Null payloads are empty, null urls give no target, and a null id is an empty name.  Of equal
+    payloads, and of repeated rows, the smallest id is the response.  Payloads may have any length
+    that fits a worker; an empty table gives an empty index.
+    """
     spark = pages.sparkSession
     raw, final = new_folder(spark, "warc-raw"), new_folder(spark, "warc")
     write_monolithic(records(pages, id_col, url_col, payload_col), raw)

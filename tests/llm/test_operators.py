@@ -764,6 +764,10 @@ def test_clashing_names_and_long_texts(spark):
     kept = exact_dedup.deduplicate(frame)
     assert kept.columns == frame.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, text), (3, None)]
     assert sharding.shard(frame.select("doc_id", "text"), shards=2).count() == 4
+    hidden = frame.select("doc_id", "text", *[F.lit(n).alias(n) for n in ("__row", "__t", "__w", "__l", "__host", "__best", "n_words", "url")])
+    judged = quality.judge(hidden).collect()
+    assert [r["__t"] for r in judged] == ["__t"] * 4 and max(r.n_words for r in judged) == 150_000 and quality.keep(hidden).columns == hidden.columns
+    assert [r["__host"] for r in url_filter.judge(hidden, url_filter.DEFAULT_WORD_RULES).collect()] == ["__host"] * 4
 
 
 def test_pipeline_stages_on_nulls_repeats_and_nothing(spark, sf):
