@@ -13,18 +13,17 @@ the ordinary one, so windows of common material cost the same in both.
 from __future__ import annotations
 
 import random
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.llm.common import id_crc32, sub_batches, text_or_empty
+from foliomill.llm.common import SPACE_CLASS, id_crc32, sub_batches, text_or_empty
 
 WINDOW_CHARS = 48
 WIDEN = 3
@@ -205,9 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit a model on a bounded sample of labelled rows.
 
     Only ids whose crc32 (of their decimal text) mod `folds` is not 0 are learnt from.  Of those,
-    at most max_rows_per_class per label, in the order of a hash of the id, and only texts of at
-    most max_sample_chars characters; these bounds are for the fit alone.  Scoring reads
-    everything.  An id with several labels counts as toxic if one of them says so.
+    at most max_rows_per_class per label, in the order of a hash of the id, and about
+    max_sample_chars characters of a text: of a longer one every k-th word, from its beginning to its
+    end.  These bounds are for the fit alone; scoring reads everything.  An id with several labels
+    counts as toxic if one of them says so; of several texts of an id the last in order is taken.
     """
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (id_crc32(id_col) % folds != 0))
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label")))
@@ -216,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.where("_label = 1").orderBy(*by_hash).limit(max_rows_per_class).unionAll(
         known.where("_label = 0").orderBy(*by_hash).limit(max_rows_per_class))
     sample = (docs.select(F.col(id_col).alias("_doc"), text_or_empty(text_col).alias("_text"))
-              .where(F.length("_text") <= max_sample_chars)
               .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # at most 2 * max_rows_per_class rows
+              .withColumn("_text", _thinned(F.col("_text"), max_sample_chars))
               .groupBy("_id", "_label").agg(F.max("_text").alias("_text")).orderBy("_id"))
     rows = sample.select("_text", "_label").collect()
     texts, values = [r["_text"] for r in rows], [r["_label"] for r in rows]
@@ -227,6 +227,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
+def _thinned(text: Column, most: int) -> Column:
+    """A text of up to `most` characters, or every k-th word of a longer one."""
+    step = F.array(F.ceil(F.length(text) / F.lit(float(most))).cast("int"))  # in an array, so that it is computed once
+    picked = F.element_at(F.transform(step, lambda k: F.array_join(F.filter(F.split(text, SPACE_CLASS + "+"), lambda w, i: i % k == 0), " ")), 1)
+    return F.when(F.length(text) <= most, text).otherwise(picked)
+
+
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: list[str] | None = None, out_col: str = "score") -> DataFrame:
     """Add the toxicity score of each whole text.
 

@@ -67,6 +67,37 @@ def test_toxicity_windows_cover_long_words():
     assert model.scores(pa.array(["awful nastyword here", "good words here"])).round().tolist() == [1, 0]
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    long = " ".join(f"word{i % 50}" if i % 7 else "vilest" for i in range(60_000))
+    frame = spark.createDataFrame([(i, (long if i % 2 else " ".join(f"word{j % 50}" for j in range(i, 300)))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    thin = [len(r[0]) for r in frame.select(toxicity._thinned(F.col("text"), 40_000)).collect()]
+    assert max(thin) <= 41_000
+    model = toxicity.train(frame, labels)
+    vile, plain = model.word_distances(pa.array(["vilest", "word7"]))
+    assert vile >= toxicity.THRESHOLDS[1] > plain  # a word that only the long texts hold
+
+
+def test_toxicity_scores_window_by_window():
+    rng = np.random.default_rng(8)
+    ordinary = [" ".join(f"word{n}" for n in rng.integers(0, 40, 30)) for _ in range(60)]
+    toxic = [t + " vile scum vile wretch" for t in ordinary[:30]]
+    model = toxicity.fit(ordinary[30:] + toxic, [0] * 30 + [1] * 30)
+
+    def length(content, window):  # one compressor call a window
+        raw = b"".join(bytes([b]) * toxicity.WIDEN for b in f" {window} ".encode())
+        return len(toxicity._compressor(content).compress(raw))
+
+    words = ["vile", "scum", "word3", "unseen", "word39"]
+    want = [length(model.ordinary, w) - length(model.toxic + model.ordinary, w) for w in words]
+    assert model.distances(pa.array(words)).tolist() == want and want[0] >= toxicity.THRESHOLDS[1] > abs(want[2])
+    text = "vile word3 unseen word3 VILE!"
+    hits = np.array([[w >= t for t in toxicity.THRESHOLDS] for w in (want[0], want[2], want[3], want[2], want[0])]).sum(0)
+    features = np.concatenate([100 * hits / 15, np.log1p(hits)])
+    assert np.allclose(model.features(pa.array([text]))[0], features)
+    assert np.isclose(model.scores(pa.array([text]))[0], 1 / (1 + np.exp(-np.clip(features @ model.weights[1:] + model.weights[0], -30, 30))))
+
+
 def test_toxicity_learns_quoted_and_rare_words():
     rng = np.random.default_rng(6)
     common = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(400)]
