@@ -69,7 +69,7 @@ def test_toxicity_windows_cover_long_words():
 
 def test_toxicity_learns_from_long_texts(spark):
     long = " ".join(f"word{i % 50}" if i % 7 else "vilest" for i in range(60_000))
-    frame = spark.createDataFrame([(i, (long + f" tail{i}" if i % 2 else " ".join(f"word{j % 50}" for j in range(i, 300)))) for i in range(60)], "doc_id long, text string")
+    frame = spark.createDataFrame([(i, (f"head{i} " + long if i % 2 else " ".join(f"word{j % 50}" for j in range(i, 300)))) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     thin = [len(r[0]) for r in frame.select(toxicity._thinned(F.col("text"), 40_000)).collect()]
     assert max(thin) <= 41_000
