@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import bpe, exact_dedup, lm, packing, quality, sharding, simhash, toxicity, url_filter, warc
+from foliomill.llm import bpe, exact_dedup, lm, packing, quality, rolling, sharding, simhash, toxicity, url_filter, warc
 from foliomill.llm.common import id_crc32, table
 
 #: Fixed values of the URL contract.
@@ -79,8 +79,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct and hot users of every kind and minute that holds a click.  Rows without ts or kind take no part; rows of one click_id are one click; clicks of a null client_id only make their minute appear; an empty table gives no rows."""
+    return rolling.rolling_users(table(spark, sf_dir, "clicks"), {"users_short": 10, "users_middle": 60, "users_long": 720}, ("hot_users", 720, 5))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_url_filter, op3_exact_dedup, op4_sharding, op5_warc, op6_quality, op7_lm_scoring, op8_bpe, op9_packing, op10_simhash)}
+    op1_toxicity, op2_url_filter, op3_exact_dedup, op4_sharding, op5_warc, op6_quality, op7_lm_scoring, op8_bpe, op9_packing, op10_simhash,
+    op11_rolling_users)}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": """
@@ -94,4 +100,25 @@ ORACLE: dict[str, str] = {
                CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p LEFT JOIN g ON p.dg = g.dg""",
+    # A click covers the minutes until the user's next one, the window's length at most; five clicks in a
+    # row cover those from the fifth until the window leaves the first, or the sixth comes.
+    "op11_rolling_users": """
+        WITH rows_ AS (SELECT click_id, floor(epoch_us(ts) / 60000000.0)::BIGINT AS minute, kind, client_id FROM clicks WHERE ts IS NOT NULL AND kind IS NOT NULL),
+        c AS (SELECT minute, kind, client_id FROM rows_ WHERE click_id IS NULL
+              UNION ALL
+              SELECT minute, kind, client_id FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY minute, kind, client_id NULLS LAST) AS r
+                                                   FROM rows_ WHERE click_id IS NOT NULL) WHERE r = 1),
+        u AS (SELECT kind, client_id, minute, lead(minute) OVER w AS next, lag(minute, 4) OVER w AS fifth
+              FROM c WHERE client_id IS NOT NULL WINDOW w AS (PARTITION BY kind, client_id ORDER BY minute)),
+        spans AS (SELECT kind, minute AS a, least(minute + 10, coalesce(next, minute + 10)) AS b, 1 AS s, 0 AS m, 0 AS l, 0 AS h FROM u
+                  UNION ALL SELECT kind, minute, least(minute + 60, coalesce(next, minute + 60)), 0, 1, 0, 0 FROM u
+                  UNION ALL SELECT kind, minute, least(minute + 720, coalesce(next, minute + 720)), 0, 0, 1, 0 FROM u
+                  UNION ALL SELECT kind, minute, least(fifth + 720, coalesce(next, fifth + 720)), 0, 0, 0, 1 FROM u WHERE fifth + 720 > minute),
+        edges AS (SELECT kind, a AS minute, s, m, l, h, 0 AS here FROM spans WHERE a < b
+                  UNION ALL SELECT kind, b, -s, -m, -l, -h, 0 FROM spans WHERE a < b
+                  UNION ALL SELECT kind, minute, 0, 0, 0, 0, 1 FROM c),
+        sums AS (SELECT kind, minute, sum(s) AS s, sum(m) AS m, sum(l) AS l, sum(h) AS h, sum(here) AS here FROM edges GROUP BY kind, minute),
+        totals AS (SELECT kind, minute, here, sum(s) OVER w AS s, sum(m) OVER w AS m, sum(l) OVER w AS l, sum(h) OVER w AS h
+                   FROM sums WINDOW w AS (PARTITION BY kind ORDER BY minute ROWS UNBOUNDED PRECEDING))
+        SELECT kind, minute, s::BIGINT AS users_short, m::BIGINT AS users_middle, l::BIGINT AS users_long, h::BIGINT AS hot_users FROM totals WHERE here > 0""",
 }
