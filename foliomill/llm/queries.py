@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import bpe, exact_dedup, lm, packing, quality, rolling, sharding, simhash, toxicity, url_filter, warc
+from foliomill.llm import bpe, exact_dedup, lm, packing, quality, rolling, sharding, simhash, toxicity, url_filter, warc, whitening
 from foliomill.llm.common import id_crc32, table
 
 #: Fixed values of the URL contract.
@@ -84,9 +84,14 @@ def op11_rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_users(table(spark, sf_dir, "clicks"), {"users_short": 10, "users_middle": 60, "users_long": 720}, ("hot_users", 720, 5))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened vectors by component.  Vectors that are null or empty, or hold null or non-finite entries, give no rows; repeated ids and equal vectors count each; equal eigenvalues may come in any basis; an empty table gives no rows."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_url_filter, op3_exact_dedup, op4_sharding, op5_warc, op6_quality, op7_lm_scoring, op8_bpe, op9_packing, op10_simhash,
-    op11_rolling_users)}
+    op11_rolling_users, op13_whitening)}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": """
