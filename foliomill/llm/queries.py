@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import bpe, exact_dedup, lm, packing, quality, rolling, sharding, simhash, toxicity, url_filter, warc, whitening
+from foliomill.llm import bpe, exact_dedup, lm, metric_join, packing, quality, rolling, sharding, simhash, toxicity, url_filter, warc, whitening
 from foliomill.llm.common import id_crc32, table
 
 #: Fixed values of the URL contract.
@@ -84,6 +84,11 @@ def op11_rolling_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_users(table(spark, sf_dir, "clicks"), {"users_short": 10, "users_middle": 60, "users_long": 720}, ("hot_users", 720, 5))
 
 
+def op12_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every text.  Null, empty and blank texts have no shingles and link with nothing; fewer than five words are one shingle; equal texts and repeated ids share a component; a null id is smallest only where there is no other; an empty table gives no rows."""
+    return metric_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=5, least=0.8)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened vectors by component.  Vectors that are null or empty, or hold null or non-finite entries, give no rows; repeated ids and equal vectors count each; equal eigenvalues may come in any basis; an empty table gives no rows."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=8)
@@ -91,7 +96,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_url_filter, op3_exact_dedup, op4_sharding, op5_warc, op6_quality, op7_lm_scoring, op8_bpe, op9_packing, op10_simhash,
-    op11_rolling_users, op13_whitening)}
+    op11_rolling_users, op12_metric_join, op13_whitening)}
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": """
@@ -126,4 +131,12 @@ ORACLE: dict[str, str] = {
         totals AS (SELECT kind, minute, here, sum(s) OVER w AS s, sum(m) OVER w AS m, sum(l) OVER w AS l, sum(h) OVER w AS h
                    FROM sums WINDOW w AS (PARTITION BY kind ORDER BY minute ROWS UNBOUNDED PRECEDING))
         SELECT kind, minute, s::BIGINT AS users_short, m::BIGINT AS users_middle, l::BIGINT AS users_long, h::BIGINT AS hot_users FROM totals WHERE here > 0""",
+    "op12_metric_join": """
+        WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) END AS s FROM d),
+        u AS MATERIALIZED (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
+        e AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.x = b.x AND a.r <> b.r
+                           GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        c AS (SELECT r, r AS m FROM s UNION SELECT c.r, e.b FROM c JOIN e ON c.m = e.a)
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(t.doc_id) AS component_id FROM s JOIN c ON s.r = c.r JOIN s t ON t.r = c.m GROUP BY s.r, s.doc_id, len(s.s)""",
 }
