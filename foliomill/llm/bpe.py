@@ -171,8 +171,14 @@ class BpeCodec:
             if part in self.special:
                 out.append(self.special[part])
             else:
-                for piece in self._pre.findall(part):
-                    out += self.encode_piece(piece.encode("utf-8").decode("latin-1"))
+                out += self.encode_plain(part)
+        return out
+
+    def encode_plain(self, text: str) -> list[int]:
+        """Ids of a whole text in which special tokens are text like any other."""
+        out: list[int] = []
+        for piece in self._pre.findall(text):
+            out += self.encode_piece(piece.encode("utf-8").decode("latin-1"))
         return out
 
     def _pieces(self, units: list[str], single: list[bool]) -> list[bytes]:

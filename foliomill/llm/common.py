@@ -87,6 +87,14 @@ def discard(*frames: DataFrame) -> None:
         remove_folder(frame.sparkSession, frame.scratch_path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """`stem`, with more underscores if a column of `df` has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

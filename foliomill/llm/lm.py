@@ -31,7 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.llm.bpe import codec
 from foliomill.llm.common import give_back, id_crc32, shuffle_partitions, sub_batches, text_or_empty, tokenizer_path, written
+from foliomill.llm.packing import has_long_blank, token_encoder
 
 CONTEXT, STRIDE = 8, 24
 WIDTH, HIDDEN = 16, 24
@@ -58,8 +60,6 @@ BATCH, NODE_BATCH = 256, 1024
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str):
-    from foliomill.llm.packing import token_encoder
-
     encoding, _ = token_encoder(path)
     lengths = np.zeros(END + 1, np.int64)
     for i in range(END):
@@ -84,7 +84,8 @@ def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     parts, at = [], 0
     for i, is_odd in enumerate(odd.tolist()):
         if is_odd:
-            parts.append(np.array(encoding.encode_ordinary(" " + words[i].as_py()), np.int64))
+            word = " " + words[i].as_py()
+            parts.append(np.array(codec(path).encode_plain(word) if has_long_blank(word) else encoding.encode_ordinary(word), np.int64))
         else:
             parts.append(ids[offsets[at] : offsets[at + 1]])
             at += 1

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.llm.bpe import PRE_TOKEN, WHITE_SPACE, byte_alphabet, codec
 from foliomill.llm.common import gapless_positions, sub_batches, text_or_empty, tokenizer_path, with_fields, written
 
 CAPACITY = 2048
 END_ID = 0
+#: Characters of a run of white space beyond which a text goes through this library's own codec.
+LONG_BLANK = 20_000
+_LONG_BLANK = re.compile(f"[{WHITE_SPACE}]{{{LONG_BLANK}}}")
 
 
 @dataclass(frozen=True)
@@ -238,8 +243,6 @@ def token_encoder(path: str):
 
     import tiktoken
 
-    from foliomill.llm.bpe import PRE_TOKEN, byte_alphabet
-
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     alphabet = byte_alphabet()
@@ -249,6 +252,19 @@ def token_encoder(path: str):
     return encoding, set(special)
 
 
+def has_long_blank(text: str) -> bool:
+    """Is there a run of white space on which the fast encoder's pattern would run out of stack?"""
+    return len(text) >= LONG_BLANK and _LONG_BLANK.search(text) is not None
+
+
+def ids_of(text: str, path: str) -> np.ndarray:
+    """Ids of a whole text; special tokens in it become their own ids."""
+    if has_long_blank(text):
+        return np.array(codec(path).encode(text), np.uint32)
+    encoding, special = token_encoder(path)
+    return np.asarray(encoding.encode_to_numpy(text, allowed_special=special, disallowed_special=()), np.uint32)
+
+
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Cut each document's ids (its text's, then END_ID) into pieces of at most `capacity`.
 
@@ -260,13 +276,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     names = [id_col, "piece", "start", "length", "ids_crc32", "ids"]
 
     def run(batches):
-        encoding, special = token_encoder(path)
         for whole in batches:
             for batch in sub_batches(whole, 1, 8 << 20):
                 owner, piece, start, length, crc, flat = [], [], [], [], [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = np.asarray(encoding.encode_to_numpy(text, allowed_special=special, disallowed_special=()), np.uint32)
-                    ids = np.append(ids, np.uint32(END_ID))
+                    ids = np.append(ids_of(text, path), np.uint32(END_ID))
                     first = (len(ids) - 1) % capacity + 1
                     edges = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
@@ -297,7 +311,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """Pack every piece of every document into sequences of at most `capacity` tokens.
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
-    An empty table gives an empty result.
+    Texts of any length and kind are encoded whole, also long runs of one character.  An empty table
+    gives an empty result.
     """
     cut = pieces(docs, id_col, text_col, capacity, path).withColumn("_piece_file", F.spark_partition_id())
     cut = written(cut if with_ids else cut.drop("ids"), "pieces")

@@ -9,6 +9,7 @@ row a slot, however many records there are.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,24 +131,32 @@ class SlotMap:
             heapq.heappush(heap, (n + size.get(slot, 0), shard))
         return self._edited(shard_of, self.shards + 1, "one more shard")
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the stored map: a row a slot, and a row of what the edit did."""
-        self.table(spark).coalesce(1).write.mode("append").parquet(f"{path}/slots")
-        about = [(self.version, self.shards, len(self.shard_of), self.moved, self.history[-1])]
-        spark.createDataFrame(about, "version int, shards int, slots int, moved int, history string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    def save(self, spark: SparkSession, path: str) -> DataFrame:
+        """Store this version: a file of slots under a fresh name, then a row in `versions` that names it.
+
+        A save that ends between the two leaves a file that no row names, and two saves of one
+        version at once leave two files of which `load` takes one; no map mixes the slots of two.
+        """
+        name = f"v{self.version}-{uuid.uuid4().hex}"
+        slots = self.table(spark)
+        slots.coalesce(1).write.parquet(f"{path}/slots/{name}")
+        about = [(self.version, name, self.shards, self.moved, list(self.history))]
+        spark.createDataFrame(about, "version int, file string, shards int, moved int, history array<string>").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        return slots
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SlotMap | None:
-        """The last stored version, or None where nothing is stored; a version counts once its row in `versions` is there."""
+        """The last stored version (of equals the first by file name), or None where nothing is stored; a version counts once its row in `versions` is there."""
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
         if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
             return None
-        versions = sorted(spark.read.parquet(f"{path}/versions").distinct().collect(), key=lambda r: r["version"])  # a row an edit
-        last = versions[-1]
-        rows = spark.read.parquet(f"{path}/slots").where(F.col("map_version") == last["version"]).distinct().collect()  # a row a slot
+        last = spark.read.parquet(f"{path}/versions").orderBy(F.desc("version"), "file").first()
+        if last is None:
+            return None
+        rows = spark.read.parquet(f"{path}/slots/{last['file']}").collect()  # a row a slot
         shard_of = tuple(r["map_shard"] for r in sorted(rows, key=lambda r: r["map_slot"]))
-        return cls(last["shards"], shard_of, last["version"], last["moved"], tuple(r["history"] for r in versions))
+        return cls(last["shards"], shard_of, last["version"], last["moved"], tuple(last["history"]))
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(self.version, slot, shard) for slot, shard in enumerate(self.shard_of)]
@@ -198,8 +207,7 @@ def shard(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str
         last = last.grown(sizes)
         last.save(spark, path)
     last = last.rebalanced(sizes)
-    last.save(spark, path)
-    current = spark.read.parquet(f"{path}/slots").where(F.col("map_version") == last.version).distinct()
+    current = last.save(spark, path)
     placed = records.join(F.broadcast(current), F.col("virtual_slot") == F.col("map_slot")).withColumnRenamed("map_shard", "shard")
     numbered = gapless_positions(placed, "shard", [f"`{id_col}`", "text_crc32"], "slot", "_piece")
     return numbered.select(

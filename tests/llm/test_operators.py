@@ -717,9 +717,7 @@ def changed(rng, words, n):
     return " ".join(out)
 
 
-def test_pipeline_near_copies_reach_the_similarity(spark, sf, docs, monkeypatch):
-    import corpus_pipeline
-
+def test_pipeline_near_copies_reach_the_similarity(spark, docs):
     rng = np.random.default_rng(12)
     texts = list(docs.text)
     for size in (12, 60, 150):  # copies at similarities around 0.8, and a large group of them
@@ -728,9 +726,8 @@ def test_pipeline_near_copies_reach_the_similarity(spark, sf, docs, monkeypatch)
     roots = brute_similar(texts)
     assert any(bin(brute_print(texts[i], 5) ^ brute_print(texts[r], 5)).count("1") > 4 for i, r in enumerate(roots[: len(docs)]) if i != r)
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    for block in (near_copies.BLOCK, 40):
-        monkeypatch.setattr(near_copies, "BLOCK", block)
-        kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, sf).collect()}
+    for limit, rounds in ((near_copies.LIMIT, 3), (20_000, 3), (20_000, 0)):  # in one task, split by pivots, in blocks
+        kept = {r.doc_id for r in near_copies.deduplicate(frame, limit=limit, rounds=rounds).collect()}
         assert kept == set(roots)
 
 
