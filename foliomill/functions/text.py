@@ -145,8 +145,9 @@ def key_values(c: Column) -> Column:
     """`a=b,c=d` as a map: pairs without `=` are left out, both sides are trimmed, the last of equal keys stays."""
     pairs = F.filter(F.transform(F.split(c, ","), lambda p: F.struct(utrim(F.regexp_extract(p, r"(?s)^([^=]*)=", 1)).alias("k"), utrim(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),
                                                                       F.contains(p, F.lit("=")).alias("ok"))), lambda e: e["ok"])
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    in_order = F.array_sort(F.transform(pairs, lambda e, i: F.struct(e["k"].alias("k"), (-i).alias("i"), e["v"].alias("v"))))  # the last of equal keys first
+    return let(in_order, lambda all_: F.map_from_entries(F.transform(
+        F.filter(all_, lambda e, i: (i == 0) | ~F.get(all_, i - 1)["k"].eqNullSafe(e["k"])), lambda e: F.struct(e["k"], e["v"]))))
 
 
 def breadcrumb(parent: Column, title: Column) -> Column:
@@ -225,9 +226,3 @@ def escape_xml(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
-
-
-def unescape_html(c: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c

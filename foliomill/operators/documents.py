@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from foliomill.functions import text as T
 from foliomill.functions.ranges import paragraph_span
 
+#: Fixed value: the path of chunks that no section gave.
+WHOLE_DOCUMENT = "Document / SlidingWindow"
+
 
 def chunk_sliding(docs: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
     """(doc_id, text) -> one row for each overlapping piece of a text."""
@@ -17,18 +20,33 @@ def chunk_sliding(docs: DataFrame, size: int = 500, overlap: int = 80) -> DataFr
 
 
 def section_ends(outline: DataFrame, total: Column, rule: str = "lead") -> DataFrame:
-    """(doc_id, node_ord, title, start) -> with `end`, the last page of each section.
+    """(doc_id, node_ord, title, start) -> with `end`, the last page of each section; nodes without a page take no part.
 
     lead: the page before the next section's start, or the start if that isn't later.
     next_greater: the page before the first later section that starts on a greater page.
     """
-    w = Window.partitionBy("doc_id").orderBy("node_ord")
+    outline = outline.where(F.col("start").isNotNull())
     if rule == "lead":
-        following = F.coalesce(F.lead("start").over(w), total + 1)
+        following = F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("node_ord")), total + 1)
         return outline.withColumn("end", F.when(following > F.col("start"), following - 1).otherwise(F.col("start")))
-    later = F.collect_list("start").over(w.rowsBetween(1, Window.unboundedFollowing))
-    first = F.get(F.filter(later, lambda s: s > F.col("start")), F.lit(0))
-    return outline.withColumn("end", F.coalesce(first, total + 1) - 1)
+    return next_greater(outline, "start", "end").withColumn("end", F.coalesce("end", total + 1) - 1)
+
+
+def next_greater(rows: DataFrame, value: str, out: str, group: str = "doc_id", order: str = "node_ord", block: int = 64) -> DataFrame:
+    """Add the first later value of the group that is greater, or null.
+
+    Rows are dealt into blocks: a row looks through the rest of its own block, then through the
+    greatest values of later blocks, then through the first block that has a greater one.
+    """
+    placed = rows.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).withColumn("_b", F.floor(F.col("_i") / block))
+    held = placed.groupBy(group, "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", value))), lambda r: r[value]).alias("_own"))
+    tops = held.groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_b", F.array_max("_own").alias("_top")))).alias("_tops"))
+    first = lambda values: F.get(F.filter(values, lambda v: v > F.col(value)), F.lit(0))
+    inside = placed.join(held, [group, "_b"]).join(tops, F.col(group) == F.col("_g")).withColumn("_near", first(F.slice("_own", (F.col("_i") % block + 2).cast("int"), block)))
+    later = F.get(F.filter("_tops", lambda t: (t["_b"] > F.col("_b")) & (t["_top"] > F.col(value))), F.lit(0))["_b"]
+    after = held.select(F.col(group).alias("_h"), F.col("_b").alias("_at"), F.col("_own").alias("_there"))
+    found = inside.withColumn("_next", F.when(F.col("_near").isNull(), later)).join(after, (F.col(group) == F.col("_h")) & (F.col("_next") == F.col("_at")), "left")
+    return found.select(*rows.columns, F.coalesce("_near", first(F.col("_there"))).alias(out))
 
 
 def chunk_by_section(outline: DataFrame, pages: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
@@ -46,6 +64,41 @@ def chunk_by_section(outline: DataFrame, pages: DataFrame, size: int = 500, over
                       F.length("text").alias("char_count"), T.token_estimate(F.length("text")).alias("token_estimate"))
 
 
+def chunk_documents(pages: DataFrame, outline: DataFrame, size: int = 500, overlap: int = 80, docs: DataFrame | None = None) -> DataFrame:
+    """Chunks of each document by its sections, or by sliding windows where they give none.
+
+    pages (doc_id, page from 1, text), outline (doc_id, node_ord, path, start), and, if there are documents
+    without pages, docs (doc_id).  A section goes from its start to the page before the next one's; nodes without a
+    page take no part.  A document without an outline, or whose sections hold no text, is cut as a
+    whole, under one path; one without text gives one empty chunk.  The pages are gathered once a document.
+    """
+    gathered = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("_pages"), F.max("page").alias("_total"))
+    if docs is not None:
+        gathered = docs.select("doc_id").distinct().join(gathered, "doc_id", "left")
+    nodes = outline.where(F.col("start").isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("node_ord", "path", "start"))).alias("_nodes"))
+    whole = gathered.join(nodes, F.col("doc_id") == F.col("_doc"), "left").withColumn("_total", F.coalesce("_total", F.lit(0)))
+
+    def text(first: Column, last: Column) -> Column:
+        taken = F.filter("_pages", lambda p: p["page"].between(first, last))
+        return F.coalesce(T.utrim(F.array_join(F.transform(taken, lambda p: p["text"]), "\n\n")), F.lit(""))
+
+    def section(node: Column, i: Column) -> Column:
+        following = F.coalesce(F.get(F.col("_nodes"), i + 1)["start"], F.col("_total") + 1)
+        last = F.when(following > node["start"], following - 1).otherwise(node["start"])
+        return F.struct(node["path"].alias("path"), node["start"].alias("page_from"), last.alias("page_to"), text(node["start"], last).alias("text"))
+
+    def cut(part: Column) -> Column:
+        return F.transform(T.sliding_chunks(part["text"], size, overlap), lambda piece: F.struct(part["path"], part["page_from"], part["page_to"], piece.alias("text")))
+
+    sections = F.filter(F.coalesce(F.transform("_nodes", section), F.array()), lambda p: p["text"] != "")
+    all_pages = F.struct(F.lit(WHOLE_DOCUMENT).alias("path"), F.lit(1).alias("page_from"), F.col("_total").alias("page_to"), text(F.lit(1), F.col("_total")).alias("text"))
+    parts = whole.select("doc_id", sections.alias("_sections"), all_pages.alias("_all")).select(
+        "doc_id", F.when(F.size("_sections") > 0, F.col("_sections")).otherwise(F.array("_all")).alias("_parts"))
+    pieces = parts.select("doc_id", F.posexplode(F.flatten(F.transform("_parts", cut))).alias("chunk_id", "_c"))
+    n = F.length("_c.text")
+    return pieces.select("doc_id", "chunk_id", "_c.path", "_c.page_from", "_c.page_to", "_c.text", n.alias("char_count"), T.token_estimate(n).alias("token_estimate"))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, para_idx, text), one row for each line."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "text"))
@@ -62,11 +115,58 @@ def heading_pages(outline: DataFrame, total: Column, query: str) -> DataFrame:
 
     A node without a page starts at the first; its pages go up to the next node on a greater page.
     """
-    ends = section_ends(outline, total, "next_greater")
-    w = Window.partitionBy("doc_id").orderBy("node_ord")
-    hits = ends.where(T.matches_title(F.col("title"), query)).withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    start = F.coalesce("start", F.lit(1))
-    return hits.select("doc_id", "node_ord", "title", start.alias("page_from"), F.greatest(F.least("end", total), start).alias("page_to"))
+    first = F.min_by(F.struct("title", F.coalesce("start", F.lit(1)).alias("page_from")), "node_ord")
+    hits = outline.where(T.matches_title(F.col("title"), query)).groupBy(F.col("doc_id").alias("_doc")).agg(F.min("node_ord").alias("_ord"), first.alias("_hit"))
+    return _hit_pages(outline, hits, total, []).select("doc_id", "node_ord", "title", "page_from", "page_to")
+
+
+def _hit_pages(outline: DataFrame, hits: DataFrame, total: Column, by: list[str]) -> DataFrame:
+    """Pages of hits (_doc, by, _ord, _hit): up to the next node of the document on a greater page."""
+    later = outline.where(F.col("start").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("node_ord").alias("_o"), F.col("start").alias("_s"))
+    after = hits.join(later, (F.col("_doc") == F.col("_d")) & (F.col("_o") > F.col("_ord")) & (F.col("_s") > F.col("_hit.page_from")), "left")
+    ends = after.groupBy("_doc", *by, "_ord", "_hit").agg(F.min_by("_s", "_o").alias("_next"))
+    last = F.greatest(F.least(F.coalesce(F.col("_next") - 1, total), total), F.col("_hit.page_from"))
+    return ends.select(F.col("_doc").alias("doc_id"), *by, F.col("_ord").alias("node_ord"), "_hit.title", "_hit.page_from", last.alias("page_to"))
+
+
+def heading_pages_by(outline: DataFrame, queries: DataFrame, total: Column) -> DataFrame:
+    """heading_pages for a table of queries (query_id, query): one row for each query and document with a fitting title."""
+    titles = outline.select(F.coalesce("title", F.lit("")).alias("title")).distinct()
+    fits = matching_titles(titles, queries)
+    named = outline.join(fits, F.coalesce(outline["title"], F.lit("")) == F.col("_title"))
+    first = F.min_by(F.struct("title", F.coalesce("start", F.lit(1)).alias("page_from")), "node_ord")
+    hits = named.groupBy(F.col("doc_id").alias("_doc"), "query_id").agg(F.min("node_ord").alias("_ord"), first.alias("_hit"))
+    return _hit_pages(outline, hits, total, ["query_id"])
+
+
+def matching_titles(titles: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, _title) of distinct titles (title) that fit queries (query_id, query) by the rule of text.matches_title."""
+    forms = lambda c, trimmed: F.array(F.struct(F.lit("n").alias("form"), T.normalise_for_match(c).alias("s")), F.struct(F.lit("l").alias("form"), F.lower(trimmed).alias("s")))
+    t = titles.select(F.col("title").alias("_title"), F.explode(forms(F.col("title"), F.col("title"))).alias("f")).where("f.s <> ''")
+    q = queries.select("query_id", F.explode(forms(F.col("query"), T.utrim(F.col("query")))).alias("f")).where("f.s <> ''")
+    key = F.concat("f.form", "f.s").alias("s")
+    ts, qs = t.select(key).distinct(), q.select(key).distinct()
+    pairs = contained(qs, ts).union(contained(ts, qs).select("outer", "inner")).distinct()
+    return q.select("query_id", key.alias("inner")).join(pairs, "inner").join(t.select("_title", key.alias("outer")), "outer").select("query_id", "_title").distinct()
+
+
+def contained(inner: DataFrame, outer: DataFrame, grams: int = 3) -> DataFrame:
+    """(inner, outer) of all strings (s) of which one holds the other; a string's first character says of what kind it is, and kinds must be equal.
+
+    An inverted index: an outer string stands under each of its grams, an inner one under the one of its
+    grams that the fewest outer strings have, and what meets is checked.
+    """
+    kind = F.substring("s", 1, 1)
+    n = F.length("s") - 1
+    starts = lambda k: F.when(n >= k, F.sequence(F.lit(2), n - k + 2)).otherwise(F.array().cast("array<int>"))
+    cut = lambda k: F.transform(starts(k), lambda i: F.concat(kind, F.substr("s", i, F.lit(k))))
+    index = outer.select("s", F.explode(F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(1, grams + 1)])))).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(n >= grams, cut(grams)).otherwise(F.array("s"))
+    rare = inner.select("s", F.explode(F.array_distinct(own)).alias("gram")).join(counts, "gram", "left")
+    keys = rare.groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("_k")).where("_k.n > 0").select(F.col("s").alias("inner"), F.col("_k.gram").alias("gram"))
+    met = keys.join(index.withColumnRenamed("s", "outer"), "gram")
+    return met.where(F.contains(F.substr("outer", F.lit(2)), F.substr("inner", F.lit(2)))).select("inner", "outer")
 
 
 def read_paragraphs(paras: DataFrame, first: int, last: int) -> DataFrame:
@@ -120,10 +220,10 @@ def highlight_spans(paras: DataFrame, keyword: str, color: str = "yellow") -> Da
     if not keyword:
         raise ValueError("the keyword is empty")
     parts = paras.select("doc_id", "para_idx", F.split("text", _quoted(keyword), -1).alias("_parts")).where(F.size("_parts") > 1)
-    at = F.transform(
-        F.sequence(F.lit(1), F.size("_parts") - 1),
-        lambda k: F.aggregate(F.slice("_parts", 1, k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * len(keyword))
-    return parts.select("doc_id", "para_idx", F.explode(at).alias("span_start")).select(
+    pieces = parts.select("doc_id", "para_idx", F.size("_parts").alias("_n"), F.posexplode(F.transform("_parts", F.length)).alias("_at", "_length"))
+    so_far = Window.partitionBy("doc_id", "para_idx").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    start = (F.sum("_length").over(so_far) + F.col("_at") * len(keyword)).cast("int")
+    return pieces.withColumn("span_start", start).where(F.col("_at") < F.col("_n") - 1).select(
         "doc_id", "para_idx", "span_start", (F.col("span_start") + len(keyword)).alias("span_end"), F.lit(color).alias("color"))
 
 
@@ -194,12 +294,27 @@ def append_row(rows: DataFrame, values: dict, group: str = "doc_id", ord_col: st
     return rows.unionByName(new)
 
 
-def delete_row(rows: DataFrame, at: int, count: int = 1, ord_col: str = "para_idx") -> DataFrame:
+def _with_error(rows: DataFrame, wrong: DataFrame, message: Column) -> DataFrame:
+    """The rows, or an error where `wrong` has a row."""
+    guard = wrong.where(F.raise_error(message).cast("boolean"))
+    return rows.unionByName(guard.select(*[F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes]))
+
+
+def delete_row(rows: DataFrame, at: int, count: int = 1, ord_col: str = "para_idx", group: str = "doc_id", strict: bool = False) -> DataFrame:
+    """Delete `count` rows from ordinal `at` of each group; a group without that ordinal stays as it is, or is an error if `strict`."""
+    if strict:
+        absent = rows.groupBy(group).agg(F.max(F.when(F.col(ord_col) == at, 1)).alias("_there")).where("_there is null")
+        rows = _with_error(rows, absent, F.concat(F.lit(f"no {ord_col} {at} in "), F.col(group).cast("string")))
     kept = rows.where(~F.col(ord_col).between(at, at + count - 1))
     return kept.withColumn(ord_col, F.col(ord_col) - F.when(F.col(ord_col) >= at + count, count).otherwise(0))
 
 
-def set_cell(cells: DataFrame, row: int, col: int, value: str) -> DataFrame:
+def set_cell(cells: DataFrame, row: int, col: int, value: str, group: str = "doc_id", strict: bool = False) -> DataFrame:
+    """Write one cell of each table; a table without that cell stays as it is, or is an error if `strict`."""
+    if strict:
+        there = F.when((F.col("row") == row) & (F.col("col") == col), 1)
+        absent = cells.groupBy(group).agg(F.max(there).alias("_there")).where("_there is null")
+        cells = _with_error(cells, absent, F.concat(F.lit(f"no cell {row}, {col} in "), F.col(group).cast("string")))
     return cells.withColumn("value", F.when((F.col("row") == row) & (F.col("col") == col), F.lit(value)).otherwise(F.col("value")))
 
 

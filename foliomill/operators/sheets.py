@@ -43,9 +43,9 @@ def search(rows: DataFrame, keyword: str, limit: int = 0, sheet: str | None = No
     name.  An empty keyword is in every cell; a sheet that is named and missing is an error.
     """
     if sheet is not None:
-        rows = rows.where(F.col("sheet") == sheet)
-        if not rows.limit(1).count():
-            raise ValueError(f"no sheet {sheet!r}")
+        every, rows = rows, rows.where(F.col("sheet") == sheet)
+        missing = every.agg(F.max(F.when(F.col("sheet") == sheet, 1)).alias("_there")).where("_there is null").where(F.raise_error(F.lit(f"no sheet {sheet!r}")).cast("boolean"))
+        rows = rows.unionByName(missing.select(*[F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes]))
     order = ["sheet_ord"] if "sheet_ord" in rows.columns else ["sheet"]
     hits = rows.select("sheet", *order[: order[0] == "sheet_ord"], "row", F.posexplode("vals").alias("col", "matched_value"), F.col("vals").alias("row_data")).where(F.col("matched_value").contains(keyword))
     hits = hits.withColumn("row", F.col("row") + 1).withColumn("col", F.col("col") + 1)

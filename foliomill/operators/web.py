@@ -8,7 +8,7 @@ page_id are taken as pages of their own.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliomill.functions import text as T
 from foliomill.sources import html as H
+from foliomill.sources.containers import BROKEN, error_type
 
 # Content containers by priority, noise, and where author and date stand.
 CONTENT = [
@@ -46,10 +47,17 @@ def _css(css: str) -> H.Selector:
     return _selectors[css]
 
 
-def _parsed(pages: DataFrame, rows: Callable[[H.Node, str], Iterator[tuple]], ddl: str) -> DataFrame:
-    """page_id and the columns of `ddl` for each tuple that `rows` gives for a page's tree and url."""
-    id_type = pages.schema["page_id"].dataType
-    schema = ST.StructType([ST.StructField("page_id", id_type), *ST.StructType.fromDDL(ddl).fields])
+def _parsed(pages: DataFrame, rows: Callable[[H.Node, str], Iterator[tuple]], ddl: str, mode: str | None = None) -> DataFrame:
+    """page_id and the columns of `ddl` for each tuple that `rows` gives for a page's tree and url.
+
+    mode: None and DROPMALFORMED give no row for a page that can't be read, PERMISSIVE a row with `error`
+    and `error_type` (columns that it adds), FAILFAST ends the job.
+    """
+    if mode not in (None, "PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+        raise ValueError(f"not a mode: {mode!r}")
+    id_type, fields, told = pages.schema["page_id"].dataType, ST.StructType.fromDDL(ddl).fields, mode == "PERMISSIVE"
+    errors = [ST.StructField(c, ST.StringType()) for c in ("error", "error_type")] if told else []
+    schema = ST.StructType([ST.StructField("page_id", id_type), *fields, *errors])
     arrow = to_arrow_schema(schema)
 
     def batch(held: list[tuple]) -> pa.RecordBatch:
@@ -59,7 +67,14 @@ def _parsed(pages: DataFrame, rows: Callable[[H.Node, str], Iterator[tuple]], dd
         for b in batches:
             held, size = [], 0
             for key, url, page in zip(*(b.column(i).to_pylist() for i in range(3))):
-                for row in rows(H.parse(page or ""), url or ""):
+                try:
+                    found = list(rows(H.parse(page or ""), url or ""))  # whole or not at all
+                    found = [(*row, None, None) for row in found] if told else found
+                except BROKEN as e:
+                    if mode == "FAILFAST":
+                        raise ValueError(f"page {key}: {e}") from e
+                    found = [(*[None] * len(fields), f"{type(e).__name__}: {e}", error_type(e))] if told else []
+                for row in found:
                     held.append((key, *row))
                     size += sum(len(x) for x in row if isinstance(x, str))
                     if len(held) >= 4096 or size > 8 << 20:
@@ -79,7 +94,7 @@ def _links(tree: H.Node, url: str) -> Iterator[tuple]:
             yield pos, a.text().strip(), full, a.parent.text(), a.text()
 
 
-def links(pages: DataFrame, limit: int | None = None) -> DataFrame:
+def links(pages: DataFrame, limit: int | None = None, mode: str | None = None) -> DataFrame:
     """(page_id, index, title, url, date): anchors in order, one for each address, then titles of two characters at least.
 
     The first anchor of an address counts even if its title is too short.  The date is looked for
@@ -98,8 +113,9 @@ def links(pages: DataFrame, limit: int | None = None) -> DataFrame:
                 if index == limit:
                     return
 
-    found = _parsed(pages, rows, "index int, title string, url string, around string, own string")
-    return found.select("page_id", "index", "title", "url", F.coalesce(T.find_date(F.col("around")), T.find_date(F.col("own"))).alias("date"))
+    found = _parsed(pages, rows, "index int, title string, url string, around string, own string", mode)
+    date = F.coalesce(T.find_date(F.col("around")), T.find_date(F.col("own")))
+    return found.select("page_id", "index", "title", "url", date.alias("date"), *found.columns[6:])
 
 
 def _title(tree: H.Node) -> str:
@@ -120,14 +136,14 @@ def _meta(tree: H.Node, selectors: list[str]) -> str | None:
     return None
 
 
-def titles(pages: DataFrame) -> DataFrame:
+def titles(pages: DataFrame, mode: str | None = None) -> DataFrame:
     """(page_id, title): the first of three places with text, else a default."""
-    return _parsed(pages, lambda tree, url: iter([(_title(tree),)]), "title string")
+    return _parsed(pages, lambda tree, url: iter([(_title(tree),)]), "title string", mode)
 
 
-def metas(pages: DataFrame) -> DataFrame:
+def metas(pages: DataFrame, mode: str | None = None) -> DataFrame:
     """(page_id, author, publish_date), null where a page names none."""
-    return _parsed(pages, lambda tree, url: iter([(_meta(tree, AUTHOR), _meta(tree, DATE))]), "author string, publish_date string")
+    return _parsed(pages, lambda tree, url: iter([(_meta(tree, AUTHOR), _meta(tree, DATE))]), "author string, publish_date string", mode)
 
 
 def _article(tree: H.Node, url: str, least: int) -> H.Node:
@@ -154,24 +170,44 @@ def _article(tree: H.Node, url: str, least: int) -> H.Node:
     return chosen
 
 
-def article_text(pages: DataFrame, least: int = 30) -> DataFrame:
+def article_text(pages: DataFrame, least: int = 30, mode: str | None = None) -> DataFrame:
     """(page_id, text): the text of the first content container with more than `least` characters, else the body's, without noise."""
-    return _parsed(pages, lambda tree, url: iter([(_article(tree, url, least).text().strip(),)]), "text string")
+    return _parsed(pages, lambda tree, url: iter([(_article(tree, url, least).text().strip(),)]), "text string", mode)
 
 
-def articles(pages: DataFrame, least: int = 30) -> DataFrame:
+def articles(pages: DataFrame, least: int = 30, mode: str | None = None) -> DataFrame:
     """(page_id, title, author, publish_date, clean_html)."""
     rows = lambda tree, url: iter([(_title(tree), _meta(tree, AUTHOR), _meta(tree, DATE), _article(tree, url, least).html())])
-    return _parsed(pages, rows, "title string, author string, publish_date string, clean_html string")
+    return _parsed(pages, rows, "title string, author string, publish_date string, clean_html string", mode)
 
 
 BLOCKS = frozenset("address article aside blockquote body div dl dd dt fieldset figure figcaption footer form header main nav ol p section ul".split())
 
 
-def _inline(node: H.Node | str) -> str:
-    if isinstance(node, str):
-        return re.sub(r"\s+", " ", node)
-    inner = "".join(_inline(c) for c in node.children)
+def _walked(step: Callable[[H.Node], Generator], node: H.Node):
+    """What `step` returns for a node; where it yields a child, it gets what `step` returns for that child.  The depth of a page is no depth of calls."""
+    stack, value = [step(node)], None
+    while stack:
+        try:
+            child = stack[-1].send(value)
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(step(child))
+            value = None
+    return value
+
+
+def _line(text: str) -> str:
+    return re.sub(r"\s+", " ", text)
+
+
+def _inline_steps(node: H.Node) -> Generator:
+    parts = []
+    for c in node.children:
+        parts.append(_line(c) if isinstance(c, str) else (yield c))
+    inner = "".join(parts)
     bare = inner.strip()
     if node.tag == "br":
         return "  \n"
@@ -190,44 +226,80 @@ def _inline(node: H.Node | str) -> str:
     return inner
 
 
-def _blocks(node: H.Node, depth: int = 0) -> Iterator[str]:
-    """Markdown blocks below a node: headings, lists, quotes, code, tables and paragraphs."""
-    run: list[str] = []
+def _inline(node: H.Node | str) -> str:
+    return _line(node) if isinstance(node, str) else _walked(_inline_steps, node)
 
-    def paragraph() -> Iterator[str]:
-        text = "\n".join(line.strip(" ") + ("  " if line.endswith("  ") and line.strip() else "") for line in "".join(run).split("\n")).strip()
-        run.clear()
-        if text:
-            yield text
 
-    for c in node.children:
-        if isinstance(c, str) or not (c.tag in BLOCKS or c.tag in ("pre", "table", "hr", "li") or re.fullmatch("h[1-6]", c.tag) or any(k.tag in BLOCKS or k.tag == "table" for k in c.walk())):
-            run.append(_inline(c))
-            continue
-        yield from paragraph()
-        if re.fullmatch("h[1-6]", c.tag):
-            if head := re.sub(r"\s+", " ", _inline(H.Node("span", {}, c.children))).strip():
-                yield "#" * int(c.tag[1]) + " " + head
-        elif c.tag == "hr":
-            yield "---"
-        elif c.tag == "pre":
-            yield "```\n" + c.text().strip("\n") + "\n```"
-        elif c.tag == "table":
-            rows = [[re.sub(r"\s+", " ", "".join(_inline(x) for x in cell.children)).strip() for cell in tr.children if isinstance(cell, H.Node) and cell.tag in ("td", "th")] for tr in c.select(_css("tr"))]
-            rows = [r for r in rows if r]
-            if rows:
-                yield "\n".join(["| " + " | ".join(rows[0]) + " |", "| " + " | ".join(["---"] * len(rows[0])) + " |", *("| " + " | ".join(r) + " |" for r in rows[1:])])
-        elif c.tag in ("ul", "ol"):
-            items = [k for k in c.children if isinstance(k, H.Node)]
-            marks = [f"{i + 1}. " if c.tag == "ol" else "- " for i in range(len(items))]
-            lines = [m + "\n".join(_blocks(item, depth + 1)).replace("\n", "\n" + " " * len(m)) for m, item in zip(marks, items)]
-            if lines:
-                yield "\n".join(lines)
-        elif c.tag == "blockquote":
-            yield "\n".join("> " + line for line in "\n\n".join(_blocks(c, depth + 1)).split("\n"))
-        else:
-            yield from _blocks(c, depth + 1)
-    yield from paragraph()
+def _content(node: H.Node) -> str:
+    """The children of a node as one line."""
+    return _line("".join(map(_inline, node.children))).strip()
+
+
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+OWN_BLOCKS = BLOCKS | HEADINGS | {"pre", "table", "hr", "li"}
+
+
+def _block_holders(root: H.Node) -> set[int]:
+    """The nodes below `root` that have a block below them."""
+    out: set[int] = set()
+    for n in root.walk():
+        if n.tag in BLOCKS or n.tag == "table":
+            up = n.parent
+            while up is not None and id(up) not in out:
+                out.add(id(up))
+                up = up.parent
+    return out
+
+
+def _blocks(root: H.Node) -> list[str]:
+    """Markdown blocks below a node: headings, lists, quotes, code, tables and paragraphs."""
+    holders = _block_holders(root)
+
+    def steps(node: H.Node) -> Generator:
+        out, run = [], []
+
+        def paragraph() -> None:
+            text = "\n".join(line.strip(" ") + ("  " if line.endswith("  ") and line.strip() else "") for line in "".join(run).split("\n")).strip()
+            run.clear()
+            if text:
+                out.append(text)
+
+        inside = [iter(node.children)]  # of this node, and of plain containers that were entered
+        while inside:
+            c = next(inside[-1], None)
+            if c is None:
+                paragraph()
+                inside.pop()
+            elif isinstance(c, str) or not (c.tag in OWN_BLOCKS or id(c) in holders):
+                run.append(_inline(c))
+            else:
+                paragraph()
+                if c.tag in HEADINGS:
+                    if head := _content(c):
+                        out.append("#" * int(c.tag[1]) + " " + head)
+                elif c.tag == "hr":
+                    out.append("---")
+                elif c.tag == "pre":
+                    out.append("```\n" + c.text().strip("\n") + "\n```")
+                elif c.tag == "table":
+                    rows = [[_content(cell) for cell in tr.children if isinstance(cell, H.Node) and cell.tag in ("td", "th")] for tr in c.select(_css("tr"))]
+                    rows = [r for r in rows if r]
+                    if rows:
+                        out.append("\n".join(["| " + " | ".join(rows[0]) + " |", "| " + " | ".join(["---"] * len(rows[0])) + " |", *("| " + " | ".join(r) + " |" for r in rows[1:])]))
+                elif c.tag in ("ul", "ol"):
+                    lines = []
+                    for i, item in enumerate(k for k in c.children if isinstance(k, H.Node)):
+                        mark = f"{i + 1}. " if c.tag == "ol" else "- "
+                        lines.append(mark + "\n".join((yield item)).replace("\n", "\n" + " " * len(mark)))
+                    if lines:
+                        out.append("\n".join(lines))
+                elif c.tag == "blockquote":
+                    out.append("\n".join("> " + line for line in "\n\n".join((yield c)).split("\n")))
+                else:
+                    inside.append(iter(c.children))
+        return out
+
+    return _walked(steps, root)
 
 
 def _markdown(tree: H.Node, url: str, least: int) -> str:
@@ -236,16 +308,16 @@ def _markdown(tree: H.Node, url: str, least: int) -> str:
     return head + "\n\n".join(_blocks(_article(tree, url, least)))
 
 
-def markdown(pages: DataFrame, least: int = 30) -> DataFrame:
+def markdown(pages: DataFrame, least: int = 30, mode: str | None = None) -> DataFrame:
     """(page_id, title, content): the article as Markdown under its title, author and date.
 
     Headings, paragraphs, lists, quotes, code, tables, links, images, bold and italic text are
     kept; all other markup gives its text.
     """
-    return _parsed(pages, lambda tree, url: iter([(_title(tree), _markdown(tree, url, least))]), "title string, content string")
+    return _parsed(pages, lambda tree, url: iter([(_title(tree), _markdown(tree, url, least))]), "title string, content string", mode)
 
 
-def tables(pages: DataFrame, limit: int | None = None) -> DataFrame:
+def tables(pages: DataFrame, limit: int | None = None, mode: str | None = None) -> DataFrame:
     """(page_id, table_idx, row_idx, row): cells keyed by their header or col_N.
 
     All header cells of a table name its columns in order; of equal names the last cell stays.
@@ -264,10 +336,10 @@ def tables(pages: DataFrame, limit: int | None = None) -> DataFrame:
             if done == limit:
                 return
 
-    return _parsed(pages, rows, "table_idx int, row_idx int, row map<string,string>")
+    return _parsed(pages, rows, "table_idx int, row_idx int, row map<string,string>", mode)
 
 
-def cards(pages: DataFrame, selector: str, limit: int | None = None) -> DataFrame:
+def cards(pages: DataFrame, selector: str, limit: int | None = None, mode: str | None = None) -> DataFrame:
     """(page_id, index, title, link, image_url, raw_text) of each element that the selector fits.
 
     The title is the first text of a card, which may be blank; a card without text is Item_N.
@@ -284,7 +356,7 @@ def cards(pages: DataFrame, selector: str, limit: int | None = None) -> DataFram
             link, image = (None if x is None else H.join(url, x.strip()) for x in (href, src))
             yield i + 1, texts[0].strip() if texts else f"Item_{i + 1}", link, image, " ".join(texts).strip()
 
-    return _parsed(pages, rows, "index int, title string, link string, image_url string, raw_text string")
+    return _parsed(pages, rows, "index int, title string, link string, image_url string, raw_text string", mode)
 
 
 def route(url: Column, output: Column, form: Column | None = None) -> Column:

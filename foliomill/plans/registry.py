@@ -57,13 +57,14 @@ def chunk_sliding(spark, sf):
 def _turns(spark, sf):
     c = read(spark, sf, "conversations")
     pages = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), "text")
-    starts = c.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("start"))
-    outline = starts.select("doc_id", F.col("start").alias("node_ord"), F.concat(F.lit("turn "), F.col("start").cast("string")).alias("path"), "start")
+    turn = F.col("turn").cast("int")
+    start = F.when(F.length("text") % 5 > 0, turn)  # some nodes have no page
+    outline = c.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), turn.alias("node_ord"), F.concat(F.lit("turn "), turn.cast("string")).alias("path"), start.alias("start"))
     return outline, pages
 
 
 SECTIONS = """
-    WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS start FROM conversations WHERE role = 'user'),
+    WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS start FROM conversations WHERE role = 'user' AND length(text) % 5 > 0),
     s AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), 1001) AS nxt FROM o),
     e AS (SELECT doc_id, start, CASE WHEN nxt > start THEN nxt - 1 ELSE start END AS stop FROM s)
 """
@@ -82,7 +83,7 @@ def chunk_by_section(spark, sf):
 
 
 @query("""
-    WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS start FROM conversations WHERE role = 'user'),
+    WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS start FROM conversations WHERE role = 'user' AND length(text) % 5 > 0),
     o2 AS (SELECT doc_id, start, (start - start % 4) AS pg FROM o)
     SELECT a.doc_id, a.start AS node_ord, a.pg AS page, (coalesce((SELECT min_by(b.pg, b.start) FROM o2 b WHERE b.doc_id = a.doc_id AND b.start > a.start AND b.pg > a.pg), 101) - 1)::INTEGER AS last_page
     FROM o2 a""")
@@ -92,6 +93,31 @@ def section_pages_next_greater(spark, sf):
     return D.section_ends(coarse, F.lit(100), "next_greater").select("doc_id", "node_ord", F.col("start").alias("page"), F.col("end").alias("last_page"))
 
 
+@query("""
+    WITH p AS (SELECT conv_id AS doc_id, turn::INTEGER + 1 AS page, text FROM conversations),
+    n AS (SELECT conv_id AS doc_id, turn::INTEGER AS node_ord, 'turn ' || turn AS path, (turn + 1 + CASE WHEN length(text) % 3 = 0 THEN 1000 ELSE 0 END)::INTEGER AS start
+          FROM conversations WHERE role = 'user' AND length(text) % 5 > 1),
+    d AS (SELECT doc_id, max(page) AS total FROM p GROUP BY doc_id),
+    s AS (SELECT n.*, coalesce(lead(start) OVER (PARTITION BY n.doc_id ORDER BY node_ord), total + 1) AS nxt FROM n JOIN d USING (doc_id)),
+    e AS (SELECT *, CASE WHEN nxt > start THEN nxt - 1 ELSE start END AS stop FROM s),
+    w AS (SELECT e.doc_id, node_ord, path, start, stop, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY page, text), '^\\s+|\\s+$', '', 'g') AS t
+          FROM e JOIN p ON p.doc_id = e.doc_id AND page BETWEEN start AND stop GROUP BY ALL),
+    f AS (SELECT * FROM w WHERE t <> ''
+          UNION ALL SELECT p.doc_id, 0, 'Document / SlidingWindow', 1, total, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY page, text), '^\\s+|\\s+$', '', 'g')
+          FROM p JOIN d ON d.doc_id = p.doc_id WHERE p.doc_id NOT IN (SELECT doc_id FROM w WHERE t <> '') GROUP BY p.doc_id, total),
+    k AS (SELECT *, unnest(range(0, CASE WHEN length(t) <= 500 THEN 1 ELSE ceil((length(t) - 500) / 420.0)::BIGINT + 1 END)) AS i FROM f),
+    c AS (SELECT *, length(t) <= 500 AS short, regexp_replace(substring(t, i * 420 + 1, 500), '^\\s+|\\s+$', '', 'g') AS text FROM k)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY node_ord, i) - 1)::INTEGER AS chunk_id, path, start AS page_from, stop AS page_to,
+           text, length(text)::INTEGER AS char_count, round(length(text) * 0.75)::BIGINT AS token_estimate FROM c WHERE short OR text <> ''""")
+def chunk_with_fallback(spark, sf):
+    """Some nodes have no page, some lie beyond the last one, so some conversations have no section with text."""
+    c, turn, size = read(spark, sf, "conversations"), F.col("turn").cast("int"), F.length("text")
+    pages = c.select(F.col("conv_id").alias("doc_id"), (turn + 1).alias("page"), "text")
+    start = F.when(size % 5 > 1, turn + 1 + F.when(size % 3 == 0, 1000).otherwise(0))
+    nodes = c.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), turn.alias("node_ord"), F.concat(F.lit("turn "), turn.cast("string")).alias("path"), start.alias("start"))
+    return D.chunk_documents(pages, nodes)
+
+
 @query("SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g'))::INTEGER AS word_count FROM documents")
 def nonspace_char_count(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.nonspace_count(F.col("text")).alias("word_count"))
@@ -540,9 +566,9 @@ def doc_range_read(spark, sf):
     return D.read_paragraphs(_paras(spark, sf), *paragraph_span("1:2", 1000)).select("doc_id", "para_idx", "text")
 
 
-@query("""WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS node_ord, (turn - turn % 4)::INTEGER AS start, 'turn ' || turn AS title FROM conversations WHERE role = 'user'),
-    h AS (SELECT * FROM o WHERE contains(title, '2') OR title = 'turn' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY node_ord) = 1)
-    SELECT doc_id, node_ord, title, start AS page_from, greatest(least(coalesce((SELECT min_by(o.start, o.node_ord) FROM o WHERE o.doc_id = h.doc_id AND o.node_ord > h.node_ord AND o.start > h.start), 101) - 1, 100), start)::INTEGER AS page_to
+@query("""WITH o AS (SELECT conv_id AS doc_id, turn::INTEGER AS node_ord, CASE WHEN length(text) % 5 > 0 THEN (turn - turn % 4)::INTEGER END AS start, 'turn ' || turn AS title FROM conversations WHERE role = 'user'),
+    h AS (SELECT *, coalesce(start, 1) AS page_from FROM o WHERE contains(title, '2') OR title = 'turn' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY node_ord) = 1)
+    SELECT doc_id, node_ord, title, page_from, greatest(least(coalesce((SELECT min_by(o.start, o.node_ord) FROM o WHERE o.doc_id = h.doc_id AND o.node_ord > h.node_ord AND o.start > h.page_from), 101) - 1, 100), page_from)::INTEGER AS page_to
     FROM h""")
 def heading_pages(spark, sf):
     outline, _ = _turns(spark, sf)
@@ -550,6 +576,25 @@ def heading_pages(spark, sf):
     return D.heading_pages(coarse, F.lit(100), "2")
 
 
+@query("""WITH n AS (SELECT nation_id AS doc_id, client_id AS node_ord, name AS title, CASE WHEN client_id % 7 > 0 THEN (client_id // 10 + 1)::INTEGER END AS start FROM clients WHERE nation_id IS NOT NULL),
+    o AS (SELECT *, lower(title) AS l, lower(regexp_replace(title, '[^\\p{L}\\p{N}]', '', 'g')) AS m FROM n WHERE title IS NOT NULL),
+    q AS (SELECT vendor_id AS query_id, lower(trim(w)) AS l, lower(regexp_replace(w, '[^\\p{L}\\p{N}]', '', 'g')) AS m FROM (SELECT vendor_id, substring(name, 1, 3) AS w FROM vendors UNION ALL SELECT -1, name || '!' FROM clients WHERE client_id = 3)),
+    h AS (SELECT DISTINCT query_id, doc_id, node_ord, title, coalesce(start, 1) AS page_from FROM o, q
+          WHERE (o.l <> '' AND q.l <> '' AND (contains(o.l, q.l) OR contains(q.l, o.l))) OR (o.m <> '' AND q.m <> '' AND (contains(o.m, q.m) OR contains(q.m, o.m)))
+          QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY node_ord) = 1),
+    t AS (SELECT h.query_id, h.doc_id, h.node_ord, h.title, page_from, min_by(n.start, n.node_ord) AS nxt
+          FROM h LEFT JOIN n ON n.doc_id = h.doc_id AND n.node_ord > h.node_ord AND n.start > h.page_from GROUP BY ALL)
+    SELECT doc_id, query_id, node_ord, title, page_from, greatest(least(coalesce(nxt - 1, 100000), 100000), page_from)::INTEGER AS page_to FROM t""")
+def heading_pages_by_query(spark, sf):
+    """Names of clients as the outlines of their nations; the first letters of vendors' names, and one whole name, as queries."""
+    c, i = read(spark, sf, "clients"), F.col("client_id")
+    start = F.when(i % 7 > 0, (F.floor(i / 10) + 1).cast("int"))
+    nodes = c.where("nation_id IS NOT NULL").select(F.col("nation_id").alias("doc_id"), i.alias("node_ord"), F.col("name").alias("title"), start.alias("start"))
+    queries = read(spark, sf, "vendors").select(F.col("vendor_id").alias("query_id"), F.substring("name", 1, 3).alias("query")).union(
+        c.where("client_id = 3").select(F.lit(-1).cast("long"), F.concat("name", F.lit("!"))))
+    return D.heading_pages_by(nodes, queries, F.lit(100000))
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) AS line, unnest(range(0, len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))))) AS i FROM documents),
     k AS (SELECT doc_id, i, regexp_replace(CASE i % 4 WHEN 0 THEN '1.2 ' ELSE '' END || line, '^\\s+|\\s+$', '', 'g') AS t FROM l)
     SELECT doc_id, string_agg(CASE WHEN octet_length(encode(t)) <= 60 AND regexp_matches(t, '^[0-9][0-9.]*\\.[0-9.]*(\\s|$)') THEN chr(10) || '### ' || t || chr(10) ELSE t END, chr(10) ORDER BY i) AS text FROM k GROUP BY doc_id""")

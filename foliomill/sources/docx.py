@@ -142,34 +142,34 @@ def styles(content: bytes) -> Iterator[tuple]:
             yield id_, named or id_, s.get(W + "type", "paragraph"), s.get(W + "default") in ("1", "true")
 
 
-def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, paragraphs, PARAGRAPHS, "*.docx")
+def read_paragraphs(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, paragraphs, PARAGRAPHS, "*.docx", mode=mode)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, runs, RUNS, "*.docx")
+def read_runs(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, runs, RUNS, "*.docx", mode=mode)
 
 
-def read_table_cells(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, table_cells, TABLE_CELLS, "*.docx")
+def read_table_cells(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, table_cells, TABLE_CELLS, "*.docx", mode=mode)
 
 
-def read_styles(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, styles, STYLE_ROWS, "*.docx")
+def read_styles(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, styles, STYLE_ROWS, "*.docx", mode=mode)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, images, "img_idx int, rel_id string, width_mm double, height_mm double", "*.docx")
+def read_images(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, images, "img_idx int, rel_id string, width_mm double, height_mm double", "*.docx", mode=mode)
 
 
-def read_relations(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, relations, "rel_id string, target string", "*.docx")
+def read_relations(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, relations, "rel_id string, target string", "*.docx", mode=mode)
 
 
-def read_media(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, media, "name string, content binary", "*.docx")
+def read_media(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, media, "name string, content binary", "*.docx", mode=mode)
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
+def read_summary(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     ddl = "total_paragraphs int, total_tables int, total_images int, total_highlights int, total_sections int, page_orientation string, page_size string"
-    return scan(spark, path, summary, ddl, "*.docx")
+    return scan(spark, path, summary, ddl, "*.docx", mode=mode)

@@ -8,6 +8,7 @@ none.  Misnested formatting tags are closed in order, not cloned as browsers do.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import escape
@@ -96,6 +97,12 @@ class _Builder(HTMLParser):
         self.head: Node | None = None
         self.body: Node | None = None
         self.open = [self.root]
+        self.count: Counter[str] = Counter()  # open elements by tag, so that what isn't open isn't looked for
+
+    def _close(self, at: int) -> None:
+        """Close the open elements from this one on."""
+        self.count.subtract(n.tag for n in self.open[at:])
+        del self.open[at:]
 
     def _add(self, node: Node) -> None:
         node.parent = self.open[-1]
@@ -103,10 +110,11 @@ class _Builder(HTMLParser):
 
     def _into_body(self, attrs: dict[str, str] | None = None) -> None:
         if self.body is None:
-            self.open = [self.root]
+            self._close(1)
             self.body = Node("body")
             self._add(self.body)
             self.open.append(self.body)
+            self.count["body"] += 1
         for k, v in (attrs or {}).items():
             self.body.attrs.setdefault(k, v)
 
@@ -124,15 +132,19 @@ class _Builder(HTMLParser):
         if tag == "head":
             if self.head is None and self.body is None:
                 self.head = Node("head", own)
+                self._close(1)
                 self._add(self.head)
-                self.open = [self.root, self.head]
+                self.open.append(self.head)
+                self.count["head"] += 1
             return
         if self.body is None:
             if tag in HEAD_TOO and self.open[-1] in (self.root, self.head):
                 if self.head is None:
                     self.head = Node("head")
                     self._add(self.head)
-                self.open = [self.root, self.head]
+                self._close(1)
+                self.open.append(self.head)
+                self.count["head"] += 1
             elif self.head is None or self.head not in self.open or self.open[-1] is self.head:
                 self._into_body()
         if ends := ENDS.get(tag):
@@ -141,9 +153,12 @@ class _Builder(HTMLParser):
         self._add(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def _imply(self, tag: str, ends: tuple[str, ...]) -> None:
         """Close the outermost open element that `tag` ends, inside the nearest barrier."""
+        if not any(self.count[e] > 0 for e in ends):
+            return
         barriers = BARRIERS["li" if tag == "li" else "p"] if tag not in TABLE_TAGS or tag == "table" else frozenset(("table",))
         cut = None
         for i in range(len(self.open) - 1, 1, -1):
@@ -152,7 +167,7 @@ class _Builder(HTMLParser):
             if self.open[i].tag in barriers:
                 break
         if cut is not None:
-            del self.open[cut:]
+            self._close(cut)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -160,11 +175,13 @@ class _Builder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
             return
+        if self.count[tag] <= 0:
+            return
         stop = frozenset(("table",)) if tag in TABLE_TAGS else frozenset(("table", "td", "th"))
         for i in range(len(self.open) - 1, 0, -1):
             node = self.open[i]
             if node.tag == tag and node is not self.body:
-                del self.open[i:]
+                self._close(i)
                 return
             if node.tag in stop or node is self.body:
                 return
@@ -269,12 +286,19 @@ SPECIAL = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
 
 
 def join(base: str, href: str) -> str | None:
-    """`href` against the page's address, as browsers write it; None where it can't be one."""
+    """`href` against the page's address, as browsers write it; None where it can't be one.
+
+    A broken base is none, so that only whole addresses can be joined with it.
+    """
+    try:
+        base_scheme = urlsplit(base).scheme.lower()
+    except ValueError:
+        base = base_scheme = ""
     href = re.sub(r"[\t\n\r]", "", href).strip("".join(map(chr, range(33))))
     scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", href)
     if scheme and scheme[1].lower() not in SPECIAL:
         return scheme[1].lower() + quote(href[scheme.end() - 1 :], safe="!#$%&'()*+,/:;<=>?@[\\]^_`{|}~ \"")
-    if not scheme and urlsplit(base).scheme.lower() in SPECIAL or scheme:
+    if not scheme and base_scheme in SPECIAL or scheme:
         cut = re.search(r"[?#]", href)
         head, tail = (href[: cut.start()], href[cut.start() :]) if cut else (href, "")
         href = head.replace("\\", "/") + tail

@@ -66,5 +66,5 @@ def blocks(content: bytes) -> Iterator[tuple]:
     return ((i, *b) for i, b in enumerate(out))
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, blocks, BLOCKS, "*.md")
+def read_blocks(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, blocks, BLOCKS, "*.md", mode=mode)

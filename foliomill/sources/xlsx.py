@@ -104,13 +104,13 @@ def cell_styles(content: bytes) -> Iterator[tuple]:
 STYLES = "sheet_ord int, sheet string, row int, col int, bold boolean, size double, font string, color string, fill string, horizontal string, vertical string, border boolean"
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, sheets, "sheet_ord int, sheet string", "*.xlsx")
+def read_sheets(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, sheets, "sheet_ord int, sheet string", "*.xlsx", mode=mode)
 
 
-def read_cell_styles(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, cell_styles, STYLES, "*.xlsx")
+def read_cell_styles(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, cell_styles, STYLES, "*.xlsx", mode=mode)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    return scan(spark, path, cells, CELLS, "*.xlsx")
+def read_cells(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+    return scan(spark, path, cells, CELLS, "*.xlsx", mode=mode)
