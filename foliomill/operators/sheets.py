@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import os
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -98,20 +97,6 @@ def manage_sheet(sheets: DataFrame, action: str, sheet: str, new_name: str | Non
     return sheets.where(F.col("sheet") != sheet).withColumn("sheet_ord", F.row_number().over(order) - 1)  # a row a sheet
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """Write the rows of one sheet to a file, with a byte order mark and no header, in the order of `row`.
-
-    The lines are made on the executors and reach the file one partition at a time.
-    """
-    if not path.lower().endswith(".csv"):
-        raise ValueError("only .csv files are written")
-    lines = rows.orderBy("row").select(T.csv_line(F.transform("vals", lambda v: F.coalesce(v, F.lit("")))).alias("line"))
-    with open(f"{path}.tmp", "w", encoding="utf-8-sig", newline="") as out:
-        for r in lines.toLocalIterator():
-            out.write(r["line"])
-    os.replace(f"{path}.tmp", path)
-
-
 def autofit_columns(cells: DataFrame, least: float = 10, most: float = 60) -> DataFrame:
     """Width of each column: its widest line plus 3, between least and most."""
     lines = cells.select("sheet", "col", F.explode(F.split("value", "\n")).alias("line"))

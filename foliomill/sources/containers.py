@@ -11,6 +11,7 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 ROWS_A_BATCH = 4096
+MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 BROKEN = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, IndexError, TypeError, EOFError, RecursionError, NotImplementedError)
 
 
@@ -39,7 +41,7 @@ def scan(spark: SparkSession, path: str, parse: Callable[[bytes], Iterable[tuple
 
     mode: PERMISSIVE gives an error row for a broken file, DROPMALFORMED nothing, FAILFAST ends the job.
     """
-    if mode not in ("PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+    if mode not in MODES:
         raise ValueError(f"not a mode: {mode!r}")
     reader = spark.read.format("binaryFile")
     if glob:
@@ -79,12 +81,35 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def part(content: bytes, name: str) -> ElementTree.Element:
-    """The root of an XML part of a zip container; KeyError where it has none."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return ElementTree.fromstring(z.read(name))
+class Package:
+    """A zip container whose parts are inflated, and whose XML is parsed, once; `opened` counts how often each part was inflated."""
 
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        self.opened: Counter[str] = Counter()
+        self.trees: dict[str, ElementTree.Element] = {}
 
-def has_part(content: bytes, name: str) -> bool:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return name in z.namelist()
+    @classmethod
+    def of(cls, content: bytes | Package) -> Package:
+        return content if isinstance(content, Package) else cls(content)
+
+    def names(self) -> list[str]:
+        return self.zip.namelist()
+
+    def has(self, name: str) -> bool:
+        return name in self.zip.NameToInfo
+
+    def read(self, name: str) -> bytes:
+        self.opened[name] += 1
+        return self.zip.read(name)
+
+    def xml(self, name: str, clean: Callable[[bytes], bytes] = lambda raw: raw) -> ElementTree.Element:
+        """The root of an XML part; KeyError where there is none."""
+        if name not in self.trees:
+            self.trees[name] = ElementTree.fromstring(clean(self.read(name)))
+        return self.trees[name]
+
+
+def everything(column: str, value) -> bool:
+    """The filter that wants all rows."""
+    return True

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import math
 import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
+from collections.abc import Callable, Iterator
 from xml.etree.ElementTree import Element
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.sources.containers import has_part, part, scan
+from foliomill.sources.containers import Package, everything, scan
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MAIN, STYLES, RELATIONS = "word/document.xml", "word/styles.xml", "word/_rels/document.xml.rels"
@@ -23,6 +20,9 @@ PARAGRAPHS = "para_idx int, style_id string, text string"
 RUNS = "para_idx int, run_ord int, text string, highlight string, page_break boolean"
 TABLE_CELLS = "table_idx int, row int, col int, text string"
 STYLE_ROWS = "id string, name string, style_type string, is_default boolean"
+IMAGES = "img_idx int, rel_id string, width_mm double, height_mm double"
+RELATION_ROWS = "rel_id string, target string"
+SUMMARY = "total_paragraphs int, total_tables int, total_images int, total_highlights int, total_sections int, page_orientation string, page_size string"
 
 
 def _text(node: Element) -> str:
@@ -38,23 +38,22 @@ def _text(node: Element) -> str:
     return "".join(out)
 
 
-def _body(content: bytes) -> Element:
+def _body(content: bytes | Package) -> Element:
     """The body without self-closed paragraphs, which have no ordinal."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(re.sub(rb"<w:p(\s[^<>]*)?/>", b"", z.read(MAIN))).find(W + "body")
+    body = Package.of(content).xml(MAIN, lambda raw: re.sub(rb"<w:p(\s[^<>]*)?/>", b"", raw)).find(W + "body")
     if body is None:
         raise ValueError("no body")
     return body
 
 
-def paragraphs(content: bytes) -> Iterator[tuple]:
+def paragraphs(content: bytes | Package) -> Iterator[tuple]:
     """Paragraphs of the body in order, those in tables among them; split runs are joined."""
     for i, p in enumerate(_body(content).iter(W + "p")):
         style = p.find(f"{W}pPr/{W}pStyle")
         yield i, None if style is None else style.get(W + "val"), _text(p)
 
 
-def runs(content: bytes) -> Iterator[tuple]:
+def runs(content: bytes | Package) -> Iterator[tuple]:
     """Runs of the body's paragraphs with their highlight colour and whether a page break is in them."""
     for i, p in enumerate(_body(content).iter(W + "p")):
         for k, r in enumerate(p.iter(W + "r")):
@@ -67,7 +66,7 @@ def _local(node: Element) -> str:
     return node.tag.rpartition("}")[2]
 
 
-def images(content: bytes) -> Iterator[tuple]:
+def images(content: bytes | Package) -> Iterator[tuple]:
     """(img_idx, rel_id, width_mm, height_mm) of drawings with a size; a picture belongs to the last drawing that has none yet."""
     found: list[list] = []
     for n in _body(content).iter():
@@ -91,24 +90,27 @@ def _mm(emu: str) -> float:
         return 0.0
 
 
-def relations(content: bytes) -> Iterator[tuple]:
+def relations(content: bytes | Package) -> Iterator[tuple]:
     """(rel_id, target) of the document's relations."""
-    if has_part(content, RELATIONS):
-        for n in part(content, RELATIONS).iter():
+    package = Package.of(content)
+    if package.has(RELATIONS):
+        for n in package.xml(RELATIONS).iter():
             if _local(n) == "Relationship" and n.get("Id") and n.get("Target"):
                 yield n.get("Id"), n.get("Target")
 
 
-def media(content: bytes) -> Iterator[tuple]:
-    """(name, content) of every file below word/media/."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for name in z.namelist():
-            if name.startswith("word/media/") and not name.endswith("/"):
-                yield name.rpartition("/")[2], z.read(name)
+def media(content: bytes | Package, wanted: Callable[[str, object], bool] = everything) -> Iterator[tuple]:
+    """(name, content) of every wanted file below word/media/."""
+    package = Package.of(content)
+    for name in package.names():
+        own = name.rpartition("/")[2]
+        if name.startswith("word/media/") and own and wanted("name", own):
+            yield own, package.read(name)
 
 
-def summary(content: bytes) -> Iterator[tuple]:
+def summary(content: bytes | Package) -> Iterator[tuple]:
     """Counts of a document, and the paper of its sections: the last size, and landscape once a section is wider than high or says so."""
+    content = Package.of(content)
     body = _body(content)
     marked = sum(1 for r in runs(content) if r[3] is not None and r[2].strip())
     orientation, size = "portrait", "A4"
@@ -123,19 +125,24 @@ def summary(content: bytes) -> Iterator[tuple]:
            max(1, sum(1 for _ in body.iter(W + "sectPr"))), orientation, size)
 
 
-def table_cells(content: bytes) -> Iterator[tuple]:
-    """Trimmed cells of the body's tables; a cell's paragraphs are joined by line ends."""
+def table_cells(content: bytes | Package, wanted: Callable[[str, object], bool] = everything) -> Iterator[tuple]:
+    """Trimmed cells of the body's wanted tables; a cell's paragraphs are joined by line ends."""
     for t, table in enumerate(_body(content).findall(W + "tbl")):
+        if not wanted("table_idx", t):
+            continue
         for i, row in enumerate(table.findall(W + "tr")):
+            if not wanted("row", i):
+                continue
             for k, cell in enumerate(row.findall(W + "tc")):
                 yield t, i, k, "\n".join(_text(p) for p in cell.findall(W + "p")).strip()
 
 
-def styles(content: bytes) -> Iterator[tuple]:
+def styles(content: bytes | Package) -> Iterator[tuple]:
     """Styles with a content; a missing name is the id, a missing type `paragraph`."""
-    if not has_part(content, STYLES):
+    package = Package.of(content)
+    if not package.has(STYLES):
         return
-    for s in part(content, STYLES).findall(W + "style"):
+    for s in package.xml(STYLES).findall(W + "style"):
         if len(s):
             id_, name = s.get(W + "styleId", ""), s.find(W + "name")
             named = None if name is None else name.get(W + "val")
@@ -159,11 +166,11 @@ def read_styles(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Dat
 
 
 def read_images(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    return scan(spark, path, images, "img_idx int, rel_id string, width_mm double, height_mm double", "*.docx", mode=mode)
+    return scan(spark, path, images, IMAGES, "*.docx", mode=mode)
 
 
 def read_relations(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    return scan(spark, path, relations, "rel_id string, target string", "*.docx", mode=mode)
+    return scan(spark, path, relations, RELATION_ROWS, "*.docx", mode=mode)
 
 
 def read_media(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
@@ -171,5 +178,4 @@ def read_media(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Data
 
 
 def read_summary(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    ddl = "total_paragraphs int, total_tables int, total_images int, total_highlights int, total_sections int, page_orientation string, page_size string"
-    return scan(spark, path, summary, ddl, "*.docx", mode=mode)
+    return scan(spark, path, summary, SUMMARY, "*.docx", mode=mode)

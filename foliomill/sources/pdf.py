@@ -11,11 +11,11 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.sources.containers import scan
+from foliomill.sources.containers import everything, scan
 
 PAGES = "page int, width double, height double, rotate int"
 OUTLINE = "node_ord int, parent_ord int, level int, title string, title_path string, target_page int"
@@ -462,10 +462,12 @@ def page_elements(pdf: Pdf, page: dict) -> Iterator[tuple[float, float, str, flo
                 yield x, y, text, size
 
 
-def elements(content: bytes) -> Iterator[tuple]:
-    """Positioned text of all pages, numbered in each page by the order of its content."""
+def elements(content: bytes, wanted: Callable[[str, object], bool] = everything) -> Iterator[tuple]:
+    """Positioned text of the wanted pages, numbered in each page by the order of its content; other pages' content isn't read."""
     pdf = Pdf(content)
     for number, (_, page) in enumerate(pdf.pages(), 1):
+        if not wanted("page", number):
+            continue
         height = pdf.box(page)[1]
         for i, row in enumerate(page_elements(pdf, page)):
             yield number, i, *row, height
