@@ -1,18 +1,15 @@
 """Layout inference over positioned text: (doc_id, page, elem_ord, x, y, text, font_size).
 
 elem_ord is unique in a page and breaks all ties.  What needs the order of a page (lines about
-their first element, columns about a running mean) is one pass over sorted rows that holds the
-last line or column only, so a page may have any number of elements.  Pages without elements
-give no rows.
+their first element, columns about a running mean) is a fold over the page's sorted coordinates, one
+number for each height or element, whose state is the lines or columns so far.  Pages without
+elements give no rows.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliomill.functions import text as T
 
@@ -31,40 +28,18 @@ def noise_filter(elems: DataFrame, page_height: Column) -> DataFrame:
     return marked.where(~((page_height > 100) & (F.col("_n") > 15) & (span > 100) & noise)).drop("_lo", "_hi", "_n")
 
 
-def _in_order(rows: DataFrame, order: list[Column | str], step, ddl: str, value: int) -> DataFrame:
-    """One pass over each page's rows in an order: `step(state, value of a row)` gives the state and what is kept.
-
-    Rows come out with the fields of `ddl` after their own columns.  The state starts anew with each page.
-    """
-    schema = ST.StructType([*rows.schema.fields, *ST.StructType.fromDDL(ddl).fields])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        page, state = None, None
-        for batch in batches:
-            out = []
-            for key, v in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(value).to_pylist()):
-                if key != page:
-                    page, state = key, None
-                state, kept = step(state, v)
-                out.append(kept)
-            extra = zip(*out) if out else [[] for _ in range(len(arrow) - batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, f.type) for c, f in zip(extra, list(arrow)[batch.num_columns :])]], names=arrow.names)
-
-    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(run, schema)
-
-
 def _lines(elems: DataFrame, tolerance: float) -> DataFrame:
-    """Elements with the number of their line: downwards, a line's first element is its anchor."""
-
-    def step(state, y):
-        line, anchor = state or (0, None)
-        if anchor is None or abs(y - anchor) > tolerance:
-            line, anchor = line + 1, y
-        return (line, anchor), (line,)
+    """Elements with the number of their line: downwards, a line's first element is its anchor.
 
-    rows = elems.select(*PAGE, "elem_ord", "x", "y", "text")
-    return _in_order(rows, [F.desc("y"), "elem_ord"], step, "line int", 4)
+    The anchors of a page are a fold over its distinct heights; an element's line is the number of anchors that
+    aren't below it.
+    """
+    rows = elems.select(*PAGE, "elem_ord", "x", F.col("y").cast("double").alias("y"), "text")
+    near = lambda anchors, y: F.coalesce(F.abs(y - F.get(anchors, F.size(anchors) - 1)) <= tolerance, F.lit(False))
+    heights = rows.groupBy(*PAGE).agg(F.sort_array(F.collect_set("y"), asc=False).alias("_heights"))
+    fold = F.aggregate("_heights", F.array().cast("array<double>"), lambda anchors, y: F.when(near(anchors, y), anchors).otherwise(F.concat(anchors, F.array(y))))
+    anchors = heights.select(*PAGE, fold.alias("_anchors"))
+    return rows.join(anchors, list(PAGE)).withColumn("line", F.size(F.filter("_anchors", lambda a: a >= F.col("y")))).drop("_anchors")
 
 
 def _spaced(lines: DataFrame, gap: float, right: Column) -> DataFrame:
@@ -144,16 +119,17 @@ def overlaps(boxes: DataFrame, most_dy: float = 2.0, ratio: float = 0.6) -> Data
 def column_clusters(boxes: DataFrame, tolerance: float = 18.0) -> DataFrame:
     """(doc_id, page, col_index, x_start, x_end): runs of sorted x near their running mean, two members at least."""
 
-    def step(state, x):
-        number, mean, n = state or (0, 0.0, 0)
-        if n and abs(x - mean) < tolerance:
-            mean, n = (mean * n + x) / (n + 1), n + 1
-        else:
-            number, mean, n = number + 1, x, 1
-        return (number, mean, n), (number, mean, n)
+    entry = lambda mean, n: F.struct(mean.alias("mean"), n.alias("n"))
+
+    def step(runs: Column, x: Column) -> Column:
+        """The last run takes x if it is near its mean; else x opens a run."""
+        last, head = F.get(runs, F.size(runs) - 1), F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
+        taken = F.concat(head, F.array(entry((last["mean"] * last["n"] + x) / (last["n"] + 1), last["n"] + 1)))
+        return F.when(F.abs(x - last["mean"]) < tolerance, taken).otherwise(F.concat(runs, F.array(entry(x, F.lit(1)))))
 
-    runs = _in_order(boxes.select(*PAGE, "x"), ["x"], step, "run int, mean double, n int", 2)
-    last = runs.groupBy(*PAGE, "run").agg(F.max(F.struct("n", "mean")).alias("m")).where(F.col("m.n") >= 2)
+    sorted_ = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.col("x").cast("double"))).alias("_x"))
+    runs = sorted_.select(*PAGE, F.posexplode(F.aggregate("_x", F.array().cast("array<struct<mean:double,n:int>>"), step)).alias("run", "m"))
+    last = runs.where(F.col("m.n") >= 2)
     w = Window.partitionBy(*PAGE).orderBy("run")
     columns = last.select(*PAGE, (F.row_number().over(w) - 1).alias("col_index"), T.rounded(F.col("m.mean")).alias("x_start"))
     following = F.lead("x_start").over(Window.partitionBy(*PAGE).orderBy("col_index"))

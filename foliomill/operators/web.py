@@ -1,12 +1,15 @@
 """Operators over pages (page_id, url, html): articles, links, tables, cards, Markdown, routing.
 
-Pages are parsed once each in Arrow batches; what follows from the parsed rows is native.  Null
-html is an empty page, a null or broken url has no address to join with, and rows of one
-page_id are taken as pages of their own.
+A page is parsed once, in Arrow batches, into its nodes in the order of the page: elements and pieces of text,
+each with the interval of nodes below it.  Titles, links, tables, cards and articles are native expressions over
+these nodes: a selector is a filter, "below" is a slice, an ancestor is an interval that holds another.  Null html is an
+empty page, a null or broken url has no address to join with, and rows of one page_id are taken as
+pages of their own.  Only the article as HTML and as Markdown is written by the parser's own tree.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Generator, Iterator
 
@@ -18,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliomill.functions import text as T
 from foliomill.sources import html as H
-from foliomill.sources.containers import BROKEN, error_type
+from foliomill.sources.containers import BROKEN, MODES, error_type
 
 # Content containers by priority, noise, and where author and date stand.
 CONTENT = [
@@ -53,7 +56,7 @@ def _parsed(pages: DataFrame, rows: Callable[[H.Node, str], Iterator[tuple]], dd
     mode: None and DROPMALFORMED give no row for a page that can't be read, PERMISSIVE a row with `error`
     and `error_type` (columns that it adds), FAILFAST ends the job.
     """
-    if mode not in (None, "PERMISSIVE", "DROPMALFORMED", "FAILFAST"):
+    if mode not in (None, *MODES):
         raise ValueError(f"not a mode: {mode!r}")
     id_type, fields, told = pages.schema["page_id"].dataType, ST.StructType.fromDDL(ddl).fields, mode == "PERMISSIVE"
     errors = [ST.StructField(c, ST.StringType()) for c in ("error", "error_type")] if told else []
@@ -87,11 +90,137 @@ def _parsed(pages: DataFrame, rows: Callable[[H.Node, str], Iterator[tuple]], dd
     return pages.select("page_id", url.alias("url"), "html").mapInArrow(run, schema)
 
 
-def _links(tree: H.Node, url: str) -> Iterator[tuple]:
-    for pos, a in enumerate(tree.select(_css("a"))):
-        href = a.attrs.get("href", "").strip()
-        if href and not href.startswith(NOT_LINKS) and (full := H.join(url, href)) is not None:
-            yield pos, a.text().strip(), full, a.parent.text(), a.text()
+NODES = "at:int,last:int,parent:int,tag:string,attrs:map<string,string>,address:string,text:string"
+
+
+def _flat(tree: H.Node, url: str, out: dict[str, list]) -> int:
+    """Append the nodes of a page to the columns of `out`; how many there are."""
+    begin = len(out["tag"])
+    stack: list[tuple[H.Node | str, int]] = [(tree, -1)]
+    while stack:
+        node, parent = stack.pop()
+        at = len(out["tag"]) - begin
+        out["at"].append(at)
+        out["last"].append(at)
+        out["parent"].append(parent)
+        if isinstance(node, str):
+            out["tag"].append(None)
+            out["attrs"].append(None)
+            out["address"].append(None)
+            out["text"].append(node)
+            continue
+        href = node.attrs.get("href") if node.tag == "a" else node.attrs.get("src", node.attrs.get("data-src")) if node.tag == "img" else None
+        out["tag"].append(node.tag)
+        out["attrs"].append(list(node.attrs.items()))
+        out["address"].append(None if href is None else H.join(url, href.strip()))
+        out["text"].append(None)
+        stack.extend((c, at) for c in reversed(node.children))
+    last, parents = out["last"], out["parent"]
+    for i in range(len(last) - 1, begin, -1):
+        up = begin + parents[i]
+        last[up] = max(last[up], last[i])
+    return len(last) - begin
+
+
+def nodes(pages: DataFrame, mode: str | None = None) -> DataFrame:
+    """(page_id, nodes): the nodes of each page, the root first.
+
+    A node has its place `at`, the place `last` of the last node below it, its `parent`'s place, and either a tag, its
+    attributes and the whole `address` of a link or image, or a piece of text.  `mode` is that of `_parsed`.
+    """
+    if mode not in (None, *MODES):
+        raise ValueError(f"not a mode: {mode!r}")
+    told = mode == "PERMISSIVE"
+    errors = [ST.StructField(c, ST.StringType()) for c in ("error", "error_type")] if told else []
+    schema = ST.StructType([ST.StructField("page_id", pages.schema["page_id"].dataType), *ST.StructType.fromDDL(f"nodes array<struct<{NODES}>>").fields, *errors])
+    arrow = to_arrow_schema(schema)
+    kinds = arrow.field("nodes").type.value_type
+
+    def batch(keys: list, held: dict[str, list], sizes: list[int | None], faults: list) -> pa.RecordBatch:
+        flat = pa.StructArray.from_arrays([pa.array(held[f.name], f.type) for f in kinds], fields=list(kinds))
+        offsets = [0]
+        for n in sizes:
+            offsets.append(offsets[-1] + (n or 0))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array([n is None for n in sizes], pa.bool_()))
+        columns = [pa.array(keys, arrow.field("page_id").type), lists.cast(arrow.field("nodes").type)]
+        return pa.RecordBatch.from_arrays([*columns, *([pa.array(c, pa.string()) for c in zip(*faults)] if told else [])], schema=arrow)
+
+    def run(batches):
+        for b in batches:
+            keys, sizes, faults, held, size = [], [], [], {f.name: [] for f in kinds}, 0
+            for key, url, page in zip(*(b.column(i).to_pylist() for i in range(3))):
+                begin = len(held["tag"])
+                try:
+                    sizes.append(_flat(H.parse(page or ""), url or "", held))
+                    faults.append((None, None))
+                except BROKEN as e:
+                    if mode == "FAILFAST":
+                        raise ValueError(f"page {key}: {e}") from e
+                    for column in held.values():
+                        del column[begin:]
+                    if not told:
+                        continue
+                    sizes.append(None)
+                    faults.append((f"{type(e).__name__}: {e}", error_type(e)))
+                keys.append(key)
+                size += len(page or "")
+                if size > 4 << 20:
+                    yield batch(keys, held, sizes, faults)
+                    keys, sizes, faults, held, size = [], [], [], {f.name: [] for f in kinds}, 0
+            if keys:
+                yield batch(keys, held, sizes, faults)
+
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    return pages.select("page_id", url.alias("url"), "html").mapInArrow(run, schema)
+
+
+def below(node: Column) -> Column:
+    """The nodes below one."""
+    return F.slice("nodes", node["at"] + 2, node["last"] - node["at"])
+
+
+def text_of(node: Column) -> Column:
+    """The text below a node."""
+    return F.array_join(F.transform(below(node), lambda n: n["text"]), "")
+
+
+def fits(css: str) -> Callable[[Column], Column]:
+    """A CSS selector as a condition on a node."""
+    chains = H.Selector(css).chains
+
+    def compound(test: H.Compound, n: Column) -> Column:
+        out = n["tag"].isNotNull() if test.tag is None else n["tag"].eqNullSafe(test.tag)
+        for name, op, want in test.tests:
+            have, some = F.try_element_at(n["attrs"], F.lit(name)), F.lit(bool(want))
+            ok = {"": have.isNotNull(), "=": have == want, "~=": F.array_contains(F.split(have, "[ \\t-\\r]+"), want), "^=": some & have.startswith(want), "$=": some & have.endswith(want),
+                  "*=": some & F.contains(have, F.lit(want)), "|=": (have == want) | have.startswith(want + "-")}[op]
+            out = out & F.coalesce(ok, F.lit(False))
+        return out
+
+    def chain(parts: list, i: int, n: Column) -> Column:
+        out = compound(parts[i][1], n)
+        if i and parts[i][0] == ">":
+            return out & F.coalesce(T.let(F.get("nodes", n["parent"]), lambda up: chain(parts, i - 1, up)), F.lit(False))
+        if i:
+            return out & F.exists("nodes", lambda up: (up["at"] < n["at"]) & (up["last"] >= n["last"]) & chain(parts, i - 1, up))
+        return out
+
+    return lambda n: functools.reduce(lambda a, b: a | b, (chain(c, len(c) - 1, n) for c in chains))
+
+
+def select(css: str) -> Column:
+    return F.filter("nodes", fits(css))
+
+
+def _exploded(found: DataFrame, rows: Column, at: str, value: str) -> DataFrame:
+    """A row for each of `rows` with its place; pages that couldn't be read keep their error row."""
+    if "error" not in found.columns:
+        return found.select("page_id", F.posexplode(rows).alias(at, value))
+    return found.select("page_id", "error", "error_type", F.posexplode_outer(rows).alias(at, value)).where(F.col(at).isNotNull() | F.col("error").isNotNull())
+
+
+def _errors(found: DataFrame) -> list[str]:
+    return [c for c in ("error", "error_type") if c in found.columns]
 
 
 def links(pages: DataFrame, limit: int | None = None, mode: str | None = None) -> DataFrame:
@@ -100,22 +229,20 @@ def links(pages: DataFrame, limit: int | None = None, mode: str | None = None) -
     The first anchor of an address counts even if its title is too short.  The date is looked for
     in the text of the anchor's parent, then in its own.
     """
-
-    def rows(tree: H.Node, url: str) -> Iterator[tuple]:
-        seen, index = set(), 0
-        for _, title, full, around, own in _links(tree, url):
-            if full in seen:
-                continue
-            seen.add(full)
-            if len(title) >= 2:
-                index += 1
-                yield index, title, full, around, own
-                if index == limit:
-                    return
-
-    found = _parsed(pages, rows, "index int, title string, url string, around string, own string", mode)
-    date = F.coalesce(T.find_date(F.col("around")), T.find_date(F.col("own")))
-    return found.select("page_id", "index", "title", "url", date.alias("date"), *found.columns[6:])
+    href = lambda n: T.utrim(F.try_element_at(n["attrs"], F.lit("href")))
+    usable = lambda n: (href(n) != "") & ~functools.reduce(lambda a, b: a | b, (href(n).startswith(x) for x in NOT_LINKS))
+    anchors = F.filter("nodes", lambda n: n["tag"].eqNullSafe("a") & n["address"].isNotNull() & usable(n))
+    by_address = F.array_sort(F.transform(anchors, lambda n: F.struct(n["address"].alias("address"), n["at"].alias("at"))))
+    first = lambda all_: F.filter(all_, lambda e, i: (i == 0) | ~F.get(all_, i - 1)["address"].eqNullSafe(e["address"]))
+    in_order = F.array_sort(F.transform(T.let(by_address, first), lambda e: e["at"]))
+    titled = F.transform(in_order, lambda at: T.let(F.get("nodes", at), lambda n: F.struct(at.alias("at"), T.utrim(text_of(n)).alias("title"), n["address"].alias("url"))))
+    kept = F.filter(titled, lambda t: F.length(t["title"]) >= 2)
+    found = nodes(pages, mode).withColumn("_links", kept if limit is None else F.slice(kept, 1, limit))
+    own = lambda t: F.get("nodes", t["at"])
+    rows = F.transform("_links", lambda t: F.struct(t["title"], t["url"], text_of(F.get("nodes", own(t)["parent"])).alias("around"), text_of(own(t)).alias("own")))
+    out = _exploded(found, rows, "_at", "_l")
+    date = F.coalesce(T.find_date(F.col("_l.around")), T.find_date(F.col("_l.own")))
+    return out.select("page_id", (F.col("_at") + 1).alias("index"), "_l.title", "_l.url", date.alias("date"), *_errors(out))
 
 
 def _title(tree: H.Node) -> str:
@@ -136,14 +263,28 @@ def _meta(tree: H.Node, selectors: list[str]) -> str | None:
     return None
 
 
+def title_of() -> Column:
+    tried = [T.utrim(text_of(F.get(select(css), F.lit(0)))) for css in TITLE]
+    return F.coalesce(*[F.when(t != "", t) for t in tried], F.lit(NO_TITLE))
+
+
+def meta_of(selectors: list[str]) -> Column:
+    """Of the first element of each selector, in turn, a meta's content, else the text."""
+    first = lambda css: F.get(select(css), F.lit(0))
+    tried = [T.utrim(F.try_element_at(first(css)["attrs"], F.lit("content")) if css.startswith("meta") else text_of(first(css))) for css in selectors]
+    return F.coalesce(*[F.when(t != "", t) for t in tried])
+
+
 def titles(pages: DataFrame, mode: str | None = None) -> DataFrame:
     """(page_id, title): the first of three places with text, else a default."""
-    return _parsed(pages, lambda tree, url: iter([(_title(tree),)]), "title string", mode)
+    found = nodes(pages, mode)
+    return found.select("page_id", F.when(F.col("nodes").isNotNull(), title_of()).alias("title"), *_errors(found))
 
 
 def metas(pages: DataFrame, mode: str | None = None) -> DataFrame:
     """(page_id, author, publish_date), null where a page names none."""
-    return _parsed(pages, lambda tree, url: iter([(_meta(tree, AUTHOR), _meta(tree, DATE))]), "author string, publish_date string", mode)
+    found = nodes(pages, mode)
+    return found.select("page_id", meta_of(AUTHOR).alias("author"), meta_of(DATE).alias("publish_date"), *_errors(found))
 
 
 def _article(tree: H.Node, url: str, least: int) -> H.Node:
@@ -172,7 +313,12 @@ def _article(tree: H.Node, url: str, least: int) -> H.Node:
 
 def article_text(pages: DataFrame, least: int = 30, mode: str | None = None) -> DataFrame:
     """(page_id, text): the text of the first content container with more than `least` characters, else the body's, without noise."""
-    return _parsed(pages, lambda tree, url: iter([(_article(tree, url, least).text().strip(),)]), "text string", mode)
+    enough = lambda css: T.let(F.get(select(css), F.lit(0)), lambda n: F.when(F.length(T.utrim(text_of(n))) > least, n))
+    found = nodes(pages, mode).withColumn("_chosen", F.coalesce(*map(enough, CONTENT), F.get(select("body"), F.lit(0))))
+    noise = fits(", ".join(NOISE))
+    found = found.withColumn("_noise", F.filter(F.slice("nodes", F.col("_chosen.at") + 1, F.col("_chosen.last") - F.col("_chosen.at") + 1), noise))
+    clean = F.filter(below(F.col("_chosen")), lambda n: n["text"].isNotNull() & ~F.exists("_noise", lambda x: n["at"].between(x["at"], x["last"])))
+    return found.select("page_id", T.utrim(F.array_join(F.transform(clean, lambda n: n["text"]), "")).alias("text"), *_errors(found))
 
 
 def articles(pages: DataFrame, least: int = 30, mode: str | None = None) -> DataFrame:
@@ -323,20 +469,20 @@ def tables(pages: DataFrame, limit: int | None = None, mode: str | None = None)
     All header cells of a table name its columns in order; of equal names the last cell stays.
     Tables without cells are skipped; a nested table is in its parent's rows and a table of its own.
     """
-
-    def rows(tree: H.Node, url: str) -> Iterator[tuple]:
-        done = 0
-        for table in tree.select(_css("table")):
-            heads = [n.text().strip() for n in table.select(_css("th"))]
-            lines = [cells for tr in table.select(_css("tr")) if (cells := [n.text().strip() for n in tr.select(_css("td"))])]
-            for at, cells in enumerate(lines):
-                row = {heads[i] if i < len(heads) else f"col_{i + 1}": cell for i, cell in enumerate(cells)}
-                yield done, at, list(row.items())
-            done += bool(lines)
-            if done == limit:
-                return
-
-    return _parsed(pages, rows, "table_idx int, row_idx int, row map<string,string>", mode)
+    inside = lambda n, tag: F.filter(below(n), lambda x: x["tag"].eqNullSafe(tag))
+    texts = lambda n, tag: F.transform(inside(n, tag), lambda x: T.utrim(text_of(x)))
+    lines = lambda t: F.filter(F.transform(inside(t, "tr"), lambda tr: texts(tr, "td")), lambda cells: F.size(cells) > 0)
+    whole = F.transform(F.filter("nodes", lambda n: n["tag"].eqNullSafe("table")), lambda t: F.struct(texts(t, "th").alias("heads"), lines(t).alias("lines")))
+    some = F.filter(whole, lambda t: F.size(t["lines"]) > 0)
+    per_table = _exploded(nodes(pages, mode), some if limit is None else F.slice(some, 1, limit), "table_idx", "_t")
+    told = _errors(per_table)
+    explode = F.posexplode_outer if told else F.posexplode
+    cells = per_table.select("page_id", "table_idx", F.col("_t.heads").alias("_heads"), explode("_t.lines").alias("row_idx", "_cells"), *told)
+    name = lambda i: F.coalesce(F.get("_heads", i), F.concat(F.lit("col_"), (i + 1).cast("string")))
+    named = F.array_sort(F.transform("_cells", lambda c, i: F.struct(name(i).alias("k"), (-i).alias("i"), c.alias("v"))))  # the last of equal names first
+    row = T.let(named, lambda all_: F.map_from_entries(F.transform(
+        F.filter(all_, lambda e, i: (i == 0) | (F.get(all_, i - 1)["k"] != e["k"])), lambda e: F.struct(e["k"], e["v"]))))
+    return cells.select("page_id", "table_idx", "row_idx", row.alias("row"), *told)
 
 
 def cards(pages: DataFrame, selector: str, limit: int | None = None, mode: str | None = None) -> DataFrame:
@@ -344,19 +490,13 @@ def cards(pages: DataFrame, selector: str, limit: int | None = None, mode: str |
 
     The title is the first text of a card, which may be blank; a card without text is Item_N.
     """
-    H.Selector(selector)  # a broken one is an error before anything runs
-
-    def rows(tree: H.Node, url: str) -> Iterator[tuple]:
-        for i, card in enumerate(tree.select(_css(selector))):
-            if i == limit:
-                return
-            a, img, texts = card.first(_css("a")), card.first(_css("img")), list(card.texts())
-            href = None if a is None else a.attrs.get("href")
-            src = None if img is None else img.attrs.get("src", img.attrs.get("data-src"))
-            link, image = (None if x is None else H.join(url, x.strip()) for x in (href, src))
-            yield i + 1, texts[0].strip() if texts else f"Item_{i + 1}", link, image, " ".join(texts).strip()
-
-    return _parsed(pages, rows, "index int, title string, link string, image_url string, raw_text string", mode)
+    chosen = select(selector)  # a broken selector is an error before anything runs
+    first = lambda n, tag: F.get(F.filter(below(n), lambda x: x["tag"].eqNullSafe(tag)), F.lit(0))["address"]
+    texts = lambda n: F.filter(F.transform(below(n), lambda x: x["text"]), lambda t: t.isNotNull())
+    rows = F.transform(chosen if limit is None else F.slice(chosen, 1, limit), lambda n: F.struct(first(n, "a").alias("link"), first(n, "img").alias("image_url"), texts(n).alias("texts")))
+    out = _exploded(nodes(pages, mode), rows, "_at", "_c")
+    title = F.coalesce(T.utrim(F.get("_c.texts", F.lit(0))), F.concat(F.lit("Item_"), (F.col("_at") + 1).cast("string")))
+    return out.select("page_id", (F.col("_at") + 1).alias("index"), title.alias("title"), "_c.link", "_c.image_url", T.utrim(F.array_join("_c.texts", " ")).alias("raw_text"), *_errors(out))
 
 
 def route(url: Column, output: Column, form: Column | None = None) -> Column:

@@ -470,12 +470,45 @@ BLOCKS = ELEMS + """,
 
 @query(BLOCKS + """, p AS (SELECT l.doc_id, l.page, l.elem_ord AS a_ord, m.elem_ord AS b_ord, l.text AS text_a, m.text AS text_b, greatest(l.x, m.x) AS x, l.y,
            least(l.x + l.width, m.x + m.width) - greatest(l.x, m.x) AS width, least(l.width, m.width) AS narrow
-           FROM b l JOIN b m ON l.doc_id = m.doc_id AND l.elem_ord < m.elem_ord AND abs(l.y - m.y) < 2 AND l.text <> m.text)
+           FROM (SELECT *, floor(y / 2) AS band FROM b) l JOIN (SELECT *, unnest([floor(y / 2) - 1, floor(y / 2), floor(y / 2) + 1]) AS band FROM b) m
+                ON l.doc_id = m.doc_id AND l.band = m.band AND l.elem_ord < m.elem_ord AND abs(l.y - m.y) < 2 AND l.text <> m.text)
     SELECT doc_id, page, a_ord, b_ord, text_a, text_b, round(width / narrow, 4) AS ratio, x, y, round(width, 6) AS width, 11.0::DOUBLE AS height FROM p WHERE width > 0 AND narrow > 0 AND width / narrow > 0.6""")
 def overlap_anomalies(spark, sf):
     return L.overlaps(_blocks(spark, sf)).withColumn("width", F.round("width", 6))
 
 
+def _slanted(spark, sf):
+    """Elements whose heights lie a few points apart, so that lines chain about their first element, and whose x drifts."""
+    e = _elems(spark, sf)
+    k = F.regexp_extract("text", "([0-9]+)$", 1).cast("long")
+    return e.withColumn("y", 700.0 - k % 97 * 2).withColumn("x", k % 53 * 7.0 + F.col("elem_ord") % 3)
+
+
+#: The heights and x of _slanted; folds over sorted lists give the anchors of lines and the running means of columns.
+SLANTED = ELEMS + """,
+    v AS (SELECT doc_id, page, elem_ord, text, 700.0::DOUBLE - l_partkey % 97 * 2 AS y, l_partkey % 53 * 7.0::DOUBLE + elem_ord % 3 AS x
+          FROM (SELECT *, regexp_extract(text, '([0-9]+)$', 1)::BIGINT AS l_partkey FROM e)),
+    h AS (SELECT doc_id, list_reduce(list_transform(list(DISTINCT y ORDER BY y DESC), lambda y: [y]), lambda a, b: CASE WHEN abs(b[1] - a[-1]) <= 6 THEN a ELSE list_concat(a, b) END) AS anchors FROM v GROUP BY doc_id),
+    i AS (SELECT v.*, len(list_filter(anchors, lambda a: a >= v.y))::INTEGER AS line, v.x - lag(v.x + 6.5::DOUBLE * length(text)) OVER (PARTITION BY doc_id, len(list_filter(anchors, lambda a: a >= v.y)) ORDER BY v.x, v.y DESC, elem_ord) AS gap
+          FROM v JOIN h USING (doc_id)),
+    m AS (SELECT doc_id, list_reduce(list_transform(list(x ORDER BY x), lambda x: [x, 1.0::DOUBLE]),
+                 lambda a, b: CASE WHEN abs(b[1] - a[-2]) < 18 THEN list_concat(a[:-3], [(a[-2] * a[-1] + b[1]) / (a[-1] + 1), a[-1] + 1]) ELSE list_concat(a, b) END) AS runs FROM v GROUP BY doc_id),
+    r2 AS (SELECT doc_id, unnest(range(1, len(runs), 2)) AS k, runs FROM m),
+    s2 AS (SELECT doc_id, round(runs[k] * 10) / 10 AS x_start, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM r2 WHERE runs[k + 1] >= 2)
+"""
+
+
+@query(SLANTED + """ SELECT doc_id, page, line, first(y ORDER BY x, y DESC, elem_ord) AS y, string_agg(CASE WHEN gap > 2.5 THEN ' ' ELSE '' END || text, '' ORDER BY x, y DESC, elem_ord) AS text
+    FROM i GROUP BY doc_id, page, line""")
+def text_lines_chained(spark, sf):
+    return L.text_lines(_slanted(spark, sf))
+
+
+@query(SLANTED + " SELECT doc_id, 1 AS page, (n - 1)::INTEGER AS col_index, x_start, coalesce(lead(x_start) OVER (PARTITION BY doc_id ORDER BY n) - 5, x_start + 200) AS x_end FROM s2")
+def column_clusters_drifting(spark, sf):
+    return L.column_clusters(_slanted(spark, sf))
+
+
 @query(BLOCKS + " SELECT doc_id, page, col_index, x_start, x_end FROM c")
 def column_clusters(spark, sf):
     return L.column_clusters(_blocks(spark, sf))
