@@ -294,28 +294,30 @@ def append_row(rows: DataFrame, values: dict, group: str = "doc_id", ord_col: st
     return rows.unionByName(new)
 
 
-def _with_error(rows: DataFrame, wrong: DataFrame, message: Column) -> DataFrame:
-    """The rows, or an error where `wrong` has a row."""
-    guard = wrong.where(F.raise_error(message).cast("boolean"))
+def with_error(rows: DataFrame, checked: DataFrame, wrong: Column, message: Column) -> DataFrame:
+    """The rows, or an error when they are read if a row of `checked` is wrong."""
+    guard = checked.where(F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(F.lit(False)))
     return rows.unionByName(guard.select(*[F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes]))
 
 
 def delete_row(rows: DataFrame, at: int, count: int = 1, ord_col: str = "para_idx", group: str = "doc_id", strict: bool = False) -> DataFrame:
     """Delete `count` rows from ordinal `at` of each group; a group without that ordinal stays as it is, or is an error if `strict`."""
-    if strict:
-        absent = rows.groupBy(group).agg(F.max(F.when(F.col(ord_col) == at, 1)).alias("_there")).where("_there is null")
-        rows = _with_error(rows, absent, F.concat(F.lit(f"no {ord_col} {at} in "), F.col(group).cast("string")))
     kept = rows.where(~F.col(ord_col).between(at, at + count - 1))
-    return kept.withColumn(ord_col, F.col(ord_col) - F.when(F.col(ord_col) >= at + count, count).otherwise(0))
+    out = kept.withColumn(ord_col, F.col(ord_col) - F.when(F.col(ord_col) >= at + count, count).otherwise(0))
+    if not strict:
+        return out
+    found = rows.groupBy(group).agg(F.max(F.when(F.col(ord_col) == at, 1)).alias("_there"))
+    return with_error(out, found, F.col("_there").isNull(), F.concat(F.lit(f"no {ord_col} {at} in "), F.col(group).cast("string")))
 
 
 def set_cell(cells: DataFrame, row: int, col: int, value: str, group: str = "doc_id", strict: bool = False) -> DataFrame:
     """Write one cell of each table; a table without that cell stays as it is, or is an error if `strict`."""
-    if strict:
-        there = F.when((F.col("row") == row) & (F.col("col") == col), 1)
-        absent = cells.groupBy(group).agg(F.max(there).alias("_there")).where("_there is null")
-        cells = _with_error(cells, absent, F.concat(F.lit(f"no cell {row}, {col} in "), F.col(group).cast("string")))
-    return cells.withColumn("value", F.when((F.col("row") == row) & (F.col("col") == col), F.lit(value)).otherwise(F.col("value")))
+    here = (F.col("row") == row) & (F.col("col") == col)
+    out = cells.withColumn("value", F.when(here, F.lit(value)).otherwise(F.col("value")))
+    if not strict:
+        return out
+    found = cells.groupBy(group).agg(F.max(F.when(here, 1)).alias("_there"))
+    return with_error(out, found, F.col("_there").isNull(), F.concat(F.lit(f"no cell {row}, {col} in "), F.col(group).cast("string")))
 
 
 def merge(frames: list[DataFrame], ord_col: str = "para_idx") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as T
+from foliomill.operators.documents import with_error
 
 
 def letters_number(letters: str) -> int:
@@ -42,13 +43,13 @@ def search(rows: DataFrame, keyword: str, limit: int = 0, sheet: str | None = No
     name.  An empty keyword is in every cell; a sheet that is named and missing is an error.
     """
     if sheet is not None:
-        every, rows = rows, rows.where(F.col("sheet") == sheet)
-        missing = every.agg(F.max(F.when(F.col("sheet") == sheet, 1)).alias("_there")).where("_there is null").where(F.raise_error(F.lit(f"no sheet {sheet!r}")).cast("boolean"))
-        rows = rows.unionByName(missing.select(*[F.lit(None).cast(kind).alias(c) for c, kind in rows.dtypes]))
+        there = rows.agg(F.max(F.when(F.col("sheet") == sheet, 1)).alias("_there"))
+        rows = rows.where(F.col("sheet") == sheet)
     order = ["sheet_ord"] if "sheet_ord" in rows.columns else ["sheet"]
     hits = rows.select("sheet", *order[: order[0] == "sheet_ord"], "row", F.posexplode("vals").alias("col", "matched_value"), F.col("vals").alias("row_data")).where(F.col("matched_value").contains(keyword))
     hits = hits.withColumn("row", F.col("row") + 1).withColumn("col", F.col("col") + 1)
-    return (hits.orderBy(*order, "row", "col").limit(limit) if limit else hits).select("sheet", "row", "col", "matched_value", "row_data")
+    out = (hits.orderBy(*order, "row", "col").limit(limit) if limit else hits).select("sheet", "row", "col", "matched_value", "row_data")
+    return out if sheet is None else with_error(out, there, F.col("_there").isNull(), F.lit(f"no sheet {sheet!r}"))
 
 
 def read_range(rows: DataFrame, cell_range: str, head: int | None = None) -> DataFrame:
@@ -58,6 +59,18 @@ def read_range(rows: DataFrame, cell_range: str, head: int | None = None) -> Dat
     return out.orderBy("sheet", "row").limit(head) if head else out
 
 
+def style_range(styles: DataFrame, cell_range: str, sheet: str, group: str = "path") -> DataFrame:
+    """Formats (group, sheet, row, col, ...) of every place of a range, with `coord` like `B2` and `status`: formatted, or empty_or_default where a workbook has none."""
+    r1, c1, r2, c2 = parse_range(cell_range)
+    rest = [c for c in styles.columns if c not in (group, "sheet", "row", "col")]
+    books = styles.select(group).distinct().select(group, F.explode(F.sequence(F.lit(r1), F.lit(r2))).alias("row")).select(group, "row", F.explode(F.sequence(F.lit(c1), F.lit(c2))).alias("col"))
+    there = styles.where((F.col("sheet") == sheet) & F.col("row").between(r1, r2) & F.col("col").between(c1, c2)).select(
+        F.col(group).alias("_g"), F.col("row").alias("_r"), F.col("col").alias("_c"), *rest, F.lit("formatted").alias("_status"))
+    filled = books.join(there, (F.col(group) == F.col("_g")) & (F.col("row") == F.col("_r")) & (F.col("col") == F.col("_c")), "left")
+    coord = F.concat(T.column_letters(F.col("col") + 1), (F.col("row") + 1).cast("string"))
+    return filled.select(group, "row", "col", coord.alias("coord"), F.coalesce("_status", F.lit("empty_or_default")).alias("status"), *rest)
+
+
 def upsert_cell(cells: DataFrame, place: str, value: str, sheet: str) -> DataFrame:
     """Cells (sheet, row, col, value) with `kind`, the one at a place like `B2` written or added; its kind is inferred."""
     row, col, _, _ = parse_range(place)

@@ -12,6 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliomill.functions import markdown as M
 from foliomill.functions import text as T
 from foliomill.functions.ranges import edited_pages, paragraph_span
 from foliomill.operators import documents as D
@@ -712,6 +713,34 @@ def likely_headings(spark, sf):
     return _paras(spark, sf).select("doc_id", "para_idx", text.alias("text")).where(T.likely_heading(F.col("text")))
 
 
+@query("""WITH i AS (SELECT item_id, coalesce(nullif(name, ''), 'x') AS n, coalesce(nullif(brand, ''), 'y') AS b, coalesce(nullif(kind, ''), 'z') AS k, coalesce(size, 0)::VARCHAR AS s FROM items)
+    SELECT item_id, r.run::INTEGER AS run, r.text AS text, r.bold AS bold, r.italic AS italic, r.code AS code FROM (SELECT item_id, unnest([
+        {'run': 0, 'text': n, 'bold': true, 'italic': false, 'code': false}, {'run': 1, 'text': ' by ', 'bold': false, 'italic': false, 'code': false},
+        {'run': 2, 'text': b, 'bold': false, 'italic': true, 'code': false}, {'run': 3, 'text': ' in ', 'bold': false, 'italic': false, 'code': false},
+        {'run': 4, 'text': k, 'bold': false, 'italic': false, 'code': true}, {'run': 5, 'text': ' * **' || s || ' _', 'bold': false, 'italic': false, 'code': false},
+        {'run': 6, 'text': n || ' and ' || b, 'bold': true, 'italic': true, 'code': false}]) AS r FROM i)""")
+def markdown_runs(spark, sf):
+    """Items as Markdown lines with strong, emphasised and code runs, and delimiters that stay text."""
+    part = lambda c, other: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(other))
+    n, b, k, size = part("name", "x"), part("brand", "y"), part("kind", "z"), F.coalesce("size", F.lit(0)).cast("string")
+    line = F.concat(F.lit("**"), n, F.lit("** by *"), b, F.lit("* in `"), k, F.lit("` * **"), size, F.lit(" _***"), n, F.lit(" and ["), b, F.lit("](u)***"))
+    runs = read(spark, sf, "items").select("item_id", F.posexplode(M.inline_runs(line)).alias("run", "r"))
+    return runs.select("item_id", "run", "r.text", "r.bold", "r.italic", "r.code")
+
+
+@query("""WITH s AS (SELECT 'book' || p_partkey % 5 AS path, (p_partkey // 10)::INTEGER AS row, (p_partkey % 10)::INTEGER AS col, p_size > 25 AS bold, p_retailprice::DOUBLE AS size FROM part),
+    g AS (SELECT path, r::INTEGER AS row, c::INTEGER AS col FROM (SELECT DISTINCT path FROM s), range(2, 40) t(r), range(1, 9) u(c))
+    SELECT g.path, g.row, g.col, chr(65 + g.col) || (g.row + 1) AS coord, CASE WHEN s.path IS NULL THEN 'empty_or_default' ELSE 'formatted' END AS status, bold, size
+    FROM g LEFT JOIN s ON s.path = g.path AND s.row = g.row AND s.col = g.col""")
+def style_of_range(spark, sf):
+    """Parts as formatted cells of five workbooks."""
+    k = F.col("p_partkey")
+    styles = read(spark, sf, "part").select(
+        F.concat(F.lit("book"), (k % 5).cast("string")).alias("path"), F.lit("S").alias("sheet"), F.floor(k / 10).cast("int").alias("row"), (k % 10).cast("int").alias("col"),
+        (F.col("p_size") > 25).alias("bold"), F.col("p_retailprice").cast("double").alias("size"))
+    return S.style_range(styles, "I40:B3", "S")
+
+
 @query("""SELECT c_custkey, replace(replace(replace(replace(replace(c_name || '<&"''>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS escaped FROM customer""")
 def xml_escape(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", T.escape_xml(F.concat("c_name", F.lit("<&\"'>"))).alias("escaped"))
