@@ -16,6 +16,7 @@ from foliomill.functions import markdown as M
 from foliomill.functions import text as T
 from foliomill.functions.ranges import edited_pages, paragraph_span
 from foliomill.operators import documents as D
+from foliomill.operators import graphs as G
 from foliomill.operators import layout as L
 from foliomill.operators import sheets as S
 from foliomill.operators import web as W
@@ -741,6 +742,35 @@ def style_of_range(spark, sf):
     return S.style_range(styles, "I40:B3", "S")
 
 
+@query("""WITH i AS (SELECT 1 AS doc_id, r_regionkey AS r, NULL AS n, NULL AS c, r_name AS title, r_name AS path FROM region
+    UNION ALL SELECT 1, n_regionkey, n_nationkey, NULL, n_name, r_name || ' / ' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT 1, n_regionkey, n_nationkey, c_custkey, c_name, r_name || ' / ' || n_name || ' / ' || c_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+    SELECT doc_id, (row_number() OVER (ORDER BY r, n NULLS FIRST, c NULLS FIRST) - 1)::INTEGER AS node_ord, (1 + (n IS NOT NULL)::INT + (c IS NOT NULL)::INT)::INTEGER AS level, title, path FROM i""")
+def outline_order(spark, sf):
+    """Regions, nations and customers as outline items that know their first child and their next sibling only."""
+    r, n, c = (read(spark, sf, t) for t in ("region", "nation", "customer"))
+    of_r, of_n, of_c = 1 + F.col("r_regionkey") * 3, 2 + F.col("n_nationkey") * 3, 3 + F.col("c_custkey") * 3
+    item = lambda node, parent, title: (node.cast("long").alias("node"), parent.cast("long").alias("parent"), F.col(title).alias("title"))
+    tree = r.select(*item(of_r, F.lit(0), "r_name")).union(n.select(*item(of_n, 1 + F.col("n_regionkey") * 3, "n_name"))).union(c.select(*item(of_c, 2 + F.col("c_nationkey") * 3, "c_name")))
+    own = tree.withColumn("next", F.lead("node").over(Window.partitionBy("parent").orderBy("node")))
+    first = tree.groupBy(F.col("parent").alias("_p")).agg(F.min("node").alias("first"))
+    root = spark.range(1).select(F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("long").alias("next"))
+    items = own.unionByName(root).join(first, F.col("node") == F.col("_p"), "left").select(F.lit(1).alias("doc_id"), "node", "title", "first", "next")
+    return G.outline_order(items).select("doc_id", "node_ord", "level", "title", "path")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), f AS (SELECT l_partkey, min(s_nationkey) AS page FROM e JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_partkey)
+    SELECT 1 AS doc_id, page, p_partkey AS image, (row_number() OVER (ORDER BY page NULLS LAST, p_partkey) - 1)::INTEGER AS image_index FROM part LEFT JOIN f ON p_partkey = l_partkey""")
+def page_images(spark, sf):
+    """Nations as pages, suppliers as forms that they draw, parts as images in the forms; some parts are in none."""
+    s, li = read(spark, sf, "supplier"), read(spark, sf, "lineitem")
+    at = lambda c, kind: (F.col(c) * 3 + kind).cast("long")
+    pages = read(spark, sf, "nation").select(F.lit(1).alias("doc_id"), F.col("n_nationkey").alias("page"), at("n_nationkey", 0).alias("node"))
+    links = s.select(F.lit(1).alias("doc_id"), at("s_nationkey", 0).alias("node"), at("s_suppkey", 1).alias("target")).union(li.select(F.lit(1), at("l_suppkey", 1), at("l_partkey", 2)))
+    images = read(spark, sf, "part").select(F.lit(1).alias("doc_id"), at("p_partkey", 2).alias("node"), F.col("p_partkey").alias("image"))
+    return G.page_images(pages, links, images).select("doc_id", "page", "image", "image_index")
+
+
 @query("""SELECT c_custkey, replace(replace(replace(replace(replace(c_name || '<&"''>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS escaped FROM customer""")
 def xml_escape(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", T.escape_xml(F.concat("c_name", F.lit("<&\"'>"))).alias("escaped"))
