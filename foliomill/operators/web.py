@@ -37,6 +37,7 @@ DATE = ["meta[property='article:published_time']", "meta[name='pubdate']", "meta
 TITLE = ["#activity-name", "h1", "title"]
 NO_TITLE = "未命名网页"
 NOT_LINKS = ("#", "javascript:", "mailto:", "tel:")
+USABLE = rf"^[\s\u001c-\u001f\u0085\p{{Z}}]*(?!{'|'.join(NOT_LINKS)})[^\s\u001c-\u001f\u0085\p{{Z}}]"
 # Fixed values of the router.
 MEDIA_PARTS, MEDIA_ENDS = ("bilibili.com", "youtube.com", "youtu.be"), (".mp4", ".mkv", ".flv")
 BINARY_ENDS = ("xlsx", "xls", "doc", "docx", "pdf", "zip", "rar", "7z", "tar", "gz", "png", "jpg", "jpeg", "gif", "webp", "csv", "exe", "bin")
@@ -229,9 +230,8 @@ def links(pages: DataFrame, limit: int | None = None, mode: str | None = None) -
     The first anchor of an address counts even if its title is too short.  The date is looked for
     in the text of the anchor's parent, then in its own.
     """
-    href = lambda n: T.utrim(F.try_element_at(n["attrs"], F.lit("href")))
-    usable = lambda n: (href(n) != "") & ~functools.reduce(lambda a, b: a | b, (href(n).startswith(x) for x in NOT_LINKS))
-    anchors = F.filter("nodes", lambda n: n["tag"].eqNullSafe("a") & n["address"].isNotNull() & usable(n))
+    href = lambda n: F.try_element_at(n["attrs"], F.lit("href"))
+    anchors = F.filter("nodes", lambda n: n["tag"].eqNullSafe("a") & n["address"].isNotNull() & href(n).rlike(USABLE))
     by_address = F.array_sort(F.transform(anchors, lambda n: F.struct(n["address"].alias("address"), n["at"].alias("at"))))
     first = lambda all_: F.filter(all_, lambda e, i: (i == 0) | ~F.get(all_, i - 1)["address"].eqNullSafe(e["address"]))
     in_order = F.array_sort(F.transform(T.let(by_address, first), lambda e: e["at"]))
@@ -241,7 +241,7 @@ def links(pages: DataFrame, limit: int | None = None, mode: str | None = None) -
     own = lambda t: F.get("nodes", t["at"])
     rows = F.transform("_links", lambda t: F.struct(t["title"], t["url"], text_of(F.get("nodes", own(t)["parent"])).alias("around"), text_of(own(t)).alias("own")))
     out = _exploded(found, rows, "_at", "_l")
-    date = F.coalesce(T.find_date(F.col("_l.around")), T.find_date(F.col("_l.own")))
+    date = F.coalesce(T.find_date(F.col("_l.around")), F.when(F.col("_l.own") != F.col("_l.around"), T.find_date(F.col("_l.own"))))
     return out.select("page_id", (F.col("_at") + 1).alias("index"), "_l.title", "_l.url", date.alias("date"), *_errors(out))
 
 
