@@ -141,6 +141,38 @@ def clean_path(c: Column) -> Column:
     return F.replace(bare, F.lit('\\"'), F.lit('"'))
 
 
+def _number(c: Column) -> Column:
+    """A whole number without a minus sign, else null."""
+    return F.when(c.rlike(r"\A\+?[0-9]+\z"), c.try_cast("long"))
+
+
+def _sides(spec: Column) -> tuple[Column, Column]:
+    return _number(F.regexp_extract(spec, r"(?s)\A([^:]*):", 1)), _number(F.regexp_extract(spec, r"(?s)\A[^:]*:(.*)\z", 1))
+
+
+def page_span(spec: Column, total: Column, strict: bool = False) -> Column:
+    """(first, last) of the pages that `all`, `7` or `a:b` names; null where the named pages don't exist.
+
+    A side that is no number is the first or the last page.  A null or anything else is all pages, or
+    null if `strict`.
+    """
+    first, last = _sides(spec)
+    first, last = F.greatest(F.lit(1), F.coalesce(first, F.lit(1))), F.least(total, F.coalesce(last, total))
+    one, span = _number(spec), lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+    everything = span(F.lit(1), total)
+    out = (F.when(F.lower(spec) == "all", everything).when(F.contains(spec, F.lit(":")), F.when(first <= last, span(first, last)))
+           .when(one.isNotNull(), F.when((one >= 1) & (one <= total), span(one, one))))
+    return out if strict else out.otherwise(everything)
+
+
+def paragraph_span(spec: Column, count: Column) -> Column:
+    """(first, last), from 0, of `a:b` or one number; a side that is no number is the first or the last paragraph; null for anything else."""
+    first, last = _sides(spec)
+    first, last = F.coalesce(first, F.lit(0)), F.coalesce(last, F.greatest(F.lit(0), count - 1))
+    one, span = _number(spec), lambda a, b: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))
+    return F.when(F.contains(spec, F.lit(":")), span(first, last)).when(one.isNotNull(), span(one, one))
+
+
 def key_values(c: Column) -> Column:
     """`a=b,c=d` as a map: pairs without `=` are left out, both sides are trimmed, the last of equal keys stays."""
     pairs = F.filter(F.transform(F.split(c, ","), lambda p: F.struct(utrim(F.regexp_extract(p, r"(?s)^([^=]*)=", 1)).alias("k"), utrim(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("v"),

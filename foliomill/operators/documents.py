@@ -367,3 +367,68 @@ def extract_pages(pages: DataFrame, wanted: range) -> DataFrame:
 def body_targets(paras: DataFrame, headings: DataFrame) -> DataFrame:
     """Paragraphs that aren't headings (set difference on doc_id and para_idx)."""
     return paras.join(headings.select("doc_id", "para_idx"), ["doc_id", "para_idx"], "left_anti")
+
+
+def select_pages(pages: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFrame:
+    """(doc_id, page, text, error): the pages that each document's `spec` in `wanted` (doc_id, spec) names, see `text.page_span`.
+
+    A document whose spec names no page of it gives one row with an error; a document without
+    pages, or without a row in `wanted`, gives none.
+    """
+    totals = pages.groupBy("doc_id").agg(F.max("page").alias("_total"))
+    spans = wanted.join(totals, "doc_id").select(F.col("doc_id").alias("_doc"), "spec", T.page_span(F.col("spec"), F.col("_total"), strict).alias("_span"))
+    named = spans.where("_span is not null").select("_doc", "_span")
+    found = pages.join(named, (F.col("doc_id") == F.col("_doc")) & F.col("page").between(F.col("_span.first"), F.col("_span.last")))
+    kinds = dict(pages.dtypes)
+    wrong = spans.where("_span is null").select(
+        F.col("_doc").alias("doc_id"), F.lit(None).cast(kinds["page"]).alias("page"), F.lit(None).cast(kinds["text"]).alias("text"),
+        F.concat(F.lit("not a range of pages: "), F.coalesce("spec", F.lit("null"))).alias("error"))
+    return found.select("doc_id", "page", "text", F.lit(None).cast("string").alias("error")).unionByName(wrong)
+
+
+def media_files(parts: DataFrame) -> DataFrame:
+    """Parts (name, ...) below word/media/ that are files, with `name` as what follows the last slash."""
+    own = F.regexp_extract("name", r"(?s)([^/]*)\z", 1)
+    return parts.where(F.startswith("name", F.lit("word/media/")) & (own != "")).withColumn("name", own)
+
+
+def named_styles(styles: DataFrame) -> DataFrame:
+    """Styles (style_id, name, type, ...): a missing id is empty, a missing or empty name is the id, a missing type `paragraph`."""
+    id_ = F.coalesce("style_id", F.lit(""))
+    return styles.withColumn("name", F.when(F.coalesce("name", F.lit("")) == "", id_).otherwise(F.col("name"))).withColumn(
+        "type", F.coalesce("type", F.lit("paragraph"))).withColumn("style_id", id_)
+
+
+def summaries(paras: DataFrame, cells: DataFrame, images: DataFrame, runs: DataFrame, sections: DataFrame, group: str = "doc_id") -> DataFrame:
+    """(group, paragraphs, tables, images, highlights, sections, orientation, paper) of each document with a paragraph.
+
+    Sections (group, sect_idx, w, h, orient) are in twips; there is one at least.  The last one's
+    size is the paper, A4 without one.  A section that says its orientation sets it, and one that is
+    wider than high makes it landscape; one that says nothing leaves it as it was.
+    """
+    def tally(rows: DataFrame, kind: str, n: Column) -> DataFrame:
+        return rows.groupBy(group).agg(n.cast("long").alias("n")).select(group, F.lit(kind).alias("kind"), "n", F.lit(None).cast(SECTION).alias("sects"))
+
+    sizes = sections.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(
+        F.col("sect_idx").cast("long").alias("i"), F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"), F.col("orient").cast("string").alias("orient")))).alias("sects"))
+    parts = [tally(paras, "paragraphs", F.count(F.lit(1))), tally(cells, "tables", F.countDistinct("table_idx")), tally(images, "images", F.count(F.lit(1))),
+             tally(highlighted(runs), "highlights", F.count(F.lit(1))), sizes.select(group, F.lit("sections").alias("kind"), "n", F.col("sects").cast(SECTION))]
+    tagged = parts[0]
+    for part in parts[1:]:
+        tagged = tagged.unionByName(part)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n")))
+    found = tagged.groupBy(group).agg(of("paragraphs").alias("paragraphs"), *[F.coalesce(of(k), F.lit(0)).alias(k) for k in ("tables", "images", "highlights")],
+                                      F.coalesce(of("sections"), F.lit(1)).alias("sections"), F.max_by("sects", F.when(F.col("kind") == "sections", 1)).alias("_sects"))
+
+    def turn(held: Column, s: Column) -> Column:
+        said = F.coalesce(s["orient"], held)
+        return F.when((said == "portrait") & (s["w"] > s["h"]) & (s["h"] > 0), "landscape").otherwise(said)
+
+    last = F.element_at("_sects", -1)
+    some = F.coalesce(F.col("_sects"), F.array().cast(SECTION))
+    return found.where("paragraphs > 0").select(
+        group, "paragraphs", "tables", "images", "highlights", "sections", F.aggregate(some, F.lit("portrait"), turn).alias("orientation"),
+        F.when(F.size(some) > 0, T.paper_twips(F.coalesce(last["w"], F.lit(0)), F.coalesce(last["h"], F.lit(0)))).otherwise("A4").alias("paper"))
+
+
+SECTION = "array<struct<i:bigint,w:bigint,h:bigint,orient:string>>"

@@ -309,6 +309,28 @@ def table_csv(spark, sf):
     return D.table_text(_nations(spark, sf).select("doc_id", F.lit(0).alias("table_idx"), "row", "col", F.col("value").alias("text")), "csv")
 
 
+@query(NATIONS + """, r AS (SELECT doc_id, row, '| ' || string_agg(value, ' | ' ORDER BY col) || ' |' || chr(10) AS line FROM cells GROUP BY ALL)
+    SELECT doc_id, 0 AS table_idx, string_agg(line || CASE WHEN row = 0 THEN '| --- | --- |' || chr(10) ELSE '' END, '' ORDER BY row) AS text FROM r GROUP BY doc_id""")
+def table_markdown(spark, sf):
+    return D.table_text(_nations(spark, sf).select("doc_id", F.lit(0).alias("table_idx"), "row", "col", F.col("value").alias("text")), "markdown")
+
+
+@query(NATIONS + """, r AS (SELECT doc_id, row, '["' || string_agg(value, '","' ORDER BY col) || '"]' AS line FROM cells GROUP BY ALL)
+    SELECT doc_id, 0 AS table_idx, '[' || string_agg(line, ',' ORDER BY row) || ']' AS text FROM r GROUP BY doc_id""")
+def table_json(spark, sf):
+    return D.table_text(_nations(spark, sf).select("doc_id", F.lit(0).alias("table_idx"), "row", "col", F.col("value").alias("text")), "json")
+
+
+@query("""SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INTEGER AS sheet_ord, CASE n_name WHEN 'NATION_5' THEN 'Nile' ELSE n_name END AS sheet
+    FROM (SELECT n_nationkey, n_name FROM nation UNION ALL SELECT max(n_nationkey) + 1, 'Notes' FROM nation) WHERE n_name <> 'NATION_7'""")
+def sheet_manage(spark, sf):
+    """Nations as the sheets of a workbook: one is added, one that is there is added again, one renamed, one removed."""
+    sheets = read(spark, sf, "nation").select(F.col("n_nationkey").cast("int").alias("sheet_ord"), F.col("n_name").alias("sheet"))
+    for step in (("add", "Notes"), ("add", "NATION_3"), ("rename", "NATION_5", "Nile"), ("remove", "NATION_7")):
+        sheets = S.manage_sheet(sheets, *step)
+    return sheets
+
+
 # ---- web
 
 TEXT = "regexp_replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')"
@@ -774,3 +796,133 @@ def page_images(spark, sf):
 @query("""SELECT c_custkey, replace(replace(replace(replace(replace(c_name || '<&"''>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') AS escaped FROM customer""")
 def xml_escape(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", T.escape_xml(F.concat("c_name", F.lit("<&\"'>"))).alias("escaped"))
+
+
+# ---- parts of Word files: orders as files, their lines as images, sections and runs
+
+IMAGES = """
+    WITH i AS (SELECT l_orderkey AS path, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INTEGER AS img_idx,
+               'rId' || l_suppkey % 7 AS rel_id, CASE WHEN l_quantity * 18000 > 0 THEN round(l_quantity::DOUBLE * 18000 / 36000 * 10) / 10 END AS width_mm FROM lineitem)
+"""
+
+
+def _images(spark, sf):
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), at.alias("img_idx"), F.concat(F.lit("rId"), (F.col("l_suppkey") % 7).cast("string")).alias("rel_id"),
+                                              T.emu_mm(F.col("l_quantity").cast("double") * 18000).alias("width_mm"))
+
+
+@query(IMAGES + """ SELECT path, img_idx, i.rel_id AS rel_id, width_mm, coalesce('media/' || o_custkey || '.png', 'image_' || img_idx || '.bin') AS filename
+    FROM i LEFT JOIN orders ON o_orderkey = path AND 'rId' || o_custkey % 7 = rel_id""")
+def doc_images(spark, sf):
+    """Lines of orders as images; an order's customer is its one relation, which some of the images name."""
+    customer = F.col("o_custkey")
+    rels = read(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.concat(F.lit("rId"), (customer % 7).cast("string")).alias("rel_id"), F.concat(F.lit("media/"), customer.cast("string"), F.lit(".png")).alias("target"))
+    return D.image_targets(_images(spark, sf), rels)
+
+
+RUNS = PARAS + """,
+    u AS (SELECT doc_id, para_idx, text, CASE para_idx % 3 WHEN 0 THEN 'yellow' WHEN 1 THEN 'none' END AS highlight FROM p)
+"""
+
+
+def _runs(spark, sf):
+    k = F.col("para_idx") % 3
+    return _paras(spark, sf).select("doc_id", "para_idx", "text", F.when(k == 0, "yellow").when(k == 1, "none").alias("highlight"))
+
+
+@query(RUNS + " SELECT doc_id, para_idx, text, highlight FROM u WHERE highlight IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")
+def doc_highlights(spark, sf):
+    return D.highlighted(_runs(spark, sf))
+
+
+@query(RUNS + """,
+    c AS (SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (highlight IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '') AS highlights FROM u GROUP BY doc_id),
+    t AS (SELECT doc_id, count(DISTINCT para_idx // 5) AS tables FROM p WHERE style_id IS NULL GROUP BY doc_id),
+    g AS (SELECT doc_id, count(*) AS images FROM p WHERE style_id IS NOT NULL GROUP BY doc_id),
+    s AS (SELECT doc_id, count(*) AS sections, max(para_idx) AS last_idx, max(CASE WHEN para_idx % 10 IN (4, 8) THEN para_idx END) AS said, max(CASE WHEN para_idx % 10 = 6 THEN para_idx END) AS wide
+          FROM p WHERE para_idx > 0 AND para_idx % 2 = 0 GROUP BY doc_id)
+    SELECT doc_id, paragraphs, coalesce(tables, 0) AS tables, coalesce(images, 0) AS images, highlights, coalesce(sections, 1) AS sections,
+           CASE WHEN greatest(coalesce(said, -1), coalesce(wide, -1)) < 0 THEN 'portrait' WHEN coalesce(wide, -1) > coalesce(said, -1) THEN 'landscape' WHEN said % 10 = 4 THEN 'landscape' ELSE 'portrait' END AS orientation,
+           CASE last_idx % 10 WHEN 6 THEN 'Letter' WHEN 2 THEN 'A3' WHEN 0 THEN 'Custom' ELSE 'A4' END AS paper
+    FROM c LEFT JOIN t USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN s USING (doc_id)""")
+def doc_summary(spark, sf):
+    """Lines as paragraphs, runs and table cells, short ones as images; every other line ends a section: 4 and 8 say how they lie, 6 is wider than high."""
+    paras, i = _paras(spark, sf), F.col("para_idx")
+    cells = paras.where("style_id IS NULL").select("doc_id", F.floor(i / 5).alias("table_idx"))
+    kind = i % 10
+    size = lambda a3, wide, odd, rest: F.when(kind == 2, a3).when(kind == 6, wide).when(kind == 0, odd).otherwise(rest)
+    sections = paras.where("para_idx > 0 AND para_idx % 2 = 0").select(
+        "doc_id", i.alias("sect_idx"), size(16838, 15840, 5000, 11906).alias("w"), size(23811, 12240, 7000, 16838).alias("h"), F.when(kind == 4, "landscape").when(kind == 8, "portrait").alias("orient"))
+    return D.summaries(paras, cells, paras.where("style_id IS NOT NULL").select("doc_id"), _runs(spark, sf), sections)
+
+
+@query("SELECT coalesce(brand, '') AS style_id, CASE WHEN coalesce(name, '') = '' THEN coalesce(brand, '') ELSE name END AS name, coalesce(kind, 'paragraph') AS type, item_id FROM items")
+def doc_styles(spark, sf):
+    """Items as styles; some have no brand, name or kind."""
+    return D.named_styles(read(spark, sf, "items").select(F.col("brand").alias("style_id"), "name", F.col("kind").alias("type"), "item_id"))
+
+
+@query("""SELECT item_id, string_split(n, '/')[-1] AS name FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'word/' WHEN 1 THEN 'word/media/' ELSE 'word/media/in/' END || coalesce(name, '') || CASE WHEN item_id % 8 = 7 THEN '/' ELSE '' END AS n FROM items)
+    WHERE starts_with(n, 'word/media/') AND string_split(n, '/')[-1] <> ''""")
+def doc_media(spark, sf):
+    i = F.col("item_id")
+    place = F.when(i % 4 == 0, "word/").when(i % 4 == 1, "word/media/").otherwise("word/media/in/")
+    return D.media_files(read(spark, sf, "items").select("item_id", F.concat(place, F.coalesce("name", F.lit("")), F.when(i % 8 == 7, "/").otherwise("")).alias("name")))
+
+
+# ---- files and ranges
+
+
+@query("""SELECT item_id, CASE item_id % 8 WHEN 0 THEN 'jpg' WHEN 1 THEN 'png' WHEN 2 THEN 'webp' WHEN 3 THEN 'gif' WHEN 4 THEN 'bmp' WHEN 5 THEN 'webp' WHEN 6 THEN 'jpg' ELSE 'jpg' END AS type FROM items""")
+def image_types(spark, sf):
+    """Items' names behind the first bytes of images, and some without them by their content type."""
+    k = F.col("item_id") % 8
+    heads = ["FFD8FF", "89504E470D0A1A0A", "524946460102030457454250", "474946383961", "424D", "00", "00", "00"]
+    head = F.get(F.array(*[F.unhex(F.lit(h)) for h in heads]), k.cast("int"))
+    kind = F.when(k == 5, "Image/WEBP").when(k == 6, "image/jpeg; q=1").when(k < 4, "image/bmp")
+    content = F.concat(head, F.encode(F.coalesce("name", F.lit("")), "UTF-8"))
+    return read(spark, sf, "items").select("item_id", T.image_type(content, kind).alias("type"))
+
+
+@query("""SELECT vendor_id, CASE vendor_id % 3 WHEN 0 THEN '"' ELSE '' END || 'in "' || vendor_id || '" here' AS path FROM vendors""")
+def clean_paths(spark, sf):
+    """Names in quotes, with blanks around them and escaped quotes inside; single quotes go only after double ones."""
+    i = F.col("vendor_id")
+    inner = F.concat(F.lit('in \\"'), i.cast("string"), F.lit('\\" here'))
+    path = F.when(i % 3 == 0, F.concat(F.lit(" \"''\""), inner, F.lit("\" "))).when(i % 3 == 1, F.concat(F.lit("\t'"), inner, F.lit("'"))).otherwise(F.concat(F.lit("\"'"), inner, F.lit("'\"  ")))
+    return read(spark, sf, "vendors").select("vendor_id", T.clean_path(path).alias("path"))
+
+
+SPECS = ["2", "2:3", ":2", "x", "All", "3:", "9:2", "+1", "a:b", "0", "-1:2", None]
+
+SELECTED = """
+    WITH p AS (SELECT conv_id AS doc_id, turn::INTEGER + 1 AS page, text FROM conversations),
+    d AS (SELECT doc_id, max(page) AS total, (['2', '2:3', ':2', 'x', 'All', '3:', '9:2', '+1', 'a:b', '0', '-1:2', NULL])[doc_id % 12 + 1] AS spec FROM p GROUP BY doc_id),
+    n AS (SELECT *, CASE WHEN regexp_full_match(spec, '\\+?[0-9]+') THEN spec::BIGINT END AS one,
+          CASE WHEN regexp_full_match(split_part(spec, ':', 1), '\\+?[0-9]+') THEN split_part(spec, ':', 1)::BIGINT END AS a,
+          CASE WHEN regexp_full_match(split_part(spec, ':', 2), '\\+?[0-9]+') THEN split_part(spec, ':', 2)::BIGINT END AS b FROM d),
+    s AS (SELECT *, CASE WHEN contains(spec, ':') THEN greatest(1, coalesce(a, 1)) WHEN one IS NOT NULL THEN one ELSE 1 END AS f,
+          CASE WHEN contains(spec, ':') THEN least(total, coalesce(b, total)) WHEN one IS NOT NULL THEN one ELSE total END AS l FROM n),
+    e AS (SELECT *, f BETWEEN 1 AND l AND l <= total AS ok FROM s)
+"""
+
+
+@query(SELECTED + """ SELECT doc_id, page, text, NULL AS error FROM e JOIN p USING (doc_id) WHERE ok AND page BETWEEN f AND l
+    UNION ALL SELECT doc_id, NULL, NULL, 'not a range of pages: ' || spec FROM e WHERE NOT ok""")
+def page_selection(spark, sf):
+    """Turns as pages, chosen by a range of each conversation's own."""
+    pages = read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn").cast("int") + 1).alias("page"), "text")
+    spec = F.get(F.array(*map(F.lit, SPECS)), (F.col("doc_id") % len(SPECS)).cast("int"))
+    return D.select_pages(pages, pages.select("doc_id").distinct().select("doc_id", spec.alias("spec")))
+
+
+@query(SELECTED + """ SELECT doc_id, CASE WHEN ok THEN f::INTEGER END AS text_from, CASE WHEN ok THEN l::INTEGER END AS text_to,
+    CASE WHEN ok AND (contains(spec, ':') OR one IS NOT NULL OR lower(spec) = 'all') THEN f::INTEGER END AS strict_from, CASE WHEN ok AND (contains(spec, ':') OR one IS NOT NULL OR lower(spec) = 'all') THEN l::INTEGER END AS strict_to,
+    CASE WHEN contains(spec, ':') THEN coalesce(a, 0)::INTEGER ELSE one::INTEGER END AS para_from, CASE WHEN contains(spec, ':') THEN coalesce(b, total - 1)::INTEGER ELSE one::INTEGER END AS para_to FROM e""")
+def range_arguments(spark, sf):
+    """The three readings of a range: pages to read, pages to change, paragraphs."""
+    c = read(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg((F.max("turn").cast("int") + 1).alias("total"))
+    spec, total = F.get(F.array(*map(F.lit, SPECS)), (F.col("doc_id") % len(SPECS)).cast("int")), F.col("total")
+    spans = {"text": T.page_span(spec, total), "strict": T.page_span(spec, total, strict=True), "para": T.paragraph_span(spec, total)}
+    return c.select("doc_id", *[s[f].alias(f"{name}_{end}") for name, s in spans.items() for f, end in (("first", "from"), ("last", "to"))])
