@@ -801,13 +801,13 @@ def xml_escape(spark, sf):
 # ---- parts of Word files: orders as files, their lines as images, sections and runs
 
 IMAGES = """
-    WITH i AS (SELECT l_orderkey AS path, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INTEGER AS img_idx,
+    WITH i AS (SELECT l_orderkey AS path, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1)::INTEGER AS img_idx,
                'rId' || l_suppkey % 7 AS rel_id, CASE WHEN l_quantity * 18000 > 0 THEN round(l_quantity::DOUBLE * 18000 / 36000 * 10) / 10 END AS width_mm FROM lineitem)
 """
 
 
 def _images(spark, sf):
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")) - 1
     return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), at.alias("img_idx"), F.concat(F.lit("rId"), (F.col("l_suppkey") % 7).cast("string")).alias("rel_id"),
                                               T.emu_mm(F.col("l_quantity").cast("double") * 18000).alias("width_mm"))
 
