@@ -10,7 +10,7 @@ from foliomill.llm.common import id_crc32, table
 
 #: Fixed values of the URL contract.
 HOST_PATH_RULES = [
-    ("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"),
+    ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"),
 ]
 
 

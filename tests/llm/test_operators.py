@@ -148,6 +148,16 @@ def test_url_filter(spark, sf):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_url_verdicts_of_the_contract(spark, tmp_path):
+    """Rules and verdicts written out, not taken from the code."""
+    want = {"http://a.com/en/1": ("com/en/", "block"), "http://www.example.com/en/70": ("example.com/en/7", "allow"), "http://a.net/de/8": ("net/de/", "allow"),
+            "http://casino.net/de/": ("net/de/", "allow"), "http://x.example.net/de/88": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"),
+            "http://b.org/es/": ("org/es/", "block"), "http://b.org/en/": (None, "allow"), "http://casino.fr/en/": (None, "block"), "": (None, "allow")}
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    urls = list(want)
+    assert {urls[r.page_id]: (r.rule, r.verdict) for r in queries.op2_url_filter(spark, str(tmp_path)).collect()} == want
+
+
 def test_rules_are_filed_under_the_rarest_token():
     rule = url_filter.host_path_rule("block", "example.com/en/7")
     assert rule.tokens == ("example", "com", "en")
