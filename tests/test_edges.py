@@ -10,6 +10,8 @@ from foliomill.functions import text as T
 from foliomill.operators import documents as D
 from foliomill.operators import sheets as S
 from foliomill.operators import web as W
+from foliomill.plans import registry
+from foliomill.sources import html as H
 
 
 def rows(df):
@@ -46,6 +48,14 @@ def test_chunks_fall_back_by_document(spark):
     assert plan.count("Scan ExistingRDD") == 2  # pages and outline, once each
 
 
+def test_sections_of_all_user_turns(spark, tmp_path):
+    """Every user turn is a section, whatever the length of its text."""
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", "x" * (5 * (t % 3))) for t in range(12)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = registry.QUERIES["section_pages_next_greater"](spark, str(tmp_path))
+    assert sorted(rows(found.select("node_ord", "page", "last_page"))) == [(t, t - t % 4, t - t % 4 + 3 if t < 8 else 100) for t in range(0, 12, 2)]
+
+
 def test_titles_by_a_table_of_queries(spark):
     titles = ["Chapter One", "", None, "intro", "a", "Ünï—cödé", "Chapter One", "!!", "one"]
     queries = ["chapter", "ONE", "The intro to it", "", " ", "ünïcödé", "zz", "!", "a"]
