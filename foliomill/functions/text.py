@@ -66,10 +66,14 @@ def normalise_for_match(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
 
 
-def likely_heading(c: Column) -> Column:
-    """Short (60 bytes) and either a numbered chapter in Chinese or a dotted number first."""
+def likely_heading(c: Column, dotted: bool = False) -> Column:
+    """Short (60 bytes) and either a numbered chapter in Chinese or a number first, of digits and points.
+
+    A point anywhere in the line makes it a heading, as in the tools; with `dotted` the number itself must have one.
+    """
     t = utrim(c)
-    return (F.octet_length(t) <= 60) & (t.rlike("^第.*[章节篇]") | (t.rlike(r"^[0-9]") & F.contains(t, F.lit(".")) & t.rlike(r"(?U)^[0-9.]+(\s|$)")))
+    number = t.rlike(r"(?U)^[0-9][0-9.]*\.[0-9.]*(\s|$)") if dotted else t.rlike(r"^[0-9]") & F.contains(t, F.lit(".")) & t.rlike(r"(?U)^[0-9.]+(\s|$)")
+    return (F.octet_length(t) <= 60) & (t.rlike("^第.*[章节篇]") | number)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -186,10 +190,10 @@ def breadcrumb(parent: Column, title: Column) -> Column:
     return F.when(F.coalesce(parent, F.lit("")) == "", title).otherwise(F.concat(parent, F.lit(" / "), title))
 
 
-def lines_as_markdown(text: Column) -> Column:
+def lines_as_markdown(text: Column, dotted: bool = False) -> Column:
     """Lines trimmed, likely headings as `###` between empty lines."""
     lines = F.split(F.regexp_replace(text, "\n$", ""), "\n")
-    return F.array_join(F.transform(lines, lambda line: F.when(likely_heading(line), F.concat(F.lit("\n### "), utrim(line), F.lit("\n"))).otherwise(utrim(line))), "\n")
+    return F.array_join(F.transform(lines, lambda line: F.when(likely_heading(line, dotted), F.concat(F.lit("\n### "), utrim(line), F.lit("\n"))).otherwise(utrim(line))), "\n")
 
 
 def matches_title(title: Column, query: str) -> Column:

@@ -56,6 +56,17 @@ def test_sections_of_all_user_turns(spark, tmp_path):
     assert sorted(rows(found.select("node_ord", "page", "last_page"))) == [(t, t - t % 4, t - t % 4 + 3 if t < 8 else 100) for t in range(0, 12, 2)]
 
 
+def test_numbers_without_a_point_head_no_lines(spark, tmp_path):
+    """As in SQL: a long number is no heading because a full stop ends its line."""
+    text = "a\nb\n4071467014155185 Thshenly thenea.\n12 x\nc\nd\n3.1 y."
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["likely_headings"](spark, str(tmp_path)).where("para_idx % 3 = 2")
+    assert rows(found.select("para_idx", "text")) == []
+    head = "\n### {}\n".format
+    want = "\n".join([head("1.2 a"), "b", "4071467014155185 Thshenly thenea.", "12 x", head("1.2 c"), "d", head("3.1 y.")])
+    assert registry.QUERIES["text_to_md"](spark, str(tmp_path)).first()["text"] == want
+
+
 def test_titles_by_a_table_of_queries(spark):
     titles = ["Chapter One", "", None, "intro", "a", "Ünï—cödé", "Chapter One", "!!", "one"]
     queries = ["chapter", "ONE", "The intro to it", "", " ", "ünïcödé", "zz", "!", "a"]
