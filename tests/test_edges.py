@@ -67,6 +67,19 @@ def test_numbers_without_a_point_head_no_lines(spark, tmp_path):
     assert registry.QUERIES["text_to_md"](spark, str(tmp_path)).first()["text"] == want
 
 
+def test_references_without_a_semicolon(spark, tmp_path):
+    """As in SQL they are text in the queries; browsers read some of them, and so do the operators."""
+    html = "<html><head><script>a&amp=b</script></head><body><article><h1>Thnd and&amp</h1><p>&quot;x&quot; &amp; y &copy; &copyx; &am &#65; & <a href='/p?a&amp;b'>link&amp</a></p></article></body></html>"
+    spark.createDataFrame([(1, "http://a.com/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    of = lambda name, column: registry.QUERIES[name](spark, str(tmp_path)).first()[column]
+    assert of("page_title", "title") == of("page_markdown", "title") == "Thnd and&amp"
+    assert of("page_markdown", "head") == "# Thnd and&amp\n\n# Thnd and&amp"
+    assert of("page_article_text", "text") == 'Thnd and&amp"x" & y © &copyx; &am A & link&amp'
+    assert (of("page_links", "title"), of("page_links", "url")) == ("link&amp", "http://a.com/p?a&b")
+    assert H.parse(html, closed=True).first(H.Selector("script")).text() == "a&amp=b"
+    assert rows(W.titles(spark.read.parquet(f"{tmp_path}/pages.parquet"))) == [(1, "Thnd and&")]
+
+
 def test_titles_by_a_table_of_queries(spark):
     titles = ["Chapter One", "", None, "intro", "a", "Ünï—cödé", "Chapter One", "!!", "one"]
     queries = ["chapter", "ONE", "The intro to it", "", " ", "ünïcödé", "zz", "!", "a"]
