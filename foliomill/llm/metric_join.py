@@ -16,7 +16,8 @@ The Jaccard distance 1 - |x & y| / |x | y| is a metric; texts link at a distance
    pivot's Voronoi region, if its distance is at most RHO, else to the far region.  If x is at home with p and y
    links with x, then d(y, p) <= d(x, p) + r, so y must come to p's region from its own, nearest pivot q, only
    where d(y, p) <= min(RHO, d(y, q) + r) + r.  Texts within r of a pivot are linked with it on the spot; a region
-   whose texts are all connected already goes.  What is still too large is split again with new pivots;
+   whose texts are all connected already goes.  What is still too large is split again with new pivots; two
+   texts need comparing unless both were guests in the same round;
    after ROUNDS it is dealt into blocks of which every two meet, so that no link is lost.
 4. A region that fits one task is joined there exactly.
 """
@@ -51,6 +52,8 @@ LIMIT = 24 << 20
 RHO = 0.6
 #: Rounds of pivots before what is still too large is dealt into blocks.
 ROUNDS = 3
+#: A text at home in all rounds; bit k is cleared where it is a guest in round k.
+ALL_HOME = -1
 #: Pivots of a region, at least and at most.
 PIVOTS = (8, 64)
 
@@ -207,7 +210,7 @@ def join_region(hashes: np.ndarray, offsets: np.ndarray, known: np.ndarray, home
     """Links that connect the sets of a region as all its links would, where sets of equal `known` are connected already.
 
     Breadth first: what is reached is held against sets that aren't reached yet and share a value of its prefix.
-    Two sets that are both guests needn't be compared.
+    home has a bit for each round of pivots; two sets that were both guests in one round needn't be compared.
     """
     n, sizes = len(offsets) - 1, np.diff(offsets)
     values, codes, counts = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -242,7 +245,7 @@ def join_region(hashes: np.ndarray, offsets: np.ndarray, known: np.ndarray, home
             p = frontier.pop()
             met, _ = ragged_take(posted, posts, keys[own[p] : own[p + 1]])
             met = np.unique(met[~done[met]])
-            met = met[(home[met] | home[p]) & (np.minimum(sizes[met], sizes[p]) >= least * np.maximum(sizes[met], sizes[p]) - 1e-9)]
+            met = met[(~(home[met] | home[p]) == 0) & (np.minimum(sizes[met], sizes[p]) >= least * np.maximum(sizes[met], sizes[p]) - 1e-9)]
             if not len(met):
                 continue
             mark[codes[offsets[p] : offsets[p + 1]]] = True
@@ -299,7 +302,7 @@ def _split(large: DataFrame, sizes: DataFrame, seed: int, limit: int, least: flo
     draw = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     columns = ["region", "salt", "first", "node", "known", "home", "set"]
     docs = joined.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(-seed)), F.col("_salts")).cast("int")).withColumn("first", F.lit(1)).select(columns)
-    pivots = joined.where(F.col("home") & (draw < F.col("_share"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).withColumn("first", F.lit(0)).select(columns)
+    pivots = joined.where((F.col("home") == ALL_HOME) & (draw < F.col("_share"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).withColumn("first", F.lit(0)).select(columns)
     dealt = docs.unionAll(pivots).repartition(shuffle_partitions(spark), "region", "salt").sortWithinPartitions("region", "salt", "first", "node")
 
     def assign(batches):
@@ -321,7 +324,7 @@ def _split(large: DataFrame, sizes: DataFrame, seed: int, limit: int, least: flo
                         yield from place(part, np.array(nodes, np.int64), np.concatenate(pivots) if pivots else np.zeros(0, np.uint64), np.array(edges))
 
     def place(part, nodes, pivots, edges):
-        own, was_home = part.column(3).to_numpy(), part.column(5).to_numpy(zero_copy_only=False)
+        own, was_home = part.column(3).to_numpy(), part.column(5).to_numpy()
         hashes, offsets = _lists(part.column(6))
         if not len(nodes):  # no pivot was drawn: all stays together for the next round
             which, cell, home = np.arange(len(own)), np.full(len(own), -1), np.ones(len(own), bool)
@@ -331,16 +334,16 @@ def _split(large: DataFrame, sizes: DataFrame, seed: int, limit: int, least: flo
             doc, pivot = np.nonzero(both >= least * union - 1e-9)
             links = pairs_of(own[doc], nodes[pivot])
             m = links.num_rows
-            yield pa.RecordBatch.from_arrays([*links.columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary())], ["node", "to", "known", "home", "set"])
+            yield pa.RecordBatch.from_arrays([*links.columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], ["node", "to", "known", "home", "set"])
             which, cell, home = voronoi(1 - both / union, 1 - least, RHO)
             cell = np.where(cell < 0, -1, nodes[np.maximum(cell, 0)])
         for a in range(0, len(which), 4096):
             w = which[a : a + 4096]
             take = part.take(pa.array(w))
             mixed = (cell[a : a + 4096] * np.int64(0x5851F42D4C957F2D)) ^ take.column(0).to_numpy() * np.int64(31)
-            yield pa.RecordBatch.from_arrays([take.column(3), pa.array(mixed), take.column(4), pa.array(home[a : a + 4096] & was_home[w]), take.column(6)], ["node", "to", "known", "home", "set"])
+            yield pa.RecordBatch.from_arrays([take.column(3), pa.array(mixed), take.column(4), pa.array(was_home[w] & np.where(home[a : a + 4096], ALL_HOME, ~(1 << seed))), take.column(6)], ["node", "to", "known", "home", "set"])
 
-    placed = written(dealt.mapInArrow(assign, "node long, to long, known long, home boolean, set binary"), "voronoi")
+    placed = written(dealt.mapInArrow(assign, "node long, to long, known long, home long, set binary"), "voronoi")
     links = placed.where("set IS NULL").select(F.col("node").alias("a"), F.col("to").alias("b"))
     return placed.where("set IS NOT NULL").select(F.xxhash64("to", F.lit(seed)).alias("region"), "node", "known", "home", "set"), links
 
@@ -385,7 +388,7 @@ def _node_filter(near: DataFrame) -> np.ndarray:
 def region_sets(texts: DataFrame, near: DataFrame, shingle: int, split=sets_of) -> DataFrame:
     """From texts (_row, _text) and their regions (_near, region): (region, node, known, home, set).
 
-    Each text is at home in its region and known by itself.  Texts are filtered where they lie, and only
+    Each text is at home in its region, in all rounds to come, and known by itself.  Texts are filtered where they lie, and only
     the sets of those that may be in a region go to the join.
     """
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(_node_filter(near)))  # of a fixed size
@@ -402,7 +405,7 @@ def region_sets(texts: DataFrame, near: DataFrame, shingle: int, split=sets_of)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[8 * i : 8 * j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())], ["node", "set"])
 
     sets = texts.select("_row", "_text").mapInArrow(run, "node long, set binary")
-    return sets.join(near, F.col("node") == F.col("_near")).select("region", "node", F.col("node").alias("known"), F.lit(True).alias("home"), "set")
+    return sets.join(near, F.col("node") == F.col("_near")).select("region", "node", F.col("node").alias("known"), F.lit(ALL_HOME).cast("long").alias("home"), "set")
 
 
 def exact_links(regions: DataFrame, least: float, limit: int, rounds: int) -> DataFrame:
@@ -423,7 +426,7 @@ def exact_links(regions: DataFrame, least: float, limit: int, rounds: int) -> Da
         # What the pivots have connected needn't be compared any more.
         classes = components(found).select(F.col("node").alias("_n"), F.col("root").alias("_root"))
         placed = placed.join(classes, F.col("node") == F.col("_n"), "left").select("region", "node", F.coalesce("_root", "known").alias("known"), "home", "set")
-        open_ = placed.groupBy("region").agg(F.min("known").alias("_a"), F.max("known").alias("_b"), F.max("home").alias("_c")).where("_a < _b AND _c").select("region")
+        open_ = placed.groupBy("region").agg(F.min("known").alias("_a"), F.max("known").alias("_b"), F.bit_or("home").alias("_c")).where((F.col("_a") < F.col("_b")) & (F.col("_c") == ALL_HOME)).select("region")
         regions = written(small.unionByName(placed.join(open_, "region", "left_semi")), "regions")
     dealt = regions.repartition(shuffle_partitions(spark), "region").sortWithinPartitions("region")
 
@@ -445,7 +448,7 @@ def exact_links(regions: DataFrame, least: float, limit: int, rounds: int) -> Da
                         yield join(held)
                         held = []
                     now, part = region[i], batch.slice(i, j - i)
-                    held.append((part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_pylist()))
+                    held.append((part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4).to_pylist()))
         if held:
             yield join(held)
 
