@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,13 @@ def test_equal_queries_are_looked_for_once(spark):
     assert D.matching_titles(outline.select("title"), asked).count() == 2000  # pairs of ids and titles, which no longer arise
 
 
+def test_page_workers_hold_few_rows():
+    """Batches of any size are cut, and every row comes through."""
+    whole = [pa.RecordBatch.from_pydict({"page_id": list(range(n))}) for n in (1000, 0, 3)]
+    cut = list(W._small(iter(whole)))
+    assert max(b.num_rows for b in cut) == 128 and [i for b in cut for i in b.column(0).to_pylist()] == [*range(1000), *range(3)]
+
+
 def test_titles_by_a_table_of_queries(spark):
     titles = ["Chapter One", "", None, "intro", "a", "Ünï—cödé", "Chapter One", "!!", "one"]
     queries = ["chapter", "ONE", "The intro to it", "", " ", "ünïcödé", "zz", "!", "a"]
