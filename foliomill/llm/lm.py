@@ -11,8 +11,10 @@ the outputs inside words, and a word's probability is the topics' mixture of the
 its ids.  What happens inside a word depends on the word alone, so it is computed once for each
 distinct word of a block; only the attention over words runs at every word of every text.
 
-Training.  A bounded share of the training texts trains the first weights in one task; all other
-training texts then train copies of them, one for each partition, which are averaged in a tree.
+Training.  A bounded share of the training texts trains the first weights in one task.  What happens
+inside words is then trained on the corpus's distinct words, each once with its count, and the
+attention over words on all other training texts.  Either trains copies, one for each partition,
+which are averaged in a tree.
 
 Scoring.  A text is cut into overlapping windows: CONTEXT words of context, then STRIDE words that
 this window scores, so each id is scored once.  Windows are scored in batches under one mask.
@@ -51,6 +53,12 @@ WORDS_A_ROW = 4096
 FIRST_WORDS, FIRST_STEPS = 400_000, 800_000
 #: Words of a partition that train a copy, at least; text that a copy learns from at a time, in the first weights and after.
 PART_WORDS = 250_000
+#: Distinct words of a partition that trains a copy of what happens inside words, at least, and of a block of them.
+PART_DISTINCT, DISTINCT = 400_000, 200_000
+#: Places inside words that are in every batch of these.
+HEAVY = 256
+#: Words with at least this part of all words are in every block of distinct words; there are no more of them than this.
+FREQUENT = 16_384
 FIRST_BYTES, LEARN_BYTES = 300_000, 4_000_000
 FIRST_RATE, RATE = 0.02, 0.008
 #: Words that the present law of first ids counts for when a copy goes on from it.
@@ -76,7 +84,8 @@ def word_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     odd = pc.match_substring_regex(words, r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]").to_numpy(zero_copy_only=False)
     plain = words.filter(pa.array(~odd)) if odd.any() else words
     # A word after a space always begins a pre-token, so all words are encoded in one text and cut by their bytes.
-    ids = encoding.encode_to_numpy(" " + " ".join(plain.to_pylist()), disallowed_special=()).astype(np.int64) if len(plain) else np.zeros(0, np.int64)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
+    ids = encoding.encode_to_numpy(" " + joined, disallowed_special=()).astype(np.int64) if len(plain) else np.zeros(0, np.int64)
     ends = np.cumsum(pc.binary_length(plain).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     offsets = np.concatenate([[0], np.searchsorted(np.cumsum(lengths[ids]), ends, side="right")]) if len(plain) else np.zeros(1, np.int64)
     if not odd.any():
@@ -157,6 +166,8 @@ SHAPES = {
     "imix": (2 * DEEP, DEEP_HIDDEN), "ibend": (DEEP_HIDDEN,), "out": (DEEP_HIDDEN, INNERS), "bias": (INNERS,), "tilt": (TOPICS, INNERS),
     # log probabilities of a word's first id by topic
     "start": (TOPICS, FIRSTS),
+    # logarithms of the shares of the topics in all words
+    "share": (TOPICS,),
 }
 OUTER, DEEPER = list(SHAPES)[:10], list(SHAPES)[10:20]
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -206,6 +217,14 @@ class Block:
         return len(self.words) - 1
 
 
+def followers(kinds: Kinds, block: Block) -> np.ndarray:
+    """The output that follows each id: 0, the end of the word, unless an id follows."""
+    out = np.zeros(len(block.ids), np.int64)
+    out[:-1] = kinds.inner[block.ids[1:]]
+    out[block.words[1:] - 1] = 0
+    return out
+
+
 class Nodes:
     """The distinct places inside a block's words: up to REACH ids before, and what follows there."""
 
@@ -218,8 +237,7 @@ class Nodes:
             before = np.full(n, ROWS)
             before[back:] = np.where(at[back:] >= back, row[: n - back], ROWS)
             key = key << 12 | before
-        target = np.zeros(n, np.int64)  # the end of the word, unless an id follows
-        target[:-1] = np.where(at[1:] > 0, kinds.inner[ids[1:]], 0)
+        target = followers(kinds, block)
         distinct, node = np.unique(key, return_inverse=True)
         self.before = np.stack([distinct >> (12 * (REACH - 1 - back)) & 4095 for back in range(REACH)], 1)
         self.order = np.argsort(node.reshape(-1), kind="stable")  # steps by their node
@@ -230,7 +248,17 @@ class Nodes:
     def __len__(self) -> int:
         return len(self.before)
 
-    def slices(self, step: int = 1024):
+    def merge(self, amounts: np.ndarray) -> np.ndarray:
+        """Put steps of equal node and target together; returns the sums of their words' amounts."""
+        order = np.argsort(self.node * INNERS + self.target, kind="stable")
+        node, target = self.node[order], self.target[order]
+        first = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (target[1:] != target[:-1])))
+        out = np.add.reduceat(amounts[self.word[order]], first, axis=0)
+        self.node, self.target, self.word = node[first], target[first], np.arange(len(first))
+        self.edges = np.searchsorted(self.node, np.arange(len(self) + 1))
+        return out
+
+    def slices(self, step: int = 512):
         """(nodes, steps) of about `step` nodes."""
         for a in range(0, len(self), step):
             b = min(a + step, len(self))
@@ -409,24 +437,40 @@ class Trainer:
         self.outer, self.deeper = Adam(OUTER), Adam(DEEPER)
         self.firsts = np.exp(self.w["start"]).astype(np.float64) * FIRST_MASS
 
-    def learn(self, block: Block, rate: float) -> None:
-        nodes = Nodes(self.kinds, block)
-        amounts = self._outer_pass(block, self._topic_scores(block, nodes), rate)
-        self._inner_pass(nodes, amounts[:-1], rate)
+    def learn(self, block: Block, rate: float, inside: bool = True) -> None:
+        """Learn from the texts of a block; `inside` as well as over words."""
+        amounts = self._outer_pass(block, self._topic_scores(block), rate)
+        if inside:
+            self._inner_pass(Nodes(self.kinds, block), amounts[:-1], rate)
+        self.w["share"][...] = np.log(amounts.sum(0) + 1) - np.log((amounts.sum(0) + 1).sum())
         for z in range(TOPICS):
             if block.size:
                 self.firsts[z] += np.bincount(self.kinds.first[block.ids[block.words[:-1]]], weights=amounts[:-1, z], minlength=FIRSTS)
             self.firsts[z, self.kinds.first[END]] += amounts[-1, z]
         self.w["start"][...] = np.log(self.firsts + 1e-6) - np.log((self.firsts + 1e-6).sum(1, keepdims=True))
 
-    def _topic_scores(self, block: Block, nodes: Nodes) -> np.ndarray:
+    def learn_inside(self, words: Block, counts: np.ndarray, rate: float) -> None:
+        """Learn what happens inside distinct words; each falls to the topics by what tells them apart and their shares."""
+        odds, _ = odds_of(self._topic_scores(words)[:-1] + self.w["share"])
+        odds *= (counts / odds.sum(1))[:, None].astype(np.float32)
+        nodes = Nodes(self.kinds, words)
+        amounts = nodes.merge(odds)
+        # The places that most words pass are in every batch with an equal part of their amounts, else one batch's would outweigh all others'.
+        turns = -(-len(nodes) // NODE_BATCH)
+        mass = np.add.reduceat(amounts.sum(1), nodes.edges[:-1])
+        heavy = np.sort(np.argsort(-mass, kind="stable")[:HEAVY])
+        light = np.delete(np.arange(len(nodes)), heavy)
+        amounts[np.isin(nodes.node, heavy)] /= turns
+        for begin in self.rng.permutation(turns).tolist():
+            some = np.sort(np.concatenate([heavy, light[begin::turns]]))
+            self.deeper.apply(self.w, inner_gradient(self.w, nodes, some, amounts), rate)
+
+    def _topic_scores(self, block: Block) -> np.ndarray:
         """What tells the topics of each word (and of the end) apart: its first id, and the tilts of what follows."""
         out = np.zeros((block.size + 1, TOPICS), np.float32)
         if block.size:
             tilt = self.w["tilt"] - np.log(np.exp(self.w["tilt"] + self.kinds.inner_prior).sum(1, keepdims=True))
-            by_step = np.empty((len(block.ids), TOPICS), np.float32)
-            by_step[nodes.order] = tilt.T[nodes.target]
-            out[:-1] = np.add.reduceat(by_step, block.words[:-1], axis=0)
+            out[:-1] = np.add.reduceat(tilt.T[followers(self.kinds, block)], block.words[:-1], axis=0)
             out[:-1] += self.w["start"].T[self.kinds.first[block.ids[block.words[:-1]]]]
         out[-1] = self.w["start"][:, self.kinds.first[END]]
         return out
@@ -462,7 +506,8 @@ def inner_gradient(w: dict[str, np.ndarray], nodes: Nodes, some: np.ndarray, amo
     _, raised, total, (x, q, k, v, s, both, h) = _raised(w, before, tilt)
     mass = np.add.reduceat(weight, np.cumsum(per) - per, axis=0) / total
     grad = {"tilt": tilt * (mass.T @ raised)}
-    np.subtract.at(grad["tilt"].T, target, weight)
+    for z in range(TOPICS):
+        grad["tilt"][z] -= np.bincount(target, weights=weight[:, z], minlength=INNERS)
     p = raised
     p *= mass @ tilt
     np.subtract.at(p.reshape(-1), own * INNERS + target, weight.sum(1))
@@ -522,7 +567,7 @@ def outer_gradient(w, head: np.ndarray, end: np.ndarray, inputs: np.ndarray, tar
 
 
 def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out, order = np.zeros((n, values.shape[1]), np.float32), np.argsort(rows, kind="stable")
+    out, order = np.zeros((n, values.shape[1]), np.float32), np.argsort(rows.astype(np.uint16), kind="stable")  # short ints are sorted by radix
     ordered = rows[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
@@ -603,12 +648,14 @@ def subword_counts(counts: DataFrame, path: str, texts: int) -> tuple[np.ndarray
     return out[: END + 1], out[END + 1 :]
 
 
-def train(docs: DataFrame, kinds: Kinds, id_col: str, text_col: str, folds: int, path: str, words: int) -> np.ndarray:
+def train(docs: DataFrame, kinds: Kinds, id_col: str, text_col: str, folds: int, path: str, words: int, counts: DataFrame | None = None, distinct: int = 0) -> np.ndarray:
     """Weights trained on all training texts; `words` is how many words and ends they have.
 
     A share of the texts, by a hash of the id, of about FIRST_WORDS words trains the first weights
-    in one task.  Each partition of all others trains a copy of these on its texts; copies are
-    averaged by their words, sixteen at a time, until sixteen or fewer reach the driver.
+    in one task.  With `counts` (word, c) of all training texts, `distinct` rows, each partition of
+    these trains a copy of what happens inside words; else the texts do.  Then each partition of
+    all other texts trains a copy on its texts.  Copies are averaged by their words, sixteen at a
+    time, until sixteen or fewer reach the driver.
     """
     spark = docs.sparkSession
     learnt = docs.where(id_crc32(id_col) % folds != 0).select(
@@ -621,12 +668,14 @@ def train(docs: DataFrame, kinds: Kinds, id_col: str, text_col: str, folds: int,
     passes = max(1, min(8, -(-FIRST_STEPS // max(1, min(words, FIRST_WORDS)))))
     flat = _mean_weights(first.select("text").repartition(1), flat, kinds, path, FIRST_BYTES, FIRST_RATE, passes, 96)
     if others is not None:
+        if counts is not None:
+            flat = _mean_inside(counts, distinct, flat, kinds, path)
         parts = others.select("text").coalesce(max(1, (words - FIRST_WORDS) // PART_WORDS))
-        flat = _mean_weights(parts, flat, kinds, path, LEARN_BYTES, RATE, 1, 320)
+        flat = _mean_weights(parts, flat, kinds, path, LEARN_BYTES, RATE, 1, 320, counts is None)
     return flat
 
 
-def _mean_weights(texts: DataFrame, flat: np.ndarray, kinds: Kinds, path: str, size: int, rate: float, passes: int, windows: int) -> np.ndarray:
+def _mean_weights(texts: DataFrame, flat: np.ndarray, kinds: Kinds, path: str, size: int, rate: float, passes: int, windows: int, inside: bool = True) -> np.ndarray:
     """The mean of the copies of `flat` that the partitions of `texts` train, by their words."""
     shared = texts.sparkSession.sparkContext.broadcast((flat, kinds))  # of a fixed size
 
@@ -634,7 +683,7 @@ def _mean_weights(texts: DataFrame, flat: np.ndarray, kinds: Kinds, path: str, s
         part, (start, outputs) = TaskContext.get().partitionId(), shared.value
         trainer, seen, held = Trainer(start, outputs, part % 97, windows), 0, []
         for block in text_blocks(batches, path, size):
-            trainer.learn(block, rate)
+            trainer.learn(block, rate, inside)
             seen += len(block.codes) + len(block.texts) - 1
             if passes > 1:  # the first weights alone, of a bounded number of words
                 held.append(block)
@@ -644,9 +693,57 @@ def _mean_weights(texts: DataFrame, flat: np.ndarray, kinds: Kinds, path: str, s
         del held
         give_back()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "weights", "words"])
+            yield _copy(part, trainer, seen)
+
+    return _mean_of(texts.mapInArrow(local, COPY), flat)
+
+
+def _mean_inside(counts: DataFrame, distinct: int, flat: np.ndarray, kinds: Kinds, path: str) -> np.ndarray:
+    """The mean of the copies of `flat` that the partitions of `counts` train inside words, by their words.
+
+    A frequent word is in every block with a part of its count, so that the blocks are alike.
+    """
+    total, frequent, rare = counts.agg(F.sum("c")).first()[0], [], counts.select("word", "c")
+    if distinct > FREQUENT:  # so some are rarer
+        is_rare = F.col("c") * FREQUENT < total
+        frequent, rare = counts.where(~is_rare).select("word", "c").collect(), rare.where(is_rare)  # at most FREQUENT
+    often = pa.array([r["word"] for r in frequent], pa.string()), np.array([r["c"] for r in frequent], np.float64)
+    shared = counts.sparkSession.sparkContext.broadcast((flat, kinds, *often, float(total - often[1].sum())))  # of a fixed size
+
+    def local(batches):
+        part, (start, outputs, also, also_times, mass) = TaskContext.get().partitionId(), shared.value
+        trainer, seen = Trainer(start, outputs, part % 97), 0
+        for words, times in word_blocks(batches):
+            whole = pa.concat_arrays([also, words.cast(pa.string())])
+            trainer.learn_inside(Block(np.zeros(0, np.int64), np.zeros(1, np.int64), *word_ids(whole, path)), np.append(also_times * (times.sum() / mass), times), RATE)
+            seen += int(times.sum())
+        give_back()
+        if seen:
+            yield _copy(part, trainer, seen)
+
+    return _mean_of(rare.coalesce(max(1, distinct // PART_DISTINCT)).mapInArrow(local, COPY), flat)
+
+
+def word_blocks(batches) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Words and their counts, DISTINCT words at a time; the last may be fewer."""
+    words, times, n = [], [], 0
+    for batch in batches:
+        words.append(batch.column(0))
+        times.append(batch.column(1).to_numpy())
+        n += batch.num_rows
+        if n >= DISTINCT:
+            yield pa.concat_arrays(words), np.concatenate(times)
+            words, times, n = [], [], 0
+    if n:
+        yield pa.concat_arrays(words), np.concatenate(times)
+
+
+def _copy(part: int, trainer: Trainer, seen: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "weights", "words"])
+
 
-    copies = written(texts.mapInArrow(local, COPY), "weights")
+def _mean_of(copies: DataFrame, flat: np.ndarray) -> np.ndarray:
+    copies = written(copies, "weights")
     while copies.count() > 16:
         copies = written(copies.withColumn("part", F.floor(F.col("part") / 16).cast("int")).groupBy("part").applyInArrow(_mean, COPY), "weights")
     rows = copies.collect()
@@ -707,7 +804,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = sums["n"] + ends, sums["v"] + (1 if ends else 0)
     kinds = Kinds.from_counts(*subword_counts(counts, path, ends))
-    flat = train(docs, kinds, id_col, text_col, folds, path, n)
+    flat = train(docs, kinds, id_col, text_col, folds, path, n, counts, sums["v"])
     log_total = float(np.log10(n + 0.1 * (v + 1)))
     shared = docs.sparkSession.sparkContext.broadcast((flat, kinds))  # of a fixed size
 

@@ -469,6 +469,46 @@ def test_lm_every_training_text_reaches_the_weights(spark, monkeypatch, first_wo
     assert sum(rows) == words and len(rows) == (1 if first_words > words else 2)
 
 
+def test_lm_merged_steps_have_the_same_gradient():
+    flat, kinds = small_model()
+    rng = np.random.default_rng(8)
+    block, w = random_block(rng, words=400), lm.unpack(flat)
+    amounts, nodes, merged = rng.random((block.size, lm.TOPICS)).astype(np.float32), lm.Nodes(kinds, block), lm.Nodes(kinds, block)
+    sums = merged.merge(amounts)
+    assert len(sums) < len(nodes.target) and np.isclose(sums.sum(), amounts[nodes.word].sum(), rtol=1e-4)
+    some = np.arange(0, len(nodes), 2)
+    one, other = lm.inner_gradient(w, nodes, some, amounts), lm.inner_gradient(w, merged, some, sums)
+    assert all(np.allclose(one[n], other[n], atol=1e-5) for n in lm.DEEPER)
+
+
+@pytest.mark.parametrize("frequent", [16_384, 8])
+def test_lm_trains_inside_words_on_distinct_words(spark, monkeypatch, frequent):
+    rows = [("the", 500), ("of", 300)] + [(f"word{i}", 1 + i % 3) for i in range(120)]
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    monkeypatch.setattr(lm, "PART_DISTINCT", 40)
+    counted, average = [], lm._average
+    monkeypatch.setattr(lm, "_average", lambda copies: counted.append(sum(n for _, n in copies)) or average(copies))
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids, offsets = lm.word_ids(pa.array([w for w, _ in rows]), path)
+    block, times = lm.Block(np.zeros(0, np.int64), np.zeros(1, np.int64), ids, offsets), np.array([c for _, c in rows])
+    inside = np.ones(len(ids), bool)
+    inside[offsets[:-1]] = False
+    by_id, none = np.repeat(times, np.diff(offsets)), lm.END + 1
+    kinds = lm.Kinds.from_counts(np.bincount(ids[~inside], by_id[~inside], none), np.bincount(ids[inside], by_id[inside], none))
+    counts = spark.createDataFrame(rows, "word string, c long").repartition(4)
+    start = lm.first_weights(kinds)
+    flat = lm._mean_inside(counts, len(rows), start, kinds, path)
+    rare = times.sum() - (800 if frequent == 8 else 0)
+    assert counted == [rare]  # each rare word in one copy; frequent ones are in all
+    before, after = lm.unpack(start), lm.unpack(flat)
+    assert all(np.array_equal(before[n], after[n]) for n in lm.OUTER) and not any(np.array_equal(before[n], after[n]) for n in lm.DEEPER)
+
+    def fit(w):
+        return (lm.word_scores(w, kinds, block, lm.Nodes(kinds, block))[:-1].mean(1) * times).sum()
+
+    assert fit(after) > fit(before)
+
+
 def test_lm_learns_from_a_few_rows(spark):
     frame = spark.createDataFrame([(i, "over and over the same few words " * 9) for i in range(20)], "doc_id long, text string")
     got = lm.score(frame).toPandas()
