@@ -809,6 +809,24 @@ def test_meeting_fingerprints_of_long_runs(monkeypatch):
         assert classes(*near_copies.run_links(held, 0.8)) == want
 
 
+def test_pipeline_fingerprints_meet_at_the_covering_code(spark):
+    rng = np.random.default_rng(9)
+    prints = rng.integers(-(2**63), 2**63, 40).tolist()
+    for _ in range(160):  # equal ones, and chains at 1 to 6 bits
+        bits = sum(1 << int(b) for b in rng.choice(63, int(rng.integers(0, 7)), replace=False))
+        prints.append(prints[int(rng.integers(len(prints)))] ^ bits)
+    prints += [0, -1, 0]
+    want = list(range(len(prints)))
+    for _ in range(len(prints)):
+        new = [min(want[j] for j in range(len(prints)) if ((p ^ prints[j]) & (2**64 - 1)).bit_count() <= near_copies.COVER) for p in prints]
+        if new == want:
+            break
+        want = new
+    frame = spark.createDataFrame(list(enumerate(prints)), "row long, fp long").repartition(3)
+    got = {r.node: r.root for r in simhash.components(near_copies._covered(frame)).collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == want and len(set(want)) < len(set(prints))
+
+
 def test_pipeline_near_copies_go_by_row(spark, sf):
     import corpus_pipeline
 
