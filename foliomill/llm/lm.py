@@ -238,12 +238,15 @@ class Nodes:
             before[back:] = np.where(at[back:] >= back, row[: n - back], ROWS)
             key = key << 12 | before
         target = followers(kinds, block)
-        distinct, node = np.unique(key, return_inverse=True)
+        self.order = np.argsort(key)  # steps by their node
+        key = key[self.order]
+        new = np.append(True, key[1:] != key[:-1])[:n]
+        first = np.flatnonzero(new)
+        distinct = key[first]
         self.before = np.stack([distinct >> (12 * (REACH - 1 - back)) & 4095 for back in range(REACH)], 1)
-        self.order = np.argsort(node.reshape(-1), kind="stable")  # steps by their node
-        self.node, self.target = node.reshape(-1)[self.order], target[self.order]
+        self.node, self.target = np.cumsum(new) - 1, target[self.order]
         self.word = np.repeat(np.arange(block.size), np.diff(block.words))[self.order]
-        self.edges = np.searchsorted(self.node, np.arange(len(distinct) + 1))
+        self.edges = np.append(first, n)
 
     def __len__(self) -> int:
         return len(self.before)
@@ -267,10 +270,11 @@ class Nodes:
 
 def inner_forward(w: dict[str, np.ndarray], before: np.ndarray):
     """Attention of the last id of each place over the ids before it; logits of what follows."""
-    x = w["rows"][before]
+    x = np.take(w["rows"], before, axis=0)
     x += w["steps"]
     q = x[:, 0] @ w["iq"]
-    k, v = x @ w["ik"], x @ w["iv"]
+    both = x.reshape(-1, DEEP) @ np.concatenate([w["ik"], w["iv"]], 1)
+    k, v = both[:, :DEEP].reshape(x.shape), both[:, DEEP:].reshape(x.shape)
     s = np.matmul(k, q[:, :, None])[:, :, 0] * np.float32(DEEP**-0.5)
     s[before == ROWS] = -1e9
     s -= s.max(1, keepdims=True)
@@ -278,27 +282,32 @@ def inner_forward(w: dict[str, np.ndarray], before: np.ndarray):
     s /= s.sum(1, keepdims=True)
     seen = np.matmul(s[:, None, :], v)[:, 0]
     both = np.concatenate([x[:, 0], seen], 1)
-    h = np.tanh(both @ w["imix"] + w["ibend"])
-    logits = h @ w["out"]
-    logits += w["bias"]
-    return logits, (x, q, k, v, s, both, h)
+    h = np.ones((len(x), DEEP_HIDDEN + 1), x.dtype)  # the last column takes the bias
+    np.tanh(both @ w["imix"] + w["ibend"], out=h[:, :-1])
+    return h @ _with_bias(w), (x, q, k, v, s, both, h)
 
 
-def _raised(w, before, tilt):
-    """Logits, their exponentials and the logarithm of their sums under each topic's tilt."""
-    logits, held = inner_forward(w, before)
-    logits -= logits.max(1, keepdims=True)
-    raised = np.exp(logits)
-    return logits, raised, raised @ tilt.T, held
+def _with_bias(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w["out"], w["bias"][None, :]])
+
+
+def _lowered(w: dict[str, np.ndarray], logits: np.ndarray) -> None:
+    """Take each row's maximum from logits in place, unless no place at all can have a logit whose exponential is too large."""
+    if (np.abs(w["out"]).sum(0) + np.abs(w["bias"])).max() > MOST:
+        logits -= logits.max(1, keepdims=True)
 
 
 def word_scores(w: dict[str, np.ndarray], kinds: Kinds, block: Block, nodes: Nodes) -> np.ndarray:
     """Natural log probability of each word under each topic (words, TOPICS); the last row is the end of a text."""
-    tilt, by_step = np.exp(w["tilt"]), np.empty((len(block.ids), TOPICS), np.float32)
+    tilt, own_tilt, by_step = np.exp(w["tilt"]).T.copy(), w["tilt"].T.copy(), np.empty((len(block.ids), TOPICS), np.float32)
     for some, steps in nodes.slices():
-        logits, _, total, _ = _raised(w, nodes.before[some], tilt)
-        own = nodes.node[steps] - some.start
-        by_step[nodes.order[steps]] = (logits[own, nodes.target[steps]][:, None] - np.log(total)[own]) + w["tilt"].T[nodes.target[steps]]
+        logits, _ = inner_forward(w, nodes.before[some])
+        _lowered(w, logits)
+        own, target = nodes.node[steps] - some.start, nodes.target[steps]
+        value = np.take(own_tilt, target, axis=0)
+        value += logits[own, target][:, None]
+        value -= np.log(np.exp(logits, out=logits) @ tilt)[own]
+        by_step[nodes.order[steps]] = value
     out = np.empty((block.size + 1, TOPICS), np.float32)
     if block.size:
         out[:-1] = np.add.reduceat(by_step, block.words[:-1], axis=0)
@@ -351,27 +360,34 @@ def ends_of(kinds: Kinds, block: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.append(kinds.row[block.ids[block.words[:-1]]], kinds.row[END]), np.append(kinds.row[block.ids[block.words[1:] - 1]], kinds.row[END])
 
 
+def joined(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The weights that a place is multiplied by: of its query, its key, its value and its own part of the hidden layer."""
+    return np.concatenate([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"], w["mix"][:WIDTH]], 1)
+
+
 def forward(w: dict[str, np.ndarray], vectors: np.ndarray, inputs: np.ndarray, keep: bool = False):
     """Shares of the topics, up to a factor, at the scored places of each window, (n * STRIDE, TOPICS)."""
-    x = vectors[inputs]
+    x = np.take(vectors, inputs, axis=0)
     x += w["places"]
-    q = x[:, CONTEXT:] @ (w["q"] * np.float32(WIDTH**-0.5))
-    k, v = x @ w["k"], x @ w["v"]
+    wide = (x.reshape(-1, WIDTH) @ joined(w)).reshape(len(x), CONTEXT + STRIDE, -1)
+    q, k, v = wide[:, CONTEXT:, :WIDTH], wide[:, :, WIDTH : 2 * WIDTH], wide[:, :, 2 * WIDTH : 3 * WIDTH]
     s = q @ k.transpose(0, 2, 1)
     np.minimum(s, MOST, out=s)
     s += MASK
     np.exp(s, out=s)
-    s /= (s @ np.ones(s.shape[2], s.dtype))[:, :, None]
-    seen = s @ v
-    both = np.concatenate([x[:, CONTEXT:], seen], 2).reshape(-1, 2 * WIDTH)
-    h = both @ w["mix"]
+    # Sums are divided, and not the exponentials, of which there are more.
+    total = (s.reshape(-1, s.shape[2]) @ np.ones(s.shape[2], s.dtype))[:, None]
+    seen = (s @ v).reshape(-1, WIDTH)
+    seen /= total
+    h = seen @ w["mix"][WIDTH:]
+    h.reshape(len(x), STRIDE, HIDDEN)[...] += wide[:, CONTEXT:, 3 * WIDTH :]
     h += w["bend"]
     np.tanh(h, out=h)
     raised = h @ w["gate"]
     raised += w["usual"]
     np.minimum(raised, MOST, out=raised)
     np.exp(raised, out=raised)
-    return (raised, (x, q, k, v, s, both, h)) if keep else raised
+    return (raised, (x, q, k, v, s, total, seen, h)) if keep else raised
 
 
 def odds_of(by_topic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -498,80 +514,94 @@ class Trainer:
 
 def inner_gradient(w: dict[str, np.ndarray], nodes: Nodes, some: np.ndarray, amounts: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient of the mean negative log probability of what follows at some nodes, by the topics' amounts."""
-    n, per = len(some), nodes.edges[some + 1] - nodes.edges[some]
-    steps = np.repeat(nodes.edges[some] - np.cumsum(per) + per, per) + np.arange(per.sum())
-    own, target, weight = np.repeat(np.arange(n), per), nodes.target[steps], amounts[nodes.word[steps]].astype(np.float32)
+    per = nodes.edges[some + 1] - nodes.edges[some]
+    begins = np.cumsum(per) - per
+    steps = np.repeat(nodes.edges[some] - begins, per) + np.arange(per.sum())
+    target, weight = nodes.target[steps], np.take(amounts, nodes.word[steps], axis=0).astype(np.float32, copy=False)
     weight /= max(float(weight.sum()), 1e-6)
     before, tilt = nodes.before[some], np.exp(w["tilt"])
-    _, raised, total, (x, q, k, v, s, both, h) = _raised(w, before, tilt)
-    mass = np.add.reduceat(weight, np.cumsum(per) - per, axis=0) / total
-    grad = {"tilt": tilt * (mass.T @ raised)}
-    for z in range(TOPICS):
-        grad["tilt"][z] -= np.bincount(target, weights=weight[:, z], minlength=INNERS)
-    p = raised
+    p, (x, q, k, v, s, both, h) = inner_forward(w, before)
+    _lowered(w, p)
+    np.exp(p, out=p)
+    mass = np.add.reduceat(weight, begins, axis=0) / (p @ tilt.T)
+    grad = {"tilt": tilt * (mass.T @ p)}
+    of_topic = target[:, None] + INNERS * np.arange(TOPICS)
+    np.subtract.at(grad["tilt"].reshape(-1), of_topic.reshape(-1), weight.reshape(-1))
     p *= mass @ tilt
-    np.subtract.at(p.reshape(-1), own * INNERS + target, weight.sum(1))
-    grad["out"], grad["bias"] = h.T @ p, p.sum(0)
+    np.subtract.at(p.reshape(-1), np.repeat(np.arange(len(some)) * INNERS, per) + target, weight @ ONES)
+    with_bias = h.T @ p
+    grad["out"], grad["bias"], h = with_bias[:-1], with_bias[-1], h[:, :-1]
     dz = (p @ w["out"].T) * (1 - h * h)
     grad["imix"], grad["ibend"] = both.T @ dz, dz.sum(0)
     dboth = dz @ w["imix"].T
     dx = np.zeros_like(x)
     dx[:, 0] = dboth[:, :DEEP]
     dseen = dboth[:, DEEP:]
-    dv = s[:, :, None] * dseen[:, None, :]
+    d = np.empty((*x.shape[:2], 2 * DEEP), x.dtype)  # of keys and values
+    d[:, :, DEEP:] = s[:, :, None] * dseen[:, None, :]
     ds = np.matmul(v, dseen[:, :, None])[:, :, 0]
     ds = s * (ds - (ds * s).sum(1, keepdims=True)) * np.float32(DEEP**-0.5)
-    dq, dk = np.matmul(ds[:, None, :], k)[:, 0], ds[:, :, None] * q[:, None, :]
-    grad["iq"] = x[:, 0].T @ dq
-    grad["ik"], grad["iv"] = (x.reshape(-1, DEEP).T @ d.reshape(-1, DEEP) for d in (dk, dv))
+    dq = np.matmul(ds[:, None, :], k)[:, 0]
+    d[:, :, :DEEP] = ds[:, :, None] * q[:, None, :]
+    d = d.reshape(-1, 2 * DEEP)
+    grad["iq"], by_place = x[:, 0].T @ dq, x.reshape(-1, DEEP).T @ d
+    grad["ik"], grad["iv"] = by_place[:, :DEEP], by_place[:, DEEP:]
     dx[:, 0] += dq @ w["iq"].T
-    dx += dk @ w["ik"].T + dv @ w["iv"].T
-    grad["steps"] = dx.sum(0)
-    grad["rows"] = _row_sums(before.reshape(-1), dx.reshape(-1, DEEP), ROWS + 1)
+    dx = dx.reshape(-1, DEEP)
+    dx += d @ np.concatenate([w["ik"], w["iv"]], 1).T
+    grad["steps"] = dx.reshape(x.shape).sum(0)
+    grad["rows"] = _row_sums(before.reshape(-1), dx, ROWS + 1)
     return grad
 
 
 def outer_gradient(w, head: np.ndarray, end: np.ndarray, inputs: np.ndarray, targets: np.ndarray, odds: np.ndarray):
     """Gradient of the mean negative log probability of the windows' words; their codes and their shares by topic."""
-    vectors = w["head"][head[inputs]] + w["end"][end[inputs]]
-    raised, (x, q, k, v, s, both, h) = forward(w, vectors.reshape(-1, WIDTH), np.arange(inputs.size).reshape(inputs.shape), keep=True)
-    target = targets.reshape(-1)
+    wide, target, places = joined(w), targets.reshape(-1), (np.take(head, inputs).reshape(-1), np.take(end, inputs).reshape(-1))
+    vectors = np.take(w["head"], places[0], axis=0)
+    vectors += np.take(w["end"], places[1], axis=0)
+    raised, (x, q, k, v, s, total, seen, h) = forward(w, vectors, np.arange(inputs.size).reshape(inputs.shape), keep=True)
     real = (target >= 0).astype(np.float32)
-    share = raised * odds[target]
+    share = np.take(odds, target, axis=0, mode="wrap")
+    share *= raised
     share *= (real / np.maximum(share @ ONES, 1e-37))[:, None]
     p = raised
     p *= (real / (p @ ONES))[:, None]
     p -= share
     p /= np.float32(max(1, real.sum()))
-    g = {"gate": h.T @ p, "usual": p.sum(0)}
-    dz = (p @ w["gate"].T) * (1 - h * h)
-    g["mix"], g["bend"] = both.T @ dz, dz.sum(0)
-    dboth = (dz @ w["mix"].T).reshape(-1, STRIDE, 2 * WIDTH)
-    dx = np.zeros_like(x)
-    dx[:, CONTEXT:] += dboth[..., :WIDTH]
-    dseen = dboth[..., WIDTH:]
-    dv = s.transpose(0, 2, 1) @ dseen
+    ones = np.ones(len(p), p.dtype)
+    g = {"gate": h.T @ p, "usual": ones @ p}
+    dz = p @ w["gate"].T
+    h *= h
+    dz *= 1 - h
+    mix, g["bend"] = seen.T @ dz, ones @ dz
+    d = np.empty((len(x), CONTEXT + STRIDE, 3 * WIDTH + HIDDEN), x.dtype)  # of queries, keys, values and the hidden layer
+    d[:, :CONTEXT, :WIDTH] = d[:, :CONTEXT, 3 * WIDTH :] = 0
+    d[:, CONTEXT:, 3 * WIDTH :] = dz.reshape(len(x), STRIDE, HIDDEN)
+    dseen = dz @ w["mix"][WIDTH:].T
+    dseen /= total
+    mean = np.einsum("ij,ij->i", dseen, seen).reshape(len(x), STRIDE, 1)
+    dseen = dseen.reshape(len(x), STRIDE, WIDTH)
+    np.matmul(s.transpose(0, 2, 1), dseen, out=d[:, :, 2 * WIDTH : 3 * WIDTH])
     ds = dseen @ v.transpose(0, 2, 1)
-    ds = s * (ds - (ds * s).sum(2, keepdims=True))
-    scale = np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["q"] = x[:, CONTEXT:].reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH) * scale
-    g["k"] = x.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
-    g["v"] = x.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
-    dx[:, CONTEXT:] += dq @ w["q"].T * scale
-    dx += dk @ w["k"].T + dv @ w["v"].T
-    g["places"] = dx.sum(0)
-    dx = dx.reshape(-1, WIDTH)
-    g["head"], g["end"] = (_row_sums(rows[inputs].reshape(-1), dx, ROWS) for rows in (head, end))
-    return g, np.where(target >= 0, target, 0), share
+    ds -= mean
+    ds *= s
+    np.matmul(ds, k, out=d[:, CONTEXT:, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
+    d = d.reshape(-1, d.shape[2])
+    by_place, dx = x.reshape(-1, WIDTH).T @ d, d @ wide.T
+    g["q"], g["k"], g["v"] = by_place[:, :WIDTH] * np.float32(WIDTH**-0.5), by_place[:, WIDTH : 2 * WIDTH], by_place[:, 2 * WIDTH : 3 * WIDTH]
+    g["mix"] = np.concatenate([by_place[:, 3 * WIDTH :], mix])
+    g["places"] = dx.reshape(x.shape).sum(0)
+    g["head"], g["end"] = (_row_sums(rows, dx, ROWS) for rows in places)
+    return g, np.maximum(target, 0), share
 
 
 def _row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    out, order = np.zeros((n, values.shape[1]), np.float32), np.argsort(rows.astype(np.uint16), kind="stable")  # short ints are sorted by radix
-    ordered = rows[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+    """Sums of the float32 rows of `values` by their number; two floats are added as one complex number, as numpy has no quicker way."""
+    half = values.shape[1] // 2
+    out = np.zeros(n * half, np.complex64)
+    np.add.at(out, (rows[:, None] * half + np.arange(half)).reshape(-1), values.view(np.complex64).reshape(-1))
+    return out.view(np.float32).reshape(n, -1)
 
 
 # ---- over the cluster
@@ -826,7 +856,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             edges = pa.array(np.append(first, len(names)), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(names[first]), pa.ListArray.from_arrays(edges, pa.array(at, pa.int32())), pa.ListArray.from_arrays(edges, pa.array(c))], ["block", "at", "c"])
 
-    found = words.select("block", "at", "word").join(counts.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
+    # Each word is one row of the counts, so none has much to hold; without the hint a block's words are sorted as strings.
+    found = words.select("block", "at", "word").join(counts.withColumnRenamed("word", "_word").hint("shuffle_hash"), F.col("word") == F.col("_word"), "left")
     found = found.select("block", F.col("at").cast("int").alias("at"), F.coalesce("c", F.lit(0)).cast("long").alias("c")).mapInArrow(by_block, "block long, at array<int>, c array<long>")
     found = rows(found, 0, "0", ["at", "c"])
     own = rows(coded.where("kind = 1"), 1, "start", ["words"])

@@ -525,6 +525,29 @@ def test_lm_block_names_and_a_long_text(spark):
     assert sorted(r.n_tokens for r in got) == [1, 3, 3, 1_200_001] and all(np.isfinite(r.score) for r in got)
 
 
+def test_lm_counts_come_back_without_sorting_words(spark):
+    frame = spark.createDataFrame([(i, f"some words and word{i}") for i in range(20)], "doc_id long, text string")
+    plan = lm.score(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("size", [0.1, 1e3])
+def test_lm_word_scores_of_weights_of_any_size(monkeypatch, size):
+    flat, kinds = small_model()
+    block, w = random_block(np.random.default_rng(9)), lm.unpack(flat)
+    w["out"][...] *= size
+    got = lm.word_scores(w, kinds, block, lm.Nodes(kinds, block))
+    wide = {n: v.astype(np.float64) for n, v in w.items()}
+    nodes, target = lm.Nodes(kinds, block), lm.followers(kinds, block)
+    z = lm.inner_forward(wide, nodes.before)[0][:, None, :] + wide["tilt"]
+    top = z.max(2, keepdims=True)
+    z = z - top - np.log(np.exp(z - top).sum(2, keepdims=True))
+    node = np.empty(len(block.ids), int)
+    node[nodes.order] = nodes.node
+    want = np.add.reduceat(z[node, :, target], block.words[:-1], axis=0) + wide["start"].T[kinds.first[block.ids[block.words[:-1]]]]
+    assert np.isfinite(got).all() and np.allclose(got[:-1], want, rtol=1e-3)
+
+
 def test_lm_outputs_add_up():
     flat, kinds = small_model()
     assert np.allclose(np.bincount(kinds.first, weights=10**kinds.first_share, minlength=lm.FIRSTS), 1)
